@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, repetition
-from .common import read_table
+from . import minhash, mixing, packing, pii, repetition, secrets
+from .common import read_table, written
+from .spans import listed
+
+
+def span_digest(spans: str, kinds: Sequence[str]) -> list[Column]:
+    """Counts of the base kinds (the first in their operator's order), the hash of their list, and the list of all."""
+    base = F.filter(spans, lambda s: s.order < len(kinds))
+    counts = [F.size(F.filter(spans, lambda s: s.order == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(kinds)]
+    return [*counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans")]
+
+
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs).select("doc_id", *span_digest("spans", pii.KINDS[: pii.BASE]))
+
+
+def op2_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ledger = secrets.scan(docs)
+    return found.select("doc_id", *span_digest("findings", [r.kind for r in secrets.BASE_RULES]))
+
+
+def op3_mixing_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    feats = written(mixing.features(docs).drop("text"), "features")
+    return mixing.sample(feats, mixing.raked(feats)).select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+
+
+def op5_packing_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +50,10 @@ def op9_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_weak_supervision": op1_pii_weak_supervision,
+    "op2_secret_blob_ledger": op2_secret_blob_ledger,
+    "op3_mixing_raking": op3_mixing_raking,
+    "op5_packing_min_bin_slack": op5_packing_min_bin_slack,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_repetition": op9_quality_repetition,
 }
