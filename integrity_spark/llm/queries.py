@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pii, repetition, secrets
+from . import chat, minhash, mixing, packing, pii, repetition, secrets, sharding
 from .common import read_table, written
 from .spans import listed
 
@@ -36,10 +36,27 @@ def op3_mixing_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(feats, mixing.raked(feats)).select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT cast(-1 AS bigint) AS conv_id, turn, role, '{control}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    made = written(chat.windows(turns.unionByName(more)), "windows")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    back = made.withColumn("turns", chat.fresh_turns(made)).select("conv_id", "window", F.size("turns").alias("n"), said.alias("said"), chat.masked_text(made).alias("target"), F.length("formatted").alias("chars"))
+    whole = back.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "said", "target"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    joined = {name: F.array_join(F.col(f"w.{name}"), "") for name in ("said", "target")}
+    return whole.select("conv_id", "n_turns", F.sha2(joined["said"].cast("binary"), 256).alias("turns_sha256"), F.length(joined["target"]).cast("long").alias("loss_chars"), F.sha2(joined["target"].cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op5_packing_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_secret_blob_ledger": op2_secret_blob_ledger,
     "op3_mixing_raking": op3_mixing_raking,
+    "op4_chat_windows": op4_chat_windows,
     "op5_packing_min_bin_slack": op5_packing_min_bin_slack,
+    "op6_sharding_bounded_ring": op6_sharding_bounded_ring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_repetition": op9_quality_repetition,
 }
