@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, packing, pii, repetition, secrets, sharding
+from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding
 from .common import read_table, written
 from .spans import listed
 
@@ -66,6 +66,12 @@ def op9_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(docs).select("doc_id", F.col("quality.*"))
 
 
+def op10_ann_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(ann.valid(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+    found = ann.nearest(ann.index(rows), rows.where("id % 20 = 0"), top=20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_secret_blob_ledger": op2_secret_blob_ledger,
@@ -75,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding_bounded_ring": op6_sharding_bounded_ring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_repetition": op9_quality_repetition,
+    "op10_ann_hnsw": op10_ann_hnsw,
 }
 ORACLES: dict[str, str] = {}
