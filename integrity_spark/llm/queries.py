@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding
+from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding, suffix_dedup
 from .common import read_table, written
 from .spans import listed
 
@@ -61,6 +61,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_suffix_dedup_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition.quality_rules(docs).select("doc_id", F.col("quality.*"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing_min_bin_slack": op5_packing_min_bin_slack,
     "op6_sharding_bounded_ring": op6_sharding_bounded_ring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_suffix_dedup_bwt": op8_suffix_dedup_bwt,
     "op9_quality_repetition": op9_quality_repetition,
     "op10_ann_hnsw": op10_ann_hnsw,
 }
