@@ -81,12 +81,17 @@ def mass_assess(df: DataFrame, pipe: Pipe = Pipe(), depth: str = "depth_pct", le
     out = out.withColumns({"depth_mm": F.when(ok, d0), "length0_mm": F.when(ok, l0), "rate_mm_yr": F.when(ok, rate)})
     diameter, ys = F.lit(pipe.diameter), F.lit(pipe.yield_strength)
 
-    def year(i: int) -> Column:
-        d, n = F.col("depth_mm") + F.col("rate_mm_yr") * float(i), F.col("length0_mm") + i * pipe.length_rate
-        pf = P.failure_pressure(d, n, diameter, F.col("wall_mm"), ys) * P.PSI_PER_KPA
-        return F.struct(F.lit(pipe.start_year + i).alias("year"), pf.alias("pf_psi"), (d / F.col("wall_mm") > P.CUTOFF).alias("over_80"))
+    def year(i: Column) -> Column:
+        grown = F.struct((F.col("depth_mm") + F.col("rate_mm_yr") * i).alias("d"), (F.col("length0_mm") + i * pipe.length_rate).alias("n"))
 
-    out = out.withColumn("years", F.when(ok, F.array(*(year(i) for i in range(YEARS)))))
+        def one(g: Column) -> Column:
+            pf = P.failure_pressure(g.d, g.n, diameter, F.col("wall_mm"), ys) * P.PSI_PER_KPA
+            return F.struct((i + pipe.start_year).cast("int").alias("year"), pf.alias("pf_psi"), (g.d / F.col("wall_mm") > P.CUTOFF).alias("over_80"))
+
+        return F.get(F.transform(F.array(grown), one), F.lit(0))
+
+    # a lambda over the years keeps the generated code small; 11 unrolled copies don't compile
+    out = out.withColumn("years", F.when(ok, F.transform(F.sequence(F.lit(0), F.lit(YEARS - 1)), year)))
     to_defect = P.years_to_defect(F.col("depth_mm"), F.col("wall_mm"), F.col("rate_mm_yr"))
     out = out.withColumn("years_to_defect", to_defect).withColumn("defect_date", P.date_of_defect(reference_time(pipe), F.col("years_to_defect")))
     out = out.withColumn("status", F.when(ok, "Active"))

@@ -109,14 +109,16 @@ def target_features(mdl: DataFrame, rows: DataFrame, row_key: Sequence[str]) ->
     return hits.drop("mdl_row").unionByName(by_size).distinct().withColumn("is_target", F.lit(True))
 
 
-def dig_feature_table(mdl: DataFrame, ili: DataFrame, row_key: Sequence[str] = ("feature_id", "chainage"), order: Sequence[str] = ("chainage", "feature_id"), n: int = WELDS, first_n: int | None = None) -> DataFrame:
+def dig_feature_table(mdl: DataFrame, ili: DataFrame, row_key: Sequence[str] = ("feature_id", "chainage"), order: Sequence[str] = ("chainage", "feature_id"), n: int = WELDS, first_n: int | None = None, fallback: str = "all") -> DataFrame:
     """Per dig and run: the rows in its window with target flag, distance from the target weld (negative numbers of the
-    shown dimensions are 0) and the dig's number in sorted order."""
+    shown dimensions are 0) and the dig's number in sorted order. ``fallback``: for runs without the target weld, ``all``
+    takes all rows of the run (a product of digs and runs, so for few digs only), ``skip`` takes none."""
     digs = mdl.select("dig_id").distinct().withColumn("dig_no", F.dense_rank().over(W.orderBy("dig_id")))
     if first_n is not None:
         digs = digs.where(F.col("dig_no") <= first_n)
         mdl = mdl.join(digs.select("dig_id"), "dig_id", "left_semi")
-    windows = weld_window(locate_target_weld(mdl, ili, order), ili, n)
+    found = locate_target_weld(mdl, ili, order)
+    windows = weld_window(found.where("target_chainage IS NOT NULL") if fallback == "skip" else found, ili, n)
     rows = window_rows(windows, ili)
     targets = target_features(mdl, rows, row_key)
     joined = rows.join(targets, ["dig_id", *RUN, *row_key], "left").join(digs, "dig_id")

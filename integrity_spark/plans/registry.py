@@ -1,4 +1,4 @@
-"""Every registered query and the SQL that checks it."""
+"""Every registered query and the SQL that checks it. Each query reads whole tables, or views of them."""
 
 from __future__ import annotations
 
@@ -6,5 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..sources.fixtures import with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: tuple[str, ...] = (), name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its own name, with DuckDB text over those views if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+from . import assess_queries, dig_queries, ingest_queries, map_queries, reading_queries, tml_queries  # noqa: E402, F401
