@@ -53,12 +53,12 @@ def normalize_key(col: Column) -> Column:
 
 def split_multivalue(col: Column) -> Column:
     """Distinct lines of a cell, trimmed, without blanks and place-holders."""
-    lines = F.transform(F.split(F.regexp_replace(col.cast("string"), "\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(col.cast("string"), "\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(lines, lambda x: ~x.isin("", "-", "N/A", "n/a")))
 
 
 def first_line(col: Column) -> Column:
-    lines = F.filter(F.transform(F.split(col, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(col, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.get(lines, F.lit(0)), F.lit("-"))
 
 

@@ -159,7 +159,7 @@ def weld_bounds(anchors: DataFrame, asked: DataFrame, n: int = 2) -> DataFrame:
     ranked = anchors.withColumns({"idx": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("line_id")), "lo": F.min("chainage").over(W.partitionBy("line_id")), "hi": F.max("chainage").over(W.partitionBy("line_id"))})
     at = {k: ranked.select("line_id", F.col("idx").alias(f"idx_{k}"), F.col("chainage").alias(f"x_{k}")) for k in ("lo", "hi")}
     hit = ranked.select("line_id", F.col("gwd_number").alias("center"), "idx", "n")
-    centered = asked.where("center IS NOT NULL").join(hit, ["line_id", "center"], "left").withColumns({"idx_lo": F.greatest(F.col("idx") - n, F.lit(1)), "idx_hi": F.least(F.col("idx") + n, F.col("n"))})
+    centered = asked.where("center IS NOT NULL").join(hit, ["line_id", "center"], "left").withColumns({"idx_lo": F.when(F.col("idx").isNotNull(), F.greatest(F.col("idx") - n, F.lit(1))), "idx_hi": F.when(F.col("idx").isNotNull(), F.least(F.col("idx") + n, F.col("n")))})
     centered = centered.join(at["lo"], ["line_id", "idx_lo"], "left").join(at["hi"], ["line_id", "idx_hi"], "left").select(*asked.columns, F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"))
     ends = ranked.select("line_id", "lo", "hi").distinct()
     x = anchors.select("line_id", "gwd_number", "chainage")

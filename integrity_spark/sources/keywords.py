@@ -112,8 +112,10 @@ def merged(base: dict[str, list[str]], override: dict[str, list[str]] | None = N
     """Override names come first; each name once, case and outer blanks aside."""
     out: dict[str, list[str]] = {}
     for key in dict.fromkeys([*base, *(override or {})]):
-        names = [*(override or {}).get(key, []), *base.get(key, [])]
-        out[key] = list({n.strip().lower(): n for n in reversed(names)}.values())[::-1]
+        kept: dict[str, str] = {}
+        for n in [*(override or {}).get(key, []), *base.get(key, [])]:
+            kept.setdefault(n.strip().lower(), n)
+        out[key] = list(kept.values())
     return out
 
 
