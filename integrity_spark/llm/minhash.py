@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 One narrow pass gives each document its shingle count, a 128-bit key of its shingle set, 25 band keys of 5 minima
-each, and 128 minima of which only the low 4 bits are kept, packed in 8 longs. Documents with the same set become one
+each, and 384 minima of which only the low 4 bits are kept, packed in 24 longs. Documents with the same set become one
 class at once, so copies cost nothing further. Classes that share a band are candidates. Inside a band bucket, dealt
 in blocks of bounded size, pairs are compared by bit counts: with share m of equal lanes, the similarity estimate is
 (m - 2**-b) / (1 - 2**-b). Pairs estimated well below the threshold go; the rest are confirmed on the full shingle
@@ -26,9 +26,9 @@ from .common import written
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 85
-BANDS, ROWS, MINIMA, BITS = 25, 5, 128, 4
-#: Candidates whose estimate is lower are dropped: 4 standard errors under the threshold.
-ESTIMATE = 0.72
+BANDS, ROWS, MINIMA, BITS = 25, 5, 384, 4
+#: Candidates whose estimate is lower are dropped: nearly 4 standard errors (0.0194) under the threshold.
+ESTIMATE = 0.775
 #: Members of a block of a band bucket, about; partners of the first round.
 BLOCK, NEAREST = 1024, 3
 SIGNATURE = "n_shingles long, set_a long, set_b long, lanes array<long>, bands array<long>"
@@ -128,9 +128,10 @@ def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - differ / MINIMA - c) / (1 - c)
 
 
-def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, lanes: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, lanes: np.ndarray, band: np.ndarray, bands: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one run of whole groups: all rows of a group stand together. side: bits of the blocks a row
-    belongs to; a group of two blocks pairs only across them."""
+    belongs to; a group of two blocks pairs only across them. A pair that shares several bands is taken in the first of
+    them only."""
     left, right, near = [], [], []
     live, shift = np.arange(len(group)), 1
     while True:
@@ -141,6 +142,8 @@ def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarr
         at = live[(comp[live] != comp[live + shift]) & ((side[live] | side[live + shift]) == 3)]
         est = estimates(lanes[at], lanes[at + shift])
         good = est >= ESTIMATE
+        same = bands[at[good]] == bands[at[good] + shift]
+        good[good] = bands[at[good], same.argmax(axis=1)] == band[at[good]]
         left.append(at[good])
         right.append(at[good] + shift)
         near.append(est[good])
@@ -161,20 +164,20 @@ def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarr
 
 
 def candidates(members: DataFrame, nearest: int) -> DataFrame:
-    """Distinct pairs (a < b) of bucket members ``(band, copies, id, comp, lanes)`` in different components that are
+    """Distinct pairs (a < b) of bucket members ``(band, copies, id, comp, lanes, bands)`` in different components that are
     similar enough by their bits; with ``nearest``, only the nearest few of each member in each block."""
     blocks = F.ceil(F.col("copies") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = (
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "comp", "lanes", F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+        .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "comp", "lanes", "bands", F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(part: pd.DataFrame) -> pd.DataFrame:
             group = part.groupby(["band", "bi", "bj"], sort=False).ngroup().to_numpy()
-            a, b = _pairs(group, part.side.to_numpy(), part.id.to_numpy(), part.comp.to_numpy(), np.stack(part.lanes.to_numpy()).view(np.uint64), nearest)
+            a, b = _pairs(group, part.side.to_numpy(), part.id.to_numpy(), part.comp.to_numpy(), np.stack(part.lanes.to_numpy()).view(np.uint64), part.band.to_numpy(), np.stack(part.bands.to_numpy()), nearest)
             return pd.DataFrame({"a": a, "b": b})
 
         rest = None
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(banded.join(shared.hint("merge"), "band"), "members")
     ids = members.select("id").distinct()
     texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    lanes = classes.select(F.col("rep").alias("id"), "lanes")
+    lanes = classes.select(F.col("rep").alias("id"), "lanes", "bands")
     rows = members.join(lanes.hint("merge"), "id")
 
     first = written(candidates(rows.withColumn("comp", F.col("id")), NEAREST), "pairs")
