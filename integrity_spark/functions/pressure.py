@@ -42,8 +42,9 @@ def flow_stress(yield_strength: Column, method: str | None = None, flow: Column
     return method, flow
 
 
-def remaining_strength(depth: Column, length: Column, diameter: Column, wall: Column, method: str, area_ratio: Column | None = None) -> Column:
-    m, r = folias_factor(diameter, wall, length, method), depth / wall
+def remaining_strength(depth: Column, length: Column, diameter: Column, wall: Column, method: str, area_ratio: Column | None = None, folias: Column | None = None) -> Column:
+    """``folias``: the factor, where the caller has it already."""
+    m, r = folias if folias is not None else folias_factor(diameter, wall, length, method), depth / wall
     if method == "rstreng":
         if area_ratio is None:
             raise ValueError("rstreng needs the area ratio")
@@ -54,10 +55,10 @@ def remaining_strength(depth: Column, length: Column, diameter: Column, wall: Co
     return F.when(m.isNull(), F.lit(1.0) - r).otherwise(rs) if method == "b31g" else rs
 
 
-def failure_pressure(depth: Column, length: Column, diameter: Column, wall: Column, yield_strength: Column, method: str | None = None, flow: Column | None = None, area_ratio: Column | None = None) -> Column:
+def failure_pressure(depth: Column, length: Column, diameter: Column, wall: Column, yield_strength: Column, method: str | None = None, flow: Column | None = None, area_ratio: Column | None = None, folias: Column | None = None) -> Column:
     """kPa."""
     method, flow = flow_stress(yield_strength, method, flow)
-    rs = remaining_strength(depth, length, diameter, wall, method, area_ratio)
+    rs = remaining_strength(depth, length, diameter, wall, method, area_ratio, folias)
     return flow * 2.0 / (diameter / wall) * rs * 1000.0
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: A welded joint in dig packages (a seam weld counts too), and in feature maps.
@@ -16,6 +17,14 @@ def to_number(col: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """``to_number`` of a column that may be numeric already; then no text is made."""
+    if name in df.columns and isinstance(df.schema[name].dataType, NumericType):
+        value = F.col(f"`{name}`").cast("double")
+        return F.when(~F.isnan(value), value)
+    return to_number(F.col(f"`{name}`"))
+
+
 def clock_to_hours(col: Column) -> Column:
     text = F.trim(col.cast("string"))
     part = F.split(text, ":")

@@ -6,12 +6,14 @@ Everything is a narrow projection: the years stay in an array until a long table
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pressure as P
-from ..functions.scalars import is_defect, to_number
+from ..functions.scalars import is_defect, number_of
 
 YEARS = 11
 
@@ -45,7 +47,7 @@ def protect_year_columns(df: DataFrame) -> DataFrame:
 
 def valid_defects(df: DataFrame, depth: str = "depth_pct", length: str = "length_mm") -> DataFrame:
     """``is_valid``: depth and length are positive numbers. Rows stay."""
-    d, n = to_number(F.col(depth)), to_number(F.col(length))
+    d, n = number_of(df, depth), number_of(df, length)
     return df.withColumns({"depth_in": d, "length_in": n, "is_valid": F.coalesce((d > 0) & (n > 0), F.lit(False))})
 
 
@@ -74,34 +76,36 @@ def mass_assess(df: DataFrame, pipe: Pipe = Pipe(), depth: str = "depth_pct", le
     if autoscale:
         out = fraction_autoscale(out)
     ok = F.col("is_valid")
-    own = to_number(F.col(wall)) if wall else F.lit(None).cast("double")
+    own = number_of(out, wall) if wall else F.lit(None).cast("double")
     out = out.withColumn("wall_mm", F.coalesce(F.when(own > 0, own), F.lit(pipe.wall)))
     d0, l0 = P.with_tolerance(F.col("depth_in"), F.col("length_in"), F.col("wall_mm"), pipe.depth_tolerance, pipe.length_tolerance)
     rate = P.banded_rate(F.col("depth_in"), pipe.rate, pipe.rate_low, pipe.rate_mid, pipe.rate_high)
     out = out.withColumns({"depth_mm": F.when(ok, d0), "length0_mm": F.when(ok, l0), "rate_mm_yr": F.when(ok, rate)})
     diameter, ys = F.lit(pipe.diameter), F.lit(pipe.yield_strength)
 
-    def year(i: Column) -> Column:
-        grown = F.struct((F.col("depth_mm") + F.col("rate_mm_yr") * i).alias("d"), (F.col("length0_mm") + i * pipe.length_rate).alias("n"))
-
-        def one(g: Column) -> Column:
-            pf = P.failure_pressure(g.d, g.n, diameter, F.col("wall_mm"), ys) * P.PSI_PER_KPA
-            return F.struct((i + pipe.start_year).cast("int").alias("year"), pf.alias("pf_psi"), (g.d / F.col("wall_mm") > P.CUTOFF).alias("over_80"))
-
-        return F.get(F.transform(F.array(grown), one), F.lit(0))
-
-    # a lambda over the years keeps the generated code small; 11 unrolled copies don't compile
-    out = out.withColumn("years", F.when(ok, F.transform(F.sequence(F.lit(0), F.lit(YEARS - 1)), year)))
+    # each step is a projection of its own with small expressions, so that all of it stays in generated code
+    span = range(YEARS)
+    factor = {i: f"__m{i if pipe.length_rate else 0}" for i in span}
+    out = out.withColumns({m: P.folias_factor(diameter, F.col("wall_mm"), F.col("length0_mm") + i * pipe.length_rate) for i, m in reversed(factor.items())})
+    depth_at = [F.col("depth_mm") + F.col("rate_mm_yr") * float(i) for i in span]
+    psi = {f"__p{i}": P.failure_pressure(depth_at[i], F.col("length0_mm"), diameter, F.col("wall_mm"), ys, folias=F.col(factor[i])) * P.PSI_PER_KPA for i in span}
+    out = out.withColumns(psi | {f"__o{i}": depth_at[i] / F.col("wall_mm") > P.CUTOFF for i in span})
+    each = F.array(*(F.struct(F.lit(pipe.start_year + i).alias("year"), F.col(f"__p{i}").alias("pf_psi"), F.col(f"__o{i}").alias("over_80")) for i in span))
+    extra = [*set(factor.values()), *psi, *(f"__o{i}" for i in span)]
     to_defect = P.years_to_defect(F.col("depth_mm"), F.col("wall_mm"), F.col("rate_mm_yr"))
     out = out.withColumn("years_to_defect", to_defect).withColumn("defect_date", P.date_of_defect(reference_time(pipe), F.col("years_to_defect")))
     out = out.withColumn("status", F.when(ok, "Active"))
     if pipe.maop_psi is None:
-        return out.withColumns({"failure_mode": F.when(ok, "Leak"), "repair_year": F.lit(None).cast("int"), "repair_label": F.lit(None).cast("string")})
-    limit = pipe.maop_psi * pipe.safety_factor
-    rupture = F.exists("years", lambda y: (y.pf_psi < limit) & ~y.over_80)
-    first = F.get(F.filter("years", lambda y: (y.pf_psi < limit) | y.over_80), F.lit(0)).year
-    out = out.withColumns({"failure_mode": F.when(rupture, "Rupture").when(ok, "Leak"), "repair_year": first})
-    return out.withColumn("repair_label", F.when(ok, F.coalesce(F.col("repair_year").cast("string"), F.lit("Beyond horizon"))))
+        mode, first = F.when(ok, "Leak"), F.lit(None).cast("int")
+    else:
+        limit = pipe.maop_psi * pipe.safety_factor
+        below = [F.col(f"__p{i}") < limit for i in span]
+        rupture = reduce(or_, (below[i] & ~F.col(f"__o{i}") for i in span))
+        first = F.coalesce(*(F.when(below[i] | F.col(f"__o{i}"), pipe.start_year + i) for i in span))
+        mode = F.when(rupture, "Rupture").when(ok, "Leak")
+    out = out.withColumns({"failure_mode": mode, "repair_year": first, "years": F.when(ok, each)}).drop(*extra)
+    label = F.coalesce(F.col("repair_year").cast("string"), F.lit("Beyond horizon"))
+    return out.withColumn("repair_label", F.when(ok & F.lit(pipe.maop_psi is not None), label))
 
 
 def long_years(assessed: DataFrame, *keys: str) -> DataFrame:

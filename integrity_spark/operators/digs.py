@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dash_default, dimensions_match, is_dig_weld, normalize_key, safe_name, split_multivalue, to_number
+from ..functions.scalars import dash_default, dimensions_match, is_dig_weld, normalize_key, safe_name, number_of, split_multivalue
 from .ranges import nearest_value, range_join
 
 SIDE_M, BUFFER_M, WELDS, BIN_M = 30.0, 0.5, 3, 64.0
@@ -47,11 +47,11 @@ def match_by_dimensions(mdl: DataFrame, ili: DataFrame, by: Sequence[str] = ("li
         return F.concat(F.when(value > 0.5, near).otherwise(F.array().cast("array<string>")), F.when(value < 1.5, low).otherwise(F.array().cast("array<string>")))
 
     length, width = F.col("mdl_length"), F.col("mdl_width")
-    asked = mdl.withColumns({"mdl_length": to_number(F.col("length_in")), "mdl_width": to_number(F.col("width_in"))}).where(length.isNotNull() & width.isNotNull())
+    asked = mdl.withColumns({"mdl_length": number_of(mdl, "length_in"), "mdl_width": number_of(mdl, "width_in")}).where(length.isNotNull() & width.isNotNull())
     hypotheses = F.array_distinct(F.flatten(F.array(*(around(F.abs(length) * k) for k in (1.0, 1 / 25.4, 25.4)))))
     asked = asked.withColumn("__b", F.explode(hypotheses))
-    had = ili.withColumn("__b", buckets(F.abs(to_number(F.col("length_mm")))))
-    same = dimensions_match(length, to_number(F.col("length_mm"))) & dimensions_match(width, to_number(F.col("width_mm")))
+    had = ili.withColumn("__b", buckets(F.abs(number_of(ili, "length_mm"))))
+    same = dimensions_match(length, number_of(ili, "length_mm")) & dimensions_match(width, number_of(ili, "width_mm"))
     return asked.join(had, [*keys, "__b"]).where(same).drop("__b")
 
 
@@ -60,7 +60,7 @@ def locate_target_weld(mdl: DataFrame, ili: DataFrame, order: Sequence[str]) ->
     row (by ``order``) counts, and the first numeric chainage wins. Digs reach every run of their line."""
     keys = [c for c in ("gwd_number", "feature_id", "feature_desc", "girth_weld") if c in ili.columns]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("prio"), normalize_key(F.col(c)).alias("key")) for k, c in enumerate(keys))))
-    searched = ili.select(*RUN, to_number(F.col("chainage")).alias("x"), *(F.col(c).alias(f"o_{c}") for c in order), each.alias("s")).select("*", "s.*").drop("s").where("key <> ''")
+    searched = ili.select(*RUN, number_of(ili, "chainage").alias("x"), *(F.col(c).alias(f"o_{c}") for c in order), each.alias("s")).select("*", "s.*").drop("s").where("key <> ''")
     first = mdl.groupBy("dig_id", "line_id").agg(F.min("target_girth_weld").alias("target_girth_weld")).withColumn("key", normalize_key(F.col("target_girth_weld")))
     met = first.join(searched, ["line_id", "key"])
     head = met.groupBy("dig_id", *RUN, "prio").agg(F.min_by(F.struct("x"), F.struct(*(f"o_{c}" for c in order))).alias("h"))
@@ -72,7 +72,7 @@ def locate_target_weld(mdl: DataFrame, ili: DataFrame, order: Sequence[str]) ->
 def weld_window(targets: DataFrame, ili: DataFrame, n: int = WELDS) -> DataFrame:
     """Chainage bounds around each target: n welds on each side of the nearest one (the lower on ties), clamped, with a
     buffer; 30 m on a side without welds; no bounds and chainage 0 where the target wasn't found."""
-    x = to_number(F.col("chainage"))
+    x = number_of(ili, "chainage")
     welds = ili.where(is_dig_weld(F.col("feature_type")) & x.isNotNull()).select(*RUN, x.alias("x"))
     welds = welds.withColumn("idx", F.row_number().over(W.partitionBy(*RUN).orderBy("x")))
     at = nearest_value(targets, welds, RUN, "target_chainage", "x", "near")
@@ -90,7 +90,7 @@ def weld_window(targets: DataFrame, ili: DataFrame, n: int = WELDS) -> DataFrame
 
 def window_rows(windows: DataFrame, ili: DataFrame) -> DataFrame:
     """Inspection rows of each dig's windows; without bounds, all rows of the run, chainage or not."""
-    own = ili.withColumn("x", to_number(F.col("chainage")))
+    own = ili.withColumn("x", number_of(ili, "chainage"))
     inside = range_join(own.where("x IS NOT NULL"), windows.where("target_found"), RUN, "x", "lo", "hi", BIN_M)
     return inside.unionByName(own.join(windows.where("NOT target_found"), list(RUN)))
 
@@ -122,7 +122,7 @@ def dig_feature_table(mdl: DataFrame, ili: DataFrame, row_key: Sequence[str] = (
     rows = window_rows(windows, ili)
     targets = target_features(mdl, rows, row_key)
     joined = rows.join(targets, ["dig_id", *RUN, *row_key], "left").join(digs, "dig_id")
-    shown = {c: F.greatest(to_number(F.col(c)), F.lit(0.0)) for c in ("depth_pct", "length_mm", "width_mm")}
+    shown = {c: F.greatest(number_of(joined, c), F.lit(0.0)) for c in ("depth_pct", "length_mm", "width_mm")}
     return joined.withColumns(shown).withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "distance_m": F.col("x") - F.col("target_chainage")}).drop("x")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clock_to_degrees, clock_to_hours, hours_to_clock, hover_text, is_defect, is_map_weld, to_number
+from ..functions.scalars import clock_to_degrees, clock_to_hours, hours_to_clock, hover_text, is_defect, is_map_weld, number_of, to_number
 
 DEFAULT_HOURS = 6.0
 # Outside diameter (mm) by nominal pipe size.
@@ -31,8 +31,8 @@ def feature_map_anomaly(df: DataFrame) -> DataFrame:
     """Features of a defect listing; rows without a numeric chainage go."""
     number, label = gwd_parts(_col(df, "gwd_number"))
     raw = _col(df, "orientation_raw")
-    zero = {c: F.coalesce(to_number(_col(df, c)), F.lit(0.0)) for c in ("depth_pct", "length_mm", "width_mm")}
-    out = df.withColumn("chainage", to_number(F.col("chainage"))).where("chainage IS NOT NULL")
+    zero = {c: F.coalesce(number_of(df, c) if c in df.columns else F.lit(None).cast("double"), F.lit(0.0)) for c in ("depth_pct", "length_mm", "width_mm")}
+    out = df.withColumn("chainage", number_of(df, "chainage")).where("chainage IS NOT NULL")
     return out.select(
         _col(df, "line_id").alias("line_id"), F.trim(F.coalesce(_col(df, "source"), F.lit(""))).alias("source"), _col(df, "feature_id").alias("feature_id"),
         F.trim(F.coalesce(_col(df, "feature_type"), F.lit(""))).alias("feature_type"), _col(df, "feature_desc").alias("feature_desc"), "chainage",
@@ -63,7 +63,7 @@ def seam_welds(features: DataFrame) -> DataFrame:
 
 def feature_map_tally(df: DataFrame) -> DataFrame:
     """Pipe joints of a tally as features."""
-    us, ds, own = to_number(F.col("us_chainage")), to_number(_col(df, "ds_chainage")), to_number(_col(df, "joint_length_m"))
+    us, ds, own = (number_of(df, c) if c in df.columns else F.lit(None).cast("double") for c in ("us_chainage", "ds_chainage", "joint_length_m"))
     length = F.coalesce(F.abs(ds - us), own)
     number, label = gwd_parts(_col(df, "joint_number"))
     seam = clock_to_hours(_col(df, "seam_raw"))
@@ -141,13 +141,13 @@ def defects_only(features: DataFrame) -> DataFrame:
 def weld_numbers(df: DataFrame) -> DataFrame:
     """Distinct whole girth-weld numbers with a numeric chainage. Reads two columns."""
     number, _ = gwd_parts(F.col("gwd_number"))
-    return df.where(to_number(F.col("chainage")).isNotNull() & number.isNotNull()).select("line_id", number.alias("gwd_number")).distinct()
+    return df.where(number_of(df, "chainage").isNotNull() & number.isNotNull()).select("line_id", number.alias("gwd_number")).distinct()
 
 
 def weld_anchors(df: DataFrame) -> DataFrame:
     """The lowest chainage of each girth-weld number of a line."""
     number, _ = gwd_parts(F.col("gwd_number"))
-    x = to_number(F.col("chainage"))
+    x = number_of(df, "chainage")
     return df.where(x.isNotNull() & number.isNotNull()).groupBy("line_id", number.alias("gwd_number")).agg(F.min(x).alias("chainage"))
 
 

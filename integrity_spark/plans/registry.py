@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.fixtures import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The JVM doesn't compile methods beyond 8000 bytes of bytecode. Wide assessments fuse into larger ones, which then
+#: run interpreted; with this limit Spark generates them in parts instead.
+JIT_LIMIT = "8000"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,7 +21,12 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), name: str | None
 
     def add(f: Query) -> Query:
         key = name or f.__name__
-        QUERIES[key] = f
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = with_views(sql, *views) if views else sql
         return f
