@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAPACITY, END_TOKEN, SALTS = 4096, 1, 64
-#: Words whose ids a task keeps; it starts anew beyond.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps; it starts anew beyond. Characters of text that it takes at once.
+KEPT_WORDS, TEXT_AT_ONCE = 400_000, 2_000_000
+# How the tokenizer marks the end of a word, and punctuation that can be parted from the word before.
+WORD_END, TAIL = "</w>", b".,;:!?"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,36 +41,84 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbered(dict):
+    """Numbers its keys as they come and remembers the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class WordTokenizer:
-    """Ids of whole texts, one lookup for each word. The tokenizer drops white space and no token of it spans two
-    words, so the ids of a text are those of its words in turn; each distinct word is encoded once."""
+    """Ids of whole texts by lookup. The tokenizer drops white space, ignores the case of A-Z and parts letters and
+    digits from punctuation, so the ids of a text are those of its words in turn, and those of a word that ends in plain
+    punctuation are those of its two parts. Each distinct part is encoded once: letters many at a time, where the
+    tokens' own word ends tell the words apart, and all else one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.index, self.ids, self.start = Tokenizer.from_file(path), {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > KEPT_WORDS:
-            self.index, self.ids, self.start = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        index = self.index
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in index))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            index.update(zip(part, range(len(index), len(index) + len(part)), strict=True))
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in got)])
-            self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(x) for x in got])]
-        out = []
-        for ws in words:
-            at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            sizes = self.start[at + 1] - self.start[at]
-            ends = np.cumsum(sizes)
-            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - sizes), sizes)
-            out.append(self.ids[place])
-        return out
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.parts = _Numbered(), _Numbered()
+        self.pair, self.ids, self.start = np.empty((0, 2), np.int64), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.parts[b""]
+
+    def learn(self) -> None:
+        pairs = []
+        for w in self.words.new:
+            core = w.rstrip(TAIL)
+            split = 0 < len(core) < len(w) and core[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalnum()
+            pairs.append((self.parts[core], self.parts[w[len(core) :]]) if split else (self.parts[w], 0))
+        self.words.new = []
+        self.pair = np.concatenate([self.pair, np.array(pairs, np.int64).reshape(-1, 2)])
+        new, self.parts.new = [x.decode() for x in self.parts.new], []
+        plain = [x.isalpha() and x == x.lower() and is_normalized("NFC", x) for x in new]
+        letters = [k for k, ok in enumerate(plain) if ok]
+        flat = np.array(self.tokenizer.encode(" ".join(new[k] for k in letters), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        alone = range(len(new)) if len(cuts) != len(letters) else [k for k, ok in enumerate(plain) if not ok]
+        got = [np.empty(0, np.uint32)] * len(new)
+        if len(cuts) == len(letters):
+            for k, lo, hi in zip(letters, [0, *cuts.tolist()], cuts.tolist(), strict=False):
+                got[k] = flat[lo:hi]
+        for k, e in zip(alone, self.tokenizer.encode_batch([new[k] for k in alone], add_special_tokens=False), strict=True):
+            got[k] = np.array(e.ids, np.uint32)
+        self.ids = np.concatenate([self.ids, *got])
+        self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)]
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        lo = 0
+        while lo < len(texts):
+            hi, room = lo, TEXT_AT_ONCE
+            while hi < len(texts) and (hi == lo or room > 0):
+                room -= len(texts[hi] or "")
+                hi += 1
+            yield from self._encode(texts[lo:hi])
+            lo = hi
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.words) > KEPT_WORDS:
+            self.clear()
+        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        counts = [len(x) for x in split]
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        self.learn()
+        part = self.pair[at].ravel()
+        sizes = self.start[part + 1] - self.start[part]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[part] - (ends - sizes), sizes)]
+        cuts = np.r_[0, ends][2 * np.cumsum(counts)]
+        return np.split(flat, cuts[:-1])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
