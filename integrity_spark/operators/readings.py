@@ -320,7 +320,13 @@ def circuit_to_equipment(readings: DataFrame, source: DataFrame, order: Sequence
     cand = first.select(F.col("circuit_id").alias("other"), "equipment_id", "ord", collapsed(F.col("circuit_id")).alias("onorm"))
     head = 3
     met = left.withColumn("h", F.left("norm", F.lit(head))).join(cand.withColumn("h", F.left("onorm", F.lit(head))), "h").where(F.startswith("norm", "onorm") | F.startswith("onorm", "norm"))
-    short = left.where(F.length("norm") < head).join(cand.where(F.length("onorm") >= 0), F.startswith("onorm", "norm") & (F.length("norm") > 0))
+
+    def starts(name: str) -> Column:
+        """The beginnings shorter than ``head``, to meet keys that are as short."""
+        return F.explode(F.array_distinct(F.array(*(F.left(name, F.lit(k)) for k in range(1, head)))))
+
+    small = lambda name: F.length(name).between(1, head - 1)
+    short = left.where(small("norm")).withColumn("h", F.col("norm")).join(cand.withColumn("h", starts("onorm")), "h").unionByName(left.where(~small("norm")).withColumn("h", starts("norm")).join(cand.where(small("onorm")).withColumn("h", F.col("onorm")), "h"))
     fuzzy = met.select("circuit_id", "equipment_id", "ord").unionByName(short.select("circuit_id", "equipment_id", "ord")).groupBy("circuit_id").agg(F.min_by("equipment_id", "ord").alias("equipment_id"))
     return readings.join(exact.unionByName(fuzzy), "circuit_id", "left").withColumn("equipment_id", F.coalesce("equipment_id", F.lit(NO_EQUIPMENT)))
 

@@ -117,10 +117,10 @@ def test_sequence_and_split(spark):
 
 
 def test_equipment(spark):
-    readings = spark.createDataFrame([("52-021K", "1.01-1"), ("52-021K 1", "1.01-1"), ("99", "1")], "circuit_id string, cml_id string")
+    readings = spark.createDataFrame([("52-021K", "1.01-1"), ("52-021K 1", "1.01-1"), ("99", "1"), ("5", "1")], "circuit_id string, cml_id string")
     source = spark.createDataFrame([(1, "52-021K", "E1", "1.01-1", "G1"), (2, "52-021K", "E2", "1.01-1", "G2")], "row_ord int, circuit_id string, equipment_id string, cml_id string, group_id string")
     got = {r.circuit_id: (r.equipment_id, r.group_id, r.status) for r in R.cml_to_group(R.circuit_to_equipment(readings, source, ["row_ord"]), source, ["row_ord"]).collect()}
-    assert got == {"52-021K": ("E1", "G2", "OK"), "52-021K 1": ("E1", R.NO_GROUP, "missing group"), "99": (R.NO_EQUIPMENT, R.NO_GROUP, "missing equipment and group")}
+    assert got == {"52-021K": ("E1", "G2", "OK"), "52-021K 1": ("E1", R.NO_GROUP, "missing group"), "99": (R.NO_EQUIPMENT, R.NO_GROUP, "missing equipment and group"), "5": ("E1", R.NO_GROUP, "missing group")}
 
 
 def test_workflows(spark):
