@@ -29,8 +29,9 @@ BLANKS = " \t\n\v\f\r"
 CHUNK = 400_000
 
 
-def suffix_ranks(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of the words, documents apart, and for round k each suffix's rank by its first 2**k words."""
+def suffix_ranks(words: np.ndarray, doc: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array of the words, documents apart, and (the last only, unless ``keep``) for round k each suffix's rank
+    by its first 2**k words."""
     n = len(words)
     key = doc.astype(np.int64) << 32 | words.astype(np.int64)
     order = np.argsort(key, kind="stable")
@@ -57,11 +58,11 @@ def suffix_ranks(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[n
         order[slots] = suffixes
         new = np.r_[True, (head[1:] != head[:-1]) | (second[1:] != second[:-1])]
         at = slots[new]
-        rank = rank.copy()
+        rank = rank.copy() if keep else rank
         rank[suffixes] = np.repeat(at, np.diff(np.r_[np.flatnonzero(new), len(new)]))
         first[at] = True
         starts = np.flatnonzero(first)
-        ranks.append(rank)
+        ranks = [*ranks, rank] if keep else [rank]
         width *= 2
 
 

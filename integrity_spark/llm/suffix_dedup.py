@@ -6,14 +6,16 @@ A byte goes if it is covered by a ``LENGTH``-byte string that also starts in a d
 2. Anchors: each LENGTH-byte window has the smallest hash of its GRAM-byte strings as its anchor, so equal windows have
    equal anchors. Shards send their distinct anchors, by hash part, and get back a bit for each: shared or not.
 3. The stretches of windows with a shared anchor are the segments. Equal segments of a shard collapse to the one with
-   the smallest id (a passage that a third of all documents hold is sent once a shard) and go to their hash part.
-4. In each part, the segments of each shard have their Burrows-Wheeler transform (BWT). The transforms are merged by
-   iterative interleave refinement: beginning with the shards one after another, each round re-deals the interleave
-   stably by the two preceding characters and follows the last-to-first map, after which it is sorted by two more
-   characters. No suffix of the union is compared or sorted again. A place where neighbours first differ gives their
-   longest common prefix; runs without such a place up to LENGTH are the repeated intervals, and all their windows but
-   those of the smallest id are marked. Segments whose content is the only one of its anchor need no merge.
-5. Marks go back to the shards, are united to spans, and cut out.
+   the smallest id (a passage that a third of all documents hold is sent once a shard). Shards send anchors and content
+   hashes to the hash parts, which answer for each segment: a copy of one with a smaller id (it goes whole), the only
+   content of its anchor (it stays), or one of several contents.
+4. Only the last kind sends its text. In each part, the segments of each shard have their Burrows-Wheeler transform
+   (BWT). The transforms are merged by iterative interleave refinement: beginning with the shards one after another,
+   each round re-deals the interleave stably by the two preceding characters and follows the last-to-first map, after
+   which it is sorted by two more characters. No suffix of the union is compared or sorted again. A place where
+   neighbours first differ gives their longest common prefix; runs without such a place up to LENGTH are the repeated
+   intervals, and all their windows but those of the smallest id are marked.
+5. Answers and marks go back to the shards, are united to spans, and cut out.
 
 Defined results: null text is empty; texts shorter than LENGTH keep all bytes; rows with one id, and repeats inside one
 document, don't remove each other; a null id removes nothing and loses nothing; extra columns don't pass through.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +39,15 @@ from .repetition import suffix_ranks
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, about (a longer document is a shard of its own); anchors in a hash part, about.
-SHARD_BYTES, PART_ANCHORS = 4_000_000, 400_000
+SHARD_BYTES, PART_ANCHORS = 4_000_000, 120_000
+#: Bytes of text that are hashed at once; bytes of an Arrow batch while this operator runs (a batch has one row at least).
+CHUNK, BATCH_BYTES = 500_000, "12m"
 END = 0xFF  # no byte of UTF-8
+#: Bytes of an anchor that are sent; a chance match merely sends a segment more.
+ANCHOR_BYTES = 6
 SHARD = "shard long, ids binary, known binary, sizes binary, text binary"
-SENT = "shard long, part int, hashes binary, ids binary, sizes binary, text binary"
+SENT = "shard long, follow binary, lo binary, hi binary, parts array<struct<part:int,hashes:binary,contents:binary,ids:binary,starts:binary,sizes:binary>>"
+STAYS, GOES, ASKS = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -59,7 +67,20 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def stretches(b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one document with one anchor: first window, last + 1, anchor, document."""
+    """Runs of windows of one document with one anchor: first window, last + 1, anchor, document. Documents are taken
+    CHUNK bytes at a time, as the hashes need many times the room of the text."""
+    ends, found, first, begin = np.cumsum(sizes), [], 0, 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+        lo, hi, anchor, doc = _stretches(b[begin : ends[last - 1]], sizes[first:last])
+        found.append((lo + begin, hi + begin, anchor, doc + first))
+        first, begin = last, int(ends[last - 1])
+    if not found:
+        return _stretches(b, sizes)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _stretches(b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, np.int64)
     if len(b) < LENGTH:
         return none, none, none.astype(np.uint64), none
@@ -90,14 +111,16 @@ def repeated_windows(text: np.ndarray, sizes: np.ndarray, source: np.ndarray, id
     chars = np.full(n, END, np.uint8)
     chars[body] = text
     words = np.where(body, chars.astype(np.int64) + len(sizes), segment)
-    rows, _ = suffix_ranks(words, source[segment])
+    rows, _ = suffix_ranks(words, source[segment], keep=False)
     before = np.arange(n) - 1
     before[ends - sizes - 1] = ends - 1
+    del words
     place = np.empty(n, np.int64)
     place[rows] = np.arange(n)
     bwt, to_first = chars[before[rows]], place[before[rows]]
     two = bwt[to_first].astype(np.uint16) << np.uint16(8) | bwt
     back = to_first[to_first].astype(np.int32)
+    del before, place, bwt, to_first, chars
     order, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for _ in range(LENGTH // 2):
         c = two[order]
@@ -147,9 +170,13 @@ def shards_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if rows:
             yield full()
 
-    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(gather, SHARD)
-    spark, name = docs.sparkSession, f"llm_shards_{uuid.uuid4().hex}"
-    made.write.bucketBy(2 * tasks(spark), "shard").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return bucketed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(gather, SHARD))
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    """Written in the shared folder in buckets by shard, so that joins by shard leave it where it is."""
+    spark, name = df.sparkSession, f"llm_shards_{uuid.uuid4().hex}"
+    df.write.bucketBy(2 * tasks(spark), "shard").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -174,22 +201,29 @@ def shared_anchors(shards: DataFrame, parts: int) -> DataFrame:
             for shard, sizes, text in zip(batch.shard, batch.sizes, batch.text, strict=True):
                 found = np.unique(stretches(_numbers(text, np.uint8), _numbers(sizes))[2])
                 part = part_of(found, parts)
-                yield pd.DataFrame([(int(p), shard, found[part == p].tobytes()) for p in np.unique(part)], columns=["part", "shard", "hashes"])
+                low = found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
+                yield pd.DataFrame([(int(p), shard, low[part == p].tobytes()) for p in np.unique(part)], columns=["part", "shard", "hashes"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _grouped(batches, "part"):
-            own = [_numbers(h, np.uint64) for h in g.hashes]
-            values, counts = np.unique(np.concatenate(own), return_counts=True)
-            shared = values[counts > 1]
-            yield pd.DataFrame({"shard": g.shard, "part": g.part, "bits": [np.packbits(np.isin(h, shared)).tobytes() for h in own]})
+            per = [len(h) // ANCHOR_BYTES for h in g.hashes]
+            wide = np.zeros((sum(per), 8), np.uint8)
+            wide[:, :ANCHOR_BYTES] = np.frombuffer(b"".join(g.hashes), np.uint8).reshape(-1, ANCHOR_BYTES)
+            values = wide.view("<u8").ravel()
+            by = np.argsort(values)
+            same = values[by[1:]] == values[by[:-1]]
+            shared = np.zeros(len(values), bool)
+            shared[by[1:][same]] = True
+            shared[by[:-1][same]] = True
+            yield pd.DataFrame({"shard": g.shard, "part": g.part, "bits": [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(per)[:-1])]})
 
     sent = shards.select("shard", "sizes", "text").mapInPandas(send, "part int, shard long, hashes binary")
     return sent.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, bits binary")
 
 
 def segments(shards: DataFrame, bits: DataFrame, parts: int) -> DataFrame:
-    """The segments that each shard sends to each part; and at part -1, where its stretches are and which of the sent
-    segments (or none: decided in the shard) each follows."""
+    """For each shard: its stretches, which of its segments (in order of parts) each follows, or -1 where a smaller id of
+    the shard has decided it, and the segments by part."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,55 +250,72 @@ def segments(shards: DataFrame, bits: DataFrame, parts: int) -> DataFrame:
                 number = np.empty(len(classes), np.int64)
                 number[by] = np.arange(len(classes))
                 decided = own[use] > smallest[follow]
-                listed = list(classes)
-                rows = [(row["shard"], -1, np.where(decided, -1, number[follow]).tobytes(), lo[use].tobytes(), hi[use].tobytes(), b"")]
+                anchors = np.fromiter((a for a, _ in classes), np.uint64, len(classes))
+                contents = np.fromiter((xxhash.xxh3_64_intdigest(t) for _, t in classes), np.uint64, len(classes))
+                lengths = np.fromiter((len(t) for _, t in classes), np.int64, len(classes))
+                starts = np.empty(len(classes), np.int64)
+                starts[follow] = lo[use]
+                rows = []
                 for p in np.unique(where):
                     at = by[where[by] == p]
-                    rows.append((row["shard"], int(p), np.array([listed[k][0] for k in at], np.uint64).tobytes(), smallest[at].tobytes(), np.array([len(listed[k][1]) for k in at], np.int64).tobytes(), b"".join(listed[k][1] for k in at)))
-                yield pd.DataFrame(rows, columns=["shard", "part", "hashes", "ids", "sizes", "text"])
+                    rows.append({"part": int(p), "hashes": anchors[at].tobytes(), "contents": contents[at].tobytes(), "ids": smallest[at].tobytes(), "starts": starts[at].tobytes(), "sizes": lengths[at].tobytes()})
+                yield pd.DataFrame([(row["shard"], np.where(decided, -1, number[follow]).tobytes(), lo[use].tobytes(), hi[use].tobytes(), rows)], columns=["shard", "follow", "lo", "hi", "parts"])
 
     back = bits.groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("bits"))
-    return written(shards.join(back.hint("merge"), "shard", "left").mapInPandas(send, SENT), "segments")
+    return bucketed(shards.join(back.hint("merge"), "shard", "left").mapInPandas(send, SENT))
+
 
+def answers(sent: DataFrame) -> DataFrame:
+    """For each shard, by part, a code for each of its segments."""
 
-def marks(sent: DataFrame) -> DataFrame:
-    """For each shard and part, packed bits over the windows of its sent segments: to be removed."""
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _grouped(batches, "part"):
+            per = [len(x) // 8 for x in g.ids]
+            hashes, contents, ids = (np.frombuffer(b"".join(g[c]), kind) for c, kind in (("hashes", np.uint64), ("contents", np.uint64), ("ids", np.int64)))
+            by = np.lexsort((ids, contents, hashes))
+            h, c = hashes[by], contents[by]
+            new_h = np.r_[True, h[1:] != h[:-1]]
+            new = new_h | np.r_[True, c[1:] != c[:-1]]
+            start, anchor = np.flatnonzero(new), np.cumsum(new_h) - 1
+            least = np.repeat(ids[by][start], np.diff(np.r_[start, len(by)]))
+            several = (np.bincount(anchor, weights=new) > 1)[anchor]
+            code = np.empty(len(by), np.uint8)
+            code[by] = np.where(ids[by] > least, GOES, np.where(several, ASKS, STAYS))
+            yield pd.DataFrame({"shard": g.shard, "part": g.part, "codes": [x.tobytes() for x in np.split(code, np.cumsum(per)[:-1])]})
+
+    each = sent.select("shard", F.explode("parts").alias("p")).select("p.part", "shard", "p.hashes", "p.contents", "p.ids")
+    made = each.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, codes binary")
+    return written(made.groupBy("shard").agg(F.collect_list(F.struct("part", "codes")).alias("codes")), "answers")
+
+
+def marks(shards: DataFrame, sent: DataFrame, codes: DataFrame) -> DataFrame:
+    """For each shard, by part, packed bits over the windows of the segments that ask: to be removed."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                of, raw, rows = {c["part"]: _numbers(c["codes"], np.uint8) for c in row["codes"]}, _numbers(row["text"], np.uint8), []
+                for p in row["parts"]:
+                    want = of[p["part"]] == ASKS
+                    if want.any():
+                        size = _numbers(p["sizes"])[want]
+                        rows.append((p["part"], row["shard"], _numbers(p["ids"])[want].tobytes(), size.tobytes(), _spread(raw, _numbers(p["starts"])[want], size).tobytes()))
+                yield pd.DataFrame(rows, columns=["part", "shard", "ids", "sizes", "text"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _grouped(batches, "part"):
-            sizes = [_numbers(x) for x in g.sizes]
-            per = np.array([len(x) for x in sizes])
-            hashes, ids, size = np.concatenate([_numbers(x, np.uint64) for x in g.hashes]), np.concatenate([_numbers(x) for x in g.ids]), np.concatenate(sizes)
-            whole = b"".join(g.text)
-            start = np.cumsum(size) - size
-            classes: dict = {}
-            same = np.fromiter((classes.setdefault((a, whole[s : s + z]), len(classes)) for a, s, z in zip(hashes.tolist(), start.tolist(), size.tolist(), strict=True)), np.int64, len(size))
-            least = np.full(len(classes), np.iinfo(np.int64).max)
-            np.minimum.at(least, same, ids)
-            _, lead = np.unique(np.where(ids == least[same], same, len(classes) + np.arange(len(same))), return_index=True)
-            lead = lead[ids[lead] == least[same[lead]]]  # one segment of the smallest id for each content
-            _, group, contents = np.unique(hashes[lead], return_inverse=True, return_counts=True)
-            lead = lead[contents[group] > 1]
-            windows = size - LENGTH + 1
-            first = np.cumsum(windows) - windows
-            of_class = {}
-            if len(lead):
-                source = np.repeat(np.arange(len(per)), per)
-                lead = lead[np.argsort(source[lead], kind="stable")]
-                found = repeated_windows(_spread(np.frombuffer(whole, np.uint8), start[lead], size[lead]), size[lead], source[lead], ids[lead])
-                ends = np.cumsum(windows[lead])
-                of_class = {int(same[k]): found[e - windows[k] : e] for k, e in zip(lead, ends, strict=True)}
-            out = np.repeat(ids > least[same], windows)
-            for k in np.flatnonzero((ids == least[same]) & np.isin(same, list(of_class))):
-                out[first[k] : first[k] + windows[k]] = of_class[int(same[k])]
-            total = np.r_[0, np.cumsum(windows)]
-            ends = np.r_[0, np.cumsum(per)]
-            yield pd.DataFrame({"shard": g.shard.to_numpy(), "part": g.part.to_numpy(), "bits": [np.packbits(out[total[a] : total[b]]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], "n": [int(total[b] - total[a]) for a, b in zip(ends[:-1], ends[1:], strict=True)]})
-
-    return sent.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, bits binary, n long")
-
-
-def cut(shards: DataFrame, sent: DataFrame, found: DataFrame, id_col: str, with_text: bool) -> DataFrame:
+            per = [len(x) // 8 for x in g.sizes]
+            ids, size = np.frombuffer(b"".join(g.ids), np.int64), np.frombuffer(b"".join(g.sizes), np.int64)
+            found = repeated_windows(np.frombuffer(b"".join(g.text), np.uint8), size, np.repeat(np.arange(len(per)), per), ids)
+            ends = np.r_[0, np.cumsum(size - LENGTH + 1)][np.cumsum(per)]
+            yield pd.DataFrame({"shard": g.shard.to_numpy(), "part": g.part.to_numpy(), "bits": [np.packbits(x).tobytes() for x in np.split(found, ends[:-1])], "n": np.diff(np.r_[0, ends])})
+
+    asked = shards.select("shard", "text").join(sent.select("shard", "parts").hint("merge"), "shard").join(codes.hint("merge"), "shard").mapInPandas(ask, "part int, shard long, ids binary, sizes binary, text binary")
+    found = asked.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, bits binary, n long")
+    return written(found.groupBy("shard").agg(F.collect_list(F.struct("part", "bits", "n")).alias("marks")), "marks")
+
+
+def cut(shards: DataFrame, sent: DataFrame, codes: DataFrame, found: DataFrame, id_col: str, with_text: bool) -> DataFrame:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -272,14 +323,17 @@ def cut(shards: DataFrame, sent: DataFrame, found: DataFrame, id_col: str, with_
                 follow, lo, hi = _numbers(row["follow"]), _numbers(row["lo"]), _numbers(row["hi"])
                 got = [np.unpackbits(_numbers(b["bits"], np.uint8))[: b["n"]] for b in sorted(row["marks"] if row["marks"] is not None else [], key=lambda b: b["part"])]
                 bits = np.concatenate([*got, np.empty(0, np.uint8)]).astype(bool)
-                windows, sent_windows = hi - lo, np.zeros(int(follow.max(initial=-1)) + 1, np.int64)
-                sent_windows[follow[follow >= 0]] = windows[follow >= 0]
-                first = np.cumsum(sent_windows) - sent_windows
+                code = np.concatenate([*(_numbers(c["codes"], np.uint8) for c in sorted(row["codes"] if row["codes"] is not None else [], key=lambda c: c["part"])), np.empty(0, np.uint8)])
+                windows, mine = hi - lo, follow >= 0
+                asked_windows = np.zeros(len(code), np.int64)
+                asked_windows[follow[mine]] = windows[mine]
+                asked_windows[code != ASKS] = 0
+                first = np.cumsum(asked_windows) - asked_windows
+                own = np.full(len(follow), GOES)
+                own[mine] = code[follow[mine]]
                 at = np.repeat(lo - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-                gone = np.ones(len(at), bool)
-                held = np.repeat(follow >= 0, windows)
-                mine = follow >= 0
-                gone[held] = bits[_spread(np.arange(len(bits)), first[follow[mine]], windows[mine])]
+                gone, ask = np.repeat(own == GOES, windows), own == ASKS
+                gone[np.repeat(ask, windows)] = _spread(bits, first[follow[ask]], windows[ask])
                 step = np.zeros(len(text) + 1, np.int64)
                 np.add.at(step, at[gone], 1)
                 np.add.at(step, at[gone] + LENGTH, -1)
@@ -293,16 +347,21 @@ def cut(shards: DataFrame, sent: DataFrame, found: DataFrame, id_col: str, with_
                     begin += n
                 yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text).astype({"id": "Int64"})
 
-    where = sent.where("part = -1").select("shard", F.col("hashes").alias("follow"), F.col("ids").alias("lo"), F.col("sizes").alias("hi"))
-    back = found.groupBy("shard").agg(F.collect_list(F.struct("part", "bits", "n")).alias("marks"))
-    met = shards.join(where.hint("merge"), "shard").join(back.hint("merge"), "shard", "left")
+    met = shards.join(sent.select("shard", "follow", "lo", "hi").hint("merge"), "shard").join(codes.hint("merge"), "shard", "left").join(found.hint("merge"), "shard", "left")
     return met.mapInPandas(apply, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).withColumnRenamed("id", id_col)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each document: bytes, bytes removed, removed runs, hash of what is kept, and the kept bytes if
     wanted (a cut can fall inside a character, so they are binary)."""
-    parts = max(tasks(docs.sparkSession), text_bytes(docs, text_col) // 16 // PART_ANCHORS)
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    parts = max(tasks(spark), text_bytes(docs, text_col) // 16 // PART_ANCHORS)
     shards = shards_of(docs, id_col, text_col)
-    sent = segments(shards, shared_anchors(shards, parts), parts)
-    return cut(shards, sent, written(marks(sent), "marks"), id_col, with_text)
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        sent = segments(shards, shared_anchors(shards, parts), parts)
+        codes = answers(sent)
+        return written(cut(shards, sent, codes, marks(shards, sent, codes), id_col, with_text), "deduplicated")
+    finally:
+        spark.conf.set(key, before)
