@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from integrity_spark.llm import minhash, mixing, packing, repetition, secrets
 from integrity_spark.llm.common import read_table, written
 
+#: Least similarity of near-duplicates in percent, of sets of five-word shingles.
+NEAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -24,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates stays."""
-    found = written(minhash.near_duplicates(docs.select("doc_id", "text")), "kept")
+    found = written(minhash.near_duplicates(docs.select("doc_id", "text"), threshold=NEAR), "kept")
     gone = found.where("NOT kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -14,6 +14,7 @@ shingle; equal rows share a class; a null doc_id stays alone with a null compone
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from .components import connected_components
 
 WORDS, THRESHOLD = 5, 85
 BANDS, ROWS, MINIMA, BITS = 25, 5, 384, 4
-#: Candidates whose estimate is lower are dropped: nearly 4 standard errors (0.0194) under the threshold.
-ESTIMATE = 0.775
+#: Candidates estimated so many standard errors under the threshold are dropped; the largest share of pairs at the
+#: threshold that may have no band in common.
+ERRORS, MISSED = 4, 1e-4
 #: Members of a block of a band bucket, about; partners of the first round.
 BLOCK, NEAREST = 1024, 3
 SIGNATURE = "n_shingles long, set_a long, set_b long, lanes array<long>, bands array<long>"
@@ -128,7 +130,19 @@ def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - differ / MINIMA - c) / (1 - c)
 
 
-def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, lanes: np.ndarray, band: np.ndarray, bands: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+def least_estimate(threshold: int) -> float:
+    """The estimate from which a candidate is confirmed: ERRORS standard errors under the threshold in percent."""
+    c, s = 2.0**-BITS, threshold / 100
+    m = s + (1 - s) * c
+    return s - ERRORS * math.sqrt(m * (1 - m) / MINIMA) / (1 - c)
+
+
+def missed(threshold: int) -> float:
+    """The share of pairs at the threshold that have no band in common."""
+    return (1 - (threshold / 100) ** ROWS) ** BANDS
+
+
+def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, lanes: np.ndarray, band: np.ndarray, bands: np.ndarray, nearest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one run of whole groups: all rows of a group stand together. side: bits of the blocks a row
     belongs to; a group of two blocks pairs only across them. A pair that shares several bands is taken in the first of
     them only."""
@@ -141,7 +155,7 @@ def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarr
             break
         at = live[(comp[live] != comp[live + shift]) & ((side[live] | side[live + shift]) == 3)]
         est = estimates(lanes[at], lanes[at + shift])
-        good = est >= ESTIMATE
+        good = est >= least
         same = bands[at[good]] == bands[at[good] + shift]
         good[good] = bands[at[good], same.argmax(axis=1)] == band[at[good]]
         left.append(at[good])
@@ -163,9 +177,9 @@ def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(members: DataFrame, nearest: int) -> DataFrame:
+def candidates(members: DataFrame, nearest: int, least: float) -> DataFrame:
     """Distinct pairs (a < b) of bucket members ``(band, copies, id, comp, lanes, bands)`` in different components that are
-    similar enough by their bits; with ``nearest``, only the nearest few of each member in each block."""
+    estimated at ``least`` or more by their bits; with ``nearest``, only the nearest few of each member in each block."""
     blocks = F.ceil(F.col("copies") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = (
@@ -177,7 +191,7 @@ def candidates(members: DataFrame, nearest: int) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(part: pd.DataFrame) -> pd.DataFrame:
             group = part.groupby(["band", "bi", "bj"], sort=False).ngroup().to_numpy()
-            a, b = _pairs(group, part.side.to_numpy(), part.id.to_numpy(), part.comp.to_numpy(), np.stack(part.lanes.to_numpy()).view(np.uint64), part.band.to_numpy(), np.stack(part.bands.to_numpy()), nearest)
+            a, b = _pairs(group, part.side.to_numpy(), part.id.to_numpy(), part.comp.to_numpy(), np.stack(part.lanes.to_numpy()).view(np.uint64), part.band.to_numpy(), np.stack(part.bands.to_numpy()), nearest, least)
             return pd.DataFrame({"a": a, "b": b})
 
         rest = None
@@ -221,7 +235,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept``."""
+    """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept``. Thresholds (in
+    percent) at which the bands would miss too many pairs are refused."""
+    if missed(threshold) > MISSED:
+        raise ValueError(f"{BANDS} bands of {ROWS} miss {missed(threshold):.1e} of the pairs at {threshold} %")
+    least = least_estimate(threshold)
     signed = written(signatures(docs, id_col, text_col), "signatures")
     sets = ["set_a", "set_b", "n_shingles"]
     classes = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by(F.struct("lanes", "bands"), "id").alias("s")).select(*sets, "rep", "s.*"), "classes")
@@ -233,11 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lanes = classes.select(F.col("rep").alias("id"), "lanes", "bands")
     rows = members.join(lanes.hint("merge"), "id")
 
-    first = written(candidates(rows.withColumn("comp", F.col("id")), NEAREST), "pairs")
+    first = written(candidates(rows.withColumn("comp", F.col("id")), NEAREST, least), "pairs")
     links = written(confirmed(first, texts, threshold), "links")
     comps = written(connected_components(links), "components")
     joined = rows.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    second = candidates(joined, 0).join(first.hint("merge"), ["a", "b"], "left_anti")
+    second = candidates(joined, 0, least).join(first.hint("merge"), ["a", "b"], "left_anti")
     more = written(confirmed(second, texts, threshold), "links")
     if more.head(1):
         comps = connected_components(links.union(more))
