@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Documents fall into cells of source, language and topic. Starting from each cell's share of all tokens, the weights
-are raked in turn to the source, language and topic marginals until these hold, and ratios to the start are trimmed to
-``trim`` after each round, as survey calibration does. A document's probability is its cell's ratio over the largest
+are raked in turn to the source, language and topic marginals until these hold. Ratios to the start are trimmed after
+each round only where the caller gives ``trim``, as survey calibration does; the marginals then may not hold. Marginals
+that no weights on the given cells can meet (a language that only one source has, with another target) leave a gap:
+given targets raise an error, default ones a warning; the column ``gap`` states what is left. A document's probability is its cell's ratio over the largest
 one, so token shares of the sample meet the raked weights in expectation; a hash of the id decides, the same
 way on every run. Only the small cell table is iterated; it joins back by broadcast behind a check of its size.
 
@@ -14,6 +16,9 @@ extra columns pass through.
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +33,10 @@ TOPICS = {
 }
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets default to each value's share of tokens to this power, made to sum to one.
-FLATTEN, TRIM, TOLERANCE, ROUNDS, BATCH = 0.95, (0.8, 1.25), 1e-6, 30, 5
+FLATTEN = 0.95
+#: Raking goes on until all marginals hold to TOLERANCE. It is given up after ROUNDS, or where BATCH rounds leave more
+#: than STALLED of the gap.
+TOLERANCE, ROUNDS, BATCH, STALLED = 1e-6, 500, 5, 0.999
 #: Largest cell table that is broadcast; a larger one is joined by sort-merge.
 BROADCAST_CELLS = 100_000
 SEED = "mix-1"
@@ -53,9 +61,9 @@ def cell(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("\0null"))
 
 
-def raked(feats: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, trim: tuple[float, float] = TRIM, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """A row for each cell: its keys ``k_*``, ``start`` and raked ``weight`` (shares of all tokens), ``ratio`` and
-    ``probability``. ``targets``: for a dimension, a table of ``value`` and ``weight``; other values get weight 0."""
+def raked(feats: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, trim: tuple[float, float] | None = None, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """A row for each cell: its keys ``k_*``, ``start`` and raked ``weight`` (shares of all tokens), ``ratio``,
+    ``probability`` and the largest ``gap`` of a marginal to its target. ``targets``: for a dimension, a table of ``value`` and ``weight``; other values get weight 0."""
     keys = [f"k_{d}" for d in dimensions]
     cells = written(feats.groupBy(*(cell(d).alias(k) for d, k in zip(dimensions, keys, strict=True))).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -68,22 +76,28 @@ def raked(feats: DataFrame, targets: dict[str, DataFrame] | None = None, flatten
         norm = given.join(cells.select(k).distinct(), k, "left_semi").agg(F.sum("t")).first()[0] or 1.0
         now = now.join(given.withColumn("t", F.col("t") / norm).withColumnRenamed("t", f"t_{d}").hint("merge"), k, "left").fillna(0.0, [f"t_{d}"])
     now = written(now, "raking")
-    for done in range(0, ROUNDS, BATCH):
-        for _ in range(min(BATCH, ROUNDS - done)):
+    gap = math.inf
+    for _ in range(0, ROUNDS, BATCH):
+        for _ in range(BATCH):
             for d, k in zip(dimensions, keys, strict=True):
                 held = F.sum("weight").over(W.partitionBy(k))
                 now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"t_{d}"), held), F.lit(0.0)))
-            bounded = F.least(F.greatest(F.col("weight"), F.col("start") * trim[0]), F.col("start") * trim[1])
-            now = now.withColumn("before", F.col("weight")).withColumn("weight", bounded)
+            if trim is not None:
+                now = now.withColumn("weight", F.least(F.greatest(F.col("weight"), F.col("start") * trim[0]), F.col("start") * trim[1]))
         now = written(now, "raking")
         off = [F.max(F.abs(F.col(f"h_{d}") - F.col(f"t_{d}"))) for d in dimensions]
-        gap = now.select("*", *(F.sum("weight").over(W.partitionBy(k)).alias(f"h_{d}") for d, k in zip(dimensions, keys, strict=True))).agg(F.greatest(*off) if len(off) > 1 else off[0]).first()[0]
-        if gap is None or gap <= TOLERANCE:
+        last, gap = gap, now.select("*", *(F.sum("weight").over(W.partitionBy(k)).alias(f"h_{d}") for d, k in zip(dimensions, keys, strict=True))).agg(F.greatest(*off) if len(off) > 1 else off[0]).first()[0]
+        gap = gap or 0.0
+        if gap <= TOLERANCE or gap > STALLED * last:
             break
+    if total and trim is None and gap > TOLERANCE:
+        if targets:
+            raise ValueError(f"no weights found that meet the targets: a marginal is off by {gap:.2e}")
+        warnings.warn(f"a marginal of the mix is off its default target by {gap:.2e}", stacklevel=2)
     ratio = F.when(F.col("start") > 0, F.col("weight") / F.col("start")).otherwise(1.0)
     out = now.withColumn("ratio", ratio)
     most = out.where("start > 0").agg(F.max("ratio")).first()[0] or 1.0
-    return out.select(*keys, "tokens", "documents", "start", "weight", "ratio", F.least(F.col("ratio") / most, F.lit(1.0)).alias("probability"))
+    return out.select(*keys, "tokens", "documents", "start", "weight", "ratio", F.least(F.col("ratio") / most, F.lit(1.0)).alias("probability"), F.lit(gap).alias("gap"))
 
 
 def drawn(id_col: Column, seed: str = SEED) -> Column:
