@@ -123,7 +123,7 @@ def dig_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seam_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seam hours by weld and source out of the tally: the program is a line."""
     t = view(spark, sf_dir, "pipe_tally")
-    return t.where("joint_number % 4 = 0").select(F.col("line_id").alias("program_id"), F.col("joint_number").alias("gwd"), S.clock_to_hours(F.col("seam_raw")).alias("hours"))
+    return t.select(F.col("line_id").alias("program_id"), F.col("joint_number").alias("gwd"), S.clock_to_hours(F.col("seam_raw")).alias("hours"))
 
 
 _MATRIX = "SELECT line_id AS program_id, joint_number AS gwd, cast(split_part(seam_raw, ':', 1) AS double) + cast(split_part(seam_raw, ':', 2) AS double) / 60.0e0 AS hours FROM pipe_tally WHERE joint_number % 4 = 0"
@@ -131,8 +131,9 @@ _MATRIX = "SELECT line_id AS program_id, joint_number AS gwd, cast(split_part(se
 
 @query(f"SELECT g.line_id AS program_id, g.gwd, round(m.hours, 6) AS seam_hours FROM (SELECT DISTINCT line_id, gwd_number AS gwd FROM ili_features WHERE feature_type = 'Girth Weld') g LEFT JOIN ({_MATRIX}) m ON m.program_id = g.line_id AND abs(m.gwd - g.gwd) <= 15 QUALIFY row_number() OVER (PARTITION BY g.line_id, g.gwd ORDER BY abs(m.gwd - g.gwd), m.gwd) = 1", ("ili_features", "pipe_tally"))
 def seam_for_weld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seams of the joints that this query's SQL names, every fourth one."""
     g = view(spark, sf_dir, "ili_features").where("feature_type = 'Girth Weld'").select(F.col("line_id").alias("program_id"), F.col("gwd_number").alias("gwd")).distinct()
-    return J.seam_for_weld(g, seam_matrix(spark, sf_dir), ("program_id",)).select("program_id", "gwd", F.round("seam_hours", 6).alias("seam_hours"))
+    return J.seam_for_weld(g, seam_matrix(spark, sf_dir).where("gwd % 4 = 0"), ("program_id",)).select("program_id", "gwd", F.round("seam_hours", 6).alias("seam_hours"))
 
 
 @query("SELECT f.line_id, f.chainage, round(t.h, 6) AS seam_hours FROM (SELECT DISTINCT line_id, chainage FROM ili_features WHERE feature_type = 'Girth Weld') f LEFT JOIN (SELECT line_id, us_chainage AS x, min(cast(split_part(seam_raw, ':', 1) AS double) + cast(split_part(seam_raw, ':', 2) AS double) / 60.0e0) AS h FROM pipe_tally GROUP BY line_id, us_chainage) t ON t.line_id = f.line_id AND abs(t.x - f.chainage) < 2 QUALIFY row_number() OVER (PARTITION BY f.line_id, f.chainage ORDER BY abs(t.x - f.chainage), t.x) = 1", ("ili_features", "pipe_tally"))
