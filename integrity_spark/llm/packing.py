@@ -8,15 +8,18 @@ they go to; pieces get their rank within their length in two levels (salted, the
 length that a third of all pieces have is shared by many tasks, and meet the plan in a broadcast join whose size
 depends on the capacity alone.
 
-Defined results: a null or blank text is the end token alone; repeated rows are packed each; pieces of null id too;
+Defined results: a null or blank text is the end token alone; an added token of the tokenizer
+that stands in a text is that token, as in ``encode(text, add_special_tokens=False)``; repeated rows are packed each; pieces of null id too;
 an empty table gives an empty plan; extra columns of the input don't pass through.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from os.path import commonprefix
 from unicodedata import is_normalized
 
 import numpy as np
@@ -57,13 +60,18 @@ class WordTokenizer:
     """Ids of whole texts by lookup. The tokenizer drops white space, ignores the case of A-Z and parts letters and
     digits from punctuation, so the ids of a text are those of its words in turn, and those of a word that ends in plain
     punctuation are those of its two parts. Each distinct part is encoded once: letters many at a time, where the
-    tokens' own word ends tell the words apart, and all else one by one."""
+    tokens' own word ends tell the words apart, and all else one by one. The tokenizer's added tokens are cut out of
+    the text as written, before all else, and have one id each; ``encode_special_tokens`` makes plain text of them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # A blank ahead keeps them apart from all words.
+        self.added = {} if encode_special_tokens else {b" " + t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added_start = commonprefix([x[1:] for x in self.added])
+        self.cut = re.compile(b"(" + b"|".join(re.escape(x[1:]) for x in sorted(self.added, key=len, reverse=True)) + b")")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.clear()
@@ -82,12 +90,14 @@ class WordTokenizer:
         self.words.new = []
         self.pair = np.concatenate([self.pair, np.array(pairs, np.int64).reshape(-1, 2)])
         new, self.parts.new = [x.decode() for x in self.parts.new], []
+        added = [self.added.get(x.encode()) for x in new]
         plain = [x.isalpha() and x == x.lower() and is_normalized("NFC", x) for x in new]
         letters = [k for k, ok in enumerate(plain) if ok]
         flat = np.array(self.tokenizer.encode(" ".join(new[k] for k in letters), add_special_tokens=False).ids, np.uint32)
         cuts = np.flatnonzero(self.ends[flat]) + 1
         alone = range(len(new)) if len(cuts) != len(letters) else [k for k, ok in enumerate(plain) if not ok]
-        got = [np.empty(0, np.uint32)] * len(new)
+        alone = [k for k in alone if added[k] is None]
+        got = [np.empty(0, np.uint32) if i is None else np.array([i], np.uint32) for i in added]
         if len(cuts) == len(letters):
             for k, lo, hi in zip(letters, [0, *cuts.tolist()], cuts.tolist(), strict=False):
                 got[k] = flat[lo:hi]
@@ -106,10 +116,20 @@ class WordTokenizer:
             yield from self._encode(texts[lo:hi])
             lo = hi
 
+    def split(self, text: str | None) -> list[bytes]:
+        """Words, and the added tokens with a blank ahead."""
+        raw = (text or "").encode("utf-8", "replace")
+        if not self.added or self.added_start not in raw:
+            return raw.lower().split()
+        out: list[bytes] = []
+        for k, part in enumerate(self.cut.split(raw)):
+            out += [b" " + part] if k % 2 else part.lower().split()
+        return out
+
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.words) > KEPT_WORDS:
             self.clear()
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        split = [self.split(t) for t in texts]
         counts = [len(x) for x in split]
         at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
         self.learn()
@@ -127,7 +147,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def _tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker, so that its words outlive a task."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path, encode_special_tokens=False)
     return _tokenizers[path]
 
 
