@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +15,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. It is set to a temporary folder only where the session has none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share. Without it, the session's
+    warehouse serves, which every Spark application has."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/llm"
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, tag: str, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, gives the planner true
-    sizes, and survives the loss of executors. ``by``: columns by which the files are laid out."""
+    sizes, and survives the loss of executors. ``by``: columns by which the files are laid out. The folder belongs to
+    whoever runs the cluster and is cleared with its checkpoints."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
     (df.repartition(*by) if by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, tag: str, key: str) -> Iterator[DataFrame]:
+    """``df`` written in the shared folder in buckets by ``key``, so that joins by it leave it where it is. Its name is in
+    the catalog only inside the ``with``."""
+    spark, name = df.sparkSession, f"llm_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(2 * tasks(spark), key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows; sizes shards and partitions, never results."""
     return df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()[0]

@@ -2,29 +2,34 @@
 
 A byte goes if it is covered by a ``LENGTH``-byte string that also starts in a document with a smaller id.
 
-1. Documents are gathered in shards of a few MB, written in buckets, so that later joins move no text.
+1. Documents are dealt by ranges of (hash of their first characters, id), so that copies, exact or near, mostly meet in
+   one shard while a text that a third of all rows hold is still spread; they are gathered in shards of a few MB, written
+   in buckets, so that later joins move no text.
 2. Anchors: each LENGTH-byte window has the smallest hash of its GRAM-byte strings as its anchor, so equal windows have
-   equal anchors. Shards send their distinct anchors, by hash part, and get back a bit for each: shared or not.
-3. The stretches of windows with a shared anchor are the segments. Equal segments of a shard collapse to the one with
-   the smallest id (a passage that a third of all documents hold is sent once a shard). Shards send anchors and content
-   hashes to the hash parts, which answer for each segment: a copy of one with a smaller id (it goes whole), the only
-   content of its anchor (it stays), or one of several contents.
-4. Only the last kind sends its text. In each part, the segments of each shard have their Burrows-Wheeler transform
-   (BWT). The transforms are merged by iterative interleave refinement: beginning with the shards one after another,
-   each round re-deals the interleave stably by the two preceding characters and follows the last-to-first map, after
-   which it is sorted by two more characters. No suffix of the union is compared or sorted again. A place where
-   neighbours first differ gives their longest common prefix; runs without such a place up to LENGTH are the repeated
-   intervals, and all their windows but those of the smallest id are marked.
-5. Answers and marks go back to the shards, are united to spans, and cut out.
+   equal anchors. Shards send their distinct anchors, by hash part, and get back a code for each: whether another shard
+   has it, and among how many sub-parts the windows of a very common one are dealt. Anchors only thin the candidates.
+3. The stretches of windows with one anchor are the segments. Segments of a shard with equal bytes collapse to the one
+   with the smallest id. The shard sorts the suffixes of the rest, which gives their Burrows-Wheeler transform (BWT) and,
+   where ranks of neighbours agree over LENGTH bytes, the repeated intervals inside the shard. Segments that a smaller
+   id holds whole go no further; those whose anchor another shard has are sent as BWTs, one for each hash part.
+4. In each part the BWTs of the shards are merged by iterative interleave refinement: each round re-deals the interleave
+   stably by the two preceding characters and follows the last-to-first map, after which it is sorted by two more
+   characters. No suffix of the union is compared or sorted again. Rows that stand alone in their block have their common
+   prefix with both neighbours and need no more rounds; blocks left after LENGTH characters are the repeated intervals,
+   and all their windows but those of the smallest id are marked.
+5. A part is merged as a tree: FAN_IN shards at a time, then the transforms that are left of FAN_IN such groups, and
+   so on. A segment that is marked whole drops out (a transform without it is the same transform less its rows), so a
+   passage that all shards hold is passed on once a group, and no task holds more than FAN_IN shards' shares of a part.
+6. The marks go back to the shards, are united to spans, and cut out.
 
 Defined results: null text is empty; texts shorter than LENGTH keep all bytes; rows with one id, and repeats inside one
-document, don't remove each other; a null id removes nothing and loses nothing; extra columns don't pass through.
+document, don't remove each other; a null id removes nothing and loses nothing; a very long text is a shard of its own,
+hashed and sorted in pieces; an empty table gives no rows; extra columns, whatever their names, don't pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +39,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tasks, text_bytes, written
-from .repetition import suffix_ranks
+from .common import bucketed, tasks, text_bytes, written
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a shard, about (a longer document is a shard of its own); anchors in a hash part, about.
-SHARD_BYTES, PART_ANCHORS = 4_000_000, 120_000
-#: Bytes of text that are hashed at once; bytes of an Arrow batch while this operator runs (a batch has one row at least).
-CHUNK, BATCH_BYTES = 500_000, "12m"
-END = 0xFF  # no byte of UTF-8
+#: Bytes of text in a shard, about (a longer document is a shard of its own); bytes of text in a hash part, about.
+SHARD_BYTES, PART_BYTES = 3_000_000, 4_000_000
+#: Windows that are hashed at once; windows of a segment at most; bytes of segments that a shard sorts at once, about.
+CHUNK, WIDEST, SORTED = 400_000, 64, 1_500_000
+#: Shards that a task merges; shards with one anchor from which on its windows are dealt to sub-parts.
+FAN_IN, HOT = 48, 4096
+#: Characters by which copies find their shard; they decide nothing.
+PREFIX = 32
 #: Bytes of an anchor that are sent; a chance match merely sends a segment more.
-ANCHOR_BYTES = 6
+ANCHOR_BYTES = 5
 SHARD = "shard long, ids binary, known binary, sizes binary, text binary"
-SENT = "shard long, follow binary, lo binary, hi binary, parts array<struct<part:int,hashes:binary,contents:binary,ids:binary,starts:binary,sizes:binary>>"
-STAYS, GOES, ASKS = 0, 1, 2
+SENT = "shard long, follow binary, lo binary, width binary, runs binary, parts array<struct<part:long,bwt:binary,first:binary,ids:binary>>"
+MERGED = "part long, shard long, bwt binary, first binary, ids binary, runs binary"
 _BASE = 0x9E3779B97F4A7C15
+_MOST = np.iinfo(np.int64).max
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -67,77 +75,157 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def stretches(b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one document with one anchor: first window, last + 1, anchor, document. Documents are taken
-    CHUNK bytes at a time, as the hashes need many times the room of the text."""
-    ends, found, first, begin = np.cumsum(sizes), [], 0, 0
-    while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
-        lo, hi, anchor, doc = _stretches(b[begin : ends[last - 1]], sizes[first:last])
-        found.append((lo + begin, hi + begin, anchor, doc + first))
-        first, begin = last, int(ends[last - 1])
+    """Runs of at most WIDEST windows of one document with one anchor: first window, last + 1, anchor, document. CHUNK
+    windows are hashed at a time, as the hashes need many times the room of the text."""
+    ends, doc = np.cumsum(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    found = []
+    for begin in range(0, max(0, len(b) - LENGTH + 1), CHUNK):
+        m, width, span = gram_hashes(b[begin : begin + CHUNK + LENGTH - 1]), 1, LENGTH - GRAM + 1
+        while 2 * width <= span:
+            m = np.minimum(m[:-width], m[width:])
+            width *= 2
+        m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
+        d = doc[begin : begin + len(m)]
+        inside = np.arange(begin + LENGTH, begin + LENGTH + len(m)) <= ends[d]
+        change = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
+        lo = np.flatnonzero(np.r_[True, change | ~inside[:-1]] & inside)
+        hi = np.flatnonzero(np.r_[change | ~inside[1:], True] & inside) + 1
+        found.append((lo + begin, hi + begin, m[lo], d[lo]))
     if not found:
-        return _stretches(b, sizes)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        none = np.empty(0, np.int64)
+        return none, none, none.astype(np.uint64), none
+    lo, hi, anchor, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _parted(lo, hi, np.full(len(lo), WIDEST), anchor, owner)
 
 
-def _stretches(b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    none = np.empty(0, np.int64)
-    if len(b) < LENGTH:
-        return none, none, none.astype(np.uint64), none
-    m, width, span = gram_hashes(b), 1, LENGTH - GRAM + 1
-    while 2 * width <= span:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
-    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(m)]
-    inside = np.arange(len(m)) + LENGTH <= np.cumsum(sizes)[doc]
-    first = np.r_[True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]] & inside
-    last = np.r_[(m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~inside[1:], True] & inside
-    at = np.flatnonzero(first)
-    return at, np.flatnonzero(last) + 1, m[at], doc[at]
+def _parted(lo: np.ndarray, hi: np.ndarray, most: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs cut to pieces of ``most`` windows each."""
+    n = -(-(hi - lo) // most)
+    if (n == 1).all():
+        return lo, hi, *rest
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(lo, n) + nth * np.repeat(most, n)
+    return start, np.minimum(start + np.repeat(most, n), np.repeat(hi, n)), *(np.repeat(x, n) for x in rest)
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    return ((hashes >> np.uint64(8 * ANCHOR_BYTES)) % np.uint64(parts)).astype(np.int64)
+
 
+def runs_of(at: np.ndarray) -> bytes:
+    """Sorted distinct numbers as runs (first, last + 1)."""
+    if not len(at):
+        return b""
+    new = np.flatnonzero(np.diff(at) != 1)
+    return np.c_[at[np.r_[0, new + 1]], at[np.r_[new, len(at) - 1]] + 1].astype(np.int64).tobytes()
 
-def repeated_windows(text: np.ndarray, sizes: np.ndarray, source: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For segments of several sources, whether each window (sizes - LENGTH + 1 of each segment, in order) also is in a
-    segment with a smaller id: by merging the sources' BWTs."""
-    n, ends = len(text) + len(sizes), np.cumsum(sizes + 1)
-    segment = np.repeat(np.arange(len(sizes)), sizes + 1)
+
+def sorted_suffixes(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For segments with an end mark each, 0 under all characters: the characters + 1, the order of all suffixes (of equal
+    ones, by segment), and ranks by which any two windows agree on 32 bytes."""
+    k, n = len(sizes), len(text) + len(sizes)
+    ends = np.cumsum(sizes + 1)
+    segment = np.repeat(np.arange(k, dtype=np.int32), sizes + 1)
+    chars = np.zeros(n + 8, np.uint8)
     body = np.ones(n, bool)
     body[ends - 1] = False
-    chars = np.full(n, END, np.uint8)
-    chars[body] = text
-    words = np.where(body, chars.astype(np.int64) + len(sizes), segment)
-    rows, _ = suffix_ranks(words, source[segment], keep=False)
-    before = np.arange(n) - 1
-    before[ends - sizes - 1] = ends - 1
-    del words
-    place = np.empty(n, np.int64)
-    place[rows] = np.arange(n)
-    bwt, to_first = chars[before[rows]], place[before[rows]]
+    chars[:n][body] = text + 1
+    left = np.repeat(ends, sizes + 1) - np.arange(n)
+    key = chars.astype(np.uint64)
+    for w in (1, 2, 4):
+        key = key[:-w] << np.uint64(8 * w) | key[w:]
+    key = key[:n]
+    short = np.flatnonzero(left < 8)
+    key[short] &= ~((np.uint64(1) << (8 * (8 - left[short])).astype(np.uint64)) - np.uint64(1))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    del key
+    starts = np.flatnonzero(first)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.repeat(starts, np.diff(np.r_[starts, n]))
+    width, at_32 = 8, None
+    while True:
+        if width == 32:
+            at_32 = rank.copy()
+        single = np.r_[first[1:], True] & first
+        slots = np.flatnonzero(~single)
+        if not len(slots):
+            return chars[:n], order, rank if at_32 is None else at_32
+        s = order[slots]
+        second = np.where(left[s] > width, rank[np.minimum(s + width, n - 1)] + np.int64(k), segment[s])
+        by = np.argsort(rank[s].astype(np.int64) << 32 | second)
+        s, second = s[by], second[by]
+        order[slots] = s
+        new = first[slots] | np.r_[True, second[1:] != second[:-1]]
+        at = slots[new]
+        first[at] = True
+        rank[s] = np.repeat(at, np.diff(np.r_[np.flatnonzero(new), len(new)]))
+        width *= 2
+
+
+def own_transform(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's segments: the characters before the sorted suffixes, the segment of each of these, and whether each
+    window (in order of the segments) also is in a segment with a smaller id."""
+    chars, order, rank = sorted_suffixes(text, sizes)
+    n, ends = len(order), np.cumsum(sizes + 1)
+    segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    window = np.repeat(ends, sizes + 1) - np.arange(n) > LENGTH
+    rows = order[window[order]]
+    marked = np.zeros(n, bool)
+    if len(rows):
+        a, b = rank[rows], rank[rows + LENGTH - 32]
+        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        own = ids[segment[rows]]
+        marked[rows] = own > np.repeat(np.minimum.reduceat(own, start), np.diff(np.r_[start, len(rows)]))
+    before = chars[order - 1]
+    before[np.isin(order, ends - sizes - 1)] = 0
+    return before, segment[order], marked[window]
+
+
+def merged(bwts: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The transforms of several sources, and for their segments in turn the number of the first window and the id:
+    numbers of the windows that also are in a segment with a smaller id, the segment of each, each source's rows of
+    segments that aren't marked whole, and these segments."""
+    counts = [int((b == 0).sum()) for b in bwts]
+    bwt, base = np.concatenate(bwts), np.cumsum([0, *map(len, bwts)])
+    to_first = np.empty(len(bwt), np.int32)
+    for b, lo in zip(bwts, base, strict=False):
+        to_first[lo + np.argsort(b, kind="stable")] = np.arange(lo, lo + len(b), dtype=np.int32)
+    # Where each row stands: its segment and how far from the end, by following the map from the end marks.
+    segment, far = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    row, own, size = np.concatenate([np.arange(lo, lo + c) for lo, c in zip(base, counts, strict=False)]), np.arange(sum(counts)), np.empty(sum(counts), np.int64)
+    step = 0
+    while len(row):
+        segment[row], far[row] = own, step
+        more = bwt[row] != 0
+        size[own[~more]] = step
+        row, own = to_first[row[more]], own[more]
+        step += 1
     two = bwt[to_first].astype(np.uint16) << np.uint16(8) | bwt
-    back = to_first[to_first].astype(np.int32)
-    del before, place, bwt, to_first, chars
-    order, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    two[(bwt == 0) | (two < 256)] = 0
+    back = to_first[to_first]
+    live, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
     for _ in range(LENGTH // 2):
-        c = two[order]
+        c = two[live]
+        fine = np.flatnonzero(c)
+        c = c[fine]
         by = np.argsort(c, kind="stable")
-        c, block = c[by], block[by]
-        new = np.r_[False, (c[1:] != c[:-1]) | (block[1:] != block[:-1])]
-        order, block = back[order[by]], np.cumsum(new, dtype=np.int32)
-    inner = np.arange(n) - np.repeat(ends - sizes - 1, sizes + 1)
-    window = inner + LENGTH <= np.repeat(sizes, sizes + 1)
-    at = rows[order]
-    own = ids[segment[at]]
-    own[~window[at]] = np.iinfo(np.int64).max
-    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.r_[start, n]))
-    marked = np.zeros(n, bool)
-    marked[at] = own > least
-    return marked[window]
+        c, fine = c[by], fine[by]
+        b = block[fine]
+        new = np.ones(len(c) + 1, bool)
+        new[1:-1] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+        alone = new[:-1] & new[1:]
+        live, block = back[live[fine[~alone]]], np.cumsum(new[:-1], dtype=np.int32)[~alone]
+    marked = np.empty(0, np.int64)
+    if len(live):
+        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        least = np.repeat(np.minimum.reduceat(ids[segment[live]], start), np.diff(np.r_[start, len(live)]))
+        marked = live[ids[segment[live]] > least]
+    whole = np.bincount(segment[marked], minlength=len(size)) == size - LENGTH + 1
+    kept = ~whole[segment]
+    rows = [b[kept[lo : lo + len(b)]] for b, lo in zip(bwts, base, strict=False)]
+    return first[segment[marked]] + size[segment[marked]] - far[marked], segment[marked], rows, ~whole
 
 
 def _numbers(raw: bytes, kind: type = np.int64) -> np.ndarray:
@@ -150,43 +238,39 @@ def _spread(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return text[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
-def shards_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def shards_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, rows, size = TaskContext.get().partitionId() << 32, [], 0
+        number, ids, known, texts, room = TaskContext.get().partitionId() << 32, [], [], [], SHARD_BYTES
 
         def full() -> pd.DataFrame:
-            ids = np.array([0 if pd.isna(i) else int(i) for i, _ in rows], np.int64)
-            known = np.array([not pd.isna(i) for i, _ in rows], np.uint8)
-            sizes = np.array([len(t) for _, t in rows], np.int64)
-            return pd.DataFrame([(number, ids.tobytes(), known.tobytes(), sizes.tobytes(), b"".join(t for _, t in rows))], columns=["shard", "ids", "known", "sizes", "text"])
+            row = (number, np.array(ids, np.int64).tobytes(), np.array(known, np.uint8).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(texts))
+            return pd.DataFrame([row], columns=["shard", "ids", "known", "sizes", "text"])
 
         for batch in batches:
-            for key, text in zip(batch.id, batch.text, strict=True):
-                rows.append((key, text or b""))
-                size += len(rows[-1][1])
-                if size >= SHARD_BYTES:
+            for key, ok, text in zip(batch.id, batch.known, batch.text, strict=True):
+                ids.append(key)
+                known.append(ok)
+                texts.append(bytes(text))
+                room -= len(text)
+                if room <= 0:
                     yield full()
-                    number, rows, size = number + 1, [], 0
-        if rows:
+                    number, ids, known, texts, room = number + 1, [], [], [], SHARD_BYTES
+        if ids:
             yield full()
 
-    return bucketed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(gather, SHARD))
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNotNull().alias("known"), text.cast("binary").alias("text"), F.xxhash64(F.left(text, F.lit(PREFIX))).alias("near"))
+    near = rows.repartitionByRange(max(tasks(docs.sparkSession), size // (4 * SHARD_BYTES)), "near", "id").sortWithinPartitions("near", "id")
+    return bucketed(near.select("id", "known", "text").mapInPandas(gather, SHARD), "shards", "shard")
 
 
-def bucketed(df: DataFrame) -> DataFrame:
-    """Written in the shared folder in buckets by shard, so that joins by shard leave it where it is."""
-    spark, name = df.sparkSession, f"llm_shards_{uuid.uuid4().hex}"
-    df.write.bucketBy(2 * tasks(spark), "shard").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
-def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that are sorted by ``key``."""
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that are sorted by ``keys``."""
     rest = None
     for batch in batches:
         both = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = both[key] == both[key].iloc[-1]
-        for _, g in both[~last].groupby(key, sort=False):
+        last = (both[keys] == both[keys].iloc[-1]).all(axis=1)
+        for _, g in both[~last].groupby(keys, sort=False):
             yield g
         rest = both[last]
     if rest is not None and len(rest):
@@ -194,174 +278,177 @@ def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame
 
 
 def shared_anchors(shards: DataFrame, parts: int) -> DataFrame:
-    """For each shard and part, packed bits over the shard's sorted distinct anchors: in another shard too."""
+    """For each shard and part, a byte for each of the shard's sorted distinct anchors: 0 if no other shard has it, else 1
+    and the power of two of sub-parts for its windows."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, sizes, text in zip(batch.shard, batch.sizes, batch.text, strict=True):
                 found = np.unique(stretches(_numbers(text, np.uint8), _numbers(sizes))[2])
                 part = part_of(found, parts)
-                low = found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
-                yield pd.DataFrame([(int(p), shard, low[part == p].tobytes()) for p in np.unique(part)], columns=["part", "shard", "hashes"])
+                by = np.argsort(part, kind="stable")
+                low = found[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
+                own, at = np.unique(part[by], return_index=True)
+                yield pd.DataFrame({"part": own, "shard": shard, "hashes": [x.tobytes() for x in np.split(low, at[1:])][: len(own)]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _grouped(batches, "part"):
+        for g in _grouped(batches, ["part"]):
             per = [len(h) // ANCHOR_BYTES for h in g.hashes]
             wide = np.zeros((sum(per), 8), np.uint8)
             wide[:, :ANCHOR_BYTES] = np.frombuffer(b"".join(g.hashes), np.uint8).reshape(-1, ANCHOR_BYTES)
-            values = wide.view("<u8").ravel()
-            by = np.argsort(values)
-            same = values[by[1:]] == values[by[:-1]]
-            shared = np.zeros(len(values), bool)
-            shared[by[1:][same]] = True
-            shared[by[:-1][same]] = True
-            yield pd.DataFrame({"shard": g.shard, "part": g.part, "bits": [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(per)[:-1])]})
-
-    sent = shards.select("shard", "sizes", "text").mapInPandas(send, "part int, shard long, hashes binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, bits binary")
-
+            by = np.argsort(values := wide.view("<u8").ravel())
+            start = np.flatnonzero(np.r_[True, values[by[1:]] != values[by[:-1]]])
+            n = np.diff(np.r_[start, len(values)])
+            code = np.empty(len(values), np.uint8)
+            code[by] = np.repeat(np.where(n > 1, 1 + np.ceil(np.log2(np.maximum(n / HOT, 1))), 0).astype(np.uint8), n)
+            yield pd.DataFrame({"shard": g.shard, "part": g.part, "codes": [x.tobytes() for x in np.split(code, np.cumsum(per)[:-1])]})
 
-def segments(shards: DataFrame, bits: DataFrame, parts: int) -> DataFrame:
-    """For each shard: its stretches, which of its segments (in order of parts) each follows, or -1 where a smaller id of
-    the shard has decided it, and the segments by part."""
+    sent = shards.select("shard", "sizes", "text").mapInPandas(send, "part long, shard long, hashes binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part long, codes binary")
+
+
+def segments(shards: DataFrame, codes: DataFrame, parts: int) -> DataFrame:
+    """For each shard: its stretches that matter, the class of equal segments that each belongs to (-1: a smaller id of the
+    shard holds it), the runs of windows of the classes (numbered in order) that the shard itself marks, and by part the
+    transforms of classes that other shards may hold."""
+
+    def sent(row: dict) -> tuple:
+        raw, sizes, ids, known = row["text"], _numbers(row["sizes"]), _numbers(row["ids"]), _numbers(row["known"], np.uint8)
+        text = _numbers(raw, np.uint8)
+        lo, hi, anchor, doc = stretches(text, sizes)
+        found, inverse = np.unique(anchor, return_inverse=True)
+        part, code = part_of(found, parts), np.zeros(len(found), np.uint8)
+        by = np.argsort(part, kind="stable")
+        begin = np.searchsorted(part[by], np.arange(parts + 1))
+        for b in row["codes"] if row["codes"] is not None else []:
+            code[by[begin[b["part"]] : begin[b["part"] + 1]]] = _numbers(b["codes"], np.uint8)
+        own, least, most = ids[doc], np.full(len(found), _MOST), np.full(len(found), -_MOST - 1)
+        np.minimum.at(least, inverse, own)
+        np.maximum.at(most, inverse, own)
+        use = np.flatnonzero(((code > 0) | (least < most))[inverse] & known[doc].astype(bool))
+        lo, hi, at, own = _parted(lo[use], hi[use], np.where(code[inverse[use]] > 1, 1, WIDEST), inverse[use], own[use])
+        classes: dict[bytes, int] = {}
+        follow = np.fromiter((classes.setdefault(raw[s:e], len(classes)) for s, e in zip(lo.tolist(), (hi + LENGTH - 1).tolist(), strict=True)), np.int64, len(lo))
+        n = len(classes)
+        smallest, start, width, of = np.full(n, _MOST), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+        np.minimum.at(smallest, follow, own)
+        start[follow], width[follow], of[follow] = lo, hi - lo, at
+        several = np.bincount(of, minlength=len(found)) > 1
+        where, first = part[of], np.cumsum(width) - width
+        for k in np.flatnonzero(code[of] > 1):
+            where[k] += parts * (1 + xxhash.xxh3_64_intdigest(raw[start[k] : start[k] + LENGTH]) % (1 << int(code[of[k]] - 1)))
+        sort = np.flatnonzero((code[of] > 0) | several[of])
+        sort = sort[np.argsort(where[sort], kind="stable")]
+        fill = np.cumsum(width[sort] + LENGTH)
+        new = np.r_[True, where[sort][1:] != where[sort][:-1]] if len(sort) else np.empty(0, bool)
+        batch = (np.maximum.accumulate(np.where(new, fill, 0)) // SORTED).astype(np.int64)
+        runs, rows = [], []
+        for own_batch in np.split(sort, np.flatnonzero(np.diff(batch)) + 1) if len(sort) else []:
+            size = width[own_batch] + LENGTH - 1
+            before, segment, marked = own_transform(_spread(text, start[own_batch], size), size, smallest[own_batch])
+            ends = np.cumsum(width[own_batch])
+            number = np.repeat(first[own_batch] - (ends - width[own_batch]), width[own_batch]) + np.arange(len(marked))
+            runs.append(number[marked])
+            whole = np.add.reduceat(marked, ends - width[own_batch]) == width[own_batch]
+            goes = (code[of[own_batch]] > 0) & ~whole
+            by_part = np.flatnonzero(goes[segment])
+            by_part = by_part[np.argsort(where[own_batch][segment[by_part]], kind="stable")]
+            own_part = where[own_batch][segment[by_part]]
+            cuts = np.flatnonzero(np.diff(own_part)) + 1
+            kept = own_batch[goes]
+            kept_cuts = np.flatnonzero(np.diff(where[kept])) + 1
+            for p, b, c in zip(own_part[np.r_[0, cuts]] if len(own_part) else [], np.split(before[by_part], cuts), np.split(kept, kept_cuts), strict=len(own_part) > 0):
+                rows.append({"part": int(p), "bwt": b.tobytes(), "first": first[c].tobytes(), "ids": smallest[c].tobytes()})
+        run = runs_of(np.sort(np.concatenate([*runs, np.empty(0, np.int64)])))
+        return (row["shard"], np.where(own > smallest[follow], -1, follow).astype(np.int32).tobytes(), lo.tobytes(), (hi - lo).astype(np.uint8).tobytes(), run, rows)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                text, sizes, ids, known = _numbers(row["text"], np.uint8), _numbers(row["sizes"]), _numbers(row["ids"]), _numbers(row["known"], np.uint8)
-                lo, hi, anchor, doc = stretches(text, sizes)
-                found, inverse = np.unique(anchor, return_inverse=True)
-                part = part_of(found, parts)
-                shared = np.zeros(len(found), bool)
-                for b in row["bits"] if row["bits"] is not None else []:
-                    at = np.flatnonzero(part == b["part"])
-                    shared[at] = np.unpackbits(_numbers(b["bits"], np.uint8))[: len(at)].astype(bool)
-                own, least, most = ids[doc], np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
-                np.minimum.at(least, inverse, own)
-                np.maximum.at(most, inverse, own)
-                use = np.flatnonzero((shared | (least < most))[inverse] & known[doc].astype(bool))
-                raw, classes, follow = row["text"], {}, np.empty(len(use), np.int64)
-                for k, (s, e, a) in enumerate(zip(lo[use].tolist(), hi[use].tolist(), anchor[use].tolist(), strict=True)):
-                    follow[k] = classes.setdefault((a, raw[s : e + LENGTH - 1]), len(classes))
-                smallest = np.full(len(classes), np.iinfo(np.int64).max)
-                np.minimum.at(smallest, follow, own[use])
-                where = part_of(np.fromiter((a for a, _ in classes), np.uint64, len(classes)), parts)
-                by = np.argsort(where, kind="stable")
-                number = np.empty(len(classes), np.int64)
-                number[by] = np.arange(len(classes))
-                decided = own[use] > smallest[follow]
-                anchors = np.fromiter((a for a, _ in classes), np.uint64, len(classes))
-                contents = np.fromiter((xxhash.xxh3_64_intdigest(t) for _, t in classes), np.uint64, len(classes))
-                lengths = np.fromiter((len(t) for _, t in classes), np.int64, len(classes))
-                starts = np.empty(len(classes), np.int64)
-                starts[follow] = lo[use]
-                rows = []
-                for p in np.unique(where):
-                    at = by[where[by] == p]
-                    rows.append({"part": int(p), "hashes": anchors[at].tobytes(), "contents": contents[at].tobytes(), "ids": smallest[at].tobytes(), "starts": starts[at].tobytes(), "sizes": lengths[at].tobytes()})
-                yield pd.DataFrame([(row["shard"], np.where(decided, -1, number[follow]).tobytes(), lo[use].tobytes(), hi[use].tobytes(), rows)], columns=["shard", "follow", "lo", "hi", "parts"])
-
-    back = bits.groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("bits"))
-    return bucketed(shards.join(back.hint("merge"), "shard", "left").mapInPandas(send, SENT))
-
-
-def answers(sent: DataFrame) -> DataFrame:
-    """For each shard, by part, a code for each of its segments."""
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _grouped(batches, "part"):
-            per = [len(x) // 8 for x in g.ids]
-            hashes, contents, ids = (np.frombuffer(b"".join(g[c]), kind) for c, kind in (("hashes", np.uint64), ("contents", np.uint64), ("ids", np.int64)))
-            by = np.lexsort((ids, contents, hashes))
-            h, c = hashes[by], contents[by]
-            new_h = np.r_[True, h[1:] != h[:-1]]
-            new = new_h | np.r_[True, c[1:] != c[:-1]]
-            start, anchor = np.flatnonzero(new), np.cumsum(new_h) - 1
-            least = np.repeat(ids[by][start], np.diff(np.r_[start, len(by)]))
-            several = (np.bincount(anchor, weights=new) > 1)[anchor]
-            code = np.empty(len(by), np.uint8)
-            code[by] = np.where(ids[by] > least, GOES, np.where(several, ASKS, STAYS))
-            yield pd.DataFrame({"shard": g.shard, "part": g.part, "codes": [x.tobytes() for x in np.split(code, np.cumsum(per)[:-1])]})
+                yield pd.DataFrame([sent(row)], columns=["shard", "follow", "lo", "width", "runs", "parts"])
 
-    each = sent.select("shard", F.explode("parts").alias("p")).select("p.part", "shard", "p.hashes", "p.contents", "p.ids")
-    made = each.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, codes binary")
-    return written(made.groupBy("shard").agg(F.collect_list(F.struct("part", "codes")).alias("codes")), "answers")
+    back = codes.groupBy("shard").agg(F.collect_list(F.struct("part", "codes")).alias("codes"))
+    return bucketed(shards.join(back.hint("merge"), "shard", "left").mapInPandas(send, SENT), "segments", "shard")
 
 
-def marks(shards: DataFrame, sent: DataFrame, codes: DataFrame) -> DataFrame:
-    """For each shard, by part, packed bits over the windows of the segments that ask: to be removed."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                of, raw, rows = {c["part"]: _numbers(c["codes"], np.uint8) for c in row["codes"]}, _numbers(row["text"], np.uint8), []
-                for p in row["parts"]:
-                    want = of[p["part"]] == ASKS
-                    if want.any():
-                        size = _numbers(p["sizes"])[want]
-                        rows.append((p["part"], row["shard"], _numbers(p["ids"])[want].tobytes(), size.tobytes(), _spread(raw, _numbers(p["starts"])[want], size).tobytes()))
-                yield pd.DataFrame(rows, columns=["part", "shard", "ids", "sizes", "text"])
+def marks(sent: DataFrame, shards: int) -> DataFrame:
+    """For each shard, the runs of windows of its classes that a smaller id of another shard holds."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _grouped(batches, "part"):
-            per = [len(x) // 8 for x in g.sizes]
-            ids, size = np.frombuffer(b"".join(g.ids), np.int64), np.frombuffer(b"".join(g.sizes), np.int64)
-            found = repeated_windows(np.frombuffer(b"".join(g.text), np.uint8), size, np.repeat(np.arange(len(per)), per), ids)
-            ends = np.r_[0, np.cumsum(size - LENGTH + 1)][np.cumsum(per)]
-            yield pd.DataFrame({"shard": g.shard.to_numpy(), "part": g.part.to_numpy(), "bits": [np.packbits(x).tobytes() for x in np.split(found, ends[:-1])], "n": np.diff(np.r_[0, ends])})
-
-    asked = shards.select("shard", "text").join(sent.select("shard", "parts").hint("merge"), "shard").join(codes.hint("merge"), "shard").mapInPandas(ask, "part int, shard long, ids binary, sizes binary, text binary")
-    found = asked.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part int, bits binary, n long")
-    return written(found.groupBy("shard").agg(F.collect_list(F.struct("part", "bits", "n")).alias("marks")), "marks")
-
-
-def cut(shards: DataFrame, sent: DataFrame, codes: DataFrame, found: DataFrame, id_col: str, with_text: bool) -> DataFrame:
+        for g in _grouped(batches, ["part", "node"]):
+            if len(g) == 1:
+                yield g[["part", "shard", "bwt", "first", "ids"]].assign(runs=None)
+                continue
+            per = np.array([len(x) // 8 for x in g.ids])
+            number, segment, rows, kept = merged([_numbers(b, np.uint8) for b in g.bwt], first := _numbers(b"".join(g["first"])), ids := _numbers(b"".join(g.ids)))
+            source = np.repeat(np.arange(len(per)), per)
+            by = np.lexsort((number, source[segment]))
+            cuts = np.searchsorted(source[segment][by], np.arange(1, len(per)))
+            runs = [runs_of(x) for x in np.split(number[by], cuts)]
+            lasting = np.bincount(source[kept], minlength=len(per))
+            cut = np.cumsum(lasting)[:-1]
+            out = pd.DataFrame({"part": g.part.to_numpy(), "shard": g.shard.to_numpy(), "bwt": [x.tobytes() for x in rows], "first": [x.tobytes() for x in np.split(first[kept], cut)], "ids": [x.tobytes() for x in np.split(ids[kept], cut)], "runs": runs})
+            yield out[(lasting > 0) | (out.runs != b"")]
+
+    rows = sent.select("shard", F.explode("parts").alias("p")).select("p.part", "shard", "p.bwt", "p.first", "p.ids")
+    nodes, found = max(1, -(-shards // FAN_IN)), []
+    node = F.pmod(F.xxhash64("shard"), F.lit(nodes))
+    while True:
+        dealt = rows.withColumn("node", node).repartition("part", "node").sortWithinPartitions("part", "node")
+        done = written(dealt.mapInPandas(meet, MERGED), "merged")
+        found.append(done.where("length(runs) > 0").select("shard", "runs"))
+        if nodes == 1:
+            break
+        rows, nodes, node = done.where("length(bwt) > 0").select("part", "shard", "bwt", "first", "ids"), -(-nodes // FAN_IN), F.floor(node / FAN_IN)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return written(every.groupBy("shard").agg(F.collect_list("runs").alias("more")), "marks")
+
+
+def cut(shards: DataFrame, sent: DataFrame, found: DataFrame, id_col: str, with_text: bool) -> DataFrame:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                text, sizes, ids, known = row["text"], _numbers(row["sizes"]), _numbers(row["ids"]), _numbers(row["known"], np.uint8)
-                follow, lo, hi = _numbers(row["follow"]), _numbers(row["lo"]), _numbers(row["hi"])
-                got = [np.unpackbits(_numbers(b["bits"], np.uint8))[: b["n"]] for b in sorted(row["marks"] if row["marks"] is not None else [], key=lambda b: b["part"])]
-                bits = np.concatenate([*got, np.empty(0, np.uint8)]).astype(bool)
-                code = np.concatenate([*(_numbers(c["codes"], np.uint8) for c in sorted(row["codes"] if row["codes"] is not None else [], key=lambda c: c["part"])), np.empty(0, np.uint8)])
-                windows, mine = hi - lo, follow >= 0
-                asked_windows = np.zeros(len(code), np.int64)
-                asked_windows[follow[mine]] = windows[mine]
-                asked_windows[code != ASKS] = 0
-                first = np.cumsum(asked_windows) - asked_windows
-                own = np.full(len(follow), GOES)
-                own[mine] = code[follow[mine]]
-                at = np.repeat(lo - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-                gone, ask = np.repeat(own == GOES, windows), own == ASKS
-                gone[np.repeat(ask, windows)] = _spread(bits, first[follow[ask]], windows[ask])
-                step = np.zeros(len(text) + 1, np.int64)
-                np.add.at(step, at[gone], 1)
-                np.add.at(step, at[gone] + LENGTH, -1)
-                removed = np.cumsum(step[:-1]) > 0
-                raw, begin = np.frombuffer(text, np.uint8), 0
-                out = []
-                for key, ok, n in zip(ids.tolist(), known.tolist(), sizes.tolist(), strict=True):
-                    r, own = removed[begin : begin + n], raw[begin : begin + n]
-                    kept = own[~r].tobytes()
-                    out.append((key if ok else None, n, int(r.sum()), int((r & ~np.r_[False, r[:-1]]).sum()) if n else 0, hashlib.sha256(kept).hexdigest()) + ((kept,) if with_text else ()))
+                text, sizes, ids, known = _numbers(row["text"], np.uint8), _numbers(row["sizes"]), _numbers(row["ids"]), _numbers(row["known"], np.uint8).astype(bool)
+                follow, lo, width = _numbers(row["follow"], np.int32), _numbers(row["lo"]), _numbers(row["width"], np.uint8).astype(np.int64)
+                mine = follow >= 0
+                windows = np.zeros(follow.max(initial=-1) + 1, np.int64)
+                windows[follow[mine]] = width[mine]
+                first = np.r_[0, np.cumsum(windows)]
+                step = np.zeros(first[-1] + 1, np.int64)
+                for run in [row["runs"], *(row["more"] if row["more"] is not None else [])]:
+                    r = _numbers(run).reshape(-1, 2)
+                    step += np.bincount(r[:, 0], minlength=len(step)) - np.bincount(r[:, 1], minlength=len(step))
+                marked = np.cumsum(step[:-1]) > 0
+                n_marked = np.r_[0, np.cumsum(marked)]
+                share = n_marked[first[1:]] - n_marked[first[:-1]]
+                whole, some = ~mine, np.zeros(len(mine), bool)
+                whole[mine] = share[follow[mine]] == width[mine]
+                some[mine] = share[follow[mine]] > 0
+                some &= ~whole
+                at = np.repeat(lo[some] - (np.cumsum(width[some]) - width[some]), width[some]) + np.arange(width[some].sum())
+                at = at[_spread(marked, first[follow[some]], width[some])]
+                step = np.bincount(np.r_[lo[whole], at], minlength=len(text) + 1) - np.bincount(np.r_[(lo + width)[whole], at + 1] + LENGTH - 1, minlength=len(text) + 1)
+                gone = np.cumsum(step[:-1]) > 0
+                out, begin = [], 0
+                for n in sizes.tolist():
+                    r, own = gone[begin : begin + n], text[begin : begin + n]
+                    kept = (own[~r] if (k := int(r.sum())) else own).tobytes()
+                    out.append((n, k, int((r & ~np.r_[False, r[:-1]]).sum()) if k else 0, hashlib.sha256(kept).hexdigest()) + ((kept,) if with_text else ()))
                     begin += n
-                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text).astype({"id": "Int64"})
+                result = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
+                result.insert(0, "id", pd.arrays.IntegerArray(ids.copy(), ~known))
+                yield result
 
-    met = shards.join(sent.select("shard", "follow", "lo", "hi").hint("merge"), "shard").join(codes.hint("merge"), "shard", "left").join(found.hint("merge"), "shard", "left")
+    met = shards.join(sent.drop("parts").hint("merge"), "shard").join(found.hint("merge"), "shard", "left")
     return met.mapInPandas(apply, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).withColumnRenamed("id", id_col)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each document: bytes, bytes removed, removed runs, hash of what is kept, and the kept bytes if
     wanted (a cut can fall inside a character, so they are binary)."""
-    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    parts = max(tasks(spark), text_bytes(docs, text_col) // 16 // PART_ANCHORS)
-    shards = shards_of(docs, id_col, text_col)
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_BYTES)
-    try:
-        sent = segments(shards, shared_anchors(shards, parts), parts)
-        codes = answers(sent)
-        return written(cut(shards, sent, codes, marks(shards, sent, codes), id_col, with_text), "deduplicated")
-    finally:
-        spark.conf.set(key, before)
+    size = text_bytes(docs, text_col)
+    parts = max(tasks(docs.sparkSession), size // PART_BYTES)
+    with shards_of(docs, id_col, text_col, size) as shards, segments(shards, shared_anchors(shards, parts), parts) as sent:
+        return written(cut(shards, sent, marks(sent, shards.count()), id_col, with_text), "deduplicated")

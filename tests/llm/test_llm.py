@@ -230,10 +230,15 @@ def brute_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("size", [2_000, 4_000_000])
-def test_substring_dedup(spark, docs, monkeypatch, size):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
-    extra = [(900, "ab" * 200), (901, "ba" * 90 + "é" * 60), (902, "x" * 49), (903, "x" * 50), (904, "x" * 300), (None, "x" * 300)]
+@pytest.mark.parametrize(("size", "fan_in", "hot", "parts"), [(2_000, 2, 3, 9_000), (2_000, 3, 4096, 10**9), (4_000_000, 48, 4096, 4_000_000)])
+def test_substring_dedup(spark, docs, monkeypatch, size, fan_in, hot, parts):
+    """Many shards that are merged over several levels, with anchors dealt to sub-parts; and a single shard."""
+    for name, value in (("SHARD_BYTES", size), ("FAN_IN", fan_in), ("HOT", hot), ("PART_BYTES", parts), ("CHUNK", 1_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdef ", k=130))
+    hot = [(2_000 + i, f"{i} " + passage[: 60 + i % 60] + f" {i * 7} " + passage[20 + i % 30 :]) for i in range(60)]
+    extra = [(900, "ab" * 200), (901, "ba" * 90 + "é" * 60), (902, "x" * 49), (903, "x" * 50), (904, "x" * 300), (None, "x" * 300), (2**60 + 1, passage), *hot]
     df = docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = [(i, (t or "").encode()) for i, t in pairs(df) if i is not None]
     got = suffix_dedup.deduplicated(df).collect()
@@ -242,6 +247,41 @@ def test_substring_dedup(spark, docs, monkeypatch, size):
     kept = suffix_dedup.deduplicated(df.where("doc_id = 904"), with_text=True).first()
     assert bytes(kept.kept) == b"x" * 300
     assert suffix_dedup.deduplicated(df.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_merged_transforms(seed):
+    """One source's own marks, and those of several merged ones, against all windows."""
+    rng = random.Random(seed)
+    base = [bytes(rng.choices(b"abc ", k=rng.choice([60, 80, 113]))) for _ in range(4)]
+
+    def segment():
+        b = rng.choice(base)
+        lo = rng.randint(0, len(b) - 50)
+        return b[lo : rng.randint(lo + 50, len(b))] + bytes(rng.choices(b"abc ", k=rng.randint(0, 1)))
+
+    def brute(segments):
+        least = {}
+        for s, i in segments:
+            for k in range(len(s) - 49):
+                least[s[k : k + 50]] = min(least.get(s[k : k + 50], 10**9), i)
+        return [[i > least[s[k : k + 50]] for k in range(len(s) - 49)] for s, i in segments]
+
+    sources = [[(s, rng.randint(0, 20)) for s in {segment() for _ in range(rng.randint(1, 8))}] for _ in range(rng.randint(1, 5))]
+    bwts = []
+    for own in sources:
+        before, _, marked = suffix_dedup.own_transform(np.frombuffer(b"".join(s for s, _ in own), np.uint8), np.array([len(s) for s, _ in own]), np.array([i for _, i in own]))
+        assert marked.tolist() == sum(brute(own), [])
+        bwts.append(before)
+    every = sum(sources, [])
+    expected = brute(every)
+    widths = np.array([len(s) - 49 for s, _ in every])
+    number, _, rows, kept = suffix_dedup.merged(bwts, np.cumsum(widths) - widths, np.array([i for _, i in every]))
+    got = np.zeros(widths.sum(), bool)
+    got[number] = True
+    assert got.tolist() == sum(expected, []) and kept.tolist() == [not all(r) for r in expected]
+    assert sum(int((b == 0).sum()) for b in rows) == kept.sum()
 
 
 def test_tokens_match_the_tokenizer():
