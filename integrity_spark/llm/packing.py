@@ -5,22 +5,25 @@ them whatever the input. For each bin, the longest length left is taken, and a b
 the available lengths (bit s set: some choice sums to s) finds the fullest combination that still fits; it is removed,
 at once for as many bins as the counts allow. The plan holds, for each length, ranges of ranks and the bins and places
 they go to; pieces get their rank within their length in two levels (salted, then offsets of the salts), so that a
-length that a third of all pieces have is shared by many tasks, and meet the plan in a broadcast join whose size
-depends on the capacity alone.
-
-Defined results: a null or blank text is the end token alone; an added token of the tokenizer
-that stands in a text is that token, as in ``encode(text, add_special_tokens=False)``; repeated rows are packed each; pieces of null id too;
-an empty table gives an empty plan; extra columns of the input don't pass through.
+length that a third of all pieces have is shared by tasks as its count grows. Counts, salts and plan are broadcast: the
+capacity bounds their rows. Offsets grow with the root of the pieces and are broadcast behind a count.
+
+Defined results: a null or blank text is the end token alone; an added token of the tokenizer that stands in a text is
+that token, as in ``encode(text, add_special_tokens=False)``; a very long text is taken whole, in one call;
+pieces tied in length are ranked by id, piece and checksum, which of equal rows comes first being arbitrary; repeated rows
+are packed each, pieces of null id too; an empty table gives no rows; extra columns, whatever their names, don't pass
+through.
 """
 
 from __future__ import annotations
 
+import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 from os.path import commonprefix
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -30,11 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CAPACITY, END_TOKEN, SALTS = 4096, 1, 64
-#: Words whose ids a worker keeps; it starts anew beyond. Characters of text that it takes at once.
-KEPT_WORDS, TEXT_AT_ONCE = 400_000, 2_000_000
-# How the tokenizer marks the end of a word, and punctuation that can be parted from the word before.
-WORD_END, TAIL = "</w>", b".,;:!?"
+CAPACITY, END_TOKEN = 4096, 1
+#: Pieces of one length that a task ranks, at least; offsets (of lengths and salts) that are broadcast at most.
+LEAST_SALT_ROWS, BROADCAST_OFFSETS = 512, 500_000
+#: Parts of texts whose ids a worker keeps; it starts anew beyond. Characters of text that it takes at once; new parts
+#: that it encodes together.
+KEPT_WORDS, TEXT_AT_ONCE, TOGETHER = 400_000, 1_000_000, 200
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,60 +52,63 @@ class _Numbered(dict):
     """Numbers its keys as they come and remembers the new ones."""
 
     def __init__(self):
-        self.new: list[bytes] = []
+        self.new: list[str] = []
 
-    def __missing__(self, key: bytes) -> int:
+    def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         self.new.append(key)
         return n
 
 
+# White space as the tokenizer sees it, characters that stand for themselves when lower-cased one by one,
+# letters among these, how the tokenizer parts them, and how it marks the end of a part.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿœŒ"
+PLAIN = f"{LETTERS}\t\n\r -~¡¿«»“”‘’„…–—€°"
+PARTS = f"[{LETTERS}]+|[0-9]|'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[^{BLANK}{LETTERS}0-9]+"
+WORD_END = "</w>"
+
+
 class WordTokenizer:
-    """Ids of whole texts by lookup. The tokenizer drops white space, ignores the case of A-Z and parts letters and
-    digits from punctuation, so the ids of a text are those of its words in turn, and those of a word that ends in plain
-    punctuation are those of its two parts. Each distinct part is encoded once: letters many at a time, where the
-    tokens' own word ends tell the words apart, and all else one by one. The tokenizer's added tokens are cut out of
-    the text as written, before all else, and have one id each; ``encode_special_tokens`` makes plain text of them."""
+    """Ids of whole texts by lookup. The tokenizer drops white space, ignores case and parts letters, single digits and
+    punctuation, so the ids of a text of plain characters are those of its parts in turn. Each distinct part is encoded
+    once, many at a time, where the tokens' own end marks tell the parts apart. A word with any other character is
+    encoded as a whole, by itself. The tokenizer's added tokens are cut out of the text as written, before all else, and
+    have one id each; ``encode_special_tokens`` makes plain text of them."""
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # A blank ahead keeps them apart from all words.
-        self.added = {} if encode_special_tokens else {b" " + t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added_start = commonprefix([x[1:] for x in self.added])
-        self.cut = re.compile(b"(" + b"|".join(re.escape(x[1:]) for x in sorted(self.added, key=len, reverse=True)) + b")")
+        self.tokenizer.encode_special_tokens = encode_special_tokens
+        added = [] if encode_special_tokens else sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added, self.added_start = set(added), commonprefix(added)
+        self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.plain = re.compile(f"[{PLAIN}]*")
+        self.parts, self.words = re.compile(PARTS), re.compile(f"(?<![^{BLANK}])(?=[{PLAIN}]*[^{PLAIN}{BLANK}])[^{BLANK}]+|{PARTS}")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.parts = _Numbered(), _Numbered()
-        self.pair, self.ids, self.start = np.empty((0, 2), np.int64), np.empty(0, np.uint32), np.zeros(1, np.int64)
-        self.parts[b""]
+        self.number, self.ids, self.start = _Numbered(), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self) -> None:
-        pairs = []
-        for w in self.words.new:
-            core = w.rstrip(TAIL)
-            split = 0 < len(core) < len(w) and core[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalnum()
-            pairs.append((self.parts[core], self.parts[w[len(core) :]]) if split else (self.parts[w], 0))
-        self.words.new = []
-        self.pair = np.concatenate([self.pair, np.array(pairs, np.int64).reshape(-1, 2)])
-        new, self.parts.new = [x.decode() for x in self.parts.new], []
-        added = [self.added.get(x.encode()) for x in new]
-        plain = [x.isalpha() and x == x.lower() and is_normalized("NFC", x) for x in new]
-        letters = [k for k, ok in enumerate(plain) if ok]
-        flat = np.array(self.tokenizer.encode(" ".join(new[k] for k in letters), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[flat]) + 1
-        alone = range(len(new)) if len(cuts) != len(letters) else [k for k, ok in enumerate(plain) if not ok]
-        alone = [k for k in alone if added[k] is None]
-        got = [np.empty(0, np.uint32) if i is None else np.array([i], np.uint32) for i in added]
-        if len(cuts) == len(letters):
-            for k, lo, hi in zip(letters, [0, *cuts.tolist()], cuts.tolist(), strict=False):
+        new, self.number.new = self.number.new, []
+        one = [self.parts.fullmatch(x) is not None for x in new]
+        joined, alone = [k for k, ok in enumerate(one) if ok], [k for k, ok in enumerate(one) if not ok]
+        got: list = [None] * len(new)
+        blocks = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
+        texts = [" ".join(new[k] for k in block) for block in blocks]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            flat = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[flat]) + 1
+            if len(cuts) != len(block):
+                alone += block
+                continue
+            for k, lo, hi in zip(block, [0, *cuts.tolist()], cuts.tolist(), strict=False):
                 got[k] = flat[lo:hi]
-        for k, e in zip(alone, self.tokenizer.encode_batch([new[k] for k in alone], add_special_tokens=False), strict=True):
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([new[k] for k in alone], add_special_tokens=False), strict=True):
             got[k] = np.array(e.ids, np.uint32)
         self.ids = np.concatenate([self.ids, *got])
         self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)]
@@ -116,28 +123,30 @@ class WordTokenizer:
             yield from self._encode(texts[lo:hi])
             lo = hi
 
-    def split(self, text: str | None) -> list[bytes]:
-        """Words, and the added tokens with a blank ahead."""
-        raw = (text or "").encode("utf-8", "replace")
-        if not self.added or self.added_start not in raw:
-            return raw.lower().split()
-        out: list[bytes] = []
-        for k, part in enumerate(self.cut.split(raw)):
-            out += [b" " + part] if k % 2 else part.lower().split()
+    def split(self, text: str) -> list[str]:
+        """The parts of a text, its words with odd characters, and the added tokens in it."""
+        if self.plain.fullmatch(text) and (self.cut is None or self.added_start not in text):
+            return self.parts.findall(text.lower())
+        out: list[str] = []
+        for piece in self.cut.split(text) if self.cut else [text]:
+            if piece in self.added:
+                out.append(piece)
+            else:
+                out += [x.lower() if self.plain.fullmatch(x) else x for x in self.words.findall(piece)]
         return out
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > KEPT_WORDS:
+        if len(self.number) > KEPT_WORDS:
             self.clear()
-        split = [self.split(t) for t in texts]
+        split = [self.split(t or "") for t in texts]
         counts = [len(x) for x in split]
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        del split
         self.learn()
-        part = self.pair[at].ravel()
-        sizes = self.start[part + 1] - self.start[part]
+        sizes = self.start[at + 1] - self.start[at]
         ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[part] - (ends - sizes), sizes)]
-        cuts = np.r_[0, ends][2 * np.cumsum(counts)]
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - sizes), sizes)]
+        cuts = np.r_[0, ends][np.cumsum(counts)]
         return np.split(flat, cuts[:-1])
 
 
@@ -145,9 +154,11 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that its words outlive a task."""
+    """One for each Python worker, so that its parts outlive a task. A task has one core, so the tokenizer's own threads
+    would only get in each other's way."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path, encode_special_tokens=False)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
@@ -158,16 +169,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = _tokenizer(path)
         for batch in batches:
-            rows = []
-            for key, ids in zip(batch.id, tok.encode(list(batch.text)), strict=True):
+            rows, of = [], []
+            for nth, ids in enumerate(tok.encode(list(batch.text))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for k, lo in enumerate(range(0, len(ids), capacity)):
                     part = ids[lo : lo + capacity]
-                    rows.append((None if pd.isna(key) else int(key), k, lo, len(part), zlib.crc32(part.tobytes())) + ((part.astype(np.int64),) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            yield out.astype({"doc_id": "Int64"})
+                    of.append(nth)
+                    rows.append((k, lo, len(part), zlib.crc32(part.tobytes())) + ((part.astype(np.int64),) if with_ids else ()))
+            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            out.insert(0, "doc_id", pd.arrays.IntegerArray(batch.id.to_numpy(np.int64)[of], ~batch.known.to_numpy(bool)[of]))
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECE + ", ids array<int>" * with_ids)
+    key = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNotNull().alias("known"), F.col(text_col).alias("text")).mapInPandas(cut, PIECE + ", ids array<int>" * with_ids)
 
 
 def fullest(counts: np.ndarray, lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -220,19 +234,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``cut`` (from ``pieces``, written) with ``sequence_id`` and ``offset``."""
+def packed(cut: DataFrame, capacity: int = CAPACITY, salt_rows: int | None = None) -> DataFrame:
+    """``cut`` (from ``pieces``, written) with ``sequence_id`` and ``offset``. ``salt_rows``: pieces of one length that a
+    task ranks, about; by default their whole number's root, so that tasks and offsets both stay few."""
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    sizes = written(sizes, "lengths")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    room = salt_rows or max(LEAST_SALT_ROWS, math.isqrt(sum(counts.values())))
+    salts = {length: -(-n // room) for length, n in counts.items()}
+    small = "broadcast" if sum(salts.values()) <= BROADCAST_OFFSETS else "merge"
+    spread = spark.createDataFrame([*salts.items()] or [(0, 1)], "length long, salts long")
+    salted = cut.join(spread.hint("broadcast"), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    sizes = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     rows = plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)]
     plans = spark.createDataFrame(rows, "length long, lo long, hi long, first long, each long, place long")
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("ahead"))
     rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("rank", rank - 1).join(offsets.hint("broadcast"), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    ranked = salted.withColumn("rank", rank - 1).join(offsets.hint(small), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("ahead"))
     p, r = plans.hint("broadcast"), ranked
     met = r.join(p, (r.length == p.length) & (r["rank"] >= p.lo) & (r["rank"] < p.hi)).drop(p.length)
     nth = F.col("rank") - F.col("lo")

@@ -287,12 +287,12 @@ def test_merged_transforms(seed):
 def test_tokens_match_the_tokenizer():
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_path()
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    rows = texts(20) + ["a b  don't<|endoftext|> ΟΔΟΣ é 12345 \x1c ok\x85d", "foo). bar!? x…. Don't. it's! 3.14. a1b2. K. İ. İx. é́. ǅ. ½. ②.", "a.b.c ..., !! ?"]
+    path, rng = packing.tokenizer_path(), random.Random(3)
+    odd = "abcS'sT.,!é\u0301İKßſ ²½漢👍…\x1c\x85\xa0 \n<|endoftext|>0 9"
+    rows = texts(20) + ["a b  don't<|endoftext|> ΟΔΟΣ é 12345 \x1c ok\x85d", "foo). bar!? x…. Don't. it's! 3.14. a1b2. K. İ. İx. é́. ǅ. ½. ②.", "a.b.c ..., !! ?", "l'œuvre qu'il <|startoftext|> 'TIS ''s 'ſ ÀÉ×÷ß²ª"]
+    rows += ["".join(rng.choices(odd, k=rng.randint(1, 60))) for _ in range(3000)]
     mine = packing.WordTokenizer(path)
-    expected = [e.ids for e in plain.encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    expected = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in rows], add_special_tokens=False)]
     assert [x.tolist() for x in mine.encode(rows)] == expected
 
 
@@ -317,6 +317,16 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_keeps_ids_and_salts(spark):
+    """Large ids beside null ones, clashing names, and a length that most pieces have, ranked in many salts."""
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big + k if k % 7 else None, "a b c", k) for k in range(200)], "doc_id long, text string, length int").coalesce(1)
+    cut = packing.written(packing.pieces(df), "pieces")
+    got = packing.packed(cut, 16, salt_rows=9).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in df.collect())
+    assert sorted((r.sequence_id, r.offset) for r in got) == [(s, 4 * k) for s in range(50) for k in range(4)]
+
+
 def test_fullest_is_optimal():
     rng = random.Random(4)
     for _ in range(60):
