@@ -416,10 +416,8 @@ def cut(shards: DataFrame, sent: DataFrame, found: DataFrame, id_col: str, with_
                 windows = np.zeros(follow.max(initial=-1) + 1, np.int64)
                 windows[follow[mine]] = width[mine]
                 first = np.r_[0, np.cumsum(windows)]
-                step = np.zeros(first[-1] + 1, np.int64)
-                for run in [row["runs"], *(row["more"] if row["more"] is not None else [])]:
-                    r = _numbers(run).reshape(-1, 2)
-                    step += np.bincount(r[:, 0], minlength=len(step)) - np.bincount(r[:, 1], minlength=len(step))
+                r = _numbers(b"".join([row["runs"], *(row["more"] if row["more"] is not None else [])])).reshape(-1, 2)
+                step = np.bincount(r[:, 0], minlength=first[-1] + 1) - np.bincount(r[:, 1], minlength=first[-1] + 1)
                 marked = np.cumsum(step[:-1]) > 0
                 n_marked = np.r_[0, np.cumsum(marked)]
                 share = n_marked[first[1:]] - n_marked[first[:-1]]
