@@ -10,7 +10,9 @@ from .common import written
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every id in ``links``; ``component`` is the smallest id reachable. Self-links, nulls
-    and repeated links are harmless; without links the result is empty. Each step is written to the shared folder."""
+    and repeated links are harmless; without links the result is empty. Each step is written to the shared folder. The
+    minima are written before they are joined: then both sides of a join are plain exchanges, and Spark splits the rows of
+    a star's centre, which may be a third of all, among tasks."""
     u, v = F.greatest(a, b), F.least(a, b)
     edges = written(links.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), "edges")
     before = None
@@ -20,9 +22,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = print_of
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m"))
-        large = both.join(least.hint("merge"), "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m")), "least")
+        large = written(both.join(least.hint("merge"), "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")), "large")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         pairs = large.join(lowest.hint("merge"), "u")
         small = pairs.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m"))
         edges = written(small.where("u != v").distinct(), "edges")

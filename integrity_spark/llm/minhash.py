@@ -9,7 +9,9 @@ sets, in two rounds. The first takes each class's nearest partners of a bucket,
 The second takes every remaining pair across different components, so that no link that matters is left out.
 
 Defined results: null or blank text has no shingles and links with nothing; a text of fewer than five words is one
-shingle; equal rows share a class; a null doc_id stays alone with a null component and is kept; extra columns pass.
+shingle; a very long text counts whole; equal rows share a class; pairs exactly at the threshold are linked; rows of one
+id are one document, linked through each of their texts; a null doc_id stays alone with a null component and is kept;
+an empty table gives no rows; extra columns, whatever their names, don't pass through.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 hashes.clear()
             yield pd.DataFrame(signature(list(texts), hashes), columns=[x.split()[0] for x in SIGNATURE.split(", ")])
 
-    return docs.select(F.col(id_col).alias("id"), signed(F.col(text_col)).alias("s")).select("id", "s.*")
+    return docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("text_key"), signed(F.col(text_col)).alias("s")).select("id", "text_key", "s.*")
 
 
 def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -242,24 +244,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_estimate(threshold)
     signed = written(signatures(docs, id_col, text_col), "signatures")
     sets = ["set_a", "set_b", "n_shingles"]
-    classes = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by(F.struct("lanes", "bands"), "id").alias("s")).select(*sets, "rep", "s.*"), "classes")
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("copies")).where("copies > 1")
+    # Any numbers serve for the classes: they are fixed once written.
+    grouped = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min(F.struct("id", "text_key")).alias("first"), F.min_by(F.struct("lanes", "bands"), F.struct("id", "text_key")).alias("s"))
+    classes = written(grouped.select(*sets, F.col("first.id").alias("rep"), "first.text_key", "s.*", F.monotonically_increasing_id().alias("node")), "classes")
+    rows_of = written(signed.select("id", *sets).join(classes.select(*sets, "node").hint("merge"), sets, "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")), "rows")
+    banded = classes.select(F.col("node").alias("id"), F.explode("bands").alias("band"))
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("copies")).where("copies > 1"), "bands")
     members = written(banded.join(shared.hint("merge"), "band"), "members")
-    ids = members.select("id").distinct()
-    texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    lanes = classes.select(F.col("rep").alias("id"), "lanes", "bands")
+    lanes = classes.select(F.col("node").alias("id"), "lanes", "bands")
+    wanted = classes.select("node", "rep", "text_key").join(written(members.select("id").distinct(), "nodes").withColumnRenamed("id", "node").hint("merge"), "node", "left_semi")
+    keyed = docs.select(F.col(id_col).alias("rep"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("text_key"), F.col(text_col).alias("text"))
+    texts = written(keyed.join(wanted.hint("merge"), ["rep", "text_key"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "texts")
     rows = members.join(lanes.hint("merge"), "id")
 
+    # One id with several texts links their classes.
+    spread = rows_of.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("id", "a")
+    same_id = rows_of.join(written(spread, "ids").hint("merge"), "id").where("node > a").select("a", F.col("node").alias("b"))
     first = written(candidates(rows.withColumn("comp", F.col("id")), NEAREST, least), "pairs")
-    links = written(confirmed(first, texts, threshold), "links")
+    links = written(confirmed(first, texts, threshold).union(same_id), "links")
     comps = written(connected_components(links), "components")
     joined = rows.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     second = candidates(joined, 0, least).join(first.hint("merge"), ["a", "b"], "left_anti")
     more = written(confirmed(second, texts, threshold), "links")
     if more.head(1):
-        comps = connected_components(links.union(more))
-    of_class = classes.select(*sets, "rep").join(comps.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("found"))
-    out = signed.select("id", *sets).join(of_class.hint("merge"), sets, "left")
-    component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("found")), F.col("id"))
+        comps = written(connected_components(links.union(more)), "components")
+    named = classes.select(F.col("node").alias("id"), "rep").join(comps.hint("merge"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    lowest = written(named.groupBy("component").agg(F.min("rep").alias("found")), "lowest")
+    of_class = written(named.join(lowest.hint("merge"), "component").select(F.col("id").alias("node"), "found"), "found")
+    out = rows_of.join(of_class.hint("merge"), "node", "left")
+    component = F.coalesce("found", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

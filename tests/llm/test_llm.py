@@ -178,6 +178,15 @@ def test_near_duplicates(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Rows of one id are one document, linked through each of its texts."""
+    rng = random.Random(4)
+    one, two, three = (" ".join(str(rng.random()) for _ in range(120)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, three), (3, two + " more"), (5, three + " x"), (5, one + " y"), (7, "alone"), (None, two), (8, None)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False), (5, 1, False), (5, 1, False), (7, 7, True), (None, None, True), (8, 8, True)])
+
+
 def test_pairs_across_blocks(spark, monkeypatch):
     """Blocks of a few members give the same groups."""
     rng = random.Random(9)
