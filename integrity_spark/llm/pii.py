@@ -10,13 +10,16 @@ whose number is bounded by kinds x 3**5 votes x 4 lengths whatever the input. Th
 The base spans (email, ip, card, phone that pass their format check) always stay; the classifier adds spans of
 the kinds name, ssn and iban, where it is sure enough and they overlap no base span.
 
-Defined results: null text is empty; no candidates anywhere leaves the classifier at its priors and adds nothing;
-repeated rows give repeated results and count as often in training; extra columns of the input pass through.
+Defined results: null text is empty; a very long text is scanned whole; no candidates anywhere, or an empty table, leaves
+the classifier at its priors and adds nothing; of candidates of one kind the leftmost wins, those of two kinds may tie
+and both stand, but an added span that touches a base span goes; repeated rows give repeated results and count as often
+in training; extra columns of the input pass through, and only one that is called like the result is replaced.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from functools import partial
 
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import digits, luhn, matches
+from .spans import clear_of, digits, let, luhn, matches
 
 # The kinds with their patterns. The look-behinds only spare hopeless starts inside a run.
 PATTERNS = {
@@ -32,7 +35,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "name": r"(?<![\p{L}])\p{Lu}\p{Ll}{1,20} \p{Lu}\p{Ll}{1,20}(?![\p{L}])",
+    "name": r"(?<![\p{L}])(?!(?:Mr|Mrs|Ms|Dr|Herr|Frau|Dear|Contact|Name|Signed|Monsieur|Madame|Se\u00f1or|Se\u00f1ora|The|And|For|From) )\p{Lu}\p{Ll}{1,20} \p{Lu}\p{Ll}{1,20}(?![\p{L}])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
 }
@@ -166,12 +169,14 @@ def classifier(found: DataFrame) -> dict[tuple[int, int], float]:
     return {k: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weight.get(x, 0.0) for x in features(*k)))))) for k in counts}
 
 
-def detect(docs: DataFrame, text_col: str = "text", sure: float = SURE) -> DataFrame:
-    """``docs`` without the text, with ``spans``: base spans and the added ones."""
-    found = written(docs.withColumn("candidates", candidates(docs, text_col)).drop(text_col), "pii")
-    accepted = sorted(KINDS[k] + ":" + str(p) for (k, p), prob in classifier(found).items() if prob >= sure)
+def detect(docs: DataFrame, text_col: str = "text", sure: float = SURE, name: str = "spans") -> DataFrame:
+    """``docs`` without the text, with ``spans``: base spans and the added ones. A column of the input that has this
+    ``name`` is replaced."""
+    own = f"candidates_{uuid.uuid4().hex}"
+    found = written(docs.withColumn(own, candidates(docs, text_col)).drop(text_col), "pii")
+    accepted = sorted(KINDS[k] + ":" + str(p) for (k, p), prob in classifier(found.select(F.col(own).alias("candidates"))).items() if k >= BASE and prob >= sure)
     sure_of = F.array(*map(F.lit, accepted)).cast("array<string>")
-    base = F.filter("candidates", lambda c: (c.order < BASE) & c.valid)
-    added = F.filter("candidates", lambda c: (c.order >= BASE) & F.array_contains(sure_of, F.concat_ws(":", c.kind, c.pattern.cast("string"))))
-    clear = F.filter(added, lambda a: ~F.exists(base, lambda b: (a.start < b.end) & (b.start < a.end)))
-    return found.withColumn("spans", F.concat(base, clear)).drop("candidates")
+    base = F.filter(own, lambda c: (c.order < BASE) & c.valid)
+    added = F.filter(own, lambda c: (c.order >= BASE) & F.array_contains(sure_of, F.concat_ws(":", c.kind, c.pattern.cast("string"))))
+    both = F.struct(base.alias("base"), added.alias("added"))
+    return found.withColumn(name, let(both, lambda b: F.concat(b.base, clear_of(b.added, b.base)))).drop(own)

@@ -5,8 +5,9 @@ blob with the rule versions it has been scanned by and what they found. A run sc
 those rule versions that the ledger lacks for it, and joins findings back to all paths that hold the blob. Copies,
 even a third of all rows, cost one scan; the join back meets hot blobs on its left side only, which Spark can split.
 
-Defined results: null text counts as empty; repeated rows give repeated results; an empty table gives no rows and an
-empty ledger; extra columns of the input pass through ``scan``, whatever their names but ``blob`` and ``findings``.
+Defined results: null text counts as empty; a very long text is scanned whole; findings of two rules may overlap or tie and
+all stand; repeated rows give repeated results; an empty table gives no rows and an empty ledger; extra columns of the
+input pass through ``scan``, but ``blob`` and ``findings`` are its own and replace columns of these names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import matches
+from .spans import cut_out, matches
 
 
 @dataclass(frozen=True)
@@ -95,20 +96,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     of_blob = grown.where(F.size("findings") > 0).select("blob", F.filter("findings", lambda f: f.rule.isin(keys)).alias("findings"))
     if ledger is not None:
         of_blob = of_blob.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    out = docs.withColumn("blob", blob_of(F.col(text_col))).join(of_blob.hint("merge"), "blob", "left")
+    out = docs.drop("findings").withColumn("blob", blob_of(F.col(text_col))).join(of_blob.hint("merge"), "blob", "left")
     return out.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS))), grown
 
 
 def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping findings replaced by ``mark``. Positions are code points."""
-    ordered = F.array_sort(F.transform(findings, lambda f: F.struct(f.start.alias("start"), f.end.alias("end"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        gap = F.when(f.start >= acc.at, F.concat(F.substring(text, (acc.at + 1).cast("int"), (f.start - acc.at).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc.at, f.end).alias("at"), F.array_append(acc.out, gap).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc.out, ""), F.substring(text, (acc.at + 1).cast("int"), F.length(text)))
-
-    return F.when(F.size(findings) > 0, F.aggregate(ordered, zero, step, finish)).otherwise(text)
+    return cut_out(text, findings, mark)
