@@ -1,20 +1,24 @@
 """Nearest neighbours by inner product: a hierarchical navigable small-world graph for each shard.
 
-Rows are dealt to shards of bounded size by a hash of their id. A shard's distinct vectors become the nodes of its graph
-(copies share a node, with all their ids), so a vector that a third of all rows hold costs one node a shard. A vector
-gets one more coordinate that makes all lengths equal; then the largest inner product is the smallest distance. Levels
-are drawn geometrically; on each level a node is linked to diverse near nodes (a candidate is taken unless it is closer
-to one taken before) and back, and the links are kept as one flat neighbour array for each level. Since shards are
-bounded, near nodes are found by blocked products. A search walks greedily down the levels, then keeps a beam on the
-lowest one, for many queries at once. Query blocks meet every shard once; the shards' lists are merged by score.
+Rows are dealt to shards by a hash of their id; shards grow with the root of the rows, up to MOST_ROWS, so that a query
+meets few of them. A shard's distinct vectors become the nodes of its graph (copies share a node, with all their ids), so
+a vector that a third of all rows hold costs one node a shard. A vector gets one more coordinate that makes all lengths
+equal; then the largest inner product is the smallest distance. Levels are drawn geometrically. The graph of a level is
+grown in batches: each searches the graph so far with a beam, adds the nearest of its own batch, links to diverse near
+nodes (a candidate is taken unless it is closer to one taken before), and the nodes it links to choose anew among their
+links and the new ones, nearest first. Links are kept as one flat neighbour array for each level. A search walks greedily
+down the levels, then keeps a beam on the lowest one, for many queries at once. Query blocks meet every shard once; the
+shards' lists are merged by score.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows of null id; ties go to the smaller id; repeated rows of one id are all candidates of other queries;
-an empty table gives no rows; extra columns don't pass through.
+part, nor do rows of null id; scores are summed in the order of the components, so equal vectors have equal scores
+in every shard, and ties go to the smaller id; repeated rows of one id are all candidates of other queries; an empty
+table gives no rows; extra columns, whatever their names, don't pass through.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHARD_ROWS, QUERY_ROWS = 8192, 1024
+#: Rows of a shard: ROOT times the root of all rows, within bounds. Queries of a block; entries of its table of visits.
+ROOT, LEAST_ROWS, MOST_ROWS, QUERY_ROWS, VISITS = 64, 8192, 262_144, 1024, 2**26
 LINKS, NEAR, BEAM, EXPAND, SEED = 16, 64, 160, 4, 7
+#: Nodes of a level's first batch, which is linked by all its products; nodes of a later batch at most; beam of growing.
+FIRST, BATCH, GROWING = 1024, 2048, 64
 INDEX = "shard int, dim int, ids binary, id_from binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"
 
 
@@ -52,33 +59,67 @@ def diverse(near: np.ndarray, dist: np.ndarray, x: np.ndarray, most: int) -> np.
     return taken
 
 
-def link(x: np.ndarray, most: int) -> np.ndarray:
-    """The flat neighbour array of one level over its nodes ``x``."""
-    n = len(x)
-    width = min(NEAR, n - 1)
-    out = np.full((n, 2 * most), -1, np.int32)
+def nearest_in(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest other rows, nearest first, and the squared distances."""
+    width = min(width, len(x) - 1)
     if width <= 0:
-        return out
+        return np.empty((len(x), 0), np.int64), np.empty((len(x), 0))
     square = np.square(x).sum(axis=1)
-    for lo in range(0, n, 512):
-        d = square[lo : lo + 512, None] + square[None, :] - 2 * (x[lo : lo + 512] @ x.T)
-        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-        near = np.argpartition(d, width - 1, axis=1)[:, :width]
-        gap = np.take_along_axis(d, near, axis=1)
-        by = np.argsort(gap, axis=1, kind="stable")
-        out[lo : lo + 512, :most] = diverse(np.take_along_axis(near, by, axis=1), np.take_along_axis(gap, by, axis=1), x, most)
-    src = np.repeat(np.arange(n), most)
-    dst = out[:, :most].ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    back = ~np.isin(dst.astype(np.int64) * n + src, src.astype(np.int64) * n + dst)
-    src, dst = src[back], dst[back]
-    by = np.argsort(dst, kind="stable")
+    d = square[:, None] + square[None, :] - 2 * (x @ x.T)
+    np.fill_diagonal(d, np.inf)
+    near = np.argpartition(d, width - 1, axis=1)[:, :width]
+    gap = np.take_along_axis(d, near, axis=1)
+    by = np.argsort(gap, axis=1, kind="stable")
+    return np.take_along_axis(near, by, axis=1), np.take_along_axis(gap, by, axis=1)
+
+
+def link_back(links: np.ndarray, x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
+    """Nodes ``dst`` choose up to a row's width of links among those they have and their new ``src``, nearest first."""
+    width = links.shape[1]
+    by = np.lexsort((np.square(x[src] - x[dst]).sum(axis=1), dst))
     src, dst = src[by], dst[by]
-    start = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]) if len(dst) else np.empty(0, np.int64)
+    start = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
     nth = np.arange(len(dst)) - np.repeat(start, np.diff(np.r_[start, len(dst)]))
-    fits = nth < most
-    out[dst[fits], most + nth[fits]] = src[fits]
-    return out
+    nodes = dst[start]
+    pool = np.full((len(nodes), 2 * width), -1, np.int64)
+    pool[:, :width] = links[nodes]
+    fits = nth < width
+    pool[np.repeat(np.arange(len(nodes)), np.diff(np.r_[start, len(dst)]))[fits], width + nth[fits]] = src[fits]
+    for lo in range(0, len(nodes), BATCH):
+        p, own = pool[lo : lo + BATCH], nodes[lo : lo + BATCH]
+        p.sort(axis=1)
+        p[:, 1:][p[:, 1:] == p[:, :-1]] = -1
+        gap = np.where(p >= 0, np.square(x[p] - x[own][:, None, :]).sum(axis=2), np.inf)
+        by = np.argsort(gap, axis=1, kind="stable")
+        p, gap = np.take_along_axis(p, by, axis=1), np.take_along_axis(gap, by, axis=1)
+        crowded = (p >= 0).sum(axis=1) > width
+        links[own] = p[:, :width]
+        links[own[crowded]] = diverse(p[crowded], gap[crowded], x, width)
+
+
+def grow(x: np.ndarray, most: int) -> np.ndarray:
+    """The flat neighbour array of one level over its nodes ``x``, all of one length."""
+    n = len(x)
+    links, done = np.full((n, 2 * most), -1, np.int32), 0
+    while done < n:
+        size = min(n - done, FIRST if not done else min(BATCH, done))
+        own = x[done : done + size]
+        near, gap = nearest_in(own, NEAR)
+        near = near + done
+        if done:
+            entry = np.zeros(size, np.int64)
+            found, score = beam_search(x[:done], links[:done], entry, own @ x[0], own, min(GROWING, done))
+            far = np.where(found >= 0, np.square(own).sum(axis=1)[:, None] + np.square(x[np.maximum(found, 0)]).sum(axis=2) - 2 * score, np.inf)
+            near, gap = np.c_[near, found], np.c_[gap, far]
+            by = np.argsort(gap, axis=1, kind="stable")[:, :NEAR]
+            near, gap = np.take_along_axis(near, by, axis=1), np.take_along_axis(gap, by, axis=1)
+        if near.shape[1]:
+            taken = diverse(near, gap, x, most)
+            links[done : done + size, :most] = taken
+            src, dst = np.repeat(np.arange(done, done + size), most), taken.ravel().astype(np.int64)
+            link_back(links, x, src[dst >= 0], dst[dst >= 0])
+        done += size
+    return links
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, seed: int) -> dict:
@@ -92,7 +133,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int) -> dict:
     levels = []
     for k in range(level.max() + 1):
         nodes = np.flatnonzero(level >= k).astype(np.int32)
-        own = link(x[nodes], LINKS if k == 0 else LINKS // 2)
+        own = grow(x[nodes], LINKS if k == 0 else LINKS // 2)
         levels.append({"nodes": nodes.tobytes(), "links": np.where(own >= 0, nodes[own], -1).astype(np.int32).tobytes()})
     return {"dim": distinct.shape[1], "ids": ids[by].astype(np.int64).tobytes(), "id_from": id_from.tobytes(), "vectors": distinct.astype(np.float64).tobytes(), "levels": levels}
 
@@ -118,16 +159,22 @@ def search(index: dict, queries: np.ndarray, beam: int) -> np.ndarray:
             up = got > score[moving]
             moving, best, got, near = moving[up], best[up], got[up], near[up]
             at[moving], score[moving] = near[np.arange(len(moving)), best], got
-    links = levels[0][1].reshape(n, -1)
+    return beam_search(x, levels[0][1].reshape(n, -1), at, score, queries, beam)[0]
+
+
+def beam_search(x: np.ndarray, links: np.ndarray, at: np.ndarray, score: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best nodes by inner product that a beam from ``at`` meets, best first, with their products; -1 where fewer."""
+    q, expand = len(queries), min(EXPAND, beam)
+    every = np.arange(q)
     found, value = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf)
     found[:, 0], value[:, 0] = at, score
-    fresh, seen = np.zeros((q, beam), bool), np.zeros((q, n), bool)
+    fresh, seen = np.zeros((q, beam), bool), np.zeros((q, len(x)), bool)
     fresh[:, 0] = True
     seen[every, at] = True
     live = every
     while len(live):
         rank = np.where(fresh[live], value[live], -np.inf)
-        pick = np.argpartition(-rank, EXPAND - 1, axis=1)[:, :EXPAND]
+        pick = np.argpartition(-rank, expand - 1, axis=1)[:, :expand]
         r = np.arange(len(live))[:, None]
         use = np.take_along_axis(rank, pick, axis=1) > -np.inf
         fresh[live[:, None], pick] = False
@@ -145,28 +192,39 @@ def search(index: dict, queries: np.ndarray, beam: int) -> np.ndarray:
         keep = np.argpartition(-all_v, beam - 1, axis=1)[:, :beam]
         value[live], found[live], fresh[live] = all_v[r, keep], all_n[r, keep], all_f[r, keep]
         live = live[(fresh[live] & (value[live] > -np.inf)).any(axis=1)]
-    return np.take_along_axis(found, np.argsort(-value, axis=1, kind="stable"), axis=1)
+    by = np.argsort(-value, axis=1, kind="stable")
+    return np.take_along_axis(found, by, axis=1), np.take_along_axis(value, by, axis=1)
+
+
+def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed in the order of the components, whatever the number of rows."""
+    total = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        total += x[:, k] * query[k]
+    return total
 
 
 def hits(index: dict, query_ids: np.ndarray, queries: np.ndarray, top: int, beam: int) -> pd.DataFrame:
     """The shard's ``top`` rows of each query, its own row left out."""
     x = np.frombuffer(index["vectors"]).reshape(-1, index["dim"])
     ids, id_from = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["id_from"], np.int64)
-    beam = max(beam, top + 1)
-    found = search(index, queries, beam) if len(x) > beam else np.argsort(-(queries @ x.T), axis=1, kind="stable")
+    block = max(1, min(QUERY_ROWS, VISITS // len(x)))
+    beam = min(max(beam, top + 1), len(x))
+    found = np.concatenate([search(index, queries[lo : lo + block], beam) for lo in range(0, len(queries), block)])
     out = []
     for k, nodes in enumerate(found):
         nodes = nodes[nodes >= 0]
-        score = x[nodes] @ queries[k]
+        score = products(x[nodes], queries[k])
         got = [(s, i) for s, node in zip(score, nodes, strict=True) for i in ids[id_from[node] : min(id_from[node + 1], id_from[node] + top + 1)] if i != query_ids[k]]
         out += [(query_ids[k], i, s) for s, i in sorted(got, key=lambda t: (-t[0], t[1]))[:top]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def index(rows: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """The written index of all rows ``(id, v)``: one row for each shard."""
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim, shards = (sizes["d"], -(-sizes["n"] // shard_rows)) if sizes else (0, 1)
+    room = shard_rows or max(LEAST_ROWS, min(MOST_ROWS, ROOT * math.isqrt(sizes["n"] if sizes else 0)))
+    dim, shards = (sizes["d"], -(-sizes["n"] // room)) if sizes else (0, 1)
 
     def built(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"shard": key[0]} | build(part.id.to_numpy(), np.stack(part.v.to_numpy()), SEED + key[0])])
