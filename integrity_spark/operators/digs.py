@@ -26,7 +26,7 @@ def exploded_ids(mdl: DataFrame) -> DataFrame:
 
 def match_by_id(mdl: DataFrame, ili: DataFrame) -> DataFrame:
     """All inspection rows of each id."""
-    return exploded_ids(mdl).join(ili.withColumn("norm_id", normalize_key(F.col("feature_id"))), ["line_id", "norm_id"])
+    return exploded_ids(mdl).join(ili.withColumn("norm_id", normalize_key(F.col("feature_id"))).hint("merge"), ["line_id", "norm_id"])
 
 
 def match_by_dimensions(mdl: DataFrame, ili: DataFrame, by: Sequence[str] = ("line_id",)) -> DataFrame:
@@ -52,7 +52,7 @@ def match_by_dimensions(mdl: DataFrame, ili: DataFrame, by: Sequence[str] = ("li
     asked = asked.withColumn("__b", F.explode(hypotheses))
     had = ili.withColumn("__b", buckets(F.abs(number_of(ili, "length_mm"))))
     same = dimensions_match(length, number_of(ili, "length_mm")) & dimensions_match(width, number_of(ili, "width_mm"))
-    return asked.join(had, [*keys, "__b"]).where(same).drop("__b")
+    return asked.join(had.hint("merge"), [*keys, "__b"]).where(same).drop("__b")
 
 
 def locate_target_weld(mdl: DataFrame, ili: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def locate_target_weld(mdl: DataFrame, ili: DataFrame, order: Sequence[str]) ->
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("prio"), normalize_key(F.col(c)).alias("key")) for k, c in enumerate(keys))))
     searched = ili.select(*RUN, number_of(ili, "chainage").alias("x"), *(F.col(c).alias(f"o_{c}") for c in order), each.alias("s")).select("*", "s.*").drop("s").where("key <> ''")
     first = mdl.groupBy("dig_id", "line_id").agg(F.min("target_girth_weld").alias("target_girth_weld")).withColumn("key", normalize_key(F.col("target_girth_weld")))
-    met = first.join(searched, ["line_id", "key"])
+    met = first.join(searched.hint("merge"), ["line_id", "key"])
     head = met.groupBy("dig_id", *RUN, "prio").agg(F.min_by(F.struct("x"), F.struct(*(f"o_{c}" for c in order))).alias("h"))
     found = head.where("h.x IS NOT NULL").groupBy("dig_id", *RUN).agg(F.min_by("h.x", "prio").alias("target_chainage"))
     runs = ili.select(*RUN).distinct()
@@ -101,7 +101,7 @@ def target_features(mdl: DataFrame, rows: DataFrame, row_key: Sequence[str]) ->
     ids = asked.select("dig_id", "mdl_row", F.explode(split_multivalue(F.col("feature_ids"))).alias("raw"))
     ids = ids.withColumn("norm_id", normalize_key(F.col("raw"))).where("norm_id <> ''")
     keyed = rows.withColumn("norm_id", normalize_key(F.col("feature_id")))
-    hits = ids.join(keyed, ["dig_id", "norm_id"]).select("dig_id", "mdl_row", *RUN, *row_key)
+    hits = ids.join(keyed.hint("merge"), ["dig_id", "norm_id"]).select("dig_id", "mdl_row", *RUN, *row_key)
     hit_rows = hits.select("mdl_row", "source").distinct()
     rest = asked.join(rows.select("dig_id", "source").distinct(), "dig_id")
     rest = rest.join(hit_rows, ["mdl_row", "source"], "left_anti")
@@ -109,7 +109,7 @@ def target_features(mdl: DataFrame, rows: DataFrame, row_key: Sequence[str]) ->
     return hits.drop("mdl_row").unionByName(by_size).distinct().withColumn("is_target", F.lit(True))
 
 
-def dig_feature_table(mdl: DataFrame, ili: DataFrame, row_key: Sequence[str] = ("feature_id", "chainage"), order: Sequence[str] = ("chainage", "feature_id"), n: int = WELDS, first_n: int | None = None, fallback: str = "all") -> DataFrame:
+def dig_feature_table(mdl: DataFrame, ili: DataFrame, row_key: Sequence[str] = ("feature_id", "chainage"), order: Sequence[str] = ("chainage", "feature_id"), n: int = WELDS, first_n: int | None = None, fallback: str = "skip") -> DataFrame:
     """Per dig and run: the rows in its window with target flag, distance from the target weld (negative numbers of the
     shown dimensions are 0) and the dig's number in sorted order. ``fallback``: for runs without the target weld, ``all``
     takes all rows of the run (a product of digs and runs, so for few digs only), ``skip`` takes none."""

@@ -35,22 +35,25 @@ def write_outputs(df: DataFrame, path: str, partition: str | None = None, fmt: s
     (w.partitionBy(partition) if partition else w).format(fmt).save(path)
 
 
-def run_summary(df: DataFrame, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("records"))
-
-
 def shown(value: Column) -> Column:
     return F.lower(collapsed(F.coalesce(value, F.lit(""))))
 
 
 def parse_delimited_text(docs: DataFrame, text_col: str = "text", id_col: str = "file") -> DataFrame:
-    """Pasted text as cells: tabs if the first line has any, else commas; the first row is row 1."""
+    """Pasted text as cells: tabs if the first line has any, else commas; the first row is row 1. A value in double quotes
+    may hold separators and doubled quotes."""
     lines = F.filter(F.split(F.col(text_col), "\r?\n"), lambda x: F.trim(x) != "")
     sep = F.when(F.get(lines, F.lit(0)).contains("\t"), "\t").otherwise(",")
     rows = docs.select(F.col(id_col).alias("file"), sep.alias("sep"), F.posexplode(lines).alias("r", "line"))
-    cells = rows.select("file", (F.col("r") + 1).alias("row"), F.posexplode(F.split("line", F.col("sep"), -1)).alias("col", "value"))
+    cells = rows.select("file", (F.col("r") + 1).alias("row"), F.posexplode(F.when(F.col("sep") == ",", quoted_parts(F.col("line"), ",")).otherwise(quoted_parts(F.col("line"), "\t"))).alias("col", "value"))
     wide = cells.groupBy("file").agg(F.max("col").alias("w")).where("w > 0").select("file")
-    return cells.join(wide, "file", "left_semi").select("file", F.lit("text").alias("sheet"), F.lit(1).alias("sheet_ord"), "row", "col", F.trim(F.btrim(F.trim("value"), F.lit('"'))).alias("value"))
+    return cells.join(wide.hint("merge"), "file", "left_semi").select("file", F.lit("text").alias("sheet"), F.lit(1).alias("sheet_ord"), "row", "col", "value")
+
+
+def quoted_parts(line: Column, sep: str) -> Column:
+    """A line's values, trimmed; quotes around a value go, doubled ones inside are one."""
+    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{sep}[ ]*("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
+    return F.transform(parts, lambda x: F.trim(F.when(F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, '^"|" *$', ""), F.lit('""'), F.lit('"'))).otherwise(x)))
 
 
 def promote_header(cells: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def resolve_columns(headers: DataFrame, keywords: Mapping[str, Sequence[str]], v
     order, then the leftmost. ``headers``: file, sheet, col and the name."""
     hits = keyword_hits(headers, keywords, value)
     by = W.partitionBy(*SHEET, "key").orderBy("kind", F.desc(F.length("name")), "ord", "col")
-    return hits.withColumn("__n", F.row_number().over(by)).where("__n = 1").select(*SHEET, "key", "col", F.col("__h").alias("header"))
+    return hits.withColumn("__n", F.row_number().over(by)).where("__n = 1").select(*SHEET, "key", "col", F.col(value).alias("header"))
 
 
 def headers_at(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
@@ -220,8 +223,8 @@ def dedupe_columns(headers: DataFrame, value: str = "header") -> DataFrame:
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every cell of a merged range shows its top-left value. Ranges are exploded to their cells, an equi-join."""
     each = ranges.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    top = each.join(cells.select(*SHEET, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("shown")), [*SHEET, "r0", "c0"], "left").select(*SHEET, "row", "col", "shown")
-    out = cells.join(top, [*SHEET, "row", "col"], "full_outer")
+    top = each.join(cells.select(*SHEET, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("shown")).hint("merge"), [*SHEET, "r0", "c0"], "left").select(*SHEET, "row", "col", "shown")
+    out = cells.join(top.hint("merge"), [*SHEET, "row", "col"], "full_outer")
     ords = cells.select(*SHEET, F.col("sheet_ord").alias("__o")).distinct()
     return out.join(ords, SHEET, "left").select(*SHEET, F.coalesce("sheet_ord", "__o").alias("sheet_ord"), "row", "col", F.coalesce("shown", "value").alias("value"))
 

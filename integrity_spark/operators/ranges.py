@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,9 +17,9 @@ def range_join(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str,
     bounded = F.col(lo).isNotNull() & F.col(hi).isNotNull()
     bins = F.sequence(F.floor(F.col(lo) / bin_width), F.floor(F.col(hi) / bin_width))
     cut = spans.where(bounded & (F.col(lo) <= F.col(hi))).withColumn("__bin", F.explode(bins))
-    near = points.withColumn("__bin", F.floor(F.col(at) / bin_width)).join(cut, [*keys, "__bin"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__bin")
+    near = points.withColumn("__bin", F.floor(F.col(at) / bin_width)).join(cut.hint("merge"), [*keys, "__bin"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__bin")
     open_spans = spans.where(~bounded)
-    wide = points.join(open_spans, keys).where((F.col(lo).isNull() | (F.col(at) >= F.col(lo))) & (F.col(hi).isNull() | (F.col(at) <= F.col(hi))))
+    wide = points.join(open_spans.hint("merge"), keys).where((F.col(lo).isNull() | (F.col(at) >= F.col(lo))) & (F.col(hi).isNull() | (F.col(at) <= F.col(hi))))
     return near.unionByName(wide)
 
 
@@ -38,7 +38,3 @@ def nearest_value(left: DataFrame, right: DataFrame, on: Sequence[str], at: str,
     got = both.withColumns({"__lo": low, "__hi": high}).where("__side = 1")
     best = F.when(F.col("__hi").isNull() | (F.col("__x") - F.col("__lo") <= F.col("__hi") - F.col("__x")), F.col("__lo")).otherwise(F.col("__hi"))
     return got.select("__row.*", F.when(F.col("__x").isNotNull(), best).alias(out))
-
-
-def rank_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -24,6 +24,7 @@ GRID_PAGE = r"""(?i)UT\s+Grid|GRID\s+Reading|GRID\s+STARTS|(?<![0-9A-Za-z])[12]\
 NO_READING = r"(?i)\bN/?A\b|\bFLANGE\b"
 HEADER = {"diameter": r"(?i)CIRCUIT|CML|SECTION|DIAM", "permissive": r"(?i)CIRCUIT|CML|SECTION|DIAM|ZONE|NORTH|SOUTH", "zone": r"(?i)CIRCUIT|CML\s+[A-Z]|ZONE|DIAM|SECTION|NORTH|SOUTH"}
 DIAMETERS = {"diameter": ("8", "6", "12", "10", "4", "16", "30"), "zone": ("16", "30", "8", "6", "12", "10", "4")}
+SHORT_TEXT = 100
 ZONES = ("1", "2", "3", "4", "5", "6", "7", "8", "9")
 NO_EQUIPMENT, NO_GROUP = "EQUIPMENT_NOT_FOUND", "GROUP_NOT_FOUND"
 OUT = ("report", "circuit_id", "cml_id", "measurement_date", "min_reading", "all_readings", "method", "page")
@@ -36,7 +37,7 @@ def report_metadata(pages: DataFrame) -> DataFrame:
     ids = R.cml_ids(F.col("text"), F.col("report"))
     found = R.extract_readings(F.col("text"))
     cmls = F.when((F.size(ids) == 0) & (F.size(found) > 0), F.array(F.lit("1"))).otherwise(ids)
-    return whole.select("report", R.circuit_base(R.circuit_raw(F.col("text"))).alias("circuit_id"), R.report_date(F.col("text"), F.col("report")).alias("measurement_date"), cmls.alias("cml_ids"), found.alias("readings"))
+    return whole.select("report", R.circuit_base(R.circuit_raw(F.col("text"))).alias("circuit_id"), R.report_date(F.col("text"), F.col("report")).alias("measurement_date"), cmls.alias("cml_ids"), found.alias("readings"), F.length(F.trim("text")).alias("text_length"))
 
 
 def summary_pages(pages: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def sequence_zones(rows: DataFrame, key: str = "cml_base", zone: str = "zone", o
 
     filled = made.withColumn("z", F.aggregate("r", zero, step, lambda acc: acc.out))
     pairs = filled.select("report", key, F.explode(F.arrays_zip("r", "z")).alias("x")).select("report", key, *(F.col(f"x.r.{c}").alias(c) for c in order), F.col("x.z").alias("__zone"))
-    return rows.drop(zone).join(pairs, ["report", key, *order]).withColumnRenamed("__zone", zone)
+    return rows.drop(zone).join(pairs.hint("merge"), ["report", key, *order]).withColumnRenamed("__zone", zone)
 
 
 def token_rows(tokens: DataFrame, gap: float = 0.5, reach: float = 1.8) -> DataFrame:
@@ -213,7 +214,7 @@ def numeric_page_readings(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """Fallback readings of a report, pages last to first: those of table cells, else of the page text."""
     cells = rows.select("report", "page", "table_no", "row_no", F.posexplode("cells").alias("col", "cell")).withColumn("v", F.regexp_extract("cell", R.READING, 0).try_cast("double")).where(R.plausible_reading(F.col("v")))
     by_cell = cells.groupBy("report", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "row_no", "col", "v"))), lambda x: x.v).alias("of_cells"))
-    both = pages.select("report", "page", R.extract_readings(F.coalesce("text", F.lit(""))).alias("of_text")).join(by_cell, ["report", "page"], "left")
+    both = pages.select("report", "page", R.extract_readings(F.coalesce("text", F.lit(""))).alias("of_text")).join(by_cell.hint("merge"), ["report", "page"], "left")
     own = F.when(F.size("of_cells") > 0, F.col("of_cells")).otherwise(F.col("of_text"))
     return both.groupBy("report").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("page")).alias("p"), own.alias("v")))), lambda x: x.v)).alias("readings"))
 
@@ -248,10 +249,6 @@ def aggregate_readings(meta: DataFrame) -> DataFrame:
     return e.select("report", "circuit_id", cml.alias("cml_id"), "measurement_date", F.coalesce(F.array_min(own), F.lit(0.0)).alias("min_reading"), own.alias("all_readings"), F.lit("aggregate").alias("method"), F.lit(None).cast("int").alias("page"), (total == 0).alias("no_reading"))
 
 
-def row_min(values: Column) -> Column:
-    return F.array_min(values)
-
-
 def min_reading_per_cml(readings: DataFrame, order: Sequence[str] = ("page",)) -> DataFrame:
     """The row with the lowest reading of each (circuit, CML), the first on ties."""
     by = W.partitionBy("circuit_id", "cml_id").orderBy("min_reading", *order)
@@ -278,15 +275,21 @@ def supplement_readings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFrame:
     """The readings of each report's first admissible strategy. ``found`` has the outputs of tokens, zone, summary,
-    diameter, permissive, split and aggregate (those at hand); each is counted once per report."""
+    diameter, permissive, split and aggregate (those at hand); each is counted once per report. Where ``meta`` has the
+    readings and the length of the text, tokens are tried only for reports without readings, with little text, with nothing
+    but zeros, or with three CMLs or more."""
     frames = [df.select(*OUT).withColumn("strategy", F.lit(k)) for k, df in found.items()]
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
     counts = rows.groupBy("report").pivot("strategy", list(found)).count().fillna(0)
-    m = meta.select("report", F.size("cml_ids").alias("n")).join(counts, "report", "left").fillna(0)
+    extra = [c for c in ("readings", "text_length") if c in meta.columns]
+    m = meta.select("report", F.size("cml_ids").alias("n"), *extra).join(counts, "report", "left").fillna(0)
     has = {k: F.col(k) if k in found else F.lit(0) for k in ("tokens", "zone", "summary", "diameter", "permissive", "split", "aggregate")}
-    tokens_ok = (has["tokens"] > 0) & ((F.col("n") > 0) | (has["tokens"] >= 3))
+    tried = F.lit(True)
+    if {"readings", "text_length"} <= set(meta.columns):
+        tried = (F.size("readings") == 0) | (F.col("text_length") < SHORT_TEXT) | F.forall("readings", lambda v: v == 0) | (F.col("n") >= 3)
+    tokens_ok = (has["tokens"] > 0) & ((F.col("n") > 0) | (has["tokens"] >= 3)) & tried
     pick = (
         F.when(tokens_ok, "tokens").when((F.col("n") >= 3) & (has["zone"] > 0), "zone").when((F.col("n") == 1) & (has["summary"] > 0), "summary")
         .when((F.col("n") == 1) & (has["permissive"] > has["diameter"]), "permissive").when(has["diameter"] > 0, "diameter")

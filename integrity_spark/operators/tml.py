@@ -102,6 +102,12 @@ def workflow(source: DataFrame, spec: Spec, everything: bool = False) -> DataFra
     return rows.select(*(F.col(f"`{a}`").cast("string").alias(b) for a, b in KEYS.items()), shown.alias(spec.output), *(F.lit(v).alias(k) for k, v in spec.more))
 
 
+def workflow_outputs(source: DataFrame, spec: Spec) -> dict[str, DataFrame]:
+    """The outputs of one workflow by name: its own, and for ``also_all`` one of every row, without the filter."""
+    outputs = {spec.output: workflow(source, spec)}
+    return outputs | ({f"{spec.output} (all)": workflow(source, spec, everything=True)} if spec.also_all else {})
+
+
 def with_template(template: DataFrame, rows: DataFrame) -> DataFrame:
     """Template rows, then the new ones with the loader constants; ``is_template`` and ``seq`` tell them apart."""
     new = rows.withColumns({k: F.lit(v) for k, v in CONSTANTS.items()})

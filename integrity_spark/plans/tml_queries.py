@@ -50,6 +50,81 @@ def _workflow_query(i: int) -> None:
 for _i in _EACH:
     _workflow_query(_i)
 
+FULL = {
+    "equipment_id": T.EQUIPMENT, "cml_group_id": T.GROUP, "sub_cml_id": T.SUB, "aer_status": T.STATUS_COLUMN, "code_year": "Code Year (T-Min Formula)", "design_code": "CorrValue_Design_Code", "material": "CorrValue_Material",
+    "grade": "CorrValue_Grade", "corr_t": "CorrValue_T", "corr_nps": "CorrValue_NPS", "corr_schedule": "CorrValue_Schedule", "temperature_coefficient": "Temperature Coefficient", "corr_tnom": "CorrValue_Tnom", "corr_tmin": "CorrValue_Tmin",
+    "override_stress": "Override Allowable Stress", "smys": "AER_SMYS", "joint_factor": "Joint Factor", "location_factor": "CorrValue_LocFactor",
+}
+_NUMBER = "{0} IS NOT NULL AND {0} <> 0"
+_TEXT = "{0} IS NOT NULL AND coalesce(try_cast({0} AS double) <> 0, true)"
+_MORE = {
+    3: ("Code Year (T-Min Formula)", "'N/A'", "code_year IS DISTINCT FROM 'N/A'"),
+    4: ("Design Code", "design_code", _TEXT.format("design_code")),
+    5: ("Material Specification", "material", _TEXT.format("material")),
+    6: ("Material Grade", "grade", _TEXT.format("grade")),
+    7: ("Design Temperature", "cast(corr_t AS varchar)", _NUMBER.format("corr_t")),
+    10: ("Piping Nominal Diameter - NPS", "cast(corr_nps AS varchar)", _NUMBER.format("corr_nps")),
+    11: ("Schedule", "corr_schedule", _TEXT.format("corr_schedule")),
+    13: ("Temperature Factor", "'1'", "temperature_coefficient IS DISTINCT FROM 1e0"),
+    14: ("TNominal Thickness", "cast(corr_tnom AS varchar)", _NUMBER.format("corr_tnom")),
+    15: ("Minimum Thickness", "cast(corr_tmin AS varchar)", _NUMBER.format("corr_tmin")),
+    16: ("Override Allowable Stress", "'True'", "lower(override_stress) IS DISTINCT FROM 'true'"),
+    17: ("Allowable Stress", "cast(smys AS varchar)", _NUMBER.format("smys")),
+    19: ("Joint Factor", "'1'", "joint_factor IS DISTINCT FROM 1e0"),
+    20: ("Location Factor", "cast(location_factor AS varchar)", _NUMBER.format("location_factor")),
+}
+
+
+def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "tml_full").withColumnsRenamed(FULL)
+
+
+def _full_query(i: int, output: str, sql: str, suffix: str = "") -> None:
+    @query(sql, ("tml_full",), f"tml_workflow_{i:02d}{suffix}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec = T.WORKFLOWS[i]
+        made = T.workflow_outputs(full(spark, sf_dir), spec)[output]
+        return _short(made).select("equipment_id", "tml_group_id", "tml_id", F.col(f"`{spec.output}`").alias("value"))
+
+
+for _i, (_o, _v, _c) in _MORE.items():
+    _full_query(_i, _o, f"SELECT {_KEY}, {_v} AS value FROM tml_full WHERE {_c}")
+_full_query(17, "Allowable Stress (all)", f"SELECT {_KEY}, cast(smys AS varchar) AS value FROM tml_full", "_all")
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {_KEY}, {i} AS workflow_id, '{o}' AS output, {v} AS value FROM tml_full WHERE contains(aer_status, 'Yes') AND {c}" for i, (o, v, c) in _MORE.items()) + ")", ("tml_full",))
+def tml_full_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined rows of fourteen workflows, values and all, through a template that holds a row of its own."""
+    own = spark.createDataFrame([("old", "G0", "0.0")], f"`{T.EQUIPMENT}` string, `TML Group ID` string, `TML_ID` string")
+    active, frames = T.aer_filter(full(spark, sf_dir), check=False), []
+    for i in _MORE:
+        spec = T.WORKFLOWS[i]
+        rows = T.workflow(active, spec).withColumn("value", F.col(f"`{spec.output}`")).withColumns({"workflow_id": F.lit(i), "output": F.lit(spec.output)})
+        frames.append(T.with_template(own, rows.select(*T.KEYS.values(), "workflow_id", "output", "value")))
+    return _short(T.combine_outputs(frames)).select("equipment_id", "tml_group_id", "tml_id", "workflow_id", "output", "value")
+
+
+@query("SELECT 'old' AS equipment_id, 'kept' AS cmms_system UNION SELECT equipment_id, 'P1R-100' FROM tml_full WHERE contains(aer_status, 'Yes') AND smys IS NOT NULL AND smys <> 0", ("tml_full",))
+def tml_appended_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template's own asset stays beside the new ones."""
+    own = spark.createDataFrame([("old", "kept")], f"`{T.EQUIPMENT}` string, `CMMS System` string")
+    rows = T.workflow(T.aer_filter(full(spark, sf_dir), check=False), T.WORKFLOWS[17])
+    return T.append_assets(own, rows).withColumnsRenamed({T.EQUIPMENT: "equipment_id", "CMMS System": "cmms_system"})
+
+
+@query("SELECT DISTINCT equipment_id FROM tml_full WHERE contains(aer_status, 'Yes')", ("tml_full",))
+def tml_distinct_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.distinct_assets(T.aer_filter(full(spark, sf_dir), check=False)).withColumnRenamed(T.EQUIPMENT, "equipment_id")
+
+
+@query("SELECT condition, count(*) AS n FROM (SELECT unnest(list_filter(['not_empty', 'empty', 'True', 'False'], lambda c: CASE c WHEN 'not_empty' THEN override_stress IS NOT NULL WHEN 'empty' THEN override_stress IS NULL WHEN 'True' THEN coalesce(lower(override_stress) = 'true', false) ELSE coalesce(lower(override_stress) = 'false', false) END)) AS condition FROM tml_full) GROUP BY condition", ("tml_full",))
+def tml_filter_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four conditions."""
+    rows = full(spark, sf_dir)
+    made = [T.filter_records(rows, "Override Allowable Stress", c, {"condition": c}).select("condition") for c in ("not_empty", "empty", "True", "False")]
+    return made[0].union(made[1]).union(made[2]).union(made[3]).groupBy("condition").agg(F.count("*").alias("n"))
+
+
 _BATCH = " UNION ALL ".join(f"SELECT {_KEY}, {i} AS workflow_id, '{o}' AS output, {v} AS value FROM tml_source WHERE contains(aer_status, 'Yes') AND {c}" for i, (o, v, c) in _EACH.items())
 
 

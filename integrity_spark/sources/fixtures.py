@@ -33,6 +33,23 @@ VIEWS = {
  l_extendedprice / 100 AS corr_p,
  CASE WHEN l_tax < 0.03e0 THEN 0.8e0 WHEN l_tax < 0.06e0 THEN 0.72e0 ELSE NULL END AS design_factor,
  CASE WHEN l_linestatus = 'F' THEN 'E' WHEN l_quantity < 10 THEN NULL ELSE 'D' END AS piping_formula FROM lineitem""",
+    "tml_full": """SELECT lpad(cast(l_suppkey AS string), 6, '0') AS equipment_id, 'G' || cast(l_partkey AS string) AS cml_group_id,
+ cast(l_orderkey AS string) || '.' || cast(l_linenumber AS string) AS sub_cml_id,
+ CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'No' ELSE 'Yes - To be de-active' END AS aer_status,
+ CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN '2022' ELSE 'N/A' END AS code_year,
+ CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN '0' ELSE 'B31.' || cast(l_linenumber AS string) END AS design_code,
+ CASE WHEN l_tax = 0 THEN NULL ELSE 'A' || cast(l_partkey % 200 AS string) END AS material,
+ CASE WHEN l_discount = 0 THEN NULL WHEN l_linestatus = 'F' THEN 'B' ELSE '0.0' END AS grade,
+ CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity - 10 END AS corr_t,
+ CASE WHEN l_linenumber = 5 THEN 0e0 ELSE l_quantity / 4 END AS corr_nps,
+ CASE WHEN l_linenumber = 6 THEN NULL ELSE cast(l_partkey % 3 * 40 AS string) END AS corr_schedule,
+ CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 0.9e0 ELSE 1e0 END AS temperature_coefficient,
+ CASE WHEN l_linenumber = 4 THEN NULL ELSE l_discount * 100 END AS corr_tnom,
+ CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax * 100 END AS corr_tmin,
+ CASE l_linenumber % 4 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'false' WHEN 2 THEN NULL ELSE 'True' END AS override_stress,
+ CASE WHEN l_linestatus = 'F' THEN NULL WHEN l_linenumber = 1 THEN 0e0 ELSE l_quantity END AS smys,
+ CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 0.85e0 ELSE 1e0 END AS joint_factor,
+ CASE WHEN l_linenumber = 2 THEN 0e0 WHEN l_linenumber = 3 THEN NULL ELSE 0.5e0 END AS location_factor FROM lineitem""",
     "report_text": """SELECT concat('R', cast(o_orderkey AS string)) AS report, 1 AS page,
  concat('Circuit: 52-0', lpad(cast(o_custkey % 100 AS string), 2, '0'), 'K 1-2', chr(10), 'CML 1.0', cast(o_orderkey % 9 + 1 AS string), chr(10),
  'DATE: 02/', lpad(cast(o_orderkey % 28 + 1 AS string), 2, '0'), '/2026', chr(10), 'reading 0.', cast(200 + o_orderkey % 300 AS string), ' 0.', cast(250 + o_custkey % 700 AS string), ' Fax 780.79 0.9061') AS text FROM orders""",

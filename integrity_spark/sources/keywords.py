@@ -16,7 +16,7 @@ INSPECTION = {
     "source": ["ILI source", "Source", "ILI Vendor", "Vendor", "ILI Source"],
 }
 INSPECTION |= {
-    "ds_distance": [x.replace("US ", "DS ").replace("U/S ", "D/S ").replace("Upstream", "Downstream") for x in INSPECTION["distance"] if x.startswith(("US ", "U/S ", "Upstream"))],
+    "ds_distance": ["DS GWD ILI Chainage (m)", "DS GWD ILI Chainage", "DS GWD Chainage (m)", "DS ILI Chainage (m)", "DS Chainage (m)", "DS Chainage", "DS Odometer (m)", "DS Odometer", "DS Odo (m)", "DS Odo", "D/S GWD ILI Chainage (m)", "D/S GWD Chainage (m)", "D/S Chainage (m)", "D/S Odometer (m)", "D/S Odometer", "D/S Odo (m)", "D/S Odo", "Downstream Chainage (m)", "Downstream Odometer (m)", "Downstream Odo (m)"],
     "wall_thickness": ["Wall Thickness", "Wall Thickness (mm)", "Nom. WT", "Nom. WT (mm)", "Nominal WT", "Nominal WT (mm)", "Nominal Wall Thickness (mm)", "WT", "WT (mm)", "Thickness (mm)", "Wall Thk", "Wall Thk (mm)"],
     "pipe_grade": ["Grade", "Pipe Grade", "Material Grade", "Mat. Grade", "API Grade", "Specification", "Pipe Specification", "Material Specification", "Mat. Spec.", "Grade/Spec"],
 }
@@ -109,12 +109,13 @@ ALIASES = {
 
 
 def merged(base: dict[str, list[str]], override: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
-    """Override names come first; each name once, case and outer blanks aside."""
+    """Override names come first; each name once, case and outer blanks aside; blank names stand for nothing and go."""
     out: dict[str, list[str]] = {}
     for key in dict.fromkeys([*base, *(override or {})]):
         kept: dict[str, str] = {}
         for n in [*(override or {}).get(key, []), *base.get(key, [])]:
-            kept.setdefault(n.strip().lower(), n)
+            if n.strip():
+                kept.setdefault(n.strip().lower(), n)
         out[key] = list(kept.values())
     return out
 
