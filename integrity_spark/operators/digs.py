@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dash_default, dimensions_match, is_dig_weld, normalize_key, safe_name, number_of, split_multivalue
+from ..sources.shared import kept, numbered
 from .ranges import nearest_value, range_join
 
 SIDE_M, BUFFER_M, WELDS, BIN_M = 30.0, 0.5, 3, 64.0
@@ -113,13 +114,13 @@ def dig_feature_table(mdl: DataFrame, ili: DataFrame, row_key: Sequence[str] = (
     """Per dig and run: the rows in its window with target flag, distance from the target weld (negative numbers of the
     shown dimensions are 0) and the dig's number in sorted order. ``fallback``: for runs without the target weld, ``all``
     takes all rows of the run (a product of digs and runs, so for few digs only), ``skip`` takes none."""
-    digs = mdl.select("dig_id").distinct().withColumn("dig_no", F.dense_rank().over(W.orderBy("dig_id")))
+    digs = numbered(mdl, "dig_id", "dig_no")
     if first_n is not None:
         digs = digs.where(F.col("dig_no") <= first_n)
         mdl = mdl.join(digs.select("dig_id"), "dig_id", "left_semi")
     found = locate_target_weld(mdl, ili, order)
     windows = weld_window(found.where("target_chainage IS NOT NULL") if fallback == "skip" else found, ili, n)
-    rows = window_rows(windows, ili)
+    rows = kept(window_rows(windows, ili), "windows")
     targets = target_features(mdl, rows, row_key)
     joined = rows.join(targets, ["dig_id", *RUN, *row_key], "left").join(digs, "dig_id")
     shown = {c: F.greatest(number_of(joined, c), F.lit(0.0)) for c in ("depth_pct", "length_mm", "width_mm")}

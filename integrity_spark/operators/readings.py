@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import reports as R
 from ..functions.scalars import collapsed
 from .tml import CONSTANTS
+from ..sources.shared import kept
 
 # Titles of summary pages, marks of grid pages, header and skip words of result tables.
 SUMMARY_TITLE = r"(?i)(?:U\s*T\s*R\s*E\s*P\s*O\s*R\s*T|UT\s+REPORT)\s*[-–]\s*(?:T\s*E\s*E|TEE|E\s*L\s*B\s*O\s*W|ELBOW|CONNECTIONS?|PIPE|REDUCER|CAP|WELD|STRAIGHT)"
@@ -351,13 +352,14 @@ def loader_status_counts(loaded: DataFrame) -> DataFrame:
 
 def measurement_loader(readings: DataFrame, source: DataFrame, order: Sequence[str], edited: bool = False) -> tuple[DataFrame, DataFrame]:
     """Loader rows (date padded to a timestamp text, reading as text) and distinct assets. ``edited`` tables skip rows
-    without circuit or CML, and keep comments and an equipment id that is given."""
+    without circuit or CML, and keep comments and an equipment id that is given. Readings are written once, as three joins
+    need them."""
     r = readings
     if edited:
         r = r.where((F.trim(F.coalesce("circuit_id", F.lit(""))) != "") & (F.trim(F.coalesce("cml_id", F.lit(""))) != ""))
     given = F.col("given_equipment") if edited and "given_equipment" in r.columns else F.lit(None).cast("string")
     comment = F.col("comment") if edited and "comment" in r.columns else F.lit("")
-    r = r.withColumns({"__given": given, "__comment": comment})
+    r = kept(r.withColumns({"__given": given, "__comment": comment}), "readings")
     met = circuit_to_equipment(r, source.select("circuit_id", "equipment_id", *order).distinct(), order).withColumn("equipment_id", F.coalesce("__given", "equipment_id"))
     met = cml_to_group(met, source if "group_id" in source.columns else None, order)
     rows = met.select(

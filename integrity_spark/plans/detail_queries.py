@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -121,7 +122,7 @@ def positional_welds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A girth list that has chainage 0 at its middle weld, against a matrix of the same welds without a target."""
     t = view(spark, sf_dir, "pipe_tally").select(F.col("line_id").alias("program_id"), F.col("joint_number").alias("gwd"))
     n = t.groupBy("program_id").agg(F.count("*").alias("n"))
-    by = J.W.partitionBy("program_id").orderBy("gwd")
+    by = W.partitionBy("program_id").orderBy("gwd")
     k = t.withColumn("k", F.row_number().over(by)).join(n, "program_id")
     girth = k.select("program_id", (12.0 * (F.col("k") - (F.floor(F.col("n") / 2) + 1))).alias("chainage"))
     matrix = t.select("program_id", "gwd", F.col("gwd").alias("ord"), F.lit(False).alias("is_target"))

@@ -126,14 +126,14 @@ def seam_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("line_id").alias("program_id"), F.col("joint_number").alias("gwd"), S.clock_to_hours(F.col("seam_raw")).alias("hours"))
 
 
-_MATRIX = "SELECT line_id AS program_id, joint_number AS gwd, cast(split_part(seam_raw, ':', 1) AS double) + cast(split_part(seam_raw, ':', 2) AS double) / 60.0e0 AS hours FROM pipe_tally WHERE joint_number % 4 = 0"
+_MATRIX = "SELECT line_id AS program_id, joint_number AS gwd, cast(split_part(seam_raw, ':', 1) AS double) + cast(split_part(seam_raw, ':', 2) AS double) / 60.0e0 AS hours FROM pipe_tally"
 
 
 @query(f"SELECT g.line_id AS program_id, g.gwd, round(m.hours, 6) AS seam_hours FROM (SELECT DISTINCT line_id, gwd_number AS gwd FROM ili_features WHERE feature_type = 'Girth Weld') g LEFT JOIN ({_MATRIX}) m ON m.program_id = g.line_id AND abs(m.gwd - g.gwd) <= 15 QUALIFY row_number() OVER (PARTITION BY g.line_id, g.gwd ORDER BY abs(m.gwd - g.gwd), m.gwd) = 1", ("ili_features", "pipe_tally"))
 def seam_for_weld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seams of the joints that this query's SQL names, every fourth one."""
+    """The seam of each weld's own number, else of the nearest one in the tally."""
     g = view(spark, sf_dir, "ili_features").where("feature_type = 'Girth Weld'").select(F.col("line_id").alias("program_id"), F.col("gwd_number").alias("gwd")).distinct()
-    return J.seam_for_weld(g, seam_matrix(spark, sf_dir).where("gwd % 4 = 0"), ("program_id",)).select("program_id", "gwd", F.round("seam_hours", 6).alias("seam_hours"))
+    return J.seam_for_weld(g, seam_matrix(spark, sf_dir), ("program_id",)).select("program_id", "gwd", F.round("seam_hours", 6).alias("seam_hours"))
 
 
 @query("SELECT f.line_id, f.chainage, round(t.h, 6) AS seam_hours FROM (SELECT DISTINCT line_id, chainage FROM ili_features WHERE feature_type = 'Girth Weld') f LEFT JOIN (SELECT line_id, us_chainage AS x, min(cast(split_part(seam_raw, ':', 1) AS double) + cast(split_part(seam_raw, ':', 2) AS double) / 60.0e0) AS h FROM pipe_tally GROUP BY line_id, us_chainage) t ON t.line_id = f.line_id AND abs(t.x - f.chainage) < 2 QUALIFY row_number() OVER (PARTITION BY f.line_id, f.chainage ORDER BY abs(t.x - f.chainage), t.x) = 1", ("ili_features", "pipe_tally"))
@@ -159,6 +159,17 @@ def tgw_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return girths
 
 
+_CONTEXT = """, g AS (SELECT line_id, source, gwd_number AS gwd, chainage - 6000 AS x FROM ili_features WHERE feature_type = 'Girth Weld'),
+z AS (SELECT line_id, source, arg_min(x, (abs(x), x)) AS t FROM g GROUP BY line_id, source),
+near AS (SELECT g.line_id, g.source, CASE WHEN x < t THEN 'upstream' WHEN x > t THEN 'downstream' ELSE 'target' END AS role, gwd, x, t FROM g JOIN z USING (line_id, source) QUALIFY row_number() OVER (PARTITION BY g.line_id, g.source, role ORDER BY abs(x - t), gwd) = 1)"""
+
+
+@query(f"{_CONTEXT} SELECT n.line_id AS program_id, n.source AS feature_source, role, n.gwd, x AS chainage, round(CASE WHEN abs(m.gwd - n.gwd) <= 15 THEN m.hours END, 6) AS seam_hours FROM near n LEFT JOIN ({_MATRIX}) m ON m.program_id = n.line_id AND abs(m.gwd - n.gwd) <= 15 QUALIFY row_number() OVER (PARTITION BY n.line_id, n.source, role ORDER BY abs(m.gwd - n.gwd), m.gwd) = 1", ("ili_features", "pipe_tally"))
+def joint_context_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of joint_context, with rounded seams."""
+    return joint_context(spark, sf_dir).select("program_id", "feature_source", "role", "gwd", "chainage", F.round("seam_hours", 6).alias("seam_hours"))
+
+
 @query()
 def joint_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target, up- and downstream weld of each source of a line, with the tally's seam; checked by tests."""

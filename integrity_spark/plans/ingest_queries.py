@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest as I
 from ..sources.fixtures import table
 from ..sources.keywords import INSPECTION
+from ..sources.shared import shared_dir
 from .registry import query
 
 HEADERS = ("Feature ID", "Feature Type", "Peak Depth", "Length (mm)", "Log Dist.")
@@ -205,8 +206,7 @@ def parse_quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT cast(s_nationkey AS varchar) AS nation, cast(s_suppkey AS varchar) AS id, s_name AS name FROM supplier")
 def write_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder a nation, written to the session's shared folder and read back as text."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/outputs-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/outputs-{uuid.uuid4().hex}"
     I.write_outputs(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), path, "nation", "csv")
     back = I.read_table(spark, path, "csv", header=False)
     return back.select("nation", F.col("_c0").alias("id"), F.col("_c1").alias("name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -106,19 +107,37 @@ def weld_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.weld_anchors(view(spark, sf_dir, "ili_features"))
 
 
-@query("""SELECT a.line_id, a.gwd_number AS center, (SELECT x.chainage FROM r x WHERE x.line_id = a.line_id AND x.idx = greatest(a.idx - 2, 1)) AS lo, (SELECT x.chainage FROM r x WHERE x.line_id = a.line_id AND x.idx = least(a.idx + 2, a.n)) AS hi FROM r a WHERE a.gwd_number % 50 = 0""".replace("FROM r x", "FROM (SELECT line_id, chainage, row_number() OVER (PARTITION BY line_id ORDER BY chainage, gwd_number) AS idx FROM (SELECT line_id, gwd_number, min(chainage) AS chainage FROM ili_features GROUP BY line_id, gwd_number)) x").replace("FROM r a", "FROM (SELECT line_id, gwd_number, row_number() OVER (PARTITION BY line_id ORDER BY chainage, gwd_number) AS idx, count(*) OVER (PARTITION BY line_id) AS n FROM (SELECT line_id, gwd_number, min(chainage) AS chainage FROM ili_features GROUP BY line_id, gwd_number)) a"), ILI)
+_ANCHORS = ", r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY chainage, gwd_number) AS idx, count(*) OVER (PARTITION BY line_id) AS n, min(chainage) OVER (PARTITION BY line_id) AS lowest FROM (SELECT line_id, gwd_number, min(chainage) AS chainage FROM ili_features GROUP BY line_id, gwd_number))"
+
+
+@query(f"{_ANCHORS} SELECT a.line_id, a.gwd_number AS center, x.chainage AS lo, y.chainage AS hi FROM r a JOIN r x ON x.line_id = a.line_id AND x.idx = greatest(a.idx - 2, 1) JOIN r y ON y.line_id = a.line_id AND y.idx = least(a.idx + 2, a.n)", ILI)
 def weld_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of two welds on each side of every fiftieth weld number."""
+    """The bounds around every weld number."""
     anchors = M.weld_anchors(view(spark, sf_dir, "ili_features"))
-    asked = anchors.where("gwd_number % 50 = 0").select("line_id", F.col("gwd_number").alias("center"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    asked = anchors.select("line_id", F.col("gwd_number").alias("center"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
     return M.weld_bounds(anchors, asked).select("line_id", "center", "lo", "hi")
 
 
-@query("""SELECT line_id, source, gwd_number AS center, role, count(*) AS n FROM (SELECT DISTINCT line_id, source, gwd_number, role FROM ili_features, (VALUES ('upstream'), ('target'), ('downstream')) AS t(role) WHERE feature_type = 'Girth Weld' AND gwd_number % 100 = 0) GROUP BY ALL""", ILI)
+@query(f"{_ANCHORS} SELECT a.line_id, CASE WHEN a.idx % 2 = 0 THEN a.gwd_number END AS first, z.gwd_number AS last, CASE WHEN a.idx % 2 = 0 THEN least(a.chainage, z.chainage) ELSE a.lowest END AS lo, CASE WHEN a.idx % 2 = 0 THEN greatest(a.chainage, z.chainage) ELSE z.chainage END AS hi FROM r a JOIN r z ON z.line_id = a.line_id AND z.idx = a.n + 1 - a.idx", ILI)
+def weld_bounds_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every weld to its mirror image on the line; every other one without a start, which is the line's own."""
+    anchors = M.weld_anchors(view(spark, sf_dir, "ili_features"))
+    by = W.partitionBy("line_id")
+    idx = F.row_number().over(by.orderBy("chainage", "gwd_number"))
+    r = anchors.withColumns({"idx": idx, "far": F.count("*").over(by) + 1 - idx})
+    ends = r.select("line_id", F.col("idx").alias("far"), F.col("gwd_number").alias("end"))
+    asked = r.join(ends, ["line_id", "far"]).select("line_id", F.lit(None).cast("bigint").alias("center"), F.when(F.col("idx") % 2 == 0, F.col("gwd_number")).alias("start"), "end")
+    return M.weld_bounds(anchors, asked).select("line_id", F.col("start").alias("first"), F.col("end").alias("last"), "lo", "hi")
+
+
+@query(""", r AS (SELECT line_id, source, gwd_number, chainage, row_number() OVER (PARTITION BY line_id, source ORDER BY chainage, gwd_number) AS idx, count(*) OVER (PARTITION BY line_id, source) AS n FROM ili_features WHERE feature_type = 'Girth Weld'),
+h AS (SELECT line_id, source, gwd_number, min(idx) AS idx, max(n) AS n FROM r GROUP BY line_id, source, gwd_number)
+SELECT h.line_id, h.source, h.gwd_number AS center, role, x.gwd_number, x.chainage FROM h, (VALUES ('upstream', -2), ('target', 0), ('downstream', 2)) AS t(role, k) JOIN r x ON x.line_id = h.line_id AND x.source = h.source AND x.idx = least(greatest(h.idx + k, 1), h.n)""", ILI)
 def center_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every weld as a centre: itself and the welds at the edges of its window, in every run."""
     g = M.girth_welds(features(spark, sf_dir))
-    center = g.where("gwd_number % 100 = 0").select("line_id", F.col("gwd_number").alias("center")).distinct()
-    return M.center_context(g, center).groupBy("line_id", "source", "center", "role").agg(F.count("*").alias("n"))
+    center = g.select("line_id", F.col("gwd_number").alias("center")).distinct()
+    return M.center_context(g, center).select("line_id", "source", "center", "role", "gwd_number", "chainage")
 
 
 _AROUND = 3.14159 * 273.0

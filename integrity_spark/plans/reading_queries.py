@@ -150,3 +150,41 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT report, {_DATE} AS d FROM report_text", V)
 def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "report_text").select("report", F.date_format(P.report_date(F.col("text")), "yyyy-MM-dd").alias("d"))
+
+
+@query(f"SELECT DISTINCT equipment_id, 'P1R-100' AS cmms_system FROM ({_LOADED})", V)
+def loader_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _rows, assets = R.measurement_loader(single(spark, sf_dir), equipment(spark, sf_dir), ORDER)
+    return assets.toDF("equipment_id", "cmms_system")
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'given' ELSE 'EQUIPMENT_NOT_FOUND' END AS equipment_id, CASE WHEN o_orderkey % 3 = 0 THEN 'seen' ELSE '' END AS comment FROM orders WHERE o_orderkey % 4 <> 3")
+def loader_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table edited by hand: rows with a blank circuit go, comments and a given equipment stay."""
+    k = F.col("o_orderkey")
+    r = table(spark, sf_dir, "orders").select(
+        F.when(k % 4 == 3, F.lit(" ")).otherwise("nowhere").alias("circuit_id"), k.cast("string").alias("cml_id"), F.lit(None).cast("date").alias("measurement_date"), F.lit(0.3).alias("min_reading"), F.when(k % 4 == 0, "given").alias("given_equipment"), F.when(k % 3 == 0, "seen").otherwise("").alias("comment")
+    )
+    rows, _assets = R.measurement_loader(r, equipment(spark, sf_dir), ORDER, edited=True)
+    return rows.select(F.col("TML_ID").cast("long").alias("id"), F.col("`Equipment ID`").alias("equipment_id"), F.col("`Measurement Comment`").alias("comment"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'E1' WHEN 1 THEN 'E2' WHEN 2 THEN 'E0' ELSE 'EQUIPMENT_NOT_FOUND' END AS equipment_id FROM customer")
+def circuit_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circuits that start with a known one, that a known one starts with, that differ in blanks, and that match none;
+    among several the first by order."""
+    k = F.col("c_custkey") % 4
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 0, "52-001K-AB").when(k == 1, "53-0").when(k == 2, "54-7  X").otherwise("99").alias("circuit_id"))
+    known = spark.createDataFrame([("52-001K", "E1", 1), ("52-001K-A", "E9", 2), ("53-002", "E2", 1), ("53-003", "E9", 5), ("54-7 X", "E0", 3)], "circuit_id string, equipment_id string, row_ord int")
+    return R.circuit_to_equipment(asked, known, ORDER).select("id", "equipment_id")
+
+
+_PAGES = "'R' || cast(o_orderkey AS varchar) AS report, k AS page FROM orders, (VALUES (1), (2), (3)) AS v(k)"
+
+
+@query(f"SELECT {_PAGES} WHERE k = CASE WHEN o_orderkey % 2 = 0 THEN 2 END OR (o_orderkey % 2 = 1 AND k < 3)")
+def summary_page_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a report has a summary page only that counts, else every page but those of grids."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    texts = F.array(F.struct(F.lit(1).alias("page"), F.lit("Notes").alias("text")), F.struct(F.lit(2).alias("page"), F.when(F.col("even"), "U T R E P O R T - ELBOW").otherwise("More notes").alias("text")), F.struct(F.lit(3).alias("page"), F.lit("UT Grid 1").alias("text")))
+    return R.summary_pages(o.select("report", F.inline(texts))).select("report", "page")
