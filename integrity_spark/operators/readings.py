@@ -276,13 +276,14 @@ def supplement_readings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFrame:
     """The readings of each report's first admissible strategy. ``found`` has the outputs of tokens, zone, summary,
-    diameter, permissive, split and aggregate (those at hand); each is counted once per report. Where ``meta`` has the
+    diameter, permissive, split and aggregate (those at hand), written once; each is counted once per report. Where ``meta`` has the
     readings and the length of the text, tokens are tried only for reports without readings, with little text, with nothing
     but zeros, or with three CMLs or more."""
     frames = [df.select(*OUT).withColumn("strategy", F.lit(k)) for k, df in found.items()]
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
+    rows = kept(rows, "strategies")
     counts = rows.groupBy("report").pivot("strategy", list(found)).count().fillna(0)
     extra = [c for c in ("readings", "text_length") if c in meta.columns]
     m = meta.select("report", F.size("cml_ids").alias("n"), *extra).join(counts, "report", "left").fillna(0)
@@ -302,8 +303,8 @@ def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFram
 def parse_many_reports(pages: DataFrame, rows: DataFrame, tokens: DataFrame | None = None, hints: Mapping[str, str] | None = None) -> DataFrame:
     """All reports in one job: every strategy on the pages to process, the first admissible one of each report, the
     lowest reading of each CML."""
-    meta = report_metadata(pages)
-    use = summary_pages(pages)
+    meta = kept(report_metadata(pages), "meta")
+    use = kept(summary_pages(pages), "pages")
     own = rows.join(use.select("report", "page").distinct(), ["report", "page"], "left_semi")
     titled = rows.join(use.where("is_summary").select("report", "page").distinct(), ["report", "page"], "left_semi")
     slim = meta.select("report", "circuit_id", "measurement_date", "cml_ids")
