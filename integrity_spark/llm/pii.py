@@ -29,17 +29,20 @@ from pyspark.sql import functions as F
 from .common import written
 from .spans import clear_of, digits, let, luhn, matches
 
-# The kinds with their patterns. The look-behinds only spare hopeless starts inside a run.
+# The kinds with their patterns. The look-behinds spare hopeless starts inside a run; where they can, they
+# stand after the first character, as most positions of a text fail at that.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "name": r"(?<![\p{L}])(?!(?:Mr|Mrs|Ms|Dr|Herr|Frau|Dear|Contact|Name|Signed|Monsieur|Madame|Se\u00f1or|Se\u00f1ora|The|And|For|From) )\p{Lu}\p{Ll}{1,20} \p{Lu}\p{Ll}{1,20}(?![\p{L}])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "name": r"(?=\p{Lu})(?<![\p{L}])(?!(?:Mr|Mrs|Ms|Dr|Herr|Frau|Dear|Contact|Name|Signed|Monsieur|Madame|Se\u00f1or|Se\u00f1ora|The|And|For|From) )\p{Lu}\p{Ll}{1,20} \p{Lu}\p{Ll}{1,20}(?![\p{L}])",
+    "ssn": r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
 }
 KINDS, BASE = list(PATTERNS), 4
+#: What each match of a kind holds; a text without it is not scanned for that kind.
+NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 GAZETTEER = {
     "email": r"(?i)\.(com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$",
     "ip": r"^(10|127|169\.254|172\.(1[6-9]|2[0-9]|3[01])|192\.168)\.",
@@ -102,7 +105,7 @@ def candidate(kind: str, s: Column) -> Column:
 
 def candidates(docs: DataFrame, text_col: str = "text") -> Column:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = [F.transform(matches(text, PATTERNS[kind]), partial(candidate, kind)) for kind in KINDS]
+    each = [F.transform(matches(text, PATTERNS[kind], need=NEEDS.get(kind)), partial(candidate, kind)) for kind in KINDS]
     return F.concat(*each).cast(CANDIDATE)
 
 

@@ -43,21 +43,28 @@ def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
     return let(values, whole)
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost non-overlapping matches: start, end, the match, one group of it, and a little text on both sides."""
-    whole = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts"))
+def matches(text: Column, pattern: str, group: int = 0, need: str | None = None) -> Column:
+    """All leftmost non-overlapping matches: start, end, the match, one group of it, and a little text on both sides.
+    ``need`` is a string that every match holds, which is looked for first."""
+    every = [F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")]
+    if group:
+        every.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts"))
+    whole = F.struct(*every)
 
     def placed(x: Column) -> Column:
         ends = running(F.transform(x.hits, lambda hit, i: (F.length(F.get(x.gaps, i)) + F.length(hit)).cast("bigint")), lambda a, b: a + b)
 
         def span(end: Column, i: Column) -> Column:
             hit = F.get(x.hits, i)
-            return F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit"), F.get(x.parts, i).alias("part"), F.right(F.get(x.gaps, i), F.lit(LEFT)).alias("before"), F.left(F.get(x.gaps, i + 1), F.lit(RIGHT)).alias("after"))
+            return F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit"), (F.get(x.parts, i) if group else hit).alias("part"), F.right(F.get(x.gaps, i), F.lit(LEFT)).alias("before"), F.left(F.get(x.gaps, i + 1), F.lit(RIGHT)).alias("after"))
 
         return F.transform(ends, span)
 
     none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), let(whole, placed)).otherwise(none)
+    some = F.regexp_like(text, F.lit(pattern))
+    if need is not None:
+        some = F.contains(text, F.lit(need)) & some
+    return F.when(some, let(whole, placed)).otherwise(none)
 
 
 def clear_of(spans: Column, base: Column) -> Column:
