@@ -46,14 +46,14 @@ PEM = (
     + rf"|(?:{_BREAK}{{0,8}}+[A-Za-z0-9+/]{{24,}}+={{0,2}}+){{1,500}}+(?:{_BREAK}{{1,8}}+[A-Za-z0-9+/]{{1,23}}+={{0,2}}+(?=[\r\n\\\x22']|\z))?+))?+"
 )
 BASE_RULES = (
-    Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
+    Rule("assign", 1, r"""(?i)(?=[psta])(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}+"),
-    Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{24,}+"),
+    Rule("hex", 1, r"[0-9a-f](?<![0-9a-f][0-9a-f])[0-9a-f]{23,}+"),
 )
 MORE_RULES = (
     Rule("pem", 2, PEM),
-    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
-    Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+"),
+    Rule("jwt", 1, r"e(?<![A-Za-z0-9_-]e)yJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
+    Rule("github", 1, r"g(?<![A-Za-z0-9_]g)h[pousr]_[A-Za-z0-9]{36,}+"),
 )
 RULES = BASE_RULES + MORE_RULES
 FINDINGS = "array<struct<start:bigint,order:int,end:bigint,kind:string,rule:string>>"
