@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pressure as P
 from ..functions.scalars import is_defect, number_of
+from .quality import percentiles
 
 YEARS = 11
 
@@ -178,7 +179,10 @@ def growth_table(df: DataFrame, months: int, rates: dict[str, float], pipe: Pipe
 def fit_errors(compared: DataFrame, actual: str, expected: str) -> DataFrame:
     d = F.col(actual) - F.col(expected)
     pct = F.try_divide(d, F.col(expected)) * 100.0
-    return compared.agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(pct).alias("bias_pct"), F.percentile(F.abs(pct), F.lit(0.9)).alias("p90_pct"), F.count_if(F.abs(pct) > 10).alias("outside_10_pct"))
+    one = compared.agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(pct).alias("bias_pct"), F.count_if(F.abs(pct) > 10).alias("outside_10_pct"))
+    p90 = percentiles(compared.select(F.lit("pct").alias("column"), F.abs(pct).alias("v")), (0.9,))
+    met = one.withColumn("column", F.lit("pct")).join(p90.hint("broadcast"), "column", "left")
+    return met.select("n", "rmse", "bias_pct", F.get("q", F.lit(0)).alias("p90_pct"), "outside_10_pct")
 
 
 def calibrate(reference: DataFrame, grid: DataFrame, tolerance: float, top: int = 15) -> DataFrame:
