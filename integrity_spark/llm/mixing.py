@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
+from .spans import let
 
 # The topic lexicon.
 TOPICS = {
@@ -43,18 +44,25 @@ SEED = "mix-1"
 
 
 def topic_of(text: Column) -> Column:
-    names = list(TOPICS)
-    pattern = r"(?i)\b(?:" + "|".join(w for ws in TOPICS.values() for w in ws) + r")\b"
+    names, words = list(TOPICS), [w for ws in TOPICS.values() for w in ws]
+    initials = "".join(sorted({w[0] for w in words}))  # most positions of a text fail at these
+    pattern = rf"(?i)(?=[{initials}])\b(?:" + "|".join(words) + r")\b"
     index = F.create_map(*(F.lit(x) for k, ws in enumerate(TOPICS.values()) for w in ws for x in (w, k)))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: index[F.lower(w)])
-    best = F.array_max(F.transform(F.array(*map(F.lit, range(len(names)))), lambda k: F.struct(F.size(F.filter(found, lambda f: f == k)).alias("n"), (-k).alias("k"))))
-    return F.when(best.n > 0, F.get(F.array(*map(F.lit, names)), -best.k)).otherwise("general")
+
+    def most(ks: Column) -> Column:
+        def share(k: int) -> Column:
+            return F.struct(F.size(F.filter(ks, lambda f: f == k)).alias("n"), F.lit(-k).alias("k"))
+
+        return F.array_max(F.array(*map(share, range(len(names)))))
+
+    return let(let(found, most), lambda best: F.when(best.n > 0, F.get(F.array(*map(F.lit, names)), -best.k)).otherwise("general"))
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``topic`` and ``tokens`` (words of the whole text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"topic": topic_of(text), "tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
+    return docs.withColumns({"topic": topic_of(text), "tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")})
 
 
 def cell(name: str) -> Column:
