@@ -140,12 +140,12 @@ def seam_by_chainage(spans: DataFrame, seams: DataFrame, keys: Sequence[str] = (
 
 def positional_welds(girth: DataFrame, matrix_gwds: DataFrame) -> DataFrame:
     """Pair welds by offset from their anchors: of the girth list the weld nearest chainage 0, of the matrix its target
-    column, else the middle one."""
-    g = girth.withColumn("idx", F.row_number().over(W.partitionBy("program_id").orderBy("chainage")))
+    column, else the middle one. A girth list may bring its own order as ``idx``."""
+    g = girth if "idx" in girth.columns else girth.withColumn("idx", F.row_number().over(W.partitionBy("program_id").orderBy("chainage")))
     zero = g.groupBy("program_id").agg(F.min_by("idx", F.struct(F.abs("chainage"), "idx")).alias("anchor"))
     m = matrix_gwds.withColumn("idx", F.row_number().over(W.partitionBy("program_id").orderBy("ord")))
     mid = m.groupBy("program_id").agg(F.coalesce(F.min(F.when(F.col("is_target"), F.col("idx"))), F.floor(F.count("*") / 2).cast("int") + 1).alias("anchor"))
-    a = g.join(zero, "program_id").select("program_id", "chainage", (F.col("idx") - F.col("anchor")).alias("offset"))
+    a = g.join(zero, "program_id").select("program_id", "idx", "chainage", (F.col("idx") - F.col("anchor")).alias("offset"))
     return a.join(m.join(mid, "program_id").select("program_id", "gwd", (F.col("idx") - F.col("anchor")).alias("offset")), ["program_id", "offset"])
 
 
@@ -194,16 +194,42 @@ def tgw_layout(order: DataFrame, lengths: DataFrame, matrix: DataFrame) -> tuple
     return girths.drop("k"), seams
 
 
+def first_source_welds(matrix: DataFrame, order: DataFrame) -> DataFrame:
+    """The welds of each program's first joint source in order of their numbers, with the seam of each."""
+    of_source = matrix.groupBy("program_id", "source").agg(F.min("row").alias("row"))
+    first = of_source.groupBy("program_id").agg(F.min_by("source", F.struct("row", "source")).alias("source"))
+    welds = matrix.join(first, ["program_id", "source"]).groupBy("program_id", "source", "gwd").agg(F.min("hours").alias("hours"))
+    marked = order.where("is_target").select("program_id", "gwd", F.lit(True).alias("is_target")).distinct()
+    return welds.join(marked, ["program_id", "gwd"], "left").withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "ord": F.col("gwd")})
+
+
+def seam_spans_of_welds(welds: DataFrame, matrix: DataFrame) -> DataFrame:
+    """From each weld (``idx`` is its place) to the next one, the seam of every joint source that has the weld's number
+    or one within reach; the first of equal spans of a source."""
+    by = W.partitionBy("program_id").orderBy("idx")
+    spans = welds.withColumn("chainage_end", F.lead("chainage").over(by)).where("chainage_end IS NOT NULL AND gwd IS NOT NULL").drop("source")
+    met = seam_for_weld(spans.join(matrix.select("program_id", "source").distinct(), "program_id"), matrix).where("seam_hours IS NOT NULL")
+    one = F.struct("gwd", F.col("seam_hours").alias("orientation_hours"), F.col("seam_label").alias("orientation_label"))
+    return met.groupBy("program_id", "source", F.col("chainage").alias("chainage_start"), "chainage_end").agg(F.min_by(one, "idx").alias("s")).select("program_id", "source", "s.gwd", "chainage_start", "chainage_end", "s.orientation_hours", "s.orientation_label")
+
+
 def dig_feature_map(features: DataFrame, girth: DataFrame, matrix_cells: DataFrame, order: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A dig's map: features (distance from the target preferred), and welds and seams from the four-weld layout where a
-    program has one, else the weld list with each weld's seam."""
-    x = F.coalesce("distance_from_tgw", "chainage")
-    f = features.withColumn("chainage", x).where("chainage IS NOT NULL")
+    """A dig's map: features (distance from the target preferred), welds and seams. These come from the four-weld layout
+    where a program has one, else from its weld list, whose welds without number take the matrix's by position. A program
+    with features and a matrix, but no span, has one seam without ends: that of the first source's middle weld."""
+    f = features.withColumn("chainage", F.coalesce("distance_from_tgw", "chainage")).where("chainage IS NOT NULL")
     matrix = unpivot_joint_matrix(matrix_cells)
+    first = first_source_welds(matrix, order)
     g4, s4 = tgw_layout(order, joint_lengths(lengths), matrix)
     laid = s4.select("program_id").distinct()
-    rest = seam_for_weld(girth.join(laid, "program_id", "left_anti"), matrix)
-    by = W.partitionBy("program_id", "source").orderBy("chainage")
-    spans = rest.withColumn("chainage_end", F.lead("chainage").over(by)).where("seam_hours IS NOT NULL").select("program_id", "source", "gwd", F.col("chainage").alias("chainage_start"), "chainage_end", F.col("seam_hours").alias("orientation_hours"), F.col("seam_label").alias("orientation_label"))
+    by = W.partitionBy("program_id").orderBy("chainage", "gwd", "source")
+    rest = girth.where("chainage IS NOT NULL").join(laid, "program_id", "left_anti").withColumn("idx", F.row_number().over(by))
+    placed = positional_welds(rest.select("program_id", "idx", "chainage"), first.select("program_id", "gwd", "ord", "is_target")).select("program_id", "idx", F.col("gwd").alias("placed"))
+    rest = rest.join(placed, ["program_id", "idx"], "left").withColumn("gwd", F.coalesce("gwd", "placed")).drop("placed")
+    spans = s4.unionByName(seam_spans_of_welds(rest, matrix))
+    middle = first.groupBy("program_id").agg(F.array_sort(F.collect_list(F.struct("gwd", "hours", "source"))).alias("w")).withColumn("w", F.get("w", F.floor(F.size("w") / 2).cast("int")))
+    lone = middle.join(f.select("program_id").distinct(), "program_id", "left_semi").join(spans.select("program_id").distinct(), "program_id", "left_anti")
+    none = F.lit(None).cast("double")
+    lone = lone.select("program_id", "w.source", "w.gwd", none.alias("chainage_start"), none.alias("chainage_end"), F.col("w.hours").alias("orientation_hours"), hours_to_clock(F.col("w.hours")).alias("orientation_label"))
     welds = g4.join(laid, "program_id", "left_semi").unionByName(rest.select("program_id", "gwd", "chainage", F.concat(F.lit("GWD "), F.col("gwd").cast("string")).alias("label")))
-    return f, welds, s4.unionByName(spans)
+    return f, welds, spans.unionByName(lone)

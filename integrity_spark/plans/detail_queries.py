@@ -144,21 +144,37 @@ def seam_carry_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.seam_carry_upstream(rows).select("gwd", "program_id", F.round("hours", 6).alias("hours"))
 
 
-def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matrix a nation: welds in the header, twice each for two sources, and seam clocks of both in one row."""
-    n = table(spark, sf_dir, "nation")
+def matrix_cells(programs: DataFrame, key: str, hour: str) -> DataFrame:
+    """A matrix a program: welds in the header, twice each for two sources, and seam clocks of both in one row."""
     cell = lambda r, c, v: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.expr(v).cast("string").alias("value"))
     label = "'Long Seam Orientation (Run 1) (Run 2)'"
     cells = [cell(0, 0, "'Metric'"), cell(0, 1, "'Source'"), cell(1, 0, label), cell(1, 1, "''"), cell(2, 0, "'Length (m)'"), cell(2, 1, "'Run 1'"), cell(3, 0, "'Seam'"), cell(3, 1, "'Run 3'")]
     for c in range(4):
-        cells += [cell(0, 2 + c, f"concat('GWD ', cast(1000 + 10 * n_nationkey + {c // 2} AS string))"), cell(1, 2 + c, f"concat(cast(n_regionkey + {c} AS string), ':30')"), cell(2, 2 + c, "12.5"), cell(3, 2 + c, f"CASE WHEN {c} = 0 THEN '13' ELSE cast(n_regionkey AS string) END")]
-    return n.select(F.col("n_nationkey").cast("string").alias("program_id"), F.inline(F.array(*cells)))
+        cells += [cell(0, 2 + c, f"concat('GWD ', cast(1000 + 10 * ({key} % 5000) + {c // 2} AS string))"), cell(1, 2 + c, f"concat(cast({hour} + {c} AS string), ':30')"), cell(2, 2 + c, "12.5"), cell(3, 2 + c, f"CASE WHEN {c} = 0 THEN '13' ELSE cast({hour} AS string) END")]
+    return programs.select(F.col(key).cast("string").alias("program_id"), F.inline(F.array(*cells)))
 
 
 @query("SELECT cast(n_nationkey AS varchar) AS program_id, 1000 + 10 * n_nationkey + c // 2 AS gwd, CASE WHEN c % 2 = 0 THEN 'Run 1' ELSE 'Run 2' END AS source, n_regionkey + c + 0.5e0 AS hours FROM nation, (SELECT unnest(range(0, 4)) AS c) UNION ALL SELECT cast(n_nationkey AS varchar), 1000 + 10 * n_nationkey + c // 2, CASE WHEN c % 2 = 0 THEN 'Run 3' ELSE 'Run 3 #2' END, n_regionkey FROM nation, (SELECT unnest(range(1, 4)) AS c)")
 def unpivot_joint_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clocks and numbers between 0 and 12 of seam rows only; later copies of a weld are its other sources."""
-    return J.unpivot_joint_matrix(matrix_cells(spark, sf_dir)).select("program_id", "gwd", "source", F.round("hours", 6).alias("hours"))
+    return J.unpivot_joint_matrix(matrix_cells(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey")).select("program_id", "gwd", "source", F.round("hours", 6).alias("hours"))
+
+
+_SEAMS = "(VALUES (0, 'Run 1', 0.5e0), (0, 'Run 2', 1.5e0), (0, 'Run 3', 0e0), (0, 'Run 3 #2', 0e0), (1, 'Run 1', 2.5e0), (1, 'Run 2', 3.5e0), (1, 'Run 3', 0e0), (1, 'Run 3 #2', 0e0)) AS v(k, source, plus)"
+
+
+@query(f"SELECT cast(s_suppkey AS varchar) AS program_id, source, 1000 + 10 * (s_suppkey % 5000) + k AS gwd, 12e0 * (k - s_suppkey % 3) AS chainage_start, 12e0 * (k + 1 - s_suppkey % 3) AS chainage_end, s_nationkey % 5 + plus AS hours FROM supplier, {_SEAMS} WHERE s_suppkey % 3 < 2 UNION ALL SELECT cast(s_suppkey AS varchar), 'Run 1', 1000 + 10 * (s_suppkey % 5000) + 1, NULL, NULL, s_nationkey % 5 + 2.5e0 FROM supplier WHERE s_suppkey % 3 = 2")
+def dig_feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seams of digs whose welds have numbers, whose welds have none and meet the matrix by place, and of digs without welds."""
+    s = table(spark, sf_dir, "supplier").withColumns({"program_id": F.col("s_suppkey").cast("string"), "kind": F.col("s_suppkey") % 3, "hour": F.col("s_nationkey") % 5})
+    feats = s.select("program_id", F.lit(5.0).alias("chainage"), F.lit(1.5).alias("distance_from_tgw"))
+    weld = F.struct(F.when(F.col("kind") == 0, 1000 + 10 * (F.col("s_suppkey") % 5000) + F.col("k")).alias("gwd"), (12.0 * (F.col("k") - F.col("kind"))).alias("chainage"))
+    girth = s.where("kind < 2").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("program_id", F.lit("Run 1").alias("source"), weld.alias("w")).select("program_id", "source", "w.*")
+    cells = matrix_cells(s, "s_suppkey", "hour")
+    order = s.limit(0).select("program_id", F.lit(0).cast("long").alias("gwd"), F.lit(0).alias("ord"), F.lit(False).alias("is_target"))
+    lengths = s.limit(0).select("program_id", F.lit(0).cast("long").alias("gwd"), F.lit(0.0).alias("length_m"))
+    seams = J.dig_feature_map(feats, girth, cells, order, lengths)[2]
+    return seams.select("program_id", "source", "gwd", "chainage_start", "chainage_end", F.round("orientation_hours", 6).alias("hours"))
 
 
 @query("SELECT cast(n_nationkey AS varchar) AS program_id, k AS row, CASE k WHEN 4 THEN 'Depth' ELSE 'Seam' END AS metric, CASE k WHEN 4 THEN n_name ELSE CASE least(k, 2) WHEN 1 THEN 'Run 1' ELSE 'Run 2' END END AS source, CASE k WHEN 4 THEN 1 ELSE k END AS occurrence FROM nation, (SELECT unnest(range(1, 5)) AS k)")
