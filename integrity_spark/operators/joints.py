@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_to_hours, collapsed, hours_to_clock, to_number
+from ..sources.shared import kept
 from .ranges import nearest_value
 
 # Words that name no source, unit-like qualifiers, words of metric labels.
@@ -218,7 +219,7 @@ def dig_feature_map(features: DataFrame, girth: DataFrame, matrix_cells: DataFra
     where a program has one, else from its weld list, whose welds without number take the matrix's by position. A program
     with features and a matrix, but no span, has one seam without ends: that of the first source's middle weld."""
     f = features.withColumn("chainage", F.coalesce("distance_from_tgw", "chainage")).where("chainage IS NOT NULL")
-    matrix = unpivot_joint_matrix(matrix_cells)
+    matrix = kept(unpivot_joint_matrix(matrix_cells), "matrix")
     first = first_source_welds(matrix, order)
     g4, s4 = tgw_layout(order, joint_lengths(lengths), matrix)
     laid = s4.select("program_id").distinct()
@@ -226,7 +227,7 @@ def dig_feature_map(features: DataFrame, girth: DataFrame, matrix_cells: DataFra
     rest = girth.where("chainage IS NOT NULL").join(laid, "program_id", "left_anti").withColumn("idx", F.row_number().over(by))
     placed = positional_welds(rest.select("program_id", "idx", "chainage"), first.select("program_id", "gwd", "ord", "is_target")).select("program_id", "idx", F.col("gwd").alias("placed"))
     rest = rest.join(placed, ["program_id", "idx"], "left").withColumn("gwd", F.coalesce("gwd", "placed")).drop("placed")
-    spans = s4.unionByName(seam_spans_of_welds(rest, matrix))
+    spans = kept(s4.unionByName(seam_spans_of_welds(rest, matrix)), "seams")
     middle = first.groupBy("program_id").agg(F.array_sort(F.collect_list(F.struct("gwd", "hours", "source"))).alias("w")).withColumn("w", F.get("w", F.floor(F.size("w") / 2).cast("int")))
     lone = middle.join(f.select("program_id").distinct(), "program_id", "left_semi").join(spans.select("program_id").distinct(), "program_id", "left_anti")
     none = F.lit(None).cast("double")
