@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dash_default, dimensions_match, is_dig_weld, normalize_key, safe_name, number_of, split_multivalue
-from ..sources.shared import kept, numbered
+from ..sources.shared import kept, numbered, small_or_merged
+from .ordered import key_size, lag, lead, row_number, scan
 from .ranges import nearest_value, range_join
 
 SIDE_M, BUFFER_M, WELDS, BIN_M = 30.0, 0.5, 3, 64.0
@@ -58,12 +58,13 @@ def match_by_dimensions(mdl: DataFrame, ili: DataFrame, by: Sequence[str] = ("li
 
 def locate_target_weld(mdl: DataFrame, ili: DataFrame, order: Sequence[str]) -> DataFrame:
     """The target weld's chainage for each dig and run. Columns are searched in turn; of each, only the first matching
-    row (by ``order``) counts, and the first numeric chainage wins. Digs reach every run of their line."""
+    row (by ``order``) counts, and the first numeric chainage wins. Digs reach every run of their line. A list of digs that is
+    small picks its rows where the listing lies; only a long one shuffles the listing."""
     keys = [c for c in ("gwd_number", "feature_id", "feature_desc", "girth_weld") if c in ili.columns]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("prio"), normalize_key(F.col(c)).alias("key")) for k, c in enumerate(keys))))
     searched = ili.select(*RUN, number_of(ili, "chainage").alias("x"), *(F.col(c).alias(f"o_{c}") for c in order), each.alias("s")).select("*", "s.*").drop("s").where("key <> ''")
-    first = mdl.groupBy("dig_id", "line_id").agg(F.min("target_girth_weld").alias("target_girth_weld")).withColumn("key", normalize_key(F.col("target_girth_weld")))
-    met = first.join(searched.hint("merge"), ["line_id", "key"])
+    first = kept(mdl.groupBy("dig_id", "line_id").agg(F.min("target_girth_weld").alias("target_girth_weld")).withColumn("key", normalize_key(F.col("target_girth_weld"))), "targets")
+    met = searched.join(small_or_merged(first), ["line_id", "key"])
     head = met.groupBy("dig_id", *RUN, "prio").agg(F.min_by(F.struct("x"), F.struct(*(f"o_{c}" for c in order))).alias("h"))
     found = head.where("h.x IS NOT NULL").groupBy("dig_id", *RUN).agg(F.min_by("h.x", "prio").alias("target_chainage"))
     runs = ili.select(*RUN).distinct()
@@ -75,14 +76,11 @@ def weld_window(targets: DataFrame, ili: DataFrame, n: int = WELDS) -> DataFrame
     buffer; 30 m on a side without welds; no bounds and chainage 0 where the target wasn't found."""
     x = number_of(ili, "chainage")
     welds = ili.where(is_dig_weld(F.col("feature_type")) & x.isNotNull()).select(*RUN, x.alias("x"))
-    welds = welds.withColumn("idx", F.row_number().over(W.partitionBy(*RUN).orderBy("x")))
-    at = nearest_value(targets, welds, RUN, "target_chainage", "x", "near")
-    places = welds.groupBy(*RUN, "x").agg(F.min("idx").alias("idx")).withColumnRenamed("x", "near")
-    sizes = welds.groupBy(*RUN).agg(F.count("*").alias("n"))
-    at = at.join(places, [*RUN, "near"], "left").join(sizes, list(RUN), "left")
-    at = at.withColumns({"up": F.when(F.col("idx") > 1, F.greatest(F.col("idx") - n, F.lit(1))).cast("int"), "down": F.when(F.col("idx") < F.col("n"), F.least(F.col("idx") + n, F.col("n"))).cast("int")})
-    for side in ("up", "down"):
-        at = at.join(welds.select(*RUN, F.col("idx").alias(side), F.col("x").alias(f"x_{side}")), [*RUN, side], "left")
+    first = welds.groupBy(*RUN).agg(F.min("x").alias("x_first"), F.max("x").alias("x_last"))
+    placed = scan(welds, RUN, ["x"], {"idx": row_number(), "n": key_size(), "x_up": lag("x", n), "x_down": lead("x", n)}).join(first, list(RUN))
+    sides = {"x_up": F.when(F.col("idx") > 1, F.coalesce("x_up", "x_first")), "x_down": F.when(F.col("idx") < F.col("n"), F.coalesce("x_down", "x_last"))}
+    places = placed.withColumns(sides).groupBy(*RUN, F.col("x").alias("near")).agg(F.min_by(F.struct("x_up", "x_down"), "idx").alias("s")).select(*RUN, "near", "s.*")
+    at = nearest_value(targets, welds, RUN, "target_chainage", "x", "near").join(places, [*RUN, "near"], "left")
     t = F.col("target_chainage")
     pad = F.when(F.col("near").isNotNull(), BUFFER_M).otherwise(0.0)
     lo, hi = F.coalesce("x_up", t - SIDE_M) - pad, F.coalesce("x_down", t + SIDE_M) + pad

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_to_degrees, clock_to_hours, hours_to_clock, hover_text, is_defect, is_map_weld, number_of, to_number
+from .ordered import lag, lead, row_number, scan
 
 DEFAULT_HOURS = 6.0
 # Outside diameter (mm) by nominal pipe size.
@@ -49,8 +50,7 @@ def girth_welds(features: DataFrame) -> DataFrame:
 
 def seam_spans(girth: DataFrame) -> DataFrame:
     """Each weld's span ends at the next weld of its line; the last has no end. Only weld rows are sorted."""
-    order = W.partitionBy("line_id").orderBy("chainage", "gwd_number", "source")
-    return girth.withColumn("chainage_end", F.lead("chainage").over(order)).withColumnRenamed("chainage", "chainage_start")
+    return scan(girth, ["line_id"], ["chainage", "gwd_number", "source"], {"chainage_end": lead("chainage")}).withColumnRenamed("chainage", "chainage_start")
 
 
 def seam_welds(features: DataFrame) -> DataFrame:
@@ -153,15 +153,12 @@ def weld_anchors(df: DataFrame) -> DataFrame:
 
 def weld_bounds(anchors: DataFrame, asked: DataFrame, n: int = 2) -> DataFrame:
     """Chainage bounds for rows ``(line_id, center, start, end)``: with a centre, n anchors on each side, clamped; else
-    from the start to the end weld, a missing one standing for the line's end; an unknown centre gives none. The anchors
-    of a line are ranked once; bounds are equi-joins on the rank."""
-    order = W.partitionBy("line_id").orderBy("chainage", "gwd_number")
-    ranked = anchors.withColumns({"idx": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("line_id")), "lo": F.min("chainage").over(W.partitionBy("line_id")), "hi": F.max("chainage").over(W.partitionBy("line_id"))})
-    at = {k: ranked.select("line_id", F.col("idx").alias(f"idx_{k}"), F.col("chainage").alias(f"x_{k}")) for k in ("lo", "hi")}
-    hit = ranked.select("line_id", F.col("gwd_number").alias("center"), "idx", "n")
-    centered = asked.where("center IS NOT NULL").join(hit, ["line_id", "center"], "left").withColumns({"idx_lo": F.when(F.col("idx").isNotNull(), F.greatest(F.col("idx") - n, F.lit(1))), "idx_hi": F.when(F.col("idx").isNotNull(), F.least(F.col("idx") + n, F.col("n")))})
-    centered = centered.join(at["lo"], ["line_id", "idx_lo"], "left").join(at["hi"], ["line_id", "idx_hi"], "left").select(*asked.columns, F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"))
-    ends = ranked.select("line_id", "lo", "hi").distinct()
+    from the start to the end weld, a missing one standing for the line's end; an unknown centre gives none. One ordered
+    scan of the anchors finds the bounds of every centre; rows asked for join it by their number."""
+    ends = anchors.groupBy("line_id").agg(F.min("chainage").alias("lo"), F.max("chainage").alias("hi"))
+    placed = scan(anchors.select("line_id", "gwd_number", "chainage"), ["line_id"], ["chainage", "gwd_number"], {"x_lo": lag("chainage", n), "x_hi": lead("chainage", n)})
+    hit = placed.withColumnsRenamed({"gwd_number": "center"}).join(ends, "line_id").select("line_id", "center", F.coalesce("x_lo", "lo").alias("x_lo"), F.coalesce("x_hi", "hi").alias("x_hi"))
+    centered = asked.where("center IS NOT NULL").join(hit, ["line_id", "center"], "left").select(*asked.columns, F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"))
     x = anchors.select("line_id", "gwd_number", "chainage")
     spans = asked.where("center IS NULL").join(ends, "line_id", "left")
     spans = spans.join(x.withColumnsRenamed({"gwd_number": "start", "chainage": "x_start"}), ["line_id", "start"], "left").join(x.withColumnsRenamed({"gwd_number": "end", "chainage": "x_end"}), ["line_id", "end"], "left")
@@ -171,12 +168,13 @@ def weld_bounds(anchors: DataFrame, asked: DataFrame, n: int = 2) -> DataFrame:
 
 def center_context(girth: DataFrame, center: DataFrame, n: int = 2) -> DataFrame:
     """For each ``(line_id, center)`` and source: the centre weld and the window-edge welds up- and downstream."""
-    by = W.partitionBy("line_id", "source").orderBy("chainage", "gwd_number")
-    r = girth.where("gwd_number IS NOT NULL").withColumn("idx", F.row_number().over(by)).withColumn("n", F.count("*").over(W.partitionBy("line_id", "source")))
-    hit = r.join(center.withColumnRenamed("center", "gwd_number"), ["line_id", "gwd_number"]).groupBy("line_id", "source", "gwd_number").agg(F.min("idx").alias("idx"), F.max("n").alias("n"))
-    roles = F.explode(F.array(F.struct(F.lit("upstream").alias("role"), F.greatest(F.col("idx") - n, F.lit(1)).cast("int").alias("at")), F.struct(F.lit("target").alias("role"), F.col("idx").cast("int").alias("at")), F.struct(F.lit("downstream").alias("role"), F.least(F.col("idx") + n, F.col("n")).cast("int").alias("at"))))
-    asked = hit.withColumn("r", roles).select("line_id", "source", F.col("gwd_number").alias("center"), "r.role", F.col("r.at").alias("idx"))
-    return asked.join(r.select("line_id", "source", "idx", "gwd_number", "chainage"), ["line_id", "source", "idx"]).drop("idx")
+    own = girth.where("gwd_number IS NOT NULL").select("line_id", "source", "gwd_number", "chainage").withColumn("w", F.struct("gwd_number", "chainage"))
+    r = scan(own, ["line_id", "source"], ["chainage", "gwd_number"], {"idx": row_number(), "up": lag("w", n), "down": lead("w", n)})
+    ends = own.groupBy("line_id", "source").agg(F.min_by("w", F.struct("chainage", "gwd_number")).alias("first"), F.max_by("w", F.struct("chainage", "gwd_number")).alias("last"))
+    met = r.join(center.withColumnRenamed("center", "gwd_number").hint("merge"), ["line_id", "gwd_number"]).groupBy("line_id", "source", "gwd_number").agg(F.min_by(F.struct("up", "w", "down"), "idx").alias("s"))
+    three = {"upstream": F.coalesce("s.up", "first"), "target": F.col("s.w"), "downstream": F.coalesce("s.down", "last")}
+    roles = F.inline(F.array(*(F.struct(F.lit(k).alias("role"), w.gwd_number.alias("gwd_number"), w.chainage.alias("chainage")) for k, w in three.items())))
+    return met.withColumnRenamed("gwd_number", "center").join(ends, ["line_id", "source"]).select("line_id", "source", "center", roles)
 
 
 def feature_boxes(features: DataFrame, nominal_size: int = 10) -> DataFrame:

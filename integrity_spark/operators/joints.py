@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_to_hours, collapsed, hours_to_clock, to_number
 from ..sources.shared import kept
+from .ordered import key_size, lag, lead, row_number, scan
 from .ranges import nearest_value
 
 # Words that name no source, unit-like qualifiers, words of metric labels.
@@ -142,17 +143,19 @@ def seam_by_chainage(spans: DataFrame, seams: DataFrame, keys: Sequence[str] = (
 def positional_welds(girth: DataFrame, matrix_gwds: DataFrame) -> DataFrame:
     """Pair welds by offset from their anchors: of the girth list the weld nearest chainage 0, of the matrix its target
     column, else the middle one. A girth list may bring its own order as ``idx``."""
-    g = girth if "idx" in girth.columns else girth.withColumn("idx", F.row_number().over(W.partitionBy("program_id").orderBy("chainage")))
+    g = girth if "idx" in girth.columns else scan(girth, ["program_id"], ["chainage"], {"idx": row_number()})
     zero = g.groupBy("program_id").agg(F.min_by("idx", F.struct(F.abs("chainage"), "idx")).alias("anchor"))
-    m = matrix_gwds.withColumn("idx", F.row_number().over(W.partitionBy("program_id").orderBy("ord")))
-    mid = m.groupBy("program_id").agg(F.coalesce(F.min(F.when(F.col("is_target"), F.col("idx"))), F.floor(F.count("*") / 2).cast("int") + 1).alias("anchor"))
+    m = scan(matrix_gwds, ["program_id"], ["ord"], {"idx": row_number()})
+    mid = m.groupBy("program_id").agg(F.coalesce(F.min(F.when(F.col("is_target"), F.col("idx"))), F.floor(F.count("*") / 2) + 1).alias("anchor"))
     a = g.join(zero, "program_id").select("program_id", "idx", "chainage", (F.col("idx") - F.col("anchor")).alias("offset"))
     return a.join(m.join(mid, "program_id").select("program_id", "gwd", (F.col("idx") - F.col("anchor")).alias("offset")), ["program_id", "offset"])
 
 
 def dedupe_welds(girth: DataFrame) -> DataFrame:
-    by = W.partitionBy("program_id", collapsed(F.col("source")), F.bround("chainage", 6), "gwd").orderBy("chainage")
-    return girth.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+    """One row, that of the lowest chainage, of each program, source, chainage to 6 decimals and number."""
+    key = {"__s": collapsed(F.col("source")), "__x": F.bround("chainage", 6)}
+    first = girth.withColumns(key).groupBy("program_id", "__s", "__x", "gwd").agg(F.min_by(F.struct(*girth.columns), F.struct("chainage", *girth.columns)).alias("r"))
+    return first.select("r.*")
 
 
 def joint_context(girth: DataFrame, matrix: DataFrame, matches: DataFrame) -> DataFrame:
@@ -161,24 +164,23 @@ def joint_context(girth: DataFrame, matrix: DataFrame, matches: DataFrame) -> Da
     g = dedupe_welds(girth.where("chainage IS NOT NULL"))
     zero = g.groupBy("program_id", "source").agg(F.min_by("chainage", F.struct(F.abs("chainage"), "chainage")).alias("t"))
     g = g.join(zero, ["program_id", "source"]).withColumn("role", F.when(F.col("chainage") < F.col("t"), "upstream").when(F.col("chainage") > F.col("t"), "downstream").otherwise("target"))
-    by = W.partitionBy("program_id", "source", "role").orderBy(F.abs(F.col("chainage") - F.col("t")), "gwd")
-    near = g.withColumn("__n", F.row_number().over(by)).where("__n = 1").select("program_id", F.col("source").alias("feature_source"), "role", "gwd", "chainage")
+    near = g.groupBy("program_id", F.col("source").alias("feature_source"), "role").agg(F.min_by(F.struct("gwd", "chainage"), F.struct(F.abs(F.col("chainage") - F.col("t")), "gwd")).alias("w")).select("program_id", "feature_source", "role", "w.*")
     met = near.join(matches, ["program_id", "feature_source"], "left").withColumn("source", F.col("joint_source"))
     return seam_for_weld(met, matrix).drop("source")
 
 
 def seam_carry_upstream(rows: DataFrame) -> DataFrame:
     """Rows at a negative distance take the seam of the row before."""
-    by = W.partitionBy("program_id", "source").orderBy("distance")
-    return rows.withColumn("hours", F.when(F.col("distance") < 0, F.coalesce(F.lag("hours").over(by), F.col("hours"))).otherwise(F.col("hours")))
+    got = scan(rows, ["program_id", "source"], ["distance"], {"__before": lag("hours")})
+    return got.withColumn("hours", F.when(F.col("distance") < 0, F.coalesce("__before", "hours")).otherwise(F.col("hours"))).drop("__before")
 
 
 def tgw_layout(order: DataFrame, lengths: DataFrame, matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Four welds on the distance-from-target axis, and the seam spans between them. ``order``: program, gwd, ord,
     is_target. Needs four welds, one before and two after the target, and three plausible lengths."""
     by = W.partitionBy("program_id")
-    o = order.withColumns({"idx": F.row_number().over(by.orderBy("ord")) - 1, "n": F.count("*").over(by)})
-    at = o.groupBy("program_id").agg(F.coalesce(F.min(F.when(F.col("is_target"), F.col("idx"))), F.floor((F.max("n") - 1) / 2).cast("int")).alias("it"), F.max("n").alias("n"))
+    o = scan(order, ["program_id"], ["ord"], {"idx": row_number(), "n": key_size()}).withColumn("idx", F.col("idx") - 1)
+    at = o.groupBy("program_id").agg(F.coalesce(F.min(F.when(F.col("is_target"), F.col("idx"))), F.floor((F.max("n") - 1) / 2)).alias("it"), F.max("n").alias("n"))
     at = at.where("n >= 4 AND it >= 1 AND it + 2 < n").select("program_id", "it")
     four = o.join(at, "program_id").withColumn("k", F.col("idx") - F.col("it")).where("k BETWEEN -1 AND 2").select("program_id", "gwd", "k")
     v = F.when((F.col("length_m") > LENGTHS[0]) & (F.col("length_m") < LENGTHS[1]), F.col("length_m"))
@@ -207,8 +209,7 @@ def first_source_welds(matrix: DataFrame, order: DataFrame) -> DataFrame:
 def seam_spans_of_welds(welds: DataFrame, matrix: DataFrame) -> DataFrame:
     """From each weld (``idx`` is its place) to the next one, the seam of every joint source that has the weld's number
     or one within reach; the first of equal spans of a source."""
-    by = W.partitionBy("program_id").orderBy("idx")
-    spans = welds.withColumn("chainage_end", F.lead("chainage").over(by)).where("chainage_end IS NOT NULL AND gwd IS NOT NULL").drop("source")
+    spans = scan(welds, ["program_id"], ["idx"], {"chainage_end": lead("chainage")}).where("chainage_end IS NOT NULL AND gwd IS NOT NULL").drop("source")
     met = seam_for_weld(spans.join(matrix.select("program_id", "source").distinct(), "program_id"), matrix).where("seam_hours IS NOT NULL")
     one = F.struct("gwd", F.col("seam_hours").alias("orientation_hours"), F.col("seam_label").alias("orientation_label"))
     return met.groupBy("program_id", "source", F.col("chainage").alias("chainage_start"), "chainage_end").agg(F.min_by(one, "idx").alias("s")).select("program_id", "source", "s.gwd", "chainage_start", "chainage_end", "s.orientation_hours", "s.orientation_label")
@@ -223,8 +224,7 @@ def dig_feature_map(features: DataFrame, girth: DataFrame, matrix_cells: DataFra
     first = first_source_welds(matrix, order)
     g4, s4 = tgw_layout(order, joint_lengths(lengths), matrix)
     laid = s4.select("program_id").distinct()
-    by = W.partitionBy("program_id").orderBy("chainage", "gwd", "source")
-    rest = girth.where("chainage IS NOT NULL").join(laid, "program_id", "left_anti").withColumn("idx", F.row_number().over(by))
+    rest = scan(girth.where("chainage IS NOT NULL").join(laid, "program_id", "left_anti"), ["program_id"], ["chainage", "gwd", "source"], {"idx": row_number()})
     placed = positional_welds(rest.select("program_id", "idx", "chainage"), first.select("program_id", "gwd", "ord", "is_target")).select("program_id", "idx", F.col("gwd").alias("placed"))
     rest = rest.join(placed, ["program_id", "idx"], "left").withColumn("gwd", F.coalesce("gwd", "placed")).drop("placed")
     spans = kept(s4.unionByName(seam_spans_of_welds(rest, matrix)), "seams")

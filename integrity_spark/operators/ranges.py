@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import last_value, next_value, scan
+
 
 def range_join(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, lo: str, hi: str, bin_width: float) -> DataFrame:
     """Rows of ``points`` with each of ``spans`` whose closed interval [lo, hi] holds ``at``. Intervals are cut into bins
@@ -25,16 +26,14 @@ def range_join(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str,
 
 def nearest_value(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, value: str, out: str) -> DataFrame:
     """``left`` with the nearest non-null ``value`` of ``right`` under the same keys, the lower one on ties; null where
-    there is none. One sort of both sides under the keys."""
+    there is none. One ordered scan of both sides, which splits a key over many tasks."""
     keys = list(on)
     names = left.columns
     a = left.select(*keys, F.col(at).cast("double").alias("__x"), F.lit(1).alias("__side"), F.struct(*(F.col(c) for c in names)).alias("__row"))
     b = right.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x")).distinct()
     both = a.unionByName(b.withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    mark = F.when(F.col("__side") == 0, F.col("__x"))
-    by = W.partitionBy(*keys)
-    low = F.last(mark, ignorenulls=True).over(by.orderBy("__x", "__side").rowsBetween(W.unboundedPreceding, 0))
-    high = F.last(mark, ignorenulls=True).over(by.orderBy(F.desc("__x"), "__side").rowsBetween(W.unboundedPreceding, 0))
-    got = both.withColumns({"__lo": low, "__hi": high}).where("__side = 1")
+    marked = both.withColumn("__mark", F.when(F.col("__side") == 0, F.col("__x")))
+    got = scan(marked, keys, ["__x", "__side"], {"__lo": last_value("__mark"), "__hi": next_value("__mark")}).where("__side = 1")
+    # A mark at the row's own place stands before it in the order.
     best = F.when(F.col("__hi").isNull() | (F.col("__x") - F.col("__lo") <= F.col("__hi") - F.col("__x")), F.col("__lo")).otherwise(F.col("__hi"))
     return got.select("__row.*", F.when(F.col("__x").isNotNull(), best).alias(out))

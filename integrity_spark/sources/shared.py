@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows up to which a written table is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where the session has none: its warehouse on a cluster; a folder made for
-    it under a local master, whose one process is driver and executor."""
+    """The folder of ``spark.checkpoint.dir``. Where the session has none: a folder made for it under a local master, whose
+    one process is driver and executor; on a cluster its warehouse, unless that is a folder of each machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.split("[")[0] == "local":
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"file:|/", warehouse):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; the warehouse {warehouse} may be one of each machine")
+        folder = f"{warehouse}/shared"
+    return folder.rstrip("/")
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
@@ -27,6 +36,11 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_merged(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table with the hint for its join: broadcast behind a count of its rows, else merge."""
+    return df.hint("broadcast" if df.limit(most + 1).count() <= most else "merge")
+
+
 def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
     """The distinct values of ``key`` with their rank from 1: ranks inside ranges, and the sizes of the ranges before, of
     which there are as many as tasks."""
