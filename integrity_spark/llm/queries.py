@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding, suffix_dedup
+from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding, suffix_dedup, token_counts
 from .common import read_table, written
 from .oracles import ORACLES  # noqa: F401
 from .spans import listed
@@ -82,6 +83,11 @@ def op10_ann_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "tokens.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_secret_blob_ledger": op2_secret_blob_ledger,
@@ -93,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup_bwt": op8_suffix_dedup_bwt,
     "op9_quality_repetition": op9_quality_repetition,
     "op10_ann_hnsw": op10_ann_hnsw,
+    "op12_token_counts": op12_token_counts,
 }
