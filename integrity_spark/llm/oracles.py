@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, repetition, suffix_dedup
+from . import chat, minhash, repetition, suffix_dedup, turn_repair
 
 
 def chat_sql() -> str:
@@ -105,9 +105,67 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT *, NOT base_failed AND covered_words <= {repetition.COVERED}::DOUBLE * n_words AND longest_repeat <= {repetition.LONGEST} AS kept FROM v"""
 
 
+#: A table of one row with the words of CRC-32 in ``crc.t``.
+CRC = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc32_sql(key: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, beside ``crc``."""
+    codes = f"list_transform(string_split({key}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: xor(a >> 8, crc.t[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+def repair_sql() -> str:
+    """Costs and least letters row by row: for each state of the grammar the best of all edits, with up to two insertions before each."""
+    values = []
+    for q in range(turn_repair.STATES):
+        state, made = q, "''"
+        for k in range(3):
+            values.append(f"({q}, {state}, {k * turn_repair.INSERT}, '{'I' * k}', {made})")
+            made, state = f"{made} || chr(10) || '{turn_repair.ROLE[state]}:'", turn_repair.NEXT[state]
+    nexts = ", ".join(map(str, turn_repair.NEXT))
+    roles = ", ".join(f"'{r}'" for r in turn_repair.ROLE)
+    return f"""
+WITH RECURSIVE {CRC},
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit FROM conversations, crc),
+g AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE hit <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM g),
+f AS (
+  SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+r AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM f),
+counted AS (
+  SELECT conv_id, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY conv_id),
+inserted AS (SELECT * FROM (VALUES {", ".join(values)}) AS v(q, s, cost, said, made)),
+moved AS (
+  SELECT r.conv_id, r.i, n.q, m.state, n.cost + m.cost AS cost, n.said || m.letter AS said, n.made || m.made AS made
+  FROM r, inserted n, LATERAL (
+    SELECT n.s AS state, {turn_repair.DELETE} AS cost, 'D' AS letter, '' AS made
+    UNION ALL SELECT [{nexts}][n.s + 1], {turn_repair.REROLE} + CASE WHEN r.fault = 'truncated' THEN {turn_repair.TRUNCATED} ELSE 0 END, 'R', chr(10) || [{roles}][n.s + 1] || ':' || r.text WHERE r.fault IS NULL OR r.fault = 'truncated'
+    UNION ALL SELECT CASE r.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN r.fault = 'truncated' THEN {turn_repair.TRUNCATED} ELSE 0 END, 'K', chr(10) || r.role || ':' || r.text
+      WHERE (r.fault IS NULL OR r.fault = 'truncated') AND (r.initial = 's' AND n.s = 0 OR r.initial = 'u' AND n.s <> 2 OR r.initial = 'a' AND n.s = 2)) m),
+best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'said': '', 'made': ''}} AS b FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, min(b) FROM (
+    SELECT best.conv_id, moved.i, moved.state, {{'cost': best.b.cost + moved.cost, 'said': best.b.said || moved.said, 'made': best.b.made || moved.made}} AS b
+    FROM best JOIN moved ON moved.conv_id IS NOT DISTINCT FROM best.conv_id AND moved.i = best.i + 1 AND moved.q = best.q) GROUP BY conv_id, i, state),
+ended AS (
+  SELECT conv_id, min({{'cost': best.b.cost + n.cost, 'said': best.b.said || n.said, 'made': best.b.made || n.made}}) AS b
+  FROM best JOIN inserted n USING (q) WHERE n.s IN (0, 3) AND i = (SELECT count(*) FROM r WHERE r.conv_id IS NOT DISTINCT FROM best.conv_id) GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.cost::BIGINT AS cost, b.said AS audit, sha256(b.made[2:]) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op4_chat_windows": chat_sql(),
     "op7_minhash_near_dedup": near_sql(),
     "op8_suffix_dedup_bwt": substring_sql(),
     "op9_quality_repetition": repetition_sql(),
+    "op11_turn_repair": repair_sql(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding, suffix_dedup, token_counts
+from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding, suffix_dedup, token_counts, turn_repair
 from .common import read_table, written
 from .oracles import ORACLES  # noqa: F401
 from .spans import listed
@@ -83,6 +83,21 @@ def op10_ann_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with planted faults, by the hash of conversation and turn; ``gone`` marks the dropped ones."""
+    own = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    hit = (F.crc32(F.concat(own["conv_id"], F.lit(":"), own["turn"]).cast("binary")) % 20).alias("hit")
+    t = turns.select("conv_id", "turn", own["role"].alias("role"), own["text"].alias("text"), hit)
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("hit") == 3, 2).otherwise(1))).alias("copy")
+    return t.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("hit") == 0).alias("gone"), copies)
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(read_table(spark, sf_dir, "conversations"))
+    return turn_repair.summary(*turn_repair.repaired(turns, gone=F.col("gone"))).withColumnRenamed("conv", "conv_id")
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "tokens.*")
@@ -99,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup_bwt": op8_suffix_dedup_bwt,
     "op9_quality_repetition": op9_quality_repetition,
     "op10_ann_hnsw": op10_ann_hnsw,
+    "op11_turn_repair": op11_turn_repair,
     "op12_token_counts": op12_token_counts,
 }

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 LIMIT = 4096
 #: Keys of the broadcast table; characters of a key; sampled documents; keys of a worker's cache before it starts anew.
 TABLE, LONGEST, SAMPLE, CACHE = 32_768, 48, 4096, 262_144
+#: Tasks that add up the sample's counts; each gives the driver as many keys as the table has, at most.
+MERGE_TASKS = 4
 MARK = "▁"
 PRE_TOKEN = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|\n|[^ {MARK}\n]+")
 
@@ -97,7 +99,7 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text", keys: int = TAB
             yield pd.DataFrame({"piece": [p for p, _ in best], "length": [lengths[p] for p, _ in best], "n": [n for _, n in best]}).astype({"length": "int64", "n": "int64"})
 
     each = docs.select(F.col(text_col).alias("text")).sample(share, seed=1).mapInPandas(counted, "piece string, length long, n long")
-    best = each.groupBy("piece", "length").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(keys)
+    best = each.repartition(MERGE_TASKS, "piece").groupBy("piece", "length").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(keys)
     return {r.piece: r.length for r in best.collect()}
 
 
