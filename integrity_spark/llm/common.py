@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,26 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 
 def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def streamed_sha(parts: DataFrame, separator: str) -> DataFrame:
+    """``key, sha``: the SHA-256 of each key's parts ``(key, seg, part)`` in order, joined by the separator. A running hash over sorted rows, never
+    a whole text. A null part is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, begun = None, None, False
+        for batch in batches:
+            done = []
+            for k, part in zip(batch.key, batch.part, strict=True):
+                if k != key:
+                    done += [(key, state.hexdigest())] if state else []
+                    key, state, begun = k, hashlib.sha256(), False
+                if part is not None:
+                    state.update(((separator if begun else "") + part).encode())
+                    begun = True
+            if done:
+                yield pd.DataFrame(done, columns=["key", "sha"])
+        if state:
+            yield pd.DataFrame([(key, state.hexdigest())], columns=["key", "sha"])
+
+    return parts.repartition("key").sortWithinPartitions("key", "seg").select("key", "part").mapInPandas(run, "key string, sha string")

@@ -162,10 +162,34 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
 FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
 
+def trie_sql() -> str:
+    return f"""
+WITH {CRC},
+t AS (
+  SELECT conv_id, md5(length(r) || ':' || r || x) AS id, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words, turn
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos FROM t),
+c AS (SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM p), crc),
+b AS (
+  SELECT c.conv_id, 0 AS part, pos, id, words FROM c JOIN p ON p.conv_id = c.conv_id - c.conv_id % 20 AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, id, words FROM c JOIN p USING (conv_id) WHERE pos >= h),
+d AS (SELECT conv_id, words, row_number() OVER w AS depth, list(id) OVER w AS path FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+m AS (SELECT conv_id, words, depth, path FROM d UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM c),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM m GROUP BY depth, path),
+k AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+a AS (SELECT path[:j] AS path, (n_convs - 1) * words AS saved, n_children = 0 AS leaf FROM (SELECT *, unnest(range(depth + 1)) AS j FROM f)),
+s AS (SELECT path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM a GROUP BY path),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, max_by(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN f u ON u.depth = f.depth - 1 AND u.path = f.path[:f.depth - 1]"""
+
+
 ORACLES: dict[str, str] = {
     "op4_chat_windows": chat_sql(),
     "op7_minhash_near_dedup": near_sql(),
     "op8_suffix_dedup_bwt": substring_sql(),
     "op9_quality_repetition": repetition_sql(),
     "op11_turn_repair": repair_sql(),
+    "op13_prefix_trie": trie_sql(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, minhash, mixing, packing, pii, repetition, secrets, sharding, suffix_dedup, token_counts, turn_repair
+from . import ann, chat, minhash, mixing, packing, pii, prefix_trie, repetition, secrets, sharding, suffix_dedup, token_counts, turn_repair
 from .common import read_table, written
 from .oracles import ORACLES  # noqa: F401
 from .spans import listed
@@ -103,6 +103,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "tokens.*")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_ids(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_secret_blob_ledger": op2_secret_blob_ledger,
@@ -116,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann_hnsw": op10_ann_hnsw,
     "op11_turn_repair": op11_turn_repair,
     "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }

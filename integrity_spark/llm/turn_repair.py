@@ -19,8 +19,6 @@ conversation's edits, so its turns must fit in 2**31.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import lru_cache, partial
 from operator import eq
 
@@ -32,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..operators.ordered import lag, row_number, scan
 from ..sources.shared import small_or_merged
-from .common import written
+from .common import streamed_sha, written
 
 SEGMENT, BLOCK, FAN = 256, 32, 4096
 # Costs of edits; states of the grammar: nothing, system, user, assistant.
@@ -275,29 +273,6 @@ def _entries(maps: list, entry) -> list[list[int]]:
     return out
 
 
-def streamed(parts: DataFrame) -> DataFrame:
-    """SHA-256 of each key's parts ``(key, seg, part)`` in order, a newline between: a running hash over sorted rows, never a
-    whole text. A null part is none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, begun = None, None, False
-        for batch in batches:
-            done = []
-            for k, part in zip(batch.key, batch.part, strict=True):
-                if k != key:
-                    done += [(key, state.hexdigest())] if state else []
-                    key, state, begun = k, hashlib.sha256(), False
-                if part is not None:
-                    state.update((b"\n" if begun else b"") + part.encode())
-                    begun = True
-            if done:
-                yield pd.DataFrame(done, columns=["key", "sha"])
-        if state:
-            yield pd.DataFrame([(key, state.hexdigest())], columns=["key", "sha"])
-
-    return parts.repartition("key").sortWithinPartitions("key", "seg").select("key", "part").mapInPandas(run, "key string, sha string")
-
-
 def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", gone: Column | None = None) -> tuple[DataFrame, bool]:
     """Segments with their edits: ``key, seg, conv``, faults, ``cost`` from here to the conversation's end, ``letters``, ``out``
     (the repaired turns: role, text) and whether the segment is ``lone``; and whether any isn't. Rows that are ``gone`` take no part, but their
@@ -335,7 +310,7 @@ def summary(segs: DataFrame, several: bool) -> DataFrame:
         met = before.withColumns({"illegal": F.col("illegal") + F.when(border & ~pair.isin(*LEGAL), 1).otherwise(0), "n_turns": F.col("n_turns") - F.when(border & (F.col("b_turn") == F.col("first_turn")), 1).otherwise(0)})
         letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "letters"))), lambda s: s.letters), "")
         whole = met.groupBy("key").agg(F.min("conv").alias("conv"), *(F.sum(c).alias(c) for c in faults), F.min("first_turn").alias("first_turn"), F.max("last_turn").alias("last_turn"), F.min_by("cost", "seg").alias("cost"), letters.alias("letters"))
-        hashed = streamed(cut.select("key", "seg", part.alias("part"))).withColumnRenamed("sha", "repaired_sha256")
+        hashed = streamed_sha(cut.select("key", "seg", part.alias("part")), "\n").withColumnRenamed("sha", "repaired_sha256")
         out = out.unionByName(whole.join(hashed.hint("merge"), "key").select(*columns))
     gaps = F.coalesce((F.col("last_turn") - F.col("first_turn") + 1 - F.col("n_turns")).cast("long"), F.lit(0).cast("long"))
     return out.select("conv", gaps.alias("gaps"), *faults[:4], "cost", F.col("letters").alias("audit"), "repaired_sha256")
