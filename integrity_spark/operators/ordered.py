@@ -52,6 +52,12 @@ def running_sum(col: str, before: bool = False) -> Step:
     return Step(own, F.sum(col), lambda s, w: F.sum(s).over(_before(w)), lambda own, c: own + F.coalesce(c, F.lit(0)))
 
 
+def running_xor(col: str) -> Step:
+    """The XOR of ``col`` over the rows before; of none 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return Step(lambda w, _: zero(F.bit_xor(col).over(_before(w))), F.bit_xor(col), lambda s, w: F.bit_xor(s).over(_before(w)), lambda own, c: own.bitwiseXOR(zero(c)))
+
+
 def last_value(col: str) -> Step:
     """The last non-null ``col`` up to and with the row."""
     return Step(lambda w, _: F.last(col, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.max_by(col, F.when(F.col(col).isNotNull(), F.col(NTH))), lambda s, w: F.last(s, ignorenulls=True).over(_before(w)), F.coalesce)
