@@ -61,9 +61,9 @@ def promote_header(cells: DataFrame) -> DataFrame:
     become ``_colN``."""
     text = cells.where("row = 1").groupBy(*SHEET).agg(F.concat_ws(" ", F.collect_list(F.lower("value"))).alias("t"))
     two = cells.where("row >= 2").select(*SHEET).distinct()
-    ok = text.where(F.col("t").rlike("|".join(HEADER_WORDS))).join(two, SHEET, "left_semi").select(*SHEET)
+    ok = text.where(F.col("t").rlike("|".join(HEADER_WORDS))).join(two.hint("merge"), SHEET, "left_semi").select(*SHEET)
     name = F.coalesce(F.nullif(F.trim("value"), F.lit("")), F.concat(F.lit("_col"), F.col("col").cast("string")))
-    return cells.where("row = 1").join(ok, SHEET, "left_semi").select(*SHEET, "col", name.alias("name"))
+    return cells.where("row = 1").join(ok.hint("merge"), SHEET, "left_semi").select(*SHEET, "col", name.alias("name"))
 
 
 def keyword_table(spark: SparkSession, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -86,7 +86,7 @@ def header_scores(cells: DataFrame, keywords: Mapping[str, Sequence[str]], scan:
     top = cells.where(F.col("row") <= scan)
     filled = top.groupBy(*SHEET, "row").agg(F.count_if(shown(F.col("value")) != "").alias("filled")).where("filled >= 2")
     score = keyword_hits(top, keywords).groupBy(*SHEET, "row").agg(F.countDistinct("key").alias("score"))
-    return filled.join(score, [*SHEET, "row"])
+    return filled.join(score.hint("merge"), [*SHEET, "row"])
 
 
 def detect_header_row(cells: DataFrame, keywords: Mapping[str, Sequence[str]], min_matches: int = 2, enough: int = ENOUGH) -> DataFrame:
@@ -115,7 +115,7 @@ def resolve_columns(headers: DataFrame, keywords: Mapping[str, Sequence[str]], v
 
 def headers_at(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Header cells ``(file, sheet, col, header)`` of the detected rows."""
-    met = cells.join(header_rows, SHEET).where("row = header_row")
+    met = cells.join(header_rows.hint("merge"), SHEET).where("row = header_row")
     name = F.coalesce(F.nullif(F.trim("value"), F.lit("")), F.concat(F.lit("_col"), F.col("col").cast("string")))
     return met.select(*SHEET, "col", name.alias("header"))
 
@@ -140,9 +140,9 @@ def choose_sheet_by_mapping(cells: DataFrame, keywords: Mapping[str, Sequence[st
 def cells_to_table(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Rows under the header as ``(file, sheet, row_ord, values map<int,string>)``; blank rows are skipped, and the table
     ends at three blank rows in a row once data began."""
-    met = cells.join(header_rows, SHEET).where("row > header_row")
-    width = cells.join(header_rows, SHEET).where("row = header_row").groupBy(*SHEET).agg(F.max("col").alias("last"))
-    met = met.join(width, SHEET).where((F.col("col") <= F.col("last")) & (shown(F.col("value")) != ""))
+    met = cells.join(header_rows.hint("merge"), SHEET).where("row > header_row")
+    width = cells.join(header_rows.hint("merge"), SHEET).where("row = header_row").groupBy(*SHEET).agg(F.max("col").alias("last"))
+    met = met.join(width.hint("merge"), SHEET).where((F.col("col") <= F.col("last")) & (shown(F.col("value")) != ""))
     rows = met.groupBy(*SHEET, "row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), "value"))).alias("values"))
     by = W.partitionBy(*SHEET).orderBy("row")
     ended = F.coalesce(F.col("row") - F.lag("row").over(by) > 3, F.lit(False)).cast("int")
@@ -152,7 +152,7 @@ def cells_to_table(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
 def named_table(table: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Values of resolved keys as columns; unresolved ones are null."""
     at = resolved.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("col").cast("int")))).alias("at"))
-    met = table.join(at, SHEET)
+    met = table.join(at.hint("merge"), SHEET)
     return met.select(*SHEET, "row_ord", *(F.try_element_at("values", F.try_element_at("at", F.lit(k))).alias(k) for k in keys))
 
 
@@ -226,7 +226,7 @@ def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     top = each.join(cells.select(*SHEET, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("shown")).hint("merge"), [*SHEET, "r0", "c0"], "left").select(*SHEET, "row", "col", "shown")
     out = cells.join(top.hint("merge"), [*SHEET, "row", "col"], "full_outer")
     ords = cells.select(*SHEET, F.col("sheet_ord").alias("__o")).distinct()
-    return out.join(ords, SHEET, "left").select(*SHEET, F.coalesce("sheet_ord", "__o").alias("sheet_ord"), "row", "col", F.coalesce("shown", "value").alias("value"))
+    return out.join(ords.hint("merge"), SHEET, "left").select(*SHEET, F.coalesce("sheet_ord", "__o").alias("sheet_ord"), "row", "col", F.coalesce("shown", "value").alias("value"))
 
 
 def find_section(cells: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -237,28 +237,50 @@ def find_section(cells: DataFrame, keywords: Sequence[str]) -> DataFrame:
     title = F.exists(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains(text, k) | F.contains(k, text))
     at = cells.where((F.col("row") <= 500) & (F.col("col") < 5) & (text != "") & title).groupBy(*SHEET).agg(F.min("row").alias("title_row"))
     filled = cells.where(text != "").groupBy(*SHEET, "row").agg(F.count_if(F.col("col") < 20).alias("n"), F.countDistinct(F.when(F.col("col") < 20, text)).alias("d"))
-    head = filled.join(at, SHEET).where("row > title_row AND row <= title_row + 19 AND n >= 3 AND d >= 3").groupBy(*SHEET, "title_row").agg(F.min("row").alias("header_row"))
-    below = filled.join(head, SHEET).where("row > header_row")
+    head = filled.join(at.hint("merge"), SHEET).where("row > title_row AND row <= title_row + 19 AND n >= 3 AND d >= 3").groupBy(*SHEET, "title_row").agg(F.min("row").alias("header_row"))
+    below = filled.join(head.hint("merge"), SHEET).where("row > header_row")
     first = below.groupBy(*SHEET).agg(F.min("row").alias("first_row"))
-    run = below.join(first, SHEET).withColumn("k", F.col("row") - F.row_number().over(W.partitionBy(*SHEET).orderBy("row")))
+    run = below.join(first.hint("merge"), SHEET).withColumn("k", F.col("row") - F.row_number().over(W.partitionBy(*SHEET).orderBy("row")))
     last = run.where(F.col("k") == F.col("first_row") - 1).groupBy(*SHEET).agg(F.min("first_row").alias("first_row"), F.max("row").alias("last_row"))
-    return head.join(last, SHEET, "left")
+    return head.join(last.hint("merge"), SHEET, "left")
+
+
+# Rows below the title, columns of a row, titles that end the block.
+NDE_ROWS, NDE_COLUMNS, NDE_ENDS = 49, 25, ("feature summary", "joint summary")
+
+
+def label_and_value(cells: Column) -> tuple[Column, Column]:
+    """A row's first number behind a text, and the texts before it in lower case. ``cells``: structs (col, value) in order."""
+    number = lambda x: to_number(F.replace(x.value, F.lit(",")))
+    own = F.transform(F.filter(cells, lambda x: collapsed(F.coalesce(x.value, F.lit(""))) != ""), lambda x: F.struct(collapsed(x.value).alias("text"), F.when(~F.regexp_replace(x.value, "[eE]", "").rlike(r"\p{L}"), number(x)).alias("number")))
+    from_text = F.slice(own, F.greatest(F.array_position(F.transform(own, lambda x: x.number.isNull()), F.lit(True)), F.lit(1)).cast("int"), F.greatest(F.size(own), F.lit(1)))
+    at = F.array_position(F.transform(from_text, lambda x: x.number.isNotNull()), F.lit(True))
+    texts = F.slice(from_text, 1, F.when(at > 0, at - 1).otherwise(F.size(from_text)).cast("int"))
+    label = F.lower(F.array_join(F.transform(F.filter(texts, lambda x: x.number.isNull()), lambda x: x.text), " "))
+    return label, F.when(label != "", F.get(from_text, (at - 1).cast("int")).number)
 
 
 def parse_nde_limits(cells: DataFrame) -> DataFrame:
-    """Assessment length, start and end from the target weld, and the target's number, under a title with ``nde`` and
-    ``limit``; none unless start and end are there; a length off by more than 0.06 m is marked."""
+    """Assessment length, start and end from the target weld, and the target's number, from the 49 rows under a title with ``nde`` and
+    ``limit`` in rows 1-500 and the first five columns. Only labels of the NDE assessment count (exposure limits don't), start and
+    end only from the TGW; the last of equal labels wins; a summary's title ends the block. None unless start and end are there;
+    a length off by more than 0.06 m is marked."""
     text = shown(F.col("value"))
-    at = cells.where(text.contains("nde") & text.contains("limit")).groupBy(*SHEET).agg(F.min("row").alias("t"))
-    rows = cells.join(at, SHEET).where((F.col("row") > F.col("t")) & (F.col("row") <= F.col("t") + 20)).groupBy(*SHEET, "row", "t").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c"))
-    label = F.lower(F.array_join(F.transform(F.filter("c", lambda x: to_number(x.value).isNull()), lambda x: F.coalesce(x.value, F.lit(""))), " "))
-    value = F.get(F.filter(F.transform("c", lambda x: to_number(x.value)), lambda v: v.isNotNull()), F.lit(0))
+    at = cells.where((F.col("row") <= 500) & (F.col("col") < 5) & text.contains("nde") & text.contains("limit")).groupBy(*SHEET).agg(F.min("row").alias("t"))
+    near = cells.join(at.hint("merge"), SHEET).where((F.col("row") > F.col("t")) & (F.col("row") <= F.col("t") + NDE_ROWS) & (F.col("col") < NDE_COLUMNS))
+    rows = near.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c"))
+    label, value = label_and_value(F.col("c"))
     r = rows.select(*SHEET, "row", label.alias("label"), value.alias("v"))
-    stop = F.coalesce(F.max(F.when(F.col("label").contains("summary") & F.col("v").isNull(), 1).otherwise(0)).over(W.partitionBy(*SHEET).orderBy("row")), F.lit(0))
-    r = r.withColumn("stop", stop).where("stop = 0 AND v IS NOT NULL").where(~F.col("label").rlike(r"d/s|downstream"))
-    pick = lambda cond: F.min_by(F.when(cond, F.col("v")), F.when(cond, F.col("row")))
-    lab = F.col("label")
-    out = r.groupBy(*SHEET).agg(pick(lab.contains("length")).alias("length_m"), pick(lab.contains("start")).alias("start_m"), pick(lab.contains("end") & ~lab.contains("start")).alias("end_m"), pick((lab.contains("gwd") | lab.contains("girth") | lab.contains("tgw")) & (F.col("v") > 100) & (F.col("v") < 99999)).cast("bigint").alias("target_gwd"))
+    lab, v = F.col("label"), F.col("v")
+    ends = r.where(F.exists(F.array(*map(F.lit, NDE_ENDS)), lambda k: lab.contains(k))).groupBy(*SHEET).agg(F.min("row").alias("stop"))
+    r = r.join(ends.hint("merge"), SHEET, "left").where("(stop IS NULL OR row < stop) AND v IS NOT NULL")
+    target = lab.contains("target") & lab.contains("girth") & lab.contains("weld")
+    down = lab.contains("from d/s") | lab.contains("from ds ") | lab.contains("d/s gw")
+    tgw = ~target & ~down & lab.contains("tgw")
+    number = F.bround(v, 0).cast("bigint")
+    pick = lambda cond, x: F.max_by(F.when(cond, x), F.when(cond, F.col("row")))
+    whole = ~target & ~down & lab.contains("nde assessment length")
+    out = r.groupBy(*SHEET).agg(pick(whole, v).alias("length_m"), pick(tgw & lab.contains("nde assessment start"), v).alias("start_m"), pick(tgw & lab.contains("nde assessment end"), v).alias("end_m"), pick(target & (number > 100) & (number < 99999), number).alias("target_gwd"))
     off = F.abs(F.abs(F.col("end_m") - F.col("start_m")) - F.col("length_m")) > 0.06
     return out.where("start_m IS NOT NULL AND end_m IS NOT NULL").withColumn("length_differs", F.coalesce(off, F.lit(False)))
 
@@ -271,6 +293,6 @@ def table_profile(cells: DataFrame, max_cols: int = 60, samples: int = 6) -> Dat
     counts = rows.groupBy(*SHEET).agg(F.count("*").alias("n_rows"))
     nth = F.row_number().over(W.partitionBy(*SHEET).orderBy("row"))
     some = rows.withColumn("n", nth).where(F.col("n") <= samples).groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x.line).alias("samples"))
-    out = cols.join(counts, SHEET, "left").join(some, SHEET, "left").fillna(0, ["n_rows"])
+    out = cols.join(counts.hint("merge"), SHEET, "left").join(some.hint("merge"), SHEET, "left").fillna(0, ["n_rows"])
     first = cols.agg(F.min(F.struct(F.when(F.col("sheet") == "Source_Data", 0).otherwise(1).alias("p"), "file", "sheet_ord", "sheet")).alias("f"))
     return out.join(F.broadcast(first)).withColumn("is_primary", (F.col("file") == F.col("f.file")) & (F.col("sheet") == F.col("f.sheet"))).drop("f")

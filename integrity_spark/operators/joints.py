@@ -1,7 +1,7 @@
 """Joint summaries: seam position per girth weld and source, and its joins to welds and feature sources.
 
 Long tables: ``matrix(program_id, gwd, source, hours)``, ``lengths(program_id, gwd, length_m)``; matrices come in as
-cells ``(program_id, row, col, value)`` with labels in column 0 (and 1).
+cells ``(program_id, row, col, value)`` with labels in column 0 (and 1); their layouts are resolved in ``matrices``.
 """
 
 from __future__ import annotations
@@ -12,45 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clock_to_hours, collapsed, hours_to_clock, to_number
+from ..functions.scalars import collapsed, hours_to_clock, to_number
 from ..sources.shared import kept
+from .labels import clean_metric, clean_source_name, is_unit, label_sources, runs_of_labels  # noqa: F401
+from .matrices import joint_matrix
 from .ordered import key_size, lag, lead, row_number, scan
 from .ranges import nearest_value
 
-# Words that name no source, unit-like qualifiers, words of metric labels.
+# Words that name no source; reach of a seam by weld number and by chainage (m); plausible joint lengths (m).
 STOP_WORDS = ("ili", "tool", "inspection", "source", "vendor", "feature", "summary", "joint", "long", "seam", "orientation", "orient", "clock")
-UNITS = ("hh:mm", "m", "mm", "in", "ft", "deg", "degree", "degrees", "clock", "clock position")
-LABEL_WORDS = r"Long Seam Orientation|Longseam Orientation|Seam Orientation|Long Seam|Longseam|Orientation|hh:mm|Girth Weld No\.?"
 GWD_REACH, CHAINAGE_REACH, LENGTHS = 15, 2.0, (0.5, 200.0)
 
 
-def is_unit(text: Column) -> Column:
-    norm = F.lower(collapsed(text))
-    return (norm == "") | norm.isin(*UNITS) | norm.rlike(r"^[a-z%:/.\- ]{1,6}$")
-
-
-def clean_source_name(label: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(collapsed(label), LABEL_WORDS, " "), r"[()]", " ")
-    return F.btrim(collapsed(bare), F.lit(" -:"))
-
-
-def clean_metric(label: Column) -> Column:
-    """The label without parenthesised source names; units stay."""
-    inside = F.filter(F.regexp_extract_all(label, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: ~is_unit(x))
-    bare = F.aggregate(inside, collapsed(label), lambda acc, x: F.replace(acc, F.concat(F.lit("("), x, F.lit(")")), F.lit(" ")))
-    return F.btrim(collapsed(bare), F.lit(" -:"))
-
-
-def label_sources(label: Column) -> Column:
-    """Source names in parentheses, else on the lines after the first; first spelling of each, in order."""
-    found = F.filter(F.transform(F.regexp_extract_all(label, F.lit(r"\(([^)]+)\)"), F.lit(1)), collapsed), lambda x: ~is_unit(x))
-    lines = F.filter(F.split(label, r"[\r\n]+"), lambda x: collapsed(x) != "")
-    rest = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.btrim(collapsed(x), F.lit("()"))), lambda x: ~is_unit(x))
-    names = F.when(F.size(found) > 0, found).otherwise(rest)
-    zero = F.array().cast("array<string>")
-    return F.aggregate(names, zero, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
-
-
 def gwd_from_text(text: Column) -> Column:
     """A header's weld number: the whole token (with an optional ``__n``), else its first run of 4 or 5 digits."""
     head = F.regexp_replace(F.trim(text), r"__\d+$", "")
@@ -72,31 +45,9 @@ def normalize_joint_summary(labels: DataFrame) -> DataFrame:
     ).drop("names")
 
 
-def runs_of_labels(labels: DataFrame) -> DataFrame:
-    """The one-column shape: occurrences restart with each run of equal labels."""
-    by = W.partitionBy("program_id").orderBy("row")
-    new = F.when(F.col("label").eqNullSafe(F.lag("label").over(by)), 0).otherwise(1)
-    run = labels.withColumn("__new", new).withColumn("run", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
-    return run.withColumn("occurrence", F.row_number().over(W.partitionBy("program_id", "run").orderBy("row")))
-
-
-def unpivot_joint_matrix(cells: DataFrame, header_row: int = 0, label_cols: int = 2) -> DataFrame:
-    """Cells of a matrix as rows ``(program_id, row, gwd, source, hours)``: columns whose header (or first numeric row)
-    carries a weld number; adjacent duplicates of a number are its sources in turn. Clock text, or numbers in 0-12."""
-    body = cells.where(F.col("col") >= label_cols)
-    head = body.where(F.col("row") == header_row).select("program_id", "col", gwd_from_text(F.col("value")).alias("gwd"))
-    numeric = body.where(F.col("row") > header_row).withColumn("g", gwd_from_text(F.col("value"))).where("g IS NOT NULL")
-    first = numeric.groupBy("program_id").agg(F.min("row").alias("row")).join(numeric, ["program_id", "row"]).select("program_id", "col", F.col("g").alias("gwd"))
-    known = head.where("gwd IS NOT NULL")
-    gwds = known.unionByName(first.join(known.select("program_id").distinct(), "program_id", "left_anti"))
-    gwds = gwds.withColumn("dup", F.row_number().over(W.partitionBy("program_id", "gwd").orderBy("col")))
-    labels = cells.where((F.col("row") > header_row) & (F.col("col") < label_cols)).groupBy("program_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("value"))).alias("label"), F.max(F.when(F.col("col") == 1, F.col("value"))).alias("source_label"))
-    named = normalize_joint_summary(labels)
-    met = body.where(F.col("row") > header_row).join(gwds, ["program_id", "col"]).join(named, ["program_id", "row"])
-    several = label_sources(F.col("label"))
-    source = F.when((F.col("dup") > 1) & (F.size(several) > 0), F.element_at(several, F.least(F.col("dup"), F.size(several)))).when(F.col("dup") > 1, F.concat_ws(" ", "source", F.concat(F.lit("#"), F.col("dup").cast("string")))).otherwise(F.col("source"))
-    hours = clock_to_hours(F.col("value"))
-    return met.where(F.lower("metric").rlike("seam|orient") & hours.between(0, 12)).select("program_id", "row", "gwd", source.alias("source"), hours.alias("hours"))
+def unpivot_joint_matrix(cells: DataFrame) -> DataFrame:
+    """Cells of joint summary matrices, header in row 0, as rows ``(program_id, row, gwd, source, hours)``."""
+    return joint_matrix(cells)[0].drop("shown")
 
 
 def joint_lengths(lengths: DataFrame) -> DataFrame:
@@ -215,14 +166,15 @@ def seam_spans_of_welds(welds: DataFrame, matrix: DataFrame) -> DataFrame:
     return met.groupBy("program_id", "source", F.col("chainage").alias("chainage_start"), "chainage_end").agg(F.min_by(one, "idx").alias("s")).select("program_id", "source", "s.gwd", "chainage_start", "chainage_end", "s.orientation_hours", "s.orientation_label")
 
 
-def dig_feature_map(features: DataFrame, girth: DataFrame, matrix_cells: DataFrame, order: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def dig_feature_map(features: DataFrame, girth: DataFrame, matrix_cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A dig's map: features (distance from the target preferred), welds and seams. These come from the four-weld layout
     where a program has one, else from its weld list, whose welds without number take the matrix's by position. A program
     with features and a matrix, but no span, has one seam without ends: that of the first source's middle weld."""
     f = features.withColumn("chainage", F.coalesce("distance_from_tgw", "chainage")).where("chainage IS NOT NULL")
-    matrix = kept(unpivot_joint_matrix(matrix_cells), "matrix")
+    found, lengths, order = joint_matrix(matrix_cells)
+    matrix = kept(found.drop("shown"), "matrix")
     first = first_source_welds(matrix, order)
-    g4, s4 = tgw_layout(order, joint_lengths(lengths), matrix)
+    g4, s4 = tgw_layout(order, lengths, matrix)
     laid = s4.select("program_id").distinct()
     rest = scan(girth.where("chainage IS NOT NULL").join(laid, "program_id", "left_anti"), ["program_id"], ["chainage", "gwd", "source"], {"idx": row_number()})
     placed = positional_welds(rest.select("program_id", "idx", "chainage"), first.select("program_id", "gwd", "ord", "is_target")).select("program_id", "idx", F.col("gwd").alias("placed"))

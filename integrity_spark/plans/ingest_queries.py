@@ -180,8 +180,10 @@ def reheader_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_N}, 5e0 + n_regionkey AS length_m, -2e0 AS start_m, 3e0 + n_nationkey % 2 AS end_m, 1000 + n_nationkey AS target_gwd, abs(5 + n_nationkey % 2 - 5 - n_regionkey) > 0.06e0 AS length_differs FROM nation")
 def parse_nde_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Limits under their title; a downstream row and rows below the summary don't count."""
-    rows = [(3, ["'NDE Limits'"]), (4, ["'Assessment Length (m)'", "5 + n_regionkey"]), (5, ["'Start from TGW'", "-2"]), (6, ["'D/S end'", "77"]), (7, ["'End from TGW'", "3 + n_nationkey % 2"]), (8, ["'TGW number'", "1000 + n_nationkey"]), (9, ["'Joint Summary'"]), (10, ["'Start'", "99"])]
+    """Limits under their title: exposure limits, distances from other welds, other labels and rows below a summary don't count,
+    the last of two lengths does, 40 rows below the title."""
+    rows = [(3, ["'NDE Limits'"]), (4, ["'Target Girth Weld (U/S)'", "1000 + n_nationkey"]), (5, ["'NDE Exposure Length (m)'", "50"]), (6, ["'NDE Exposure Start from TGW (m)'", "-9"]), (7, ["'NDE Assessment Length (m)'", "1"]), (8, ["7", "'NDE Assessment Start from TGW (m)'", "-2"])]
+    rows += [(9, ["'NDE Assessment Start from D/S GW (m)'", "77"]), (10, ["'bend start from TGW'", "88"]), (11, ["'NDE Exposure End from TGW (m)'", "66"]), (30, ["'NDE Assessment'", "'End from TGW (m)'", "3 + n_nationkey % 2", "99"]), (43, ["'NDE Assessment Length (m)'", "5 + n_regionkey"]), (45, ["'Joint Summary'"]), (46, ["'NDE Assessment Start from TGW (m)'", "99"])]
     return I.parse_nde_limits(laid(spark, sf_dir, rows)).drop("sheet")
 
 

@@ -34,4 +34,4 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), name: str | None
     return add
 
 
-from . import assess_queries, detail_queries, dig_queries, ingest_queries, map_queries, reading_queries, tml_queries  # noqa: E402, F401
+from . import assess_queries, detail_queries, dig_queries, ingest_queries, map_queries, matrix_queries, reading_queries, tml_queries  # noqa: E402, F401

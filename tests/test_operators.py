@@ -158,7 +158,7 @@ def test_headers_after_a_banner(spark):
 
 
 def test_sections_and_limits(spark):
-    c = cells(spark, [["NDE limits"], ["Assessment length", "9.0"], ["Start from TGW", "-0.5"], ["End from TGW", "8.5"], ["D/S start", "99"], [None], ["Feature Summary"], ["ID", "Depth", "Length"], ["1", "2", "3"], ["4", "5", "6"], [None], ["x"]])
+    c = cells(spark, [["NDE limits"], ["NDE Assessment length", "9.0"], ["NDE Assessment Start from TGW", "-0.5"], ["NDE Assessment End from TGW", "8.5"], ["NDE Assessment Start from D/S GW", "99"], [None], ["Feature Summary"], ["ID", "Depth", "Length"], ["1", "2", "3"], ["4", "5", "6"], [None], ["x"]])
     lim = I.parse_nde_limits(c).first()
     assert (lim.length_m, lim.start_m, lim.end_m, lim.length_differs) == (9.0, -0.5, 8.5, False)
     sec = I.find_section(c, ["feature summary"]).first()
