@@ -5,10 +5,12 @@ meets few of them. A shard's distinct vectors become the nodes of its graph (cop
 a vector that a third of all rows hold costs one node a shard. A vector gets one more coordinate that makes all lengths
 equal; then the largest inner product is the smallest distance. Levels are drawn geometrically. The graph of a level is
 grown in batches: each searches the graph so far with a beam, adds the nearest of its own batch, links to diverse near
-nodes (a candidate is taken unless it is closer to one taken before), and the nodes it links to choose anew among their
-links and the new ones, nearest first. Links are kept as one flat neighbour array for each level. A search walks greedily
-down the levels, then keeps a beam on the lowest one, for many queries at once. Query blocks meet every shard once; the
-shards' lists are merged by score.
+nodes (a candidate is taken unless it is closer to one taken before; what room is left takes the nearest others), and the nodes it links to
+choose anew among their links and the new ones. Nodes that the first one doesn't reach get a link from one that it does. Links
+are kept as one flat neighbour array for each level. A search keeps a small beam on the upper levels and a large one on the
+lowest, for many queries at once. How large, each shard finds out itself: it scans all its nodes for the nearest of PROBES of them, and doubles
+the beam until the graph finds ENOUGH of these, at worst up to a scan of the shard. A shard's index is sent once for each of its parts,
+and queries stream behind it; the shards' lists are merged by score.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows of null id; scores are summed in the order of the components, so equal vectors have equal scores
@@ -27,14 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tasks, written
 
 #: Rows of a shard: ROOT times the root of all rows, within bounds. Queries of a block; entries of its table of visits.
 ROOT, LEAST_ROWS, MOST_ROWS, QUERY_ROWS, VISITS = 64, 8192, 262_144, 1024, 2**26
-LINKS, NEAR, BEAM, EXPAND, SEED = 16, 64, 160, 4, 7
+LINKS, NEAR, BEAM, EXPAND, SEED = 16, 64, 80, 4, 7
+#: Beam of the upper levels; what a shard is asked to find: nearest nodes of so many probes, and the share of them that is enough; nodes out of
+#: reach that are joined at once.
+UPPER, TOP, PROBES, ENOUGH, JOINED = 16, 20, 96, 0.97, 256
 #: Nodes of a level's first batch, which is linked by all its products; nodes of a later batch at most; beam of growing.
 FIRST, BATCH, GROWING = 1024, 2048, 64
-INDEX = "shard int, dim int, ids binary, id_from binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"
+INDEX = "shard int, dim int, beam int, ids binary, id_from binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"
 
 
 def valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -45,17 +50,21 @@ def valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def diverse(near: np.ndarray, dist: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """For each row of near nodes (nearest first, -1: none), up to ``most`` taken in turn unless closer to one taken."""
+    """For each row of near nodes (nearest first, -1: none) up to ``most``: in turn those not closer to one taken before, then the
+    nearest of the others."""
     rows, width = near.shape
-    taken, count = np.full((rows, most), -1, np.int32), np.zeros(rows, np.int64)
+    mask, count = np.zeros((rows, width), bool), np.zeros(rows, np.int64)
     between = np.full((rows, width), np.inf)
     for k in range(width):
-        ok = np.flatnonzero((near[:, k] >= 0) & (dist[:, k] < between[:, k]) & (count < most))
-        taken[ok, count[ok]] = near[ok, k]
+        ok = np.flatnonzero((near[:, k] >= 0) & (dist[:, k] <= between[:, k]) & (count < most))
+        mask[ok, k] = True
         count[ok] += 1
         if k + 1 < width and len(ok):
             d = np.square(x[near[ok, k + 1 :]] - x[near[ok, k]][:, None, :]).sum(axis=2)
             between[ok, k + 1 :] = np.minimum(between[ok, k + 1 :], d)
+    by = np.argsort(np.where(near < 0, 2, np.where(mask, 0, 1)), axis=1, kind="stable")[:, :most]
+    taken = np.full((rows, most), -1, np.int32)
+    taken[:, : by.shape[1]] = np.take_along_axis(near, by, axis=1)
     return taken
 
 
@@ -98,7 +107,7 @@ def link_back(links: np.ndarray, x: np.ndarray, src: np.ndarray, dst: np.ndarray
 
 
 def grow(x: np.ndarray, most: int) -> np.ndarray:
-    """The flat neighbour array of one level over its nodes ``x``, all of one length."""
+    """The flat neighbour array of one level over its nodes ``x``, all of one length; every node is reached from the first."""
     n = len(x)
     links, done = np.full((n, 2 * most), -1, np.int32), 0
     while done < n:
@@ -107,8 +116,8 @@ def grow(x: np.ndarray, most: int) -> np.ndarray:
         near, gap = nearest_in(own, NEAR)
         near = near + done
         if done:
-            entry = np.zeros(size, np.int64)
-            found, score = beam_search(x[:done], links[:done], entry, own @ x[0], own, min(GROWING, done))
+            start = np.zeros((size, 1), np.int64)
+            found, score = beam_search(x[:done], links[:done], start, own, min(GROWING, done))
             far = np.where(found >= 0, np.square(own).sum(axis=1)[:, None] + np.square(x[np.maximum(found, 0)]).sum(axis=2) - 2 * score, np.inf)
             near, gap = np.c_[near, found], np.c_[gap, far]
             by = np.argsort(gap, axis=1, kind="stable")[:, :NEAR]
@@ -119,58 +128,111 @@ def grow(x: np.ndarray, most: int) -> np.ndarray:
             src, dst = np.repeat(np.arange(done, done + size), most), taken.ravel().astype(np.int64)
             link_back(links, x, src[dst >= 0], dst[dst >= 0])
         done += size
+        links[:done] = connected(links[:done], x[:done]) if done < n else links[:done]
+    return connected(links, x, wider=True)
+
+
+def reached(links: np.ndarray, seen: np.ndarray, front: np.ndarray) -> None:
+    """Marks in ``seen`` what links lead to from ``front``."""
+    while len(front):
+        seen[front] = True
+        near = np.unique(links[front])
+        near = near[near >= 0]
+        front = near[~seen[near]]
+
+
+def connected(links: np.ndarray, x: np.ndarray, wider: bool = False) -> np.ndarray:
+    """Links with more ones, so that every node is reached from the first: nodes out of reach get a link from the nearest of those in reach
+    that have room, or with ``wider`` a column more."""
+    seen = np.zeros(len(x), bool)
+    reached(links, seen, np.zeros(1, np.int64))
+    rng = np.random.default_rng(SEED)
+    while not seen.all():
+        lost = np.flatnonzero(~seen)
+        lost = lost[rng.permutation(len(lost))[:JOINED]]
+        room = seen & (links[:, -1] < 0)
+        if not room.any():
+            if not wider:
+                return links
+            links = np.c_[links, np.full((len(x), 1), -1, np.int32)]
+            room = seen.copy()
+        base = np.flatnonzero(room)
+        gap = np.square(x[base]).sum(axis=1)[None, :] - 2 * (x[lost] @ x[base].T)
+        at = base[gap.argmin(axis=1)]
+        at, first = np.unique(at, return_index=True)
+        lost = lost[first]
+        links[at, (links[at] >= 0).sum(axis=1)] = lost
+        reached(links, seen, lost)
     return links
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, seed: int) -> dict:
-    """The index of one shard."""
+    """The index of one shard, with the beam that it needs."""
     distinct, node = np.unique(vectors, axis=0, return_inverse=True)
     by = np.lexsort((ids, node.ravel()))
     id_from = np.r_[0, np.cumsum(np.bincount(node.ravel(), minlength=len(distinct)))].astype(np.int64)
     square = np.square(distinct).sum(axis=1)
     x = np.c_[distinct, np.sqrt(np.maximum(square.max() - square, 0))]
-    level = np.floor(-np.log(np.random.default_rng(seed).random(len(x))) / np.log(LINKS)).astype(int)
+    rng = np.random.default_rng(seed)
+    level = np.floor(-np.log(rng.random(len(x))) / np.log(LINKS)).astype(int)
+    level[0] = level.max()  # the first node is on all levels
     levels = []
     for k in range(level.max() + 1):
         nodes = np.flatnonzero(level >= k).astype(np.int32)
         own = grow(x[nodes], LINKS if k == 0 else LINKS // 2)
-        levels.append({"nodes": nodes.tobytes(), "links": np.where(own >= 0, nodes[own], -1).astype(np.int32).tobytes()})
-    return {"dim": distinct.shape[1], "ids": ids[by].astype(np.int64).tobytes(), "id_from": id_from.tobytes(), "vectors": distinct.astype(np.float64).tobytes(), "levels": levels}
+        levels.append({"nodes": nodes.tobytes(), "links": np.ascontiguousarray(own, np.int32).tobytes()})
+    made = {"dim": distinct.shape[1], "beam": BEAM, "ids": ids[by].astype(np.int64).tobytes(), "id_from": id_from.tobytes(), "vectors": distinct.astype(np.float64).tobytes(), "levels": levels}
+    return made | {"beam": needed_beam(made, distinct[rng.permutation(len(x))[:PROBES]])}
+
+
+def needed_beam(index: dict, probes: np.ndarray) -> int:
+    """The least doubling of BEAM that finds ENOUGH of the nearest nodes of the probes, which a scan of the shard finds all."""
+    x = np.frombuffer(index["vectors"]).reshape(-1, index["dim"])
+    top, beam = min(TOP, len(x)), BEAM
+    score = probes @ x.T
+    least = np.partition(score, len(x) - top, axis=1)[:, len(x) - top]
+    least = least - 1e-9 * np.maximum(1, np.abs(least))
+    while beam < len(x):
+        step = max(1, min(PROBES, VISITS // len(x)))
+        found = np.concatenate([search(index, probes[lo : lo + step], beam) for lo in range(0, len(probes), step)])[:, :top]
+        hit = (found >= 0) & (np.take_along_axis(score, np.maximum(found, 0), axis=1) >= least[:, None])
+        if hit.mean() >= ENOUGH:
+            break
+        beam *= 2
+    return min(beam, len(x))
 
 
 def search(index: dict, queries: np.ndarray, beam: int) -> np.ndarray:
-    """The best nodes of each query, best first; -1 where fewer were met."""
+    """The best nodes of each query, best first; -1 where fewer were met. The first node is always a start, as all others are
+    reached from it."""
     x = np.frombuffer(index["vectors"]).reshape(-1, index["dim"])
-    n, q = len(x), len(queries)
-    every = np.arange(q)
-    levels = [(np.frombuffer(lv["nodes"], np.int32), np.frombuffer(lv["links"], np.int32)) for lv in index["levels"]]
-    at = np.full(q, levels[-1][0][0])
-    score = queries @ x[at[0]]
-    for nodes, flat in levels[:0:-1]:
-        links = flat.reshape(len(nodes), -1)
-        row = np.full(n, -1, np.int64)
-        row[nodes] = np.arange(len(nodes))
-        moving = every
-        while len(moving):
-            near = links[row[at[moving]]]
-            s = np.where(near >= 0, np.einsum("qkd,qd->qk", x[near], queries[moving]), -np.inf)
-            best = s.argmax(axis=1)
-            got = s[np.arange(len(moving)), best]
-            up = got > score[moving]
-            moving, best, got, near = moving[up], best[up], got[up], near[up]
-            at[moving], score[moving] = near[np.arange(len(moving)), best], got
-    return beam_search(x, levels[0][1].reshape(n, -1), at, score, queries, beam)[0]
-
-
-def beam_search(x: np.ndarray, links: np.ndarray, at: np.ndarray, score: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best nodes by inner product that a beam from ``at`` meets, best first, with their products; -1 where fewer."""
+    first = np.zeros((len(queries), 1), np.int64)
+    start = first
+    for k, level in reversed(list(enumerate(index["levels"]))):
+        nodes = np.frombuffer(level["nodes"], np.int32)
+        links = np.frombuffer(level["links"], np.int32).reshape(len(nodes), -1)
+        local = np.where(start >= 0, np.searchsorted(nodes, start), -1)
+        found = beam_search(x[nodes] if k else x, links, np.c_[local, first], queries, min(beam, len(nodes)) if k == 0 else min(UPPER, len(nodes)))[0]
+        start = np.where(found >= 0, nodes[found], -1)
+    return start
+
+
+def beam_search(x: np.ndarray, links: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best nodes by inner product that a beam from the ``start`` nodes (-1: none) meets, best first, with their products; -1
+    where fewer."""
     q, expand = len(queries), min(EXPAND, beam)
     every = np.arange(q)
+    start = np.sort(start, axis=1)
+    start[:, 1:][start[:, 1:] == start[:, :-1]] = -1
+    first = np.where(start >= 0, np.einsum("qkd,qd->qk", x[start], queries), -np.inf)
+    by = np.argsort(-first, axis=1, kind="stable")[:, :beam]
+    start, first = np.take_along_axis(start, by, axis=1), np.take_along_axis(first, by, axis=1)
+    m = start.shape[1]
     found, value = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf)
-    found[:, 0], value[:, 0] = at, score
-    fresh, seen = np.zeros((q, beam), bool), np.zeros((q, len(x)), bool)
-    fresh[:, 0] = True
-    seen[every, at] = True
+    found[:, :m], value[:, :m] = start, first
+    fresh, seen = found >= 0, np.zeros((q, len(x)), bool)
+    r, c = np.nonzero(found >= 0)
+    seen[r, found[r, c]] = True
     live = every
     while len(live):
         rank = np.where(fresh[live], value[live], -np.inf)
@@ -204,12 +266,12 @@ def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def hits(index: dict, query_ids: np.ndarray, queries: np.ndarray, top: int, beam: int) -> pd.DataFrame:
+def hits(index: dict, query_ids: np.ndarray, queries: np.ndarray, top: int, beam: int | None) -> pd.DataFrame:
     """The shard's ``top`` rows of each query, its own row left out."""
     x = np.frombuffer(index["vectors"]).reshape(-1, index["dim"])
     ids, id_from = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["id_from"], np.int64)
     block = max(1, min(QUERY_ROWS, VISITS // len(x)))
-    beam = min(max(beam, top + 1), len(x))
+    beam = min(max(beam or index["beam"], top + 1), len(x))
     found = np.concatenate([search(index, queries[lo : lo + block], beam) for lo in range(0, len(queries), block)])
     out = []
     for k, nodes in enumerate(found):
@@ -233,20 +295,39 @@ def index(rows: DataFrame, shard_rows: int | None = None) -> DataFrame:
     return written(dealt.groupBy("shard").applyInPandas(built, INDEX), "index")
 
 
-def nearest(built: DataFrame, queries: DataFrame, top: int, beam: int = BEAM, block_rows: int = QUERY_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of all queries ``(id, v)`` against all rows of the index."""
-    blocks = max(1, -(-queries.count() // block_rows))
-    packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
+def nearest(built: DataFrame, queries: DataFrame, top: int, beam: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of all queries ``(id, v)`` against all rows of the index. Each shard's index is sent once for each of
+    its parts, of which there are only as many as keep all tasks busy, and the queries stream behind it."""
+    spark = built.sparkSession
     last = built.agg(F.max("shard")).first()[0] or 0
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(built.hint("merge"), "shard")
+    parts = max(1, -(-tasks(spark) // (last + 1)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(last)))
+    indexes = built.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
+    asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), every.alias("shard"))
+    rows = indexes.unionByName(asked, allowMissingColumns=True).repartition((last + 1) * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                own = [q for q in row["q"] if len(q["v"]) == row["dim"]]
-                if own:
-                    yield hits(row, np.array([q["id"] for q in own]), np.array([q["v"] for q in own], np.float64), top, beam)
+        index, waiting = None, []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            own = [w for w in waiting if len(w[1]) == index["dim"]]
+            waiting.clear()
+            if own:
+                yield hits(index, np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64), top, beam)
 
-    each = met.mapInPandas(run, "query_id long, vec_id long, score double")
+        for batch in batches:
+            asked = batch["kind"].to_numpy() > 0
+            for k in range(len(batch)):
+                if not asked[k]:
+                    yield from flush()
+                    index = batch.iloc[k].to_dict()
+                    index |= {c: int(index[c]) for c in ("shard", "dim", "beam")}
+                elif index and index["shard"] == batch["shard"].iat[k]:  # a shard may have got no rows
+                    waiting.append((batch["id"].iat[k], batch["v"].iat[k]))
+                    if len(waiting) >= QUERY_ROWS:
+                        yield from flush()
+        yield from flush()
+
+    each = rows.mapInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
