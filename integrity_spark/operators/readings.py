@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import reports as R
 from ..functions.scalars import collapsed
 from .tml import CONSTANTS
+from .token_tables import table_readings
 from ..sources.shared import kept
 
 # Titles of summary pages, marks of grid pages, header and skip words of result tables.
@@ -26,7 +27,6 @@ NO_READING = r"(?i)\bN/?A\b|\bFLANGE\b"
 HEADER = {"diameter": r"(?i)CIRCUIT|CML|SECTION|DIAM", "permissive": r"(?i)CIRCUIT|CML|SECTION|DIAM|ZONE|NORTH|SOUTH", "zone": r"(?i)CIRCUIT|CML\s+[A-Z]|ZONE|DIAM|SECTION|NORTH|SOUTH"}
 DIAMETERS = {"diameter": ("8", "6", "12", "10", "4", "16", "30"), "zone": ("16", "30", "8", "6", "12", "10", "4")}
 SHORT_TEXT = 100
-ZONES = ("1", "2", "3", "4", "5", "6", "7", "8", "9")
 NO_EQUIPMENT, NO_GROUP = "EQUIPMENT_NOT_FOUND", "GROUP_NOT_FOUND"
 OUT = ("report", "circuit_id", "cml_id", "measurement_date", "min_reading", "all_readings", "method", "page")
 
@@ -191,24 +191,11 @@ def page_text(tokens: DataFrame) -> DataFrame:
     return lines.groupBy("report", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda t: t.line), "\n").alias("text"))
 
 
-def tokens_to_rows(tokens: DataFrame, meta: DataFrame, least_conf: float = 0.6) -> DataFrame:
-    """Readings of a recognised table: a header row with ZONE is required; each confident reading token takes the zone
-    of its row (the digit nearest to the zone column) and the CML label nearest above or beside; rows without a zone
-    are numbered by ``sequence_zones``."""
-    t = token_rows(tokens.where(F.col("conf") >= least_conf))
-    heads = t.where(F.upper("text").rlike("ZONE|SECTION")).groupBy("report", "page").agg(F.min("row_no").alias("head"), F.min_by((F.col("left") + F.col("right")) / 2, "row_no").alias("zone_x"))
-    t = t.join(heads, ["report", "page"]).where("row_no > head")
-    reading = F.get(R.extract_readings(F.col("text")), F.lit(0))
-    x = (F.col("left") + F.col("right")) / 2
-    zone = F.min_by(F.when(F.col("text").isin(*ZONES), F.col("text").try_cast("int")), F.when(F.col("text").isin(*ZONES), F.abs(x - F.col("zone_x"))))
-    rows = t.join(meta.select("report", "circuit_id", "measurement_date", "cml_ids"), "report").groupBy("report", "page", "row_no").agg(
-        zone.alias("zone"), F.min(reading).alias("min_reading"), F.collect_list(reading).alias("all_readings"), F.max(F.when(F.array_contains("cml_ids", F.regexp_extract("text", r"(\d+\.\d+)", 1)), F.regexp_extract("text", r"(\d+\.\d+)", 1))).alias("label"),
-        F.any_value("circuit_id").alias("circuit_id"), F.any_value("measurement_date").alias("measurement_date"), F.any_value("cml_ids").alias("cml_ids"),
-    )
-    rows = forward_fill(rows, "label", ["report"], ["page", "row_no"]).where("min_reading IS NOT NULL")
-    rows = rows.withColumn("cml_base", F.coalesce("label", F.get("cml_ids", F.lit(0)))).where("cml_base IS NOT NULL")
-    done = sequence_zones(rows, order=("page", "row_no"))
-    return done.select("report", "circuit_id", F.concat_ws("-", "cml_base", F.col("zone").cast("string")).alias("cml_id"), "measurement_date", "min_reading", "all_readings", F.lit("tokens").alias("method"), "page")
+def tokens_to_rows(tokens: DataFrame, meta: DataFrame) -> DataFrame:
+    """Readings of recognised tables, the lowest of each report's CML and section, the first on ties."""
+    rows = table_readings(tokens, meta, sequence_zones)
+    least = F.min_by(F.struct("measurement_date", "min_reading", "all_readings", "page"), F.struct("min_reading", "page", "row_no"))
+    return rows.groupBy("report", "circuit_id", "cml_id").agg(least.alias("r")).select("report", "circuit_id", "cml_id", "r.measurement_date", "r.min_reading", "r.all_readings", F.lit("tokens").alias("method"), "r.page")
 
 
 def numeric_page_readings(pages: DataFrame, rows: DataFrame) -> DataFrame:

@@ -208,19 +208,38 @@ def sequence_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sequence_zones(r).select("report", "row_no", "zone")
 
 
-@query("SELECT 'R' || cast(o_orderkey AS varchar) AS report, '1.01-' || cast(CASE k WHEN 1 THEN 2 ELSE 1 END AS varchar) AS cml_id, round(0.2e0 + (o_orderkey % 50 + k) / 1000, 3) AS min_reading FROM orders, (VALUES (1), (2)) AS v(k)")
+_TOKEN_ROWS = {
+    0: [("1.01-1", 1), ("1.01-2", 2), ("1.01-3", 3), ("1.34-1", 4), ("1.34-2", 5), ("1.34-3", 6)],
+    1: [("1.01-9", 1), ("1.01-10", 2), ("1.01-12", 3), ("1.01-1", 4)],
+    2: [("1.01-1", 1), ("1.01-2", 2), ("1.01-3", 4)],
+    3: [("9.05", 1)],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT 'R' || cast(o_orderkey AS varchar) AS report, '{cml}' AS cml_id, round(0.2e0 + (o_orderkey % 50 + {k}) / 1000, 3) AS min_reading FROM orders WHERE o_orderkey % 4 = {kind}" for kind, rows in _TOKEN_ROWS.items() for cml, k in rows))
 def tokens_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page a report: a header row with ZONE, a row of zone 2, one without zone, and a token that isn't sure enough."""
+    """A page a report, of four kinds: two CMLs whose labels stand in the middle of their sections; sections of two digits, diameters beside
+    them, and a row without number; a directional table with a row to skip and a reading that isn't sure; a CML without sections."""
     o = table(spark, sf_dir, "orders")
     number = lambda k: F.format_string("%.3f", F.lit(0.2) + (F.col("o_orderkey") % 50 + k) / 1000)
 
     def token(text, left, cy, conf=0.9):
         text = F.lit(text) if isinstance(text, str) else text
-        return F.struct(text.alias("text"), F.lit(conf).alias("conf"), F.lit(float(left)).alias("left"), F.lit(left + 20.0).alias("right"), F.lit(cy).alias("cy"), F.lit(10.0).alias("height"))
-
-    tokens = F.array(token("ZONE", 10, 10.0), token("READING", 60, 11.0), token("2", 12, 40.0), token("1.01", 35, 40.0), token(number(1), 60, 41.0), token(number(2), 60, 70.0), token("0.111", 90, 70.0, 0.3))
-    t = o.select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report"), F.lit(1).alias("page"), F.inline(tokens))
-    meta = t.select("report").distinct().select("report", F.lit("52-001A").alias("circuit_id"), F.lit(None).cast("date").alias("measurement_date"), F.array(F.lit("1.01")).alias("cml_ids"))
+        return F.struct(text.alias("text"), F.lit(conf).alias("conf"), F.lit(float(left)).alias("left"), F.lit(left + 20.0).alias("right"), F.lit(cy - 5.0).alias("top"), F.lit(cy).alias("cy"), F.lit(10.0).alias("height"))
+
+    head = [token("CIRCUIT", 0, 10.0), token("CML", 60, 10.0)]
+    sections = [*head, token("SECTION", 120, 11.0), token("DIAM.", 180, 10.0), token("A", 240, 10.0), token("B", 300, 10.0)]
+    merged = [t for k in range(6) for t in (token(str(k % 3 + 1), 122, 40.0 + 30 * k), token(number(k + 1), 240, 41.0 + 30 * k), token("2.500", 300, 40.0 + 30 * k))] + [token("1.01", 62, 71.0), token("1.34", 62, 161.0), token("52-001A", 0, 71.0)]
+    wide = [t for k, zone in enumerate(("9", "10", "12", None)) for t in ([token(zone, 121, 40.0 + 30 * k)] if zone else []) + [token("1.01", 60, 40.0 + 30 * k), token("8" if zone else "8in", 181, 40.0 + 30 * k), token(number(k + 1), 240, 42.0 + 30 * k)]]
+    compass = [*head, token("NORTH", 120, 10.0), token("SOUTH", 180, 10.0), token("1.01", 61, 40.0)] + [t for k in range(4) for t in (token(number(k + 1) if k != 2 else "FLANGE", 120, 40.0 + 30 * k), token("0.111", 180, 40.0 + 30 * k, 0.3))]
+    single = [*head, token("ZONE", 120, 10.0), token("TOP", 240, 10.0), token("9.05", 60, 40.0), token("1", 121, 40.0), token(number(1), 240, 40.0), token("2", 121, 70.0), token(number(2), 240, 70.0)]
+    kinds = [[*sections, *merged], [*sections, *wide], compass, single]
+    ids = [("1.01", "1.34"), ("1.01",), ("1.01",), ("9.05",)]
+    names = o.select("o_orderkey", F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report"), (F.col("o_orderkey") % 4).alias("kind"))
+    pages = [names.where(F.col("kind") == k).select("report", F.lit(1).alias("page"), F.inline(F.array(*tokens))) for k, tokens in enumerate(kinds)]
+    t = pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    lists = F.get(F.array(*(F.array(*map(F.lit, i)) for i in ids)), F.col("kind").cast("int"))
+    meta = names.select("report", F.lit("52-001A").alias("circuit_id"), F.lit(None).cast("date").alias("measurement_date"), lists.alias("cml_ids"))
     return R.tokens_to_rows(t, meta).select("report", "cml_id", F.round("min_reading", 3).alias("min_reading"))
 
 
