@@ -8,7 +8,7 @@ grown in batches: each searches the graph so far with a beam, adds the nearest o
 nodes (a candidate is taken unless it is closer to one taken before; what room is left takes the nearest others), and the nodes it links to
 choose anew among their links and the new ones. Nodes that the first one doesn't reach get a link from one that it does. Links
 are kept as one flat neighbour array for each level. A search keeps a small beam on the upper levels and a large one on the
-lowest, for many queries at once. How large, each shard finds out itself: it scans all its nodes for the nearest of PROBES of them, and doubles
+lowest, for many queries at once. How large, each shard finds out itself: it scans all its nodes for the nearest of PROBES of them, and widens
 the beam until the graph finds ENOUGH of these, at worst up to a scan of the shard. A shard's index is sent once for each of its parts,
 and queries stream behind it; the shards' lists are merged by score.
 
@@ -32,13 +32,17 @@ from pyspark.sql import functions as F
 from .common import tasks, written
 
 #: Rows of a shard: ROOT times the root of all rows, within bounds. Queries of a block; entries of its table of visits.
-ROOT, LEAST_ROWS, MOST_ROWS, QUERY_ROWS, VISITS = 64, 8192, 262_144, 1024, 2**26
+ROOT, LEAST_ROWS, MOST_ROWS, QUERY_ROWS, VISITS = 64, 16_384, 262_144, 1024, 2**26
 LINKS, NEAR, BEAM, EXPAND, SEED = 16, 64, 80, 4, 7
-#: Beam of the upper levels; what a shard is asked to find: nearest nodes of so many probes, and the share of them that is enough; nodes out of
+#: Beam of the upper levels; what a shard is asked to find: nearest nodes of so many probes, the share of them that is enough, steps of the beam; nodes out of
 #: reach that are joined at once.
-UPPER, TOP, PROBES, ENOUGH, JOINED = 16, 20, 96, 0.97, 256
+UPPER, TOP, PROBES, ENOUGH, WIDER, JOINED = 16, 20, 192, 0.95, 1.4, 256
 #: Nodes of a level's first batch, which is linked by all its products; nodes of a later batch at most; beam of growing.
-FIRST, BATCH, GROWING = 1024, 2048, 64
+FIRST, BATCH, GROWING = 1024, 2048, 96
+#: Nodes whose near nodes are compared at once.
+BLOCK = 512
+#: Precision inside the graph; scores are of the vectors themselves.
+GRAPH = np.float32
 INDEX = "shard int, dim int, beam int, ids binary, id_from binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"
 
 
@@ -54,14 +58,17 @@ def diverse(near: np.ndarray, dist: np.ndarray, x: np.ndarray, most: int) -> np.
     nearest of the others."""
     rows, width = near.shape
     mask, count = np.zeros((rows, width), bool), np.zeros(rows, np.int64)
-    between = np.full((rows, width), np.inf)
-    for k in range(width):
-        ok = np.flatnonzero((near[:, k] >= 0) & (dist[:, k] <= between[:, k]) & (count < most))
-        mask[ok, k] = True
-        count[ok] += 1
-        if k + 1 < width and len(ok):
-            d = np.square(x[near[ok, k + 1 :]] - x[near[ok, k]][:, None, :]).sum(axis=2)
-            between[ok, k + 1 :] = np.minimum(between[ok, k + 1 :], d)
+    for lo in range(0, rows, BLOCK):
+        part = slice(lo, lo + BLOCK)
+        own, gap = x[near[part]], dist[part]
+        square = np.einsum("rkd,rkd->rk", own, own)
+        apart = square[:, :, None] + square[:, None, :] - 2 * np.matmul(own, own.transpose(0, 2, 1))
+        between = np.full(gap.shape, np.inf, x.dtype)
+        for k in range(width):
+            ok = (near[part, k] >= 0) & (gap[:, k] <= between[:, k]) & (count[part] < most)
+            mask[part, k] = ok
+            count[part] += ok
+            between = np.where(ok[:, None], np.minimum(between, apart[:, k]), between)
     by = np.argsort(np.where(near < 0, 2, np.where(mask, 0, 1)), axis=1, kind="stable")[:, :most]
     taken = np.full((rows, most), -1, np.int32)
     taken[:, : by.shape[1]] = np.take_along_axis(near, by, axis=1)
@@ -172,7 +179,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int) -> dict:
     by = np.lexsort((ids, node.ravel()))
     id_from = np.r_[0, np.cumsum(np.bincount(node.ravel(), minlength=len(distinct)))].astype(np.int64)
     square = np.square(distinct).sum(axis=1)
-    x = np.c_[distinct, np.sqrt(np.maximum(square.max() - square, 0))]
+    x = np.c_[distinct, np.sqrt(np.maximum(square.max() - square, 0))].astype(GRAPH)
     rng = np.random.default_rng(seed)
     level = np.floor(-np.log(rng.random(len(x))) / np.log(LINKS)).astype(int)
     level[0] = level.max()  # the first node is on all levels
@@ -186,7 +193,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int) -> dict:
 
 
 def needed_beam(index: dict, probes: np.ndarray) -> int:
-    """The least doubling of BEAM that finds ENOUGH of the nearest nodes of the probes, which a scan of the shard finds all."""
+    """The least widening of BEAM that finds ENOUGH of the nearest nodes of the probes, which a scan of the shard finds all."""
     x = np.frombuffer(index["vectors"]).reshape(-1, index["dim"])
     top, beam = min(TOP, len(x)), BEAM
     score = probes @ x.T
@@ -198,14 +205,14 @@ def needed_beam(index: dict, probes: np.ndarray) -> int:
         hit = (found >= 0) & (np.take_along_axis(score, np.maximum(found, 0), axis=1) >= least[:, None])
         if hit.mean() >= ENOUGH:
             break
-        beam *= 2
+        beam = int(beam * WIDER)
     return min(beam, len(x))
 
 
 def search(index: dict, queries: np.ndarray, beam: int) -> np.ndarray:
     """The best nodes of each query, best first; -1 where fewer were met. The first node is always a start, as all others are
     reached from it."""
-    x = np.frombuffer(index["vectors"]).reshape(-1, index["dim"])
+    x, queries = np.frombuffer(index["vectors"]).reshape(-1, index["dim"]).astype(GRAPH), queries.astype(GRAPH)
     first = np.zeros((len(queries), 1), np.int64)
     start = first
     for k, level in reversed(list(enumerate(index["levels"]))):
