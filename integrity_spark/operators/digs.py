@@ -94,6 +94,25 @@ def window_rows(windows: DataFrame, ili: DataFrame) -> DataFrame:
     return inside.unionByName(own.join(windows.where("NOT target_found"), list(RUN)))
 
 
+def dig_runs(mdl: DataFrame, ili: DataFrame, order: Sequence[str] = ("chainage", "feature_id"), n: int = WELDS) -> DataFrame:
+    """Every pair of a dig and a run of its line: ``target_found``, ``target_chainage`` (0 without it), the window's bounds, and ``n_rows``. Where the
+    target weld isn't found, the pair stands for all rows of the run, which the listing holds once: ``n_rows`` counts them, no row
+    is written for them. With ``dig_rows`` this is the whole result of the "all rows" rule without its product."""
+    found = kept(locate_target_weld(mdl, ili, order), "located")
+    windows = kept(weld_window(found.where("target_chainage IS NOT NULL"), ili, n), "bounds")
+    own = ili.select(*RUN, number_of(ili, "chainage").alias("x"))
+    inside = range_join(own.where("x IS NOT NULL"), windows, RUN, "x", "lo", "hi", BIN_M).groupBy("dig_id", *RUN).agg(F.count("*").alias("inside"))
+    whole = small_or_merged(kept(own.groupBy(*RUN).agg(F.count("*").alias("of_run")), "runs"))
+    pairs = found.join(windows.drop("target_chainage", "target_found").hint("merge"), ["dig_id", *RUN], "left").join(inside.hint("merge"), ["dig_id", *RUN], "left").join(whole, list(RUN))
+    hit = F.col("target_chainage").isNotNull()
+    return pairs.select("dig_id", *RUN, hit.alias("target_found"), F.coalesce("target_chainage", F.lit(0.0)).alias("target_chainage"), "lo", "hi", F.when(hit, F.coalesce("inside", F.lit(0))).otherwise(F.col("of_run")).alias("n_rows"))
+
+
+def dig_rows(pairs: DataFrame, ili: DataFrame, digs: Sequence[int]) -> DataFrame:
+    """All rows of a few digs, those of runs without the target weld included."""
+    return window_rows(pairs.where(F.col("dig_id").isin(*digs)), ili)
+
+
 def target_features(mdl: DataFrame, rows: DataFrame, row_key: Sequence[str]) -> DataFrame:
     """Distinct (dig, row) pairs that a dig asks for: by id, and by dimensions for MDL rows without any id hit."""
     asked = mdl.withColumn("mdl_row", F.xxhash64(*mdl.columns))

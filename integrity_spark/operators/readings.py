@@ -18,7 +18,7 @@ from ..functions import reports as R
 from ..functions.scalars import collapsed
 from .tml import CONSTANTS
 from .token_tables import table_readings
-from ..sources.shared import kept
+from ..sources.shared import kept, small_or_merged
 
 # Titles of summary pages, marks of grid pages, header and skip words of result tables.
 SUMMARY_TITLE = r"(?i)(?:U\s*T\s*R\s*E\s*P\s*O\s*R\s*T|UT\s+REPORT)\s*[-–]\s*(?:T\s*E\s*E|TEE|E\s*L\s*B\s*O\s*W|ELBOW|CONNECTIONS?|PIPE|REDUCER|CAP|WELD|STRAIGHT)"
@@ -27,6 +27,7 @@ NO_READING = r"(?i)\bN/?A\b|\bFLANGE\b"
 HEADER = {"diameter": r"(?i)CIRCUIT|CML|SECTION|DIAM", "permissive": r"(?i)CIRCUIT|CML|SECTION|DIAM|ZONE|NORTH|SOUTH", "zone": r"(?i)CIRCUIT|CML\s+[A-Z]|ZONE|DIAM|SECTION|NORTH|SOUTH"}
 DIAMETERS = {"diameter": ("8", "6", "12", "10", "4", "16", "30"), "zone": ("16", "30", "8", "6", "12", "10", "4")}
 SHORT_TEXT = 100
+ZONES = ("1", "2", "3", "4", "5", "6", "7", "8", "9")
 NO_EQUIPMENT, NO_GROUP = "EQUIPMENT_NOT_FOUND", "GROUP_NOT_FOUND"
 OUT = ("report", "circuit_id", "cml_id", "measurement_date", "min_reading", "all_readings", "method", "page")
 
@@ -237,9 +238,9 @@ def aggregate_readings(meta: DataFrame) -> DataFrame:
     return e.select("report", "circuit_id", cml.alias("cml_id"), "measurement_date", F.coalesce(F.array_min(own), F.lit(0.0)).alias("min_reading"), own.alias("all_readings"), F.lit("aggregate").alias("method"), F.lit(None).cast("int").alias("page"), (total == 0).alias("no_reading"))
 
 
-def min_reading_per_cml(readings: DataFrame, order: Sequence[str] = ("page",)) -> DataFrame:
-    """The row with the lowest reading of each (circuit, CML), the first on ties."""
-    by = W.partitionBy("circuit_id", "cml_id").orderBy("min_reading", *order)
+def min_reading_per_cml(readings: DataFrame, order: Sequence[str] = ("page",), keys: Sequence[str] = ("circuit_id", "cml_id")) -> DataFrame:
+    """The row with the lowest reading of each (circuit, CML), the first on ties. With ``report`` among the keys, of each report."""
+    by = W.partitionBy(*keys).orderBy("min_reading", *order)
     return readings.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
@@ -258,7 +259,7 @@ def supplement_readings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     usual = p.join(swapped, "report", "left_anti").unionByName(s.join(swapped, "report", "left_anti").join(p.select(*key), key, "left_anti"))
     own = s.join(swapped, "report", "left_semi")
     rest = p.join(swapped, "report", "left_semi").withColumn("base", F.coalesce("base", "cml_id")).join(s.select("report", "base").distinct(), ["report", "base"], "left_anti")
-    return min_reading_per_cml(usual.unionByName(own).unionByName(rest).drop("base"))
+    return min_reading_per_cml(usual.unionByName(own).unionByName(rest).drop("base"), keys=("report", "circuit_id", "cml_id"))
 
 
 def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFrame:
@@ -289,38 +290,81 @@ def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFram
 
 def parse_many_reports(pages: DataFrame, rows: DataFrame, tokens: DataFrame | None = None, hints: Mapping[str, str] | None = None) -> DataFrame:
     """All reports in one job: every strategy on the pages to process, the first admissible one of each report, the
-    lowest reading of each CML."""
-    meta = kept(report_metadata(pages), "meta")
+    lowest reading of each of its CMLs. Reports whose text has no readings take those of their table cells and pages, last page first."""
+    own_meta = kept(report_metadata(pages), "meta")
     use = kept(summary_pages(pages), "pages")
     own = rows.join(use.select("report", "page").distinct(), ["report", "page"], "left_semi")
+    bare = own_meta.where(F.size("readings") == 0).select("report")
+    spare = numeric_page_readings(use.join(bare, "report", "left_semi"), own.join(bare, "report", "left_semi")).withColumnRenamed("readings", "__spare")
+    none = F.array().cast("array<double>")
+    meta = own_meta.join(spare.hint("merge"), "report", "left").withColumn("readings", F.when(F.size("readings") > 0, F.col("readings")).otherwise(F.coalesce("__spare", none))).drop("__spare")
+    meta = kept(meta.withColumn("cml_ids", F.when((F.size("cml_ids") == 0) & (F.size("readings") > 0), F.array(F.lit("1"))).otherwise(F.col("cml_ids"))), "meta")
     titled = rows.join(use.where("is_summary").select("report", "page").distinct(), ["report", "page"], "left_semi")
     slim = meta.select("report", "circuit_id", "measurement_date", "cml_ids")
     single = slim.where(F.size("cml_ids") == 1)
     found = {"zone": parse_zone_rows(own, slim, hints), "summary": parse_summary_rows(titled, single), "diameter": parse_diameter_rows(own, slim), "permissive": parse_permissive_rows(own, single), "split": split_readings_to_zones(meta), "aggregate": aggregate_readings(meta)}
     if tokens is not None:
         found["tokens"] = supplement_readings(tokens_to_rows(tokens, slim), found["zone"].select(*OUT))
-    return min_reading_per_cml(select_strategy(found, meta))
+    return min_reading_per_cml(select_strategy(found, meta), keys=("report", "circuit_id", "cml_id"))
+
+
+#: Why a report has no readings, the first that holds.
+UNREADABLE = ("no name", "listed twice", "no pages", "pages without number", "no text", "no CML")
+
+
+def parse_listed_reports(reports: DataFrame, pages: DataFrame, rows: DataFrame, tokens: DataFrame | None = None, hints: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Readings of ``reports(report, report_ord)``, each with its ``report_ord``, and a quarantine ``(report, report_ord, reason)`` of those that
+    can't be read. A report in quarantine gives no readings and takes nothing from the others; every report is in
+    one of the two."""
+    listed = reports.groupBy("report").agg(F.min("report_ord").alias("report_ord"), F.count("*").alias("times"))
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    seen = pages.groupBy("report").agg(F.count("*").alias("n"), F.count_if(F.col("page").isNull()).alias("lost"), F.count_if(~blank).alias("full"))
+    cells = rows.where("page IS NOT NULL").select("report").distinct().withColumn("tables", F.lit(True))
+    if tokens is not None:
+        cells = cells.unionByName(tokens.where("page IS NOT NULL").select("report").distinct().withColumn("tables", F.lit(True))).distinct()
+    why = F.when(F.trim(F.coalesce("report", F.lit(""))) == "", "no name").when(F.col("times") > 1, "listed twice").when(F.col("n").isNull(), "no pages").when(F.col("lost") > 0, "pages without number").when((F.col("full") == 0) & F.col("tables").isNull(), "no text")
+    judged = kept(listed.join(seen.hint("merge"), "report", "left").join(cells.hint("merge"), "report", "left").select("report", "report_ord", why.alias("reason")), "reports")
+    fine = judged.where("reason IS NULL").select("report", "report_ord")
+    only = lambda df: df.join(fine.select("report").hint("merge"), "report", "left_semi")
+    found = kept(parse_many_reports(only(pages), only(rows), only(tokens) if tokens is not None else None, hints), "readings")
+    silent = fine.join(found.select("report").distinct().hint("merge"), "report", "left_anti").withColumn("reason", F.lit("no CML"))
+    # A report all of whose readings belong to another one's lower rows is read all the same.
+    named = only(pages).transform(report_metadata).where(F.size("cml_ids") > 0).select("report")
+    silent = silent.join(named.hint("merge"), "report", "left_anti")
+    return found.join(fine.hint("merge"), "report"), judged.where("reason IS NOT NULL").unionByName(silent)
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, key: str, best: Column, value: str) -> DataFrame:
+    """For each ``key`` of ``left`` the ``value`` of the first by ``best`` among the keys of ``right`` that it begins with, or that begin with it. Both
+    sides meet on whole strings: an index holds, for each beginning of a right key whose length some left key has, just its first
+    entry; and each left key's beginnings, of lengths that right keys have, are looked up in those. So a beginning that all keys
+    share is one row of the index."""
+
+    def lengths(df: DataFrame) -> Column:
+        found = sorted(r.n for r in df.select(F.length(key).alias("n")).distinct().collect())  # as many as lengths
+        return F.array(*map(F.lit, found)).cast("array<int>")
+
+    def beginnings(df: DataFrame, of: Column) -> DataFrame:
+        return df.withColumn("n", F.explode(F.filter(of, lambda k: (k > 0) & (k <= F.length(key))))).withColumn("part", F.left(key, F.col("n"))).drop("n")
+
+    first = right.groupBy(key).agg(F.min_by(F.struct(F.col(value), best.alias("__best")), best).alias("f"))
+    index = beginnings(first, lengths(left)).groupBy("part").agg(F.min_by("f", "f.__best").alias("f"))
+    longer = left.withColumnRenamed(key, "part").join(index.hint("merge"), "part").select(F.col("part").alias(key), "f")
+    shorter = beginnings(left, lengths(first)).join(first.withColumnRenamed(key, "part").hint("merge"), "part").select(key, "f")
+    return longer.unionByName(shorter).groupBy(key).agg(F.min_by("f", "f.__best").alias("f")).select(key, F.col(f"f.{value}").alias(value))
 
 
 def circuit_to_equipment(readings: DataFrame, source: DataFrame, order: Sequence[str]) -> DataFrame:
     """Equipment of each circuit: exact, else the first source entry equal but for blanks or a prefix either way, else a
-    placeholder. Prefix pairs meet on equal first characters, not by comparing all with all."""
-    first = source.where("circuit_id IS NOT NULL AND equipment_id IS NOT NULL").groupBy("circuit_id").agg(F.min_by(F.struct("equipment_id", F.struct(*order).alias("ord")), F.struct(*order)).alias("s")).select("circuit_id", "s.*")
-    asked = readings.select("circuit_id").distinct()
+    placeholder. The circuits' map, of as many rows as circuits, is written and broadcast if it is small."""
+    first = kept(source.where("circuit_id IS NOT NULL AND equipment_id IS NOT NULL").groupBy("circuit_id").agg(F.min_by(F.struct("equipment_id", F.struct(*order).alias("ord")), F.struct(*order)).alias("s")).select("circuit_id", "s.*"), "equipment")
+    asked = kept(readings.select("circuit_id").where("circuit_id IS NOT NULL").distinct(), "circuits")
     exact = asked.join(first, "circuit_id").select("circuit_id", "equipment_id")
-    left = asked.join(exact, "circuit_id", "left_anti").withColumn("norm", collapsed(F.col("circuit_id")))
-    cand = first.select(F.col("circuit_id").alias("other"), "equipment_id", "ord", collapsed(F.col("circuit_id")).alias("onorm"))
-    head = 3
-    met = left.withColumn("h", F.left("norm", F.lit(head))).join(cand.withColumn("h", F.left("onorm", F.lit(head))), "h").where(F.startswith("norm", "onorm") | F.startswith("onorm", "norm"))
-
-    def starts(name: str) -> Column:
-        """The beginnings shorter than ``head``, to meet keys that are as short."""
-        return F.explode(F.array_distinct(F.array(*(F.left(name, F.lit(k)) for k in range(1, head)))))
-
-    small = lambda name: F.length(name).between(1, head - 1)
-    short = left.where(small("norm")).withColumn("h", F.col("norm")).join(cand.withColumn("h", starts("onorm")), "h").unionByName(left.where(~small("norm")).withColumn("h", starts("norm")).join(cand.where(small("onorm")).withColumn("h", F.col("onorm")), "h"))
-    fuzzy = met.select("circuit_id", "equipment_id", "ord").unionByName(short.select("circuit_id", "equipment_id", "ord")).groupBy("circuit_id").agg(F.min_by("equipment_id", "ord").alias("equipment_id"))
-    return readings.join(exact.unionByName(fuzzy), "circuit_id", "left").withColumn("equipment_id", F.coalesce("equipment_id", F.lit(NO_EQUIPMENT)))
+    left = asked.join(first.select("circuit_id"), "circuit_id", "left_anti").withColumn("norm", collapsed(F.col("circuit_id")))
+    near = prefix_pairs(left.select("norm").distinct(), first.select(collapsed(F.col("circuit_id")).alias("norm"), "equipment_id", "ord"), "norm", F.col("ord"), "equipment_id")
+    fuzzy = left.join(near.hint("merge"), "norm").select("circuit_id", "equipment_id")
+    found = small_or_merged(kept(exact.unionByName(fuzzy), "circuit-map"))
+    return readings.join(found, "circuit_id", "left").withColumn("equipment_id", F.coalesce("equipment_id", F.lit(NO_EQUIPMENT)))
 
 
 def cml_to_group(readings: DataFrame, source: DataFrame | None, order: Sequence[str]) -> DataFrame:

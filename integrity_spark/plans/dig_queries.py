@@ -72,6 +72,12 @@ def dig_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dig_id", "line_id", "source", "feature_id", F.round(F.col("x") - F.col("target_chainage"), 6).alias("distance_m"))
 
 
+@query(f"{_WINDOWS}, runs AS (SELECT line_id, source, count(*) AS n FROM ili_features GROUP BY line_id, source) SELECT t.dig_id, t.line_id, t.source, t.target_chainage IS NOT NULL AS target_found, coalesce(t.target_chainage, 0) AS target_chainage, b.lo, b.hi, CASE WHEN t.target_chainage IS NULL THEN any_value(runs.n) ELSE count(i.chainage) END AS n_rows FROM targets t JOIN runs ON runs.line_id = t.line_id AND runs.source = t.source LEFT JOIN bounds b ON b.dig_id = t.dig_id AND b.line_id = t.line_id AND b.source = t.source LEFT JOIN ili_features i ON i.line_id = b.line_id AND i.source = b.source AND i.chainage BETWEEN b.lo AND b.hi GROUP BY t.dig_id, t.line_id, t.source, t.target_chainage, b.lo, b.hi")
+def dig_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of digs and runs, with and without the target weld, with the number of rows that each stands for."""
+    return D.dig_runs(*inputs(spark, sf_dir))
+
+
 def package(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     mdl, ili = inputs(spark, sf_dir)
     return mdl, D.dig_feature_table(mdl, ili, fallback="skip")

@@ -179,6 +179,34 @@ def circuit_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.circuit_to_equipment(asked, known, ORDER).select("id", "equipment_id")
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'E0' WHEN c_custkey % 3 = 2 THEN (SELECT 'E' || cast(min(n_nationkey) AS varchar) FROM nation) ELSE 'E' || cast(c_nationkey AS varchar) END AS equipment_id FROM customer")
+def circuits_of_one_beginning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every circuit, known or asked for, begins with ``52-``: whole ones with a tail, with other blanks, the common beginning alone."""
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("52-0"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("K  1")).alias("circuit_id"), F.concat(F.lit("E"), F.col("n_nationkey").cast("string")).alias("equipment_id"), F.col("n_nationkey").alias("row_ord"))
+    c, own = table(spark, sf_dir, "customer"), F.concat(F.lit("52-0"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("K 1"))
+    k = F.col("c_custkey")
+    asked = c.select(k.alias("id"), F.when(k % 7 == 0, "52-").when(k % 3 == 2, "52-0").when(k % 3 == 1, F.concat(own, F.lit("-"), k.cast("string"))).otherwise(own).alias("circuit_id"))
+    return R.circuit_to_equipment(asked, n, ORDER).select("id", "equipment_id")
+
+
+_LISTED = "CASE WHEN o_orderkey % 50 = 0 THEN 'no pages' WHEN o_orderkey % 50 = 1 THEN 'pages without number' WHEN o_orderkey % 50 = 2 THEN 'no text' WHEN o_orderkey % 50 = 3 THEN 'listed twice' WHEN o_orderkey % 50 = 4 THEN 'no CML' END"
+
+
+@query(f"SELECT 'R' || cast(o_orderkey AS varchar) AS report, o_orderkey AS report_ord, {_LISTED} AS reason, CASE WHEN {_LISTED} IS NULL THEN round(least((200 + o_orderkey % 300) / 1000e0, CASE WHEN o_orderkey % 50 = 5 THEN 1 ELSE 0.5e0 END), 3) END AS min_reading FROM orders")
+def parse_listed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports in the order of their list: some can't be read, each for its own reason, and are in the quarantine alone; one kind has its reading
+    only in a table cell."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("report"), (F.col("o_orderkey") % 50).alias("kind"))
+    listed = o.select("report", F.col("o_orderkey").alias("report_ord")).unionByName(o.where("kind = 3").select("report", (F.col("o_orderkey") + 1).alias("report_ord")))
+    value = F.format_string("0.%d", 200 + F.col("o_orderkey") % 300)
+    text = F.when(F.col("kind") == 2, "  ").when(F.col("kind") == 4, "nothing measured").when(F.col("kind") == 5, F.concat(F.lit("Circuit: 52-"), F.lpad(F.col("o_orderkey").cast("string"), 3, "0"), F.lit("\nCML 1.01"))).otherwise(F.concat(F.lit("Circuit: 52-001K 1-2\nCML 1.01\nreading "), value))
+    pages = o.where("kind <> 0").select("report", F.when(F.col("kind") != 1, 1).alias("page"), text.alias("text"))
+    cells = o.where("kind = 5").select("report", F.lit(1).alias("page"), F.lit(1).alias("table_no"), F.lit(1).alias("row_no"), F.array(F.lit("x"), value).alias("cells"))
+    found, bad = R.parse_listed_reports(listed, pages, cells)
+    least = found.groupBy("report", "report_ord").agg(F.round(F.min("min_reading"), 3).alias("min_reading"))
+    return bad.select("report", "report_ord", "reason", F.lit(None).cast("double").alias("min_reading")).unionByName(least.select("report", "report_ord", F.lit(None).cast("string").alias("reason"), "min_reading"))
+
+
 _PAGES = "'R' || cast(o_orderkey AS varchar) AS report, k AS page FROM orders, (VALUES (1), (2), (3)) AS v(k)"
 
 
