@@ -207,6 +207,43 @@ def depth_raster(defects: DataFrame, lo: float, hi: float, nominal_size: int = 1
     return cells.groupBy("line_id", F.col("bin_x").cast("int").alias("bin_x"), F.pmod("t", F.lit(n_theta)).cast("int").alias("bin_theta")).agg(F.max("depth_pct").alias("depth_pct"))
 
 
+def intervals(lo: Column, hi: Column, bits: int) -> Column:
+    """A range of cells as at most two blocks of each power of two, ``(k, b)`` for cells from b * 2**k on."""
+    blocks = []
+    for k in range(bits + 1):
+        size = 1 << k
+        first, end = F.ceil(lo / size).cast("int"), F.floor((hi + 1) / size).cast("int")
+        some = first < end
+        blocks += [F.when(some & (first % 2 == 1), F.struct(F.lit(k).alias("k"), first.alias("b"))), F.when(some & (end % 2 == 1), F.struct(F.lit(k).alias("k"), (end - 1).alias("b")))]
+    return F.filter(F.array(*blocks), lambda x: x.isNotNull())
+
+
+def tiled_raster(defects: DataFrame, span: float, nominal_size: int = 10, n_x: int = 300, n_theta: int = 120) -> DataFrame:
+    """The raster of the whole line in tiles of ``span`` metres: ``(line_id, tile, bin_x, bin_theta, depth_pct)``, each tile as ``depth_raster``
+    from ``tile * span`` on. A defect isn't spread over its cells: its sides are cut into blocks of powers of two, of which there are
+    few however wide it is; the deepest of each block is kept before blocks meet cells, so a tile has no more than its own blocks."""
+    around = 3.14159 * OUTSIDE_DIAMETER[nominal_size] / 1000.0
+    dx, turn = span / (n_x - 1), 2 * math.pi
+    own = defects.where(F.col("depth_pct") > 0)
+    near = F.sequence(F.floor((F.col("chainage") - 0.1) / span), F.floor((F.col("chainage") + 0.1) / span))
+    own = own.withColumn("tile", F.explode(near)).withColumn("lo", F.col("tile") * span).where(F.col("chainage").between(F.col("lo") - 0.1, F.col("lo") + span + 0.1))
+    half = F.greatest(F.col("length_mm") / 1000.0, F.lit(max(span, 1.0) * 0.012)) / 2.0
+    half_bins = F.greatest(F.col("width_mm") / 1000.0, F.lit(around * 0.05)) / around * math.pi / (turn / n_theta)
+    at_bin = F.col("orientation_hours") / 12.0 * n_theta
+    x0, x1 = F.greatest(F.ceil((F.col("chainage") - half - F.col("lo")) / dx), F.lit(0)), F.least(F.floor((F.col("chainage") + half - F.col("lo")) / dx), F.lit(n_x - 1))
+    first = F.ceil(at_bin - half_bins)
+    own = own.select("line_id", "tile", "depth_pct", x0.alias("x0"), x1.alias("x1"), first.alias("t0"), F.least(F.floor(at_bin + half_bins), first + n_theta - 1).alias("t1")).where("x0 <= x1 AND t0 <= t1")
+    from_t, wide = F.pmod("t0", F.lit(n_theta)), F.col("t1") - F.col("t0")
+    over = from_t + wide - n_theta
+    parts = F.filter(F.array(F.struct(from_t.alias("t0"), F.least(from_t + wide, F.lit(n_theta - 1)).alias("t1")), F.struct(F.lit(0).cast("bigint").alias("t0"), over.alias("t1"))), lambda p: p.t0 <= p.t1)
+    own = own.withColumn("p", F.explode(parts)).select("line_id", "tile", "depth_pct", F.explode(intervals(F.col("x0"), F.col("x1"), (n_x - 1).bit_length())).alias("x"), "p")
+    own = own.select("line_id", "tile", "depth_pct", "x", F.explode(intervals(F.col("p.t0"), F.col("p.t1"), (n_theta - 1).bit_length())).alias("t"))
+    blocks = own.groupBy("line_id", "tile", "x", "t").agg(F.max("depth_pct").alias("depth_pct"))
+    cells = lambda b: F.sequence(b.b * F.pow(F.lit(2), b.k).cast("int"), (b.b + 1) * F.pow(F.lit(2), b.k).cast("int") - 1)
+    each = blocks.withColumn("bin_x", F.explode(cells(F.col("x")))).withColumn("bin_theta", F.explode(cells(F.col("t"))))
+    return each.groupBy("line_id", "tile", "bin_x", "bin_theta").agg(F.max("depth_pct").alias("depth_pct"))
+
+
 def nde_region(start: Column, end: Column) -> tuple[Column, Column]:
     both = start.isNotNull() & end.isNotNull()
     return F.when(both, F.least(start, end)), F.when(both, F.greatest(start, end))

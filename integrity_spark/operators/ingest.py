@@ -6,6 +6,7 @@ they are resolved, so one job handles any number of files. Keyword lists are sma
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,19 +15,46 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import collapsed, to_number
 from ..sources.keywords import ALIASES, DEFAULT_VENDOR, HEADER_WORDS, TALLY_WORDS
+from ..sources.shared import kept, small_or_merged
 
 SHEET = ["file", "sheet"]
 SCAN_ROWS, ENOUGH, MAPPED_ENOUGH, MAX_SHEETS = 60, 5, 6, 10
 
 
-def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", header: bool = True) -> DataFrame:
-    """Files as all-text tables with the file's name; other columns of Parquet and JSON are turned to text."""
+def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", header: bool = True, numbered: bool = False) -> DataFrame:
+    """Files as all-text tables with the file's name; other columns of Parquet and JSON are turned to text. ``numbered``: with
+    ``row_ord``, the row's number in its file (of text files the line's, so that the header is 1), however many splits it has."""
     paths = [path] if isinstance(path, str) else list(path)
+    if numbered and fmt in ("csv", "tsv"):
+        return split_lines(landed_lines(spark, paths), "\t" if fmt == "tsv" else ",", header)
     reader = spark.read.option("header", header).option("inferSchema", False) if fmt in ("csv", "tsv") else spark.read
     if fmt == "tsv":
         reader = reader.option("sep", "\t")
     df = reader.format("csv" if fmt == "tsv" else fmt).load(paths)
-    return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns), F.col("_metadata.file_name").alias("_file"))
+    place = [(F.col("_metadata.row_index") + 1).alias("row_ord")] if numbered else []  # Parquet only
+    return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns), F.col("_metadata.file_name").alias("_file"), *place)
+
+
+def landed_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines of text files with their number ``(_file, row_ord, line)``: the place inside a split, and the lines of the splits before it in
+    its file. Lines are written once with their places; then only a row for each split is summed up."""
+    lines = spark.read.text(list(paths)).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    landed = kept(lines, "landed")
+    splits = landed.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    ahead = kept(splits.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "splits")
+    met = landed.join(small_or_merged(ahead), ["path", "split"])
+    return met.select("path", "_file", (F.col("at") - F.col("first") + F.col("ahead") + 1).alias("row_ord"), "line")
+
+
+def split_lines(lines: DataFrame, sep: str, header: bool) -> DataFrame:
+    """Lines as all-text columns, named by the first line of the first file, else ``_c0`` and so on; blank lines go."""
+    first = lines.where("row_ord = 1").agg(F.min_by("line", "path").alias("line")).first()[0] or ""
+    names = next(csv.reader([first], delimiter=sep), [])
+    columns = names if header else [f"_c{k}" for k in range(len(names))]
+    schema = ", ".join(f"`{c}` string" for c in columns) or "`_c0` string"
+    rows = lines.where(F.trim("line") != "").where("row_ord > 1" if header else "true").withColumn("r", F.from_csv("line", schema, {"sep": sep}))
+    return rows.select("r.*", "_file", "row_ord")
 
 
 def write_outputs(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet") -> None:
@@ -35,24 +63,75 @@ def write_outputs(df: DataFrame, path: str, partition: str | None = None, fmt: s
     (w.partitionBy(partition) if partition else w).format(fmt).save(path)
 
 
+#: Rows of a file of an output folder.
+FILE_ROWS = 1_000_000
+
+
+def write_package(df: DataFrame, path: str, key: str, order: Sequence[str] = (), fmt: str = "parquet", file_rows: int = FILE_ROWS) -> DataFrame:
+    """Three sinks of one job: ``by_key`` (a folder for each key), ``combined`` (all rows) and ``summary`` (rows and files of each key, a row for
+    all as null), which is written last, so a folder without it isn't done. Rows are written once and dealt by key and salt: a large key has
+    as many salts as files of ``file_rows``, a small one a single file. Gives the summary."""
+    rows = kept(df, "package")
+    counts = rows.groupBy(key).agg(F.count("*").alias("n_rows")).withColumn("files", F.ceil(F.col("n_rows") / file_rows).cast("int"))
+    counts = kept(counts, "counts")
+    sized = rows.join(small_or_merged(counts.select(F.col(key).alias("__k"), "files")), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    salted = sized.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.col("files")).cast("int")).drop("files")
+    dealt = salted.repartition(key, "__salt").sortWithinPartitions(key, "__salt", *order).drop("__salt")
+    dealt.write.mode("overwrite").partitionBy(key).format(fmt).save(f"{path}/by_key")
+    rows.write.mode("overwrite").format(fmt).save(f"{path}/combined")
+    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+    summary = counts.select(F.col(key).cast("string").alias("key"), "n_rows", F.col("files").cast("long").alias("files"), F.lit(False).alias("whole")).unionByName(total.select(F.lit(None).cast("string").alias("key"), "n_rows", "files", F.lit(True).alias("whole")))
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+    return df.sparkSession.read.schema(summary.schema).parquet(f"{path}/summary")
+
+
 def shown(value: Column) -> Column:
     return F.lower(collapsed(F.coalesce(value, F.lit(""))))
 
 
 def parse_delimited_text(docs: DataFrame, text_col: str = "text", id_col: str = "file") -> DataFrame:
-    """Pasted text as cells: tabs if the first line has any, else commas; the first row is row 1. A value in double quotes
-    may hold separators and doubled quotes."""
-    lines = F.filter(F.split(F.col(text_col), "\r?\n"), lambda x: F.trim(x) != "")
-    sep = F.when(F.get(lines, F.lit(0)).contains("\t"), "\t").otherwise(",")
-    rows = docs.select(F.col(id_col).alias("file"), sep.alias("sep"), F.posexplode(lines).alias("r", "line"))
-    cells = rows.select("file", (F.col("r") + 1).alias("row"), F.posexplode(F.when(F.col("sep") == ",", quoted_parts(F.col("line"), ",")).otherwise(quoted_parts(F.col("line"), "\t"))).alias("col", "value"))
+    """Pasted text as cells: tabs if the first record has any, else commas; the first record is row 1. A value in double quotes may
+    hold separators, line breaks and doubled quotes."""
+    rows = records(docs, text_col, id_col)
+    cells = rows.select("file", "row", F.posexplode(F.when(F.col("sep") == ",", quoted_parts(F.col("record"), ",")).otherwise(quoted_parts(F.col("record"), "\t"))).alias("col", "value"))
     wide = cells.groupBy("file").agg(F.max("col").alias("w")).where("w > 0").select("file")
     return cells.join(wide.hint("merge"), "file", "left_semi").select("file", F.lit("text").alias("sheet"), F.lit(1).alias("sheet_ord"), "row", "col", "value")
 
 
+def records(docs: DataFrame, text_col: str = "text", id_col: str = "file") -> DataFrame:
+    """Records ``(file, row, sep, record)`` of pasted text, blank ones left out. A quote opens a value only where the value begins. Each line
+    says whether it ends inside quotes, were it to begin outside and were it to begin inside; running over a text's lines, the last line for
+    which both agree, and the number of lines that turn it round since, tell where each line begins. A line that begins
+    outside starts a record. A text is one row of the input, which bounds the windows."""
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), "\n")
+    first = F.get(F.filter(lines, lambda x: F.trim(x) != ""), F.lit(0))
+    unquoted = F.regexp_replace(first, r'"(?:[^"]++|"")*+"', "")
+    sep = F.when(unquoted.contains("\t"), "\t").otherwise(",")
+    rows = docs.select(F.col(id_col).alias("file"), sep.alias("sep"), F.posexplode(lines).alias("n", "line"))
+
+    def opened(text: Column) -> Column:
+        tab = F.regexp_replace(text, r'(^|\t) *"(?:[^"]++|"")*+"', "$1x").rlike(r'(^|\t) *"')
+        comma = F.regexp_replace(text, r'(^|,) *"(?:[^"]++|"")*+"', "$1x").rlike(r'(^|,) *"')
+        return F.when(F.col("sep") == ",", comma).otherwise(tab)
+
+    rest = F.regexp_replace("line", r'^(?:[^"]++|"")*+"', "x")
+    inside = F.when(F.col("line").rlike(r'^(?:[^"]++|"")*+"'), opened(rest)).otherwise(True)
+    by = W.partitionBy("file").orderBy("n")
+    d = rows.withColumns({"out": opened(F.col("line")), "in": inside}).withColumn("turns", F.sum((F.col("out") & ~F.col("in")).cast("int")).over(by))
+    known = F.when(F.col("out") == F.col("in"), F.struct(F.col("out").alias("v"), F.col("turns").alias("t")))
+    d = d.withColumn("k", F.last(known, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    ends_inside = F.coalesce(F.col("k.v"), F.lit(False)) != (F.pmod(F.col("turns") - F.coalesce("k.t", F.lit(0)), F.lit(2)) == 1)
+    d = d.withColumn("ends_inside", ends_inside)
+    starts = (~F.coalesce(F.lag("ends_inside").over(by), F.lit(False))).cast("int")
+    d = d.withColumn("starts", starts).withColumn("record", F.sum("starts").over(by))
+    made = d.groupBy("file", "sep", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n").alias("text"))
+    full = made.where(F.trim("text") != "")
+    return full.select("file", F.row_number().over(W.partitionBy("file").orderBy("record")).alias("row"), "sep", F.col("text").alias("record"))
+
+
 def quoted_parts(line: Column, sep: str) -> Column:
     """A line's values, trimmed; quotes around a value go, doubled ones inside are one."""
-    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{sep}[ ]*("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
+    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{sep}[ ]*("(?:[^"]++|"")*+"|[^{sep}]*)'), F.lit(1))
     return F.transform(parts, lambda x: F.trim(F.when(F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, '^"|" *$', ""), F.lit('""'), F.lit('"'))).otherwise(x)))
 
 

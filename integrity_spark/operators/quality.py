@@ -56,6 +56,28 @@ def percentiles(values: DataFrame, at: Sequence[float]) -> DataFrame:
     return ranked.groupBy("column").agg(F.array(*found).alias("q"))
 
 
+#: Items that a quantile sketch keeps a level; ranks are off by 2.3 / SKETCH ** 0.9 of all rows at most, with 99 % confidence.
+SKETCH = 800
+RANK_ERROR = 2.296 / SKETCH**0.9021
+
+
+def sketched(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One mergeable KLL sketch for each column, of its numbers, in one pass: ``column, sketch``. Sketches of parts, days or files can be
+    stored and merged by ``merged_sketches``."""
+    one = [F.struct(F.lit(c).alias("column"), F.kll_sketch_agg_double(to_number(F.col(c)), SKETCH).alias("sketch")) for c in cols]
+    return df.agg(F.array(*one).alias("s")).select(F.inline("s"))
+
+
+def merged_sketches(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("column").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_percentiles(sketches: DataFrame, at: Sequence[float]) -> DataFrame:
+    """``column, at, value``: values whose rank is off by ``RANK_ERROR`` at most; null where a column has no number."""
+    one = lambda p: F.struct(F.lit(float(p)).alias("at"), F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))).alias("value"))
+    return sketches.select("column", F.inline(F.array(*map(one, at))))
+
+
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Moments of all columns in one pass, and exact quartiles, interpolated linearly."""
     numbers = {c: to_number(F.col(c)) for c in cols}

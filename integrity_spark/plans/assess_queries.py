@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pressure as P
 from ..operators import assess as A
-from ..operators.quality import column_stats, histogram
+from ..operators.quality import RANK_ERROR, column_stats, histogram, merged_sketches, sketch_percentiles, sketched
 from ..sources.fixtures import view
 from .registry import query
 
@@ -159,3 +159,16 @@ def feature_column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = histogram(view(spark, sf_dir, "ili_features"), "depth_pct", 30)
     return h.select(F.col("bin").cast("long").alias("bin"), F.round("edge_lo", 6).alias("edge_lo"), F.round("edge_hi", 6).alias("edge_hi"), "n")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", q AS quantile, count({c}) AS count, TRUE AS within FROM ili_features, (VALUES (0.25e0), (0.5e0), (0.75e0)) AS v(q) GROUP BY q" for c in STAT_COLUMNS), ("ili_features",))
+def sketched_column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of merged sketches, one a line: whether their exact ranks are within the stated error."""
+    f = view(spark, sf_dir, "ili_features")
+    parts = [sketched(f.where(F.col("line_id") == line), STAT_COLUMNS) for line in ("L0", "L1", "L2")]
+    q = sketch_percentiles(merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2])), (0.25, 0.5, 0.75))
+    values = f.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in STAT_COLUMNS)))).where("v IS NOT NULL")
+    met = values.join(F.broadcast(q), "column")  # three rows a column
+    ranks = met.groupBy("column", "at").agg(F.count("*").alias("count"), (F.count_if(F.col("v") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("v") <= F.col("value")) / F.count("*")).alias("upto"))
+    close = (F.col("below") - RANK_ERROR <= F.col("at")) & (F.col("at") <= F.col("upto") + RANK_ERROR)
+    return ranks.select("column", F.col("at").alias("quantile"), "count", close.alias("within"))

@@ -205,6 +205,45 @@ def parse_quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.parse_delimited_text(p.select(F.col("p_partkey").cast("string").alias("file"), line.alias("text"))).select("file", "row", "col", "value")
 
 
+_SEP = "CASE WHEN p_partkey % 2 = 0 THEN ',' ELSE chr(9) END"
+_BROKEN = [(1, 0, "'id'"), (1, 1, "'name'"), (1, 2, "'note'"), (2, 0, "cast(p_partkey AS varchar)"), (2, 1, "p_name || chr(10) || 'second ' || chr(34) || 'q' || chr(34) || ' line'"), (2, 2, "'5' || chr(34) || ' pipe'"), (3, 0, "'y'"), (3, 1, f"'a' || {_SEP} || 'b' || chr(10) || chr(10) || 'c'"), (3, 2, "'end'")]
+
+
+@query(" UNION ALL ".join(f"SELECT cast(p_partkey AS varchar) AS file, {r} AS row, {c} AS col, {v} AS value FROM part" for r, c, v in _BROKEN))
+def parse_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values over several lines, blank ones among them, doubled quotes, a separator inside, and a quote that opens nothing; commas and tabs."""
+    p = table(spark, sf_dir, "part")
+    sep = F.when(F.col("p_partkey") % 2 == 0, ",").otherwise("\t")
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("id"), sep, F.lit("name"), sep, F.lit("note\r\n"), key, sep, F.lit('"'), "p_name", F.lit('\nsecond ""q"" line"'), sep, F.lit('5" pipe\n"y"'), sep, F.lit('"a'), sep, F.lit('b\n\nc"'), sep, F.lit("end\n\n"))
+    return I.parse_delimited_text(p.select(key.alias("file"), text.alias("text"))).select("file", "row", "col", "value")
+
+
+@query("SELECT cast(o_orderkey AS varchar) AS id, 2 AS off, cast(o_custkey AS varchar) AS customer FROM orders")
+def landed_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of many splits, written with each row's place: row numbers are that place and the header."""
+    path, size = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}", "spark.sql.files.maxPartitionBytes"
+    sorted_rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    sorted_rows.withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))).write.option("header", True).csv(path)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        back = I.read_table(spark, path, "csv", numbered=True)
+    finally:
+        spark.conf.set(size, before)
+    return back.select(F.col("o_orderkey").alias("id"), (F.col("row_ord") - F.col("place").cast("bigint")).cast("int").alias("off"), F.col("o_custkey").alias("customer"))
+
+
+@query("SELECT CAST(c_nationkey AS varchar) AS key, count(*) AS n_rows, count(*) AS n_read, CAST(ceil(count(*) / 40.0) AS bigint) AS files, FALSE AS whole FROM customer GROUP BY c_nationkey UNION ALL SELECT NULL, count(*), count(*), (SELECT sum(f)::BIGINT FROM (SELECT ceil(count(*) / 40.0) AS f FROM customer GROUP BY c_nationkey)), TRUE FROM customer")
+def write_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder a nation in files of 40 rows, all rows together, and the summary, read back and compared."""
+    path = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}"
+    summary = I.write_package(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), path, "nation", ("id",), file_rows=40)
+    parts = spark.read.parquet(f"{path}/by_key").groupBy(F.col("nation").cast("string").alias("k")).agg(F.count("*").alias("n_read"))
+    whole = spark.read.parquet(f"{path}/combined").agg(F.lit(None).cast("string").alias("k"), F.count("*").alias("n_read"))
+    return summary.join(parts.unionByName(whole).hint("merge"), F.col("key").eqNullSafe(F.col("k")), "left").select("key", "n_rows", "n_read", "files", "whole")
+
+
 @query("SELECT cast(s_nationkey AS varchar) AS nation, cast(s_suppkey AS varchar) AS id, s_name AS name FROM supplier")
 def write_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder a nation, written to the session's shared folder and read back as text."""

@@ -165,6 +165,21 @@ def depth_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.depth_raster(M.defects_only(features(spark, sf_dir)), *RASTER)
 
 
+#: Metres of a tile; its cells' width.
+SPAN = 36.0
+_TDX, _THALF = repr(SPAN / 299), f"(greatest(length_mm / 1000.0e0, {SPAN * 0.012!r}e0) / 2.0e0)"
+
+
+@query(f"""SELECT line_id, cast(tile AS bigint) AS tile, count(*) AS cells, round(max(depth_pct), 6) AS deepest, round(sum(depth_pct), 3) AS total, sum(bin_x * 120 + bin_theta)::BIGINT AS places FROM (
+ SELECT line_id, tile, bx AS bin_x, ((t % 120) + 120) % 120 AS bin_theta, max(depth_pct) AS depth_pct FROM (SELECT line_id, tile, depth_pct, bx, unnest(range(t0, least(t1, t0 + 119) + 1)) AS t FROM (SELECT line_id, tile, depth_pct, t0, t1, unnest(range(x0, x1 + 1)) AS bx FROM (
+ SELECT line_id, tile, depth_pct, greatest(cast(ceil((chainage - {_THALF} - tile * {SPAN}e0) / {_TDX}e0) AS bigint), 0) AS x0, least(cast(floor((chainage + {_THALF} - tile * {SPAN}e0) / {_TDX}e0) AS bigint), 299) AS x1, cast(ceil({HOURS.format(c='orientation_raw')} / 12.0e0 * 120 - {_HALF_T}) AS bigint) AS t0, cast(floor({HOURS.format(c='orientation_raw')} / 12.0e0 * 120 + {_HALF_T}) AS bigint) AS t1
+ FROM (SELECT *, unnest(range(cast(floor((chainage - 0.1e0) / {SPAN}e0) AS bigint), cast(floor((chainage + 0.1e0) / {SPAN}e0) AS bigint) + 1)) AS tile FROM ili_features WHERE feature_type = 'Metal Loss' AND depth_pct > 0)))) GROUP BY 1, 2, 3, 4) GROUP BY line_id, tile""", ILI)
+def tiled_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tile of every line: its covered cells, and sums that name their places and depths."""
+    r = M.tiled_raster(M.defects_only(features(spark, sf_dir)), SPAN)
+    return r.groupBy("line_id", F.col("tile").cast("long").alias("tile")).agg(F.count("*").alias("cells"), F.round(F.max("depth_pct"), 6).alias("deepest"), F.round(F.sum("depth_pct"), 3).alias("total"), F.sum(F.col("bin_x").cast("long") * 120 + F.col("bin_theta")).alias("places"))
+
+
 @query("SELECT DISTINCT source FROM ili_features", ILI)
 def feature_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_sorted(features(spark, sf_dir), "source")
