@@ -4,8 +4,9 @@ One narrow pass gives each document its shingle count, a 128-bit key of its shin
 each, and 384 minima of which only the low 4 bits are kept, packed in 24 longs. Documents with the same set become one
 class at once, so copies cost nothing further. Classes that share a band are candidates. Inside a band bucket, dealt
 in blocks of bounded size, pairs are compared by bit counts: with share m of equal lanes, the similarity estimate is
-(m - 2**-b) / (1 - 2**-b). Pairs estimated well below the threshold go; the rest are confirmed on the full shingle
-sets, in two rounds. The first takes each class's nearest partners of a bucket, which already joins nearly all groups.
+(m - 2**-b) / (1 - 2**-b). Pairs estimated well below the threshold go; the rest are counted on their sets of shingle hashes, for
+which a text goes once to each block in which it has pairs, and what is left is confirmed on the full shingle sets: all in
+two rounds. The first takes each class's nearest partners of a bucket, which already joins nearly all groups.
 The second takes every remaining pair across different components, so that no link that matters is left out.
 
 Defined results: null or blank text has no shingles and links with nothing; a text of fewer than five words is one
@@ -35,6 +36,8 @@ BANDS, ROWS, MINIMA, BITS = 25, 5, 384, 4
 ERRORS, MISSED = 4, 1e-4
 #: Members of a block of a band bucket, about; partners of the first round.
 BLOCK, NEAREST = 1024, 3
+#: Shingle hashes that a task holds at once, about.
+TILE = 4_000_000
 SIGNATURE = "n_shingles long, set_a long, set_b long, lanes array<long>, bands array<long>"
 
 _rng = np.random.default_rng(20_240_607)
@@ -144,10 +147,10 @@ def missed(threshold: int) -> float:
     return (1 - (threshold / 100) ** ROWS) ** BANDS
 
 
-def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, lanes: np.ndarray, band: np.ndarray, bands: np.ndarray, nearest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one run of whole groups: all rows of a group stand together. side: bits of the blocks a row
-    belongs to; a group of two blocks pairs only across them. A pair that shares several bands is taken in the first of
-    them only."""
+def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, lanes: np.ndarray, band: np.ndarray, bands: np.ndarray, nearest: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of one run of whole groups, and a row of each pair's group: all rows of a group stand together. side: bits of the
+    blocks a row belongs to; a group of two blocks pairs only across them. A pair that shares several bands is taken in the
+    first of them only."""
     left, right, near = [], [], []
     live, shift = np.arange(len(group)), 1
     while True:
@@ -165,7 +168,7 @@ def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarr
         near.append(est[good])
         shift += 1
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     i, j, e = map(np.concatenate, (left, right, near))
     if nearest and len(i):
         who, other, e2 = np.r_[i, j], np.r_[j, i], np.r_[e, e]
@@ -175,26 +178,28 @@ def _pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarr
         rank = np.arange(len(w)) - np.repeat(start, np.diff(np.r_[start, len(w)]))
         take = by[rank < nearest]
         i, j = who[take], other[take]
-    pairs = np.unique(np.sort(np.c_[node[i], node[j]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs, first = np.unique(np.sort(np.c_[node[i], node[j]], axis=1), axis=0, return_index=True)
+    return pairs[:, 0], pairs[:, 1], i[first]
 
 
 def candidates(members: DataFrame, nearest: int, least: float) -> DataFrame:
     """Distinct pairs (a < b) of bucket members ``(band, copies, id, comp, lanes, bands)`` in different components that are
-    estimated at ``least`` or more by their bits; with ``nearest``, only the nearest few of each member in each block."""
+    estimated at ``least`` or more by their bits; with ``nearest``, only the nearest few of each member in each block. ``tile``
+    names the blocks in which a pair was met: all pairs of a tile have at most two blocks of members."""
     blocks = F.ceil(F.col("copies") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = (
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "comp", "lanes", "bands", F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+        .withColumn("tile", F.xxhash64("band", "bi", "bj"))
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(part: pd.DataFrame) -> pd.DataFrame:
             group = part.groupby(["band", "bi", "bj"], sort=False).ngroup().to_numpy()
-            a, b = _pairs(group, part.side.to_numpy(), part.id.to_numpy(), part.comp.to_numpy(), np.stack(part.lanes.to_numpy()).view(np.uint64), part.band.to_numpy(), np.stack(part.bands.to_numpy()), nearest, least)
-            return pd.DataFrame({"a": a, "b": b})
+            a, b, at = _pairs(group, part.side.to_numpy(), part.id.to_numpy(), part.comp.to_numpy(), np.stack(part.lanes.to_numpy()).view(np.uint64), part.band.to_numpy(), np.stack(part.bands.to_numpy()), nearest, least)
+            return pd.DataFrame({"a": a, "b": b, "tile": part.tile.to_numpy()[at]})
 
         rest = None
         for batch in batches:
@@ -207,7 +212,40 @@ def candidates(members: DataFrame, nearest: int, least: float) -> DataFrame:
         if rest is not None and len(rest):
             yield found(rest)
 
-    return dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj").mapInPandas(compare, "a long, b long").distinct()
+    return dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj").mapInPandas(compare, "a long, b long, tile long")
+
+
+def likely(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """Those pairs ``(a, b, tile)`` whose sets of shingle hashes meet the threshold. A text goes to each of its tiles once, not to each of
+    its pairs: of k texts of one template, all pairs of which may be candidates, each is sent as often as it has bands and blocks.
+    Tiles of more than TILE shingles are cut by both ids, so a task holds about that many hashes at once."""
+    met = pairs.select("tile", F.col("a").alias("id")).unionByName(pairs.select("tile", F.col("b").alias("id"))).distinct()
+    cuts = met.join(sizes.hint("merge"), "id").groupBy("tile").agg(F.ceil(F.sum("n_shingles") / TILE).cast("int").alias("cuts"))
+    dealt = pairs.join(cuts.hint("merge"), "tile")
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
+    dealt = written(dealt.select("a", "b", F.xxhash64("tile", part("a"), part("b")).alias("tile")), "tiles")
+    asked = dealt.select("tile", F.col("a").alias("id")).unionByName(dealt.select("tile", F.col("b").alias("id"))).distinct()
+    own = asked.join(texts.hint("merge"), "id").withColumn("kind", F.lit(0))
+    rows = own.unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True).select("tile", "kind", F.coalesce("id", "a").alias("a"), "b", "text")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, sets, hashes = None, {}, _Hashes()
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for k, (t, kind, a, b, text) in enumerate(zip(batch.tile, batch.kind, batch.a, batch.b, batch.text, strict=True)):
+                if t != tile:
+                    tile, sets = t, {}
+                if kind == 0:
+                    if len(hashes) > 300_000:
+                        hashes.clear()
+                    sets[a] = shingle_hashes(text, hashes)
+                else:
+                    x, y = sets[a], sets[int(b)]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[k] = 100 * both >= threshold * (len(x) + len(y) - both) > 0
+            yield batch.loc[keep, ["a", "b"]].astype("int64")
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind", "a").mapInPandas(check, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -260,12 +298,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One id with several texts links their classes.
     spread = rows_of.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("id", "a")
     same_id = rows_of.join(written(spread, "ids").hint("merge"), "id").where("node > a").select("a", F.col("node").alias("b"))
+    sizes = classes.select(F.col("node").alias("id"), "n_shingles")
     first = written(candidates(rows.withColumn("comp", F.col("id")), NEAREST, least), "pairs")
-    links = written(confirmed(first, texts, threshold).union(same_id), "links")
+    links = written(confirmed(written(likely(first, texts, sizes, threshold), "likely"), texts, threshold).union(same_id), "links")
     comps = written(connected_components(links), "components")
     joined = rows.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    second = candidates(joined, 0, least).join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = written(confirmed(second, texts, threshold), "links")
+    second = written(candidates(joined, 0, least).join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    more = written(confirmed(written(likely(second, texts, sizes, threshold), "likely"), texts, threshold), "links")
     if more.head(1):
         comps = written(connected_components(links.union(more)), "components")
     named = classes.select(F.col("node").alias("id"), "rep").join(comps.hint("merge"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
