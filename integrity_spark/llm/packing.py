@@ -17,6 +17,7 @@ through.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -67,6 +68,16 @@ LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿœŒ"
 PLAIN = f"{LETTERS}\t\n\r -~¡¿«»“”‘’„…–—€°"
 PARTS = f"[{LETTERS}]+|[0-9]|'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[^{BLANK}{LETTERS}0-9]+"
 WORD_END = "</w>"
+# The tokenizer's normalizer and the pattern of its pre-tokenizer, for which all this holds.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_words(spec: dict) -> bool:
+    """Whether a tokenizer's file parts and ends words as the lookup takes it."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = steps[0]
+    return (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True and spec["model"].get("end_of_word_suffix") == WORD_END and not spec["model"].get("dropout")
 
 
 class WordTokenizer:
@@ -74,13 +85,15 @@ class WordTokenizer:
     punctuation, so the ids of a text of plain characters are those of its parts in turn. Each distinct part is encoded
     once, many at a time, where the tokens' own end marks tell the parts apart. A word with any other character is
     encoded as a whole, by itself. The tokenizer's added tokens are cut out of the text as written, before all else, and
-    have one id each; ``encode_special_tokens`` makes plain text of them."""
+    have one id each; ``encode_special_tokens`` makes plain text of them. A tokenizer that parts words in any other way encodes
+    whole texts."""
 
     def __init__(self, path: str, encode_special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special_tokens
+        self.whole = not parts_words(json.loads(self.tokenizer.to_str()))
         added = [] if encode_special_tokens else sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added, self.added_start = set(added), commonprefix(added)
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
@@ -120,7 +133,10 @@ class WordTokenizer:
             while hi < len(texts) and (hi == lo or room > 0):
                 room -= len(texts[hi] or "")
                 hi += 1
-            yield from self._encode(texts[lo:hi])
+            if self.whole:
+                yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts[lo:hi]], add_special_tokens=False))
+            else:
+                yield from self._encode(texts[lo:hi])
             lo = hi
 
     def split(self, text: str) -> list[str]:

@@ -7,7 +7,9 @@ at least ``min_words`` is a repeated string; every suffix in it covers its longe
 and the longest repeat are held against limits.
 
 Defined results: null or blank text has no words, measures 0 and fails the base rule of ten words; a repeated
-string may overlap its copy; equal documents do not touch each other; extra columns pass through ``quality_rules``.
+string may overlap its copy; equal documents do not touch each other, and repeated rows are judged each; a very long text is sorted alone and
+judged whole; an empty table gives no rows; extra columns pass through ``quality_rules``, whatever their names, but for one called ``quality``,
+which gives way.
 """
 
 from __future__ import annotations
@@ -148,7 +150,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
         for texts in batches:
             yield measure(list(texts), min_words)
 
-    m = F.col("__m")
+    own = next(name for name in ("__m" + "_" * k for k in range(len(docs.columns) + 1)) if name not in docs.columns)
+    m = F.col(own)
     failed = (m.n_words < 10) | (100 * m.n_repeat_words > 20 * m.n_words)
     passed = (m.covered_words <= max_covered * m.n_words) & (m.longest_repeat <= max_longest)
-    return docs.withColumn("__m", measured(F.col(text_col))).withColumn("quality", m.withField("base_failed", failed).withField("kept", ~failed & passed)).drop("__m")
+    return docs.withColumn(own, measured(F.col(text_col))).withColumn("quality", m.withField("base_failed", failed).withField("kept", ~failed & passed)).drop(own)

@@ -3,7 +3,8 @@
 Every historical version of every path is content-addressed by the SHA-256 of its text. The ledger has a row for each
 blob with the rule versions it has been scanned by and what they found. A run scans each distinct blob once, by just
 those rule versions that the ledger lacks for it, and joins findings back to all paths that hold the blob. Copies,
-even a third of all rows, cost one scan; the join back meets hot blobs on its left side only, which Spark can split.
+even a third of all rows, cost one scan; the join back meets hot blobs on its left side only, which Spark can split. ``scan``
+takes a ledger as a table; ``scan_into`` keeps one on disk, run after run, with the versions of every path.
 
 Defined results: null text counts as empty; a very long text is scanned whole; findings of two rules may overlap or tie and
 all stand; repeated rows give repeated results; an empty table gives no rows and an empty ledger; extra columns of the
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -100,6 +102,43 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return out.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS))), grown
 
 
+def ledger_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table of a ledger on disk; empty before its first run."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def scan_into(docs: DataFrame, path: str, version: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One run of a ledger that lasts, in the folder ``path``: ``docs`` are the paths' texts as of ``version``. Blobs that lack a rule version are
+    scanned by just that one and appended to ``blobs``; the blob of each path is appended to ``versions``. A run that is
+    lost between the two is made up by running it again, which scans nothing twice. Gives ``docs`` with ``blob`` and the
+    findings of ``rules``, as ``scan`` does."""
+    spark = docs.sparkSession
+    before = ledger_table(spark, path, "blobs", f"{LEDGER}, version string")
+    added = scan_unseen(docs, before.drop("version"), rules, text_col).withColumn("version", F.lit(version))
+    added.write.mode("append").parquet(f"{path}/blobs")
+    held = docs.select(F.col(id_col).cast("string").alias("path"), F.lit(version).alias("version"), blob_of(F.col(text_col)).alias("blob")).distinct()
+    held.write.mode("append").parquet(f"{path}/versions")
+    return with_findings(docs.withColumn("blob", blob_of(F.col(text_col))), ledger_table(spark, path, "blobs", f"{LEDGER}, version string"), rules)
+
+
+def with_findings(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``rows`` that hold a ``blob`` with the ``findings`` that a ledger has for it by these rules."""
+    keys = [r.key for r in rules]
+    of_blob = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.filter(F.flatten(F.collect_list("findings")), lambda f: f.rule.isin(keys)).alias("findings"))
+    return rows.drop("findings").join(of_blob.hint("merge"), "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+
+
+def history(spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every version of every path with its findings: ``path, version, blob, findings``."""
+    versions = ledger_table(spark, path, "versions", "path string, version string, blob string").distinct()
+    return with_findings(versions, ledger_table(spark, path, "blobs", f"{LEDGER}, version string"), rules)
+
+
 def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping findings replaced by ``mark``. Positions are code points."""
     return cut_out(text, findings, mark)

@@ -56,3 +56,15 @@ def test_other_tokenizers(spark, docs):
     plain = Tokenizer.from_file(path)
     got = T.token_counts(spark.read.parquet(f"{docs[0]}/full/documents.parquet"), path).collect()
     assert all(r.tokens.n_tokens == len(plain.encode(docs[1][r.doc_id] or "", add_special_tokens=False).ids) for r in got)
+
+
+def test_packing_with_another_tokenizer():
+    """One that parts words in another way encodes whole texts; the known one looks its parts up."""
+    from integrity_spark.llm.packing import WordTokenizer
+
+    texts = ["Hello  World's 12 é!", "", "tabs\tand\nlines"]
+    for name, whole in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        own, plain = WordTokenizer(path), Tokenizer.from_file(path)
+        assert own.whole is whole
+        assert [x.tolist() for x in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
