@@ -16,6 +16,11 @@ def positive(**values: float | None) -> None:
         raise ValueError(f"must be positive: {wrong}")
 
 
+def not_positive(**columns: Column) -> Column:
+    """For inputs of each row: the names of those given ones that aren't positive, in order; empty where all is well."""
+    return F.filter(F.array(*(F.when(c.isNotNull() & (F.isnan(c.cast("double")) | (c <= 0)), F.lit(k)) for k, c in columns.items())), lambda x: x.isNotNull())
+
+
 def folias_factor(diameter: Column, wall: Column, length: Column, method: str = "mb31g") -> Column:
     z = length * length / (diameter * wall)
     inner = F.lit(1.0) + z * 0.6275 - z * z * 0.003375

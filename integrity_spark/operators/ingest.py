@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collapsed, to_number
-from ..sources.keywords import ALIASES, DEFAULT_VENDOR, HEADER_WORDS, TALLY_WORDS
+from ..sources.keywords import ALIASES, DEFAULT_VENDOR, HEADER_WORDS, TALLY_WORDS, VENDORS, merged, vendor_keywords
 from ..sources.shared import kept, small_or_merged
 
 SHEET = ["file", "sheet"]
@@ -192,6 +192,18 @@ def resolve_columns(headers: DataFrame, keywords: Mapping[str, Sequence[str]], v
     return hits.withColumn("__n", F.row_number().over(by)).where("__n = 1").select(*SHEET, "key", "col", F.col(value).alias("header"))
 
 
+def resolve_by_vendor(headers: DataFrame, value: str = "header", override: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``resolve_columns`` for files of many vendors at once: ``headers`` also have the ``vendor``, whose own keywords count; an unknown one's are
+    those of the default layout. ``override``: a user's names, before all others. The vendors' keyword table is of fixed size."""
+    rows = [(v, k, i, n.lower().strip()) for v in VENDORS for k, names in merged(vendor_keywords(v)[0], dict(override or {})).items() for i, n in enumerate(names)]
+    table = F.broadcast(headers.sparkSession.createDataFrame(rows, "__v string, key string, ord int, name string"))
+    h = headers.withColumn("__h", F.lower(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))))).withColumn("__v", F.when(F.col("vendor").isin(*VENDORS), F.col("vendor")).otherwise(DEFAULT_VENDOR))
+    exact = F.col("__h") == F.col("name")
+    met = h.join(table, "__v").where(exact | ((F.length("name") >= 4) & F.contains("__h", "name"))).withColumn("kind", F.when(exact, 0).otherwise(1))
+    first = F.min_by(F.struct("col", F.col(value).alias("header")), F.struct("kind", -F.length("name"), "ord", "col"))
+    return met.groupBy(*SHEET, "vendor", "key").agg(first.alias("f")).select(*SHEET, "vendor", "key", "f.*")
+
+
 def headers_at(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Header cells ``(file, sheet, col, header)`` of the detected rows."""
     met = cells.join(header_rows.hint("merge"), SHEET).where("row = header_row")

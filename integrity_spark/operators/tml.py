@@ -223,3 +223,30 @@ def refine_plan(plan: Mapping[str, object], answers: Mapping[str, object]) -> di
 def validate_plan(plan: Mapping[str, object]) -> list[str]:
     out = [f"{k} is missing" for k in ("file", "sheet") if not plan.get(k)]
     return out + ([] if plan.get("workflow_ids") else ["no workflow"]) + [f"column {c!r} has neither a mapping nor a constant" for c in plan.get("missing", ())]
+
+
+def normalized_plans(plans: DataFrame) -> DataFrame:
+    """Many plans at once, ``(file, sheet, workflow_ids array, mapping map, constants map)`` and any other columns: known ids, sorted and once
+    each; empty maps for those not given; ``missing``, the columns that neither map has, in the order of the spine and the workflows."""
+    known = F.create_map(*(F.lit(x) for i, w in WORKFLOWS.items() for x in (i, w.column)))
+    ids = F.array_sort(F.array_distinct(F.filter(F.coalesce("workflow_ids", F.array().cast("array<int>")), lambda i: i.isNotNull() & F.map_contains_key(known, i))))
+    empty = F.create_map().cast("map<string,string>")
+    spine = F.array(*map(F.lit, (EQUIPMENT, GROUP, SUB, STATUS_COLUMN)))
+    own = plans.withColumns({"workflow_ids": ids, "mapping": F.coalesce("mapping", empty), "constants": F.coalesce("constants", empty)})
+    needed = F.array_distinct(F.concat(spine, F.transform("workflow_ids", lambda i: F.try_element_at(known, i))))
+    return own.withColumn("missing", F.array_except(needed, F.concat(F.map_keys("mapping"), F.map_keys("constants"))))
+
+
+def refined_plans(plans: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Plans with the constants that users answered, ``(key, name, value)``; a later answer to one name is an error of the caller."""
+    given = answers.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__given"))
+    met = plans.join(given.hint("merge"), key, "left")
+    old = F.map_filter("constants", lambda k, _: ~F.map_contains_key("__given", k))
+    return normalized_plans(met.withColumn("constants", F.when(F.col("__given").isNull(), F.col("constants")).otherwise(F.map_concat(F.coalesce(old, F.create_map().cast("map<string,string>")), "__given"))).drop("__given"))
+
+
+def plan_problems(plans: DataFrame) -> Column:
+    """What is wrong with each normalized plan, in order."""
+    said = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"{c} is missing")) for c in ("file", "sheet")] + [F.when(F.size("workflow_ids") == 0, F.lit("no workflow"))]
+    columns = F.transform("missing", lambda c: F.concat(F.lit("column '"), c, F.lit("' has neither a mapping nor a constant")))
+    return F.concat(F.filter(F.array(*said), lambda x: x.isNotNull()), columns)

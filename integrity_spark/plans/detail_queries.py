@@ -13,6 +13,9 @@ from ..operators import joints as J
 from ..operators import readings as R
 from ..sources.fixtures import table, view
 from ..sources.keywords import INSPECTION, VENDORS, vendor_keywords
+from ..functions.pressure import not_positive
+from ..operators import ingest as I
+from ..operators.tml import EQUIPMENT, GROUP, STATUS_COLUMN, SUB, WORKFLOWS, normalized_plans, plan_problems, refined_plans
 from .registry import query
 
 TALLY, ILI = ("pipe_tally",), ("ili_features",)
@@ -295,3 +298,65 @@ def vendor_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sheet name that each vendor's layout looks for."""
     rows = F.array(*(F.struct(F.lit(v).alias("vendor"), F.lit(vendor_keywords(v)[1][0]).alias("sheet")) for v in VENDORS))
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.inline(rows))
+
+
+def _resolved(vendor: str, headers: list[str], override: dict[str, list[str]]) -> list[tuple[str, int]]:
+    """Key and column by the rule: exact before contained, longer names first, then the list's order, then the leftmost."""
+    from ..sources.keywords import DEFAULT_VENDOR, merged
+
+    out = []
+    for key, names in merged(vendor_keywords(vendor if vendor in VENDORS else DEFAULT_VENDOR)[0], override).items():
+        found = [(h.lower() != n.lower().strip(), -len(n.strip()), i, c) for i, n in enumerate(names) for c, h in enumerate(headers) if h.lower() == n.lower().strip() or (len(n.strip()) >= 4 and n.lower().strip() in h.lower())]
+        out += [(key, min(found)[3])] if found else []
+    return out
+
+
+#: A header row for each vendor: the last name of six of its keys, a user's own name, and one that stands for nothing.
+_LAYOUTS = {v: [vendor_keywords(v)[0][k][-1] for k in ("depth", "length", "width", "distance", "feature_type", "joint_number")] + ["Tiefe (mm) neu", "qq"] for v in [*VENDORS, "Nobody"]}
+_OWN = {"depth": ["Tiefe"]}
+
+
+@query(" UNION ALL ".join(f"SELECT 'f' || cast(s_suppkey AS varchar) AS file, '{key}' AS key, {col} AS col FROM supplier WHERE s_suppkey % {len(_LAYOUTS)} = {i}" for i, (v, heads) in enumerate(_LAYOUTS.items()) for key, col in _resolved(v, heads, {})))
+def vendor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header rows of files of all vendors and of an unknown one, each resolved by its vendor's keywords."""
+    return I.resolve_by_vendor(_vendor_headers(spark, sf_dir)).select("file", "key", "col")
+
+
+@query(" UNION ALL ".join(f"SELECT 'f' || cast(s_suppkey AS varchar) AS file, '{key}' AS key, {col} AS col FROM supplier WHERE s_suppkey % {len(_LAYOUTS)} = {i}" for i, (v, heads) in enumerate(_LAYOUTS.items()) for key, col in _resolved(v, heads, _OWN) if key == "depth"))
+def user_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same header rows with a user's name for the depth."""
+    return I.resolve_by_vendor(_vendor_headers(spark, sf_dir), override=_OWN).where("key = 'depth'").select("file", "key", "col")
+
+
+def _vendor_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*(F.struct(F.lit(v).alias("vendor"), F.array(*map(F.lit, heads)).alias("heads")) for v, heads in _LAYOUTS.items()))
+    s = table(spark, sf_dir, "supplier").withColumn("l", F.get(names, (F.col("s_suppkey") % len(_LAYOUTS)).cast("int")))
+    return s.select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.lit("S").alias("sheet"), F.col("l.vendor").alias("vendor"), F.posexplode("l.heads").alias("col", "header"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS n, concat_ws(',', CASE WHEN l_quantity - 25 <= 0 THEN 'diameter' END, CASE WHEN l_discount <= 0 THEN 'wall' END, CASE WHEN l_linenumber <> 3 AND l_tax <= 0 THEN 'safety' END) AS wrong FROM lineitem")
+def pipe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which inputs of each row aren't positive; a safety factor that isn't given passes."""
+    li = table(spark, sf_dir, "lineitem")
+    wrong = not_positive(diameter=F.col("l_quantity") - 25, wall=F.col("l_discount"), safety=F.when(F.col("l_linenumber") != 3, F.col("l_tax")))
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.array_join(wrong, ",").alias("wrong"))
+
+
+_COLUMN_OF = "CASE w " + " ".join(f"WHEN {i} THEN '{w.column}'" for i, w in WORKFLOWS.items()) + " END"
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS id, 1 + s_suppkey % 20 AS own, s_suppkey % 2 = 0 AS given, s_suppkey % 3 = 0 AS answered FROM supplier),
+ n AS (SELECT id, given, answered, unnest(list_sort(list_distinct([9, own]))) AS w FROM p),
+ c AS (SELECT id, w, {_COLUMN_OF} AS c, given, answered FROM n),
+ m AS (SELECT id, string_agg(c, ',' ORDER BY w) FILTER (c <> '{STATUS_COLUMN}' AND NOT (answered AND c = '{WORKFLOWS[9].column}')) AS missing FROM c GROUP BY id)
+SELECT p.id, array_to_string(list_sort(list_distinct([9, own])), ',') AS ids, concat_ws(',', CASE WHEN NOT given THEN '{STATUS_COLUMN}' END, missing) AS missing, (CASE WHEN given THEN 0 ELSE 1 END) + (CASE WHEN missing IS NULL THEN 0 ELSE len(string_split(missing, ',')) END) + 1 AS problems FROM p JOIN m USING (id)""")
+def workflow_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each supplier: ids given twice and unknown ones, a mapping of the spine with or without the status, an answer for every third;
+    no plan names its sheet."""
+    s = table(spark, sf_dir, "supplier")
+    spine = [x for k in (EQUIPMENT, GROUP, SUB) for x in (F.lit(k), F.lit("a"))]
+    mapping = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(*spine, F.lit(STATUS_COLUMN), F.lit("s"))).otherwise(F.create_map(*spine))
+    plans = s.select(F.col("s_suppkey").alias("id"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("sheet"), F.array(F.lit(9), F.lit(99), (1 + F.col("s_suppkey") % 20).cast("int"), F.lit(9)).alias("workflow_ids"), mapping.alias("mapping"), F.lit(None).cast("map<string,string>").alias("constants"))
+    answers = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"), F.lit(WORKFLOWS[9].column).alias("name"), F.lit("1").alias("value"))
+    done = refined_plans(normalized_plans(plans), answers, "id")
+    return done.select("id", F.array_join(F.col("workflow_ids").cast("array<string>"), ",").alias("ids"), F.array_join("missing", ",").alias("missing"), F.size(plan_problems(done)).alias("problems"))

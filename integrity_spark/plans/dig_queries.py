@@ -155,7 +155,7 @@ def joint_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.joint_lengths(t.withColumnRenamed("joint_length_m", "length_m"))
 
 
-@query()
+@query("SELECT program_id, gwd, 12e0 * (k - t) AS chainage, 'GWD ' || cast(gwd AS varchar) || CASE WHEN k = t THEN ' (TGW)' ELSE '' END AS label FROM (SELECT *, (n - 1) // 2 + 1 AS t FROM (SELECT line_id AS program_id, joint_number AS gwd, row_number() OVER (PARTITION BY line_id ORDER BY joint_number) AS k, count(*) OVER (PARTITION BY line_id) AS n FROM pipe_tally)) WHERE k BETWEEN t - 1 AND t + 2 AND n >= 4", ("pipe_tally",))
 def tgw_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four welds around the middle of each line's joints; checked by tests on small rows."""
     t = view(spark, sf_dir, "pipe_tally")

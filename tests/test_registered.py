@@ -15,7 +15,7 @@ from integrity_spark.sources.shared import numbered
 SF = "/root/testdata/sf0.001"
 NAMES = [
     *(f"tml_workflow_{i:02d}" for i in (3, 4, 5, 6, 7, 10, 11, 13, 14, 15, 16, 17, 19, 20)), "tml_workflow_17_all", "tml_full_batch", "tml_appended_assets", "tml_filter_conditions", "resolve_columns", "infer_vendor", "fill_merged_ranges",
-    "promote_header", "unique_headers", "dedupe_headers", "canonical_columns", "auto_sheet", "reheader_banner", "parse_nde_limits", "detect_tally_format", "parse_quoted_text", "parse_broken_lines", "landed_row_numbers", "write_package", "tiled_raster", "sketched_column_stats", "dig_runs", "circuits_of_one_beginning", "parse_listed_reports", "write_and_read", "issue_date", "json_number", "label_parts",
+    "promote_header", "unique_headers", "dedupe_headers", "canonical_columns", "auto_sheet", "reheader_banner", "parse_nde_limits", "detect_tally_format", "parse_quoted_text", "parse_broken_lines", "landed_row_numbers", "write_package", "tiled_raster", "sketched_column_stats", "vendor_columns", "user_columns", "pipe_inputs", "workflow_plans", "tgw_layout", "dig_runs", "circuits_of_one_beginning", "parse_listed_reports", "write_and_read", "issue_date", "json_number", "label_parts",
     "gwd_from_text", "context_text", "fraction_autoscale", "match_source_names", "positional_welds", "tgw_four_welds", "seam_carry_upstream", "unpivot_joint_matrix", "joint_matrix_plain", "joint_matrix_merged", "joint_matrix_interleaved", "joint_matrix_stacked", "dig_map_from_sheets", "normalize_joint_summary", "runs_of_labels", "sequence_zones", "tokens_to_rows",
     "numeric_page_readings", "select_strategy", "user_keywords", "weld_bounds", "weld_bounds_between", "center_context", "joint_context_seams", "loader_assets", "loader_edited", "circuit_prefixes", "summary_page_choice", "dig_feature_table", "dig_feature_map",
 ]
