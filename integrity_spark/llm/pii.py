@@ -4,8 +4,10 @@ Candidate spans of each kind come from a regex over the whole text. Five labeler
 against (2) or not at all (0): the format check behind the regex, a gazetteer, words on the left, the neighbouring
 characters, and the shape of the match. Expectation-maximisation over the counts of (kind, votes) estimates how often
 each labeler votes rightly and how often a candidate of each kind is personal data. Its posteriors then train the final
-classifier, a logistic model on kind, votes and length. Both fits see every candidate through counts of patterns,
-whose number is bounded by kinds x 3**5 votes x 4 lengths whatever the input. The scan of the texts is one narrow pass.
+classifier, a logistic model on the kind, the votes and the span itself: its length, its share of figures, its breaks and capitals, each also
+for its kind alone. So spans of one vote pattern part by what they look like. Both fits see every candidate through counts of
+patterns, whose number is bounded by kinds x 3**5 votes x 4 lengths x SHAPES whatever the input. The scan of the texts is one narrow
+pass.
 
 The base spans (email, ip, card, phone that pass their format check) always stay; the classifier adds spans of
 the kinds name, ssn and iban, where it is sure enough and they overlap no base span.
@@ -20,9 +22,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,10 @@ CONTEXT = {
     "iban": r"(?i)(iban|account|konto|compte|cuenta)\W*(no|number|nr)?\W*$",
 }
 LABELERS = 5
+#: Classes of figures (none, fewer than half, more), breaks (0 to 3 or more) and capitals (none, one or two, more).
+SHAPES = 3 * 4 * 3
 #: Least probability of an added span; steps of the two fits.
-SURE, EM_STEPS, FIT_STEPS, RATE, DECAY = 0.9, 50, 400, 0.5, 1e-3
+SURE, EM_STEPS, FIT_STEPS, RATE, DECAY = 0.9, 50, 800, 0.25, 1e-3
 CANDIDATE = "array<struct<start:bigint,order:int,end:bigint,kind:string,valid:boolean,pattern:int>>"
 
 
@@ -85,7 +89,7 @@ def vote(yes: Column, no: Column) -> Column:
 
 
 def candidate(kind: str, s: Column) -> Column:
-    """A span with its format check and its pattern: five votes and a length class as one number."""
+    """A span with its format check and its pattern: five votes, a length class and a shape as one number."""
     valid, known, size = format_check(kind, s.hit), F.regexp_like(s.hit, F.lit(GAZETTEER[kind])), F.length(s.hit)
     said = F.regexp_like(s.before, F.lit(CONTEXT[kind]))
     glued = F.regexp_like(F.right(s.before, F.lit(1)), F.lit(r"[\p{L}\p{N}_]")) | F.regexp_like(F.left(s.after, F.lit(1)), F.lit(r"[\p{L}\p{N}_]"))
@@ -97,7 +101,10 @@ def candidate(kind: str, s: Column) -> Column:
         F.when(glued, 2).otherwise(1),
         vote(F.lit(False), dull),
     ]
-    pattern = F.when(size < 12, 0).when(size < 20, 1).when(size < 32, 2).otherwise(3)
+    n, breaks, capitals = F.length(digits(s.hit)), F.regexp_count(s.hit, F.lit(r"[^\p{L}\p{N}]")), F.regexp_count(s.hit, F.lit(r"\p{Lu}"))
+    figures = F.when(n == 0, 0).when(2 * n < size, 1).otherwise(2)
+    shape = (figures * 4 + F.least(breaks, F.lit(3))) * 3 + F.when(capitals == 0, 0).when(capitals < 3, 1).otherwise(2)
+    pattern = F.when(size < 12, 0).when(size < 20, 1).when(size < 32, 2).otherwise(3) * SHAPES + shape
     for v in votes:
         pattern = pattern * 3 + v
     return F.struct(s.start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), s.end.alias("end"), F.lit(kind).alias("kind"), F.coalesce(valid, F.lit(False)).alias("valid"), pattern.cast("int").alias("pattern"))
@@ -120,47 +127,47 @@ def votes_of(pattern: int) -> tuple[list[int], int]:
 def reliabilities(counts: dict[tuple[int, int], int]) -> tuple[dict, dict[tuple[int, int], float]]:
     """Expectation-maximisation over (kind, pattern) counts: P(vote | class) of each labeler, P(class) of each kind, and
     the posterior of each pattern. A Dirichlet prior holds labelers to be better than chance."""
-    prior = dict.fromkeys({k for k, _ in counts}, 0.5)
-    table = {(j, c, v): p for j in range(LABELERS) for c, ps in ((1, (0.3, 0.55, 0.15)), (0, (0.3, 0.2, 0.5))) for v, p in enumerate(ps)}
-    strength, post = {k: 10.0 * p for k, p in table.items()}, {}
-    for _ in range(EM_STEPS):
-        for (kind, pattern), _n in counts.items():
-            a, b = math.log(prior[kind]), math.log(1 - prior[kind])
-            for j, v in enumerate(votes_of(pattern)[0]):
-                a, b = a + math.log(table[j, 1, v]), b + math.log(table[j, 0, v])
-            post[kind, pattern] = 1 / (1 + math.exp(max(-500.0, min(500.0, b - a))))
-        total, of_kind = dict(strength), defaultdict(lambda: [2.0, 4.0])
-        for (kind, pattern), n in counts.items():
-            p = post[kind, pattern]
-            of_kind[kind][0] += n * p
-            of_kind[kind][1] += n
-            for j, v in enumerate(votes_of(pattern)[0]):
-                total[j, 1, v] += n * p
-                total[j, 0, v] += n * (1 - p)
-        prior = {k: a / n for k, (a, n) in of_kind.items()}
-        table = {(j, c, v): t / sum(total[j, c, x] for x in range(3)) for (j, c, v), t in total.items()}
-    return table, post
+    start = np.empty((LABELERS, 2, 3))
+    start[:, 1], start[:, 0] = (0.3, 0.55, 0.15), (0.3, 0.2, 0.5)
+    table, each = start.copy(), np.arange(LABELERS)
+    if counts:
+        kinds, kind = np.unique([k for k, _ in counts], return_inverse=True)
+        votes, n = np.array([votes_of(p)[0] for _, p in counts]), np.array(list(counts.values()), float)
+        prior = np.full(len(kinds), 0.5)
+        for _ in range(EM_STEPS):
+            a, b = (np.log(x)[kind] + np.log(table[each, c, votes]).sum(axis=1) for c, x in ((1, prior), (0, 1 - prior)))
+            post = 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
+            total = 10 * start
+            for j in range(LABELERS):
+                total[j, 1] += np.bincount(votes[:, j], n * post, 3)
+                total[j, 0] += np.bincount(votes[:, j], n * (1 - post), 3)
+            prior = (2 + np.bincount(kind, n * post)) / (4 + np.bincount(kind, n))
+            table = total / total.sum(axis=2, keepdims=True)
+    shown = {(j, c, v): float(table[j, c, v]) for j in range(LABELERS) for c in range(2) for v in range(3)}
+    return shown, dict(zip(counts, post.tolist(), strict=True)) if counts else {}
 
 
 def features(kind: int, pattern: int) -> list[str]:
-    votes, size = votes_of(pattern)
-    return ["bias", f"kind{kind}", f"size{size}", *(f"vote{j}={v}" for j, v in enumerate(votes))]
+    votes, rest = votes_of(pattern)
+    size, shape = divmod(rest, SHAPES)
+    own = [f"size{size}", f"figures{shape // 12}", f"breaks{shape // 3 % 4}", f"capitals{shape % 3}"]
+    return ["bias", f"kind{kind}", *own, *(f"kind{kind}:{x}" for x in own), *(f"vote{j}={v}" for j, v in enumerate(votes))]
 
 
 def fitted(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float]) -> dict[str, float]:
     """Logistic regression on the posteriors, weighted by log counts so that rare patterns are heard."""
-    weight: dict[str, float] = defaultdict(float)
-    rows = [(features(*k), post[k], math.log1p(n)) for k, n in sorted(counts.items())]
-    total = sum(n for *_, n in rows) or 1.0
+    if not counts:
+        return {}
+    keys = sorted(counts)
+    names, flat = np.unique([features(*k) for k in keys], return_inverse=True)
+    at = flat.reshape(len(keys), -1)
+    target, n = np.array([post[k] for k in keys]), np.log1p([counts[k] for k in keys])
+    weight = np.zeros(len(names))
     for _ in range(FIT_STEPS):
-        slope: dict[str, float] = defaultdict(float)
-        for names, target, n in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weight[x] for x in names)))))
-            for x in names:
-                slope[x] += n * (target - p) / total
-        for x in slope:
-            weight[x] += RATE * (slope[x] - DECAY * weight[x])
-    return dict(weight)
+        p = 1 / (1 + np.exp(-np.clip(weight[at].sum(axis=1), -30, 30)))
+        slope = np.bincount(at.ravel(), np.repeat(n * (target - p) / n.sum(), at.shape[1]), len(names))
+        weight += RATE * (slope - DECAY * weight)
+    return dict(zip(names.tolist(), weight.tolist(), strict=True))
 
 
 def classifier(found: DataFrame) -> dict[tuple[int, int], float]:

@@ -39,3 +39,15 @@ def test_quality_keeps_columns(spark):
     df = spark.createDataFrame([("a b c " * 5, 1, 2)], "text string, __m int, __m_ int")
     got = repetition.quality_rules(df).first()
     assert (got["__m"], got["__m_"], got.quality.n_words) == (1, 2, 15)
+
+
+def test_personal_data_by_shape():
+    """Two shapes of one vote pattern: the classifier tells them apart where other patterns of their shapes do."""
+    from integrity_spark.llm import pii
+
+    good, bad, torn = int("11111", 3), int("22222", 3), int("10001", 3)
+    at = lambda shape, votes: shape * 3**pii.LABELERS + votes
+    counts = {(6, at(0, good)): 900, (6, at(27, bad)): 900, (6, at(0, torn)): 20, (6, at(27, torn)): 20}
+    weight = pii.fitted(counts, pii.reliabilities(counts)[1])
+    score = lambda p: sum(weight[x] for x in pii.features(6, p))
+    assert score(at(0, torn)) > score(at(27, torn)) + 0.5
