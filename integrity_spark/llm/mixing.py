@@ -10,7 +10,7 @@ way on every run. Only the small cell table is iterated; it joins back by broadc
 
 Topics come from a fixed lexicon: the topic most of a text's listed words belong to, the first on ties, else
 ``general``. Defined results: a null text has no tokens; null source or language is a value of its own; a cell without
-tokens has ratio 1; a null id draws like the text ``null``; repeated rows with one id are kept or dropped together;
+tokens has ratio 1; a very long text counts whole, for its tokens and its topic; an empty table has no cells and gives no rows; a null id draws like the text ``null``; repeated rows with one id are kept or dropped together;
 extra columns pass through.
 """
 

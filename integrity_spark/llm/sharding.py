@@ -8,7 +8,7 @@ shards that still have room. The plan depends on arc counts alone and is bounded
 fills a shard or empties an arc); keys get their rank within their arc and meet the plan in a broadcast join.
 
 Defined results: repeated ids are neighbours on the ring and are placed one by one; a null id is a key like any other;
-null text has size 1; an empty table gives no rows; extra columns of the input don't pass through.
+null text has size 1, and a very long one is a row like any other (counts are balanced, not bytes); an empty table gives no rows; extra columns of the input don't pass through.
 """
 
 from __future__ import annotations

@@ -487,7 +487,8 @@ def test_pipeline(spark, tmp_path):
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
     clean = [" ".join(rng.choices(words, k=rng.randint(60, 120))) for _ in range(60)]
-    rows = clean + clean[:10] + [t + " token = 'abcdef123456'" for t in clean[20:25]] + ["spam and eggs are here " * 40, "short", None]
+    tails = [" ".join(f"own{i}x{k}" for k in range(len(t.split()) // 5)) for i, t in enumerate(clean)]
+    rows = clean + clean[:10] + [t + " token = 'abcdef123456'" for t in clean[20:25]] + [f"{clean[i]} {tails[i]}" for i in (31, 32, 33)] + ["spam and eggs are here " * 40, "short", None]
     df = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     out, at = [], df
@@ -496,9 +497,11 @@ def test_pipeline(spark, tmp_path):
         assert at.columns == df.columns
         out.append({r.doc_id: r.text for r in at.collect()})
     quality, near, secret, mixed = out
-    assert set(quality) == set(range(75))
+    assert set(quality) == set(range(78))
     sets = {i: shingles(t) for i, t in quality.items()}
-    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if b < a}
+    assert all(0.8 <= alike[75 + k, 31 + k] < 0.85 for k in range(3))  # what only the pipeline's own threshold links
+    links = [pair for pair, s in alike.items() if 100 * s >= corpus_pipeline.NEAR]
     groups = components(sets, links)
     assert set(near) == {i for i in groups if groups[i] == i}
     assert set(secret) == set(near) and not any("abcdef123456" in t for t in secret.values())
