@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dash_default, dimensions_match, is_dig_weld, normalize_key, safe_name, number_of, split_multivalue
 from ..sources.shared import kept, numbered, small_or_merged
-from .ordered import key_size, lag, lead, row_number, scan
+from .ordered import key_greatest, key_least, key_size, lag, lead, row_number, scan
 from .ranges import nearest_value, range_join
 
 SIDE_M, BUFFER_M, WELDS, BIN_M = 30.0, 0.5, 3, 64.0
@@ -76,8 +76,7 @@ def weld_window(targets: DataFrame, ili: DataFrame, n: int = WELDS) -> DataFrame
     buffer; 30 m on a side without welds; no bounds and chainage 0 where the target wasn't found."""
     x = number_of(ili, "chainage")
     welds = ili.where(is_dig_weld(F.col("feature_type")) & x.isNotNull()).select(*RUN, x.alias("x"))
-    first = welds.groupBy(*RUN).agg(F.min("x").alias("x_first"), F.max("x").alias("x_last"))
-    placed = scan(welds, RUN, ["x"], {"idx": row_number(), "n": key_size(), "x_up": lag("x", n), "x_down": lead("x", n)}).join(first, list(RUN))
+    placed = scan(welds, RUN, ["x"], {"idx": row_number(), "n": key_size(), "x_up": lag("x", n), "x_down": lead("x", n), "x_first": key_least("x"), "x_last": key_greatest("x")})
     sides = {"x_up": F.when(F.col("idx") > 1, F.coalesce("x_up", "x_first")), "x_down": F.when(F.col("idx") < F.col("n"), F.coalesce("x_down", "x_last"))}
     places = placed.withColumns(sides).groupBy(*RUN, F.col("x").alias("near")).agg(F.min_by(F.struct("x_up", "x_down"), "idx").alias("s")).select(*RUN, "near", "s.*")
     at = nearest_value(targets, welds, RUN, "target_chainage", "x", "near").join(places, [*RUN, "near"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_to_degrees, clock_to_hours, hours_to_clock, hover_text, is_defect, is_map_weld, number_of, to_number
-from .ordered import lag, lead, row_number, scan
+from .ordered import key_greatest, key_least, lag, lead, row_number, scan
 
 DEFAULT_HOURS = 6.0
 # Outside diameter (mm) by nominal pipe size.
@@ -156,8 +156,8 @@ def weld_bounds(anchors: DataFrame, asked: DataFrame, n: int = 2) -> DataFrame:
     from the start to the end weld, a missing one standing for the line's end; an unknown centre gives none. One ordered
     scan of the anchors finds the bounds of every centre; rows asked for join it by their number."""
     ends = anchors.groupBy("line_id").agg(F.min("chainage").alias("lo"), F.max("chainage").alias("hi"))
-    placed = scan(anchors.select("line_id", "gwd_number", "chainage"), ["line_id"], ["chainage", "gwd_number"], {"x_lo": lag("chainage", n), "x_hi": lead("chainage", n)})
-    hit = placed.withColumnsRenamed({"gwd_number": "center"}).join(ends, "line_id").select("line_id", "center", F.coalesce("x_lo", "lo").alias("x_lo"), F.coalesce("x_hi", "hi").alias("x_hi"))
+    placed = scan(anchors.select("line_id", "gwd_number", "chainage"), ["line_id"], ["chainage", "gwd_number"], {"x_lo": lag("chainage", n), "x_hi": lead("chainage", n), "lo": key_least("chainage"), "hi": key_greatest("chainage")})
+    hit = placed.withColumnsRenamed({"gwd_number": "center"}).select("line_id", "center", F.coalesce("x_lo", "lo").alias("x_lo"), F.coalesce("x_hi", "hi").alias("x_hi"))
     centered = asked.where("center IS NOT NULL").join(hit, ["line_id", "center"], "left").select(*asked.columns, F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"))
     x = anchors.select("line_id", "gwd_number", "chainage")
     spans = asked.where("center IS NULL").join(ends, "line_id", "left")
@@ -168,13 +168,12 @@ def weld_bounds(anchors: DataFrame, asked: DataFrame, n: int = 2) -> DataFrame:
 
 def center_context(girth: DataFrame, center: DataFrame, n: int = 2) -> DataFrame:
     """For each ``(line_id, center)`` and source: the centre weld and the window-edge welds up- and downstream."""
-    own = girth.where("gwd_number IS NOT NULL").select("line_id", "source", "gwd_number", "chainage").withColumn("w", F.struct("gwd_number", "chainage"))
-    r = scan(own, ["line_id", "source"], ["chainage", "gwd_number"], {"idx": row_number(), "up": lag("w", n), "down": lead("w", n)})
-    ends = own.groupBy("line_id", "source").agg(F.min_by("w", F.struct("chainage", "gwd_number")).alias("first"), F.max_by("w", F.struct("chainage", "gwd_number")).alias("last"))
-    met = r.join(center.withColumnRenamed("center", "gwd_number").hint("merge"), ["line_id", "gwd_number"]).groupBy("line_id", "source", "gwd_number").agg(F.min_by(F.struct("up", "w", "down"), "idx").alias("s"))
-    three = {"upstream": F.coalesce("s.up", "first"), "target": F.col("s.w"), "downstream": F.coalesce("s.down", "last")}
+    own = girth.where("gwd_number IS NOT NULL").select("line_id", "source", "gwd_number", "chainage").withColumns({"w": F.struct("gwd_number", "chainage"), "at": F.struct("chainage", "gwd_number")})
+    r = scan(own, ["line_id", "source"], ["chainage", "gwd_number"], {"idx": row_number(), "up": lag("w", n), "down": lead("w", n), "first": key_least("at"), "last": key_greatest("at")})
+    met = r.join(center.withColumnRenamed("center", "gwd_number").hint("merge"), ["line_id", "gwd_number"]).groupBy("line_id", "source", "gwd_number").agg(F.min_by(F.struct("up", "w", "down", "first", "last"), "idx").alias("s"))
+    three = {"upstream": F.coalesce("s.up", F.struct("s.first.gwd_number", "s.first.chainage")), "target": F.col("s.w"), "downstream": F.coalesce("s.down", F.struct("s.last.gwd_number", "s.last.chainage"))}
     roles = F.inline(F.array(*(F.struct(F.lit(k).alias("role"), w.gwd_number.alias("gwd_number"), w.chainage.alias("chainage")) for k, w in three.items())))
-    return met.withColumnRenamed("gwd_number", "center").join(ends, ["line_id", "source"]).select("line_id", "source", "center", roles)
+    return met.withColumnRenamed("gwd_number", "center").select("line_id", "source", "center", roles)
 
 
 def feature_boxes(features: DataFrame, nominal_size: int = 10) -> DataFrame:

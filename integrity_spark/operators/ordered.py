@@ -46,6 +46,21 @@ def key_size() -> Step:
     return Step(lambda w, _: F.col(SIZE).cast("long"), F.count("*"), whole, lambda own, c: F.coalesce(c, own))
 
 
+def key_least(col: str) -> Step:
+    """The least non-null ``col`` of the key."""
+    return _of_key(col, F.min, F.least)
+
+
+def key_greatest(col: str) -> Step:
+    """The greatest non-null ``col`` of the key."""
+    return _of_key(col, F.max, F.greatest)
+
+
+def _of_key(col: str, best: Callable[[Column | str], Column], met: Callable[[Column, Column], Column]) -> Step:
+    every = lambda c, w: best(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return Step(lambda w, _: every(col, w), best(col), every, met)
+
+
 def running_sum(col: str, before: bool = False) -> Step:
     """Sum of ``col`` up to the row, or up to the one ``before``; nulls add nothing, a sum of none is 0."""
     own = lambda w, _: F.coalesce(F.sum(col).over(w.rowsBetween(W.unboundedPreceding, -1 if before else 0)), F.sum(F.lit(0)).over(w))

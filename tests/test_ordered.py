@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from integrity_spark.operators import ordered as O
 
 def outs():
-    return {"n": O.row_number(), "size": O.key_size(), "total": O.running_sum("v"), "ahead": O.running_sum("v", before=True), "last": O.last_value("v"), "next": O.next_value("v"), "one": O.lag("v"), "three": O.lag("v", 3), "then": O.lead("v"), "far": O.lead("v", 4)}
+    return {"n": O.row_number(), "size": O.key_size(), "total": O.running_sum("v"), "ahead": O.running_sum("v", before=True), "last": O.last_value("v"), "next": O.next_value("v"), "one": O.lag("v"), "three": O.lag("v", 3), "then": O.lead("v"), "far": O.lead("v", 4), "least": O.key_least("v"), "most": O.key_greatest("v")}
 
 
 def brute(rows):
@@ -19,7 +19,7 @@ def brute(rows):
         v = [r[2] for r in own]
         for i, r in enumerate(own):
             before, behind = [x for x in v[: i + 1] if x is not None], [x for x in v[i:] if x is not None]
-            out.append((*r, i + 1, len(v), sum(before), sum(x for x in v[:i] if x is not None), before[-1] if before else None, behind[0] if behind else None, v[i - 1] if i else None, v[i - 3] if i > 2 else None, v[i + 1] if i + 1 < len(v) else None, v[i + 4] if i + 4 < len(v) else None))
+            out.append((*r, i + 1, len(v), sum(before), sum(x for x in v[:i] if x is not None), before[-1] if before else None, behind[0] if behind else None, v[i - 1] if i else None, v[i - 3] if i > 2 else None, v[i + 1] if i + 1 < len(v) else None, v[i + 4] if i + 4 < len(v) else None, min((x for x in v if x is not None), default=None), max((x for x in v if x is not None), default=None)))
     return sorted(out, key=repr)
 
 
