@@ -14,8 +14,6 @@ INSPECTION = {
     "orientation": ["Orientation", "Clock Orientation", "O'Clock", "Orientation (clock)", "Clock Orient.", "Orientation (hh:mm)", "Feature Orientation", "Feature Orientation (Center of feature) (hh:mm)", "Feature Orientation (deg. or clock)", "(Degree)", "o'clock", "Seam Orientation", "Seam Orient.", "Seam Position", "Longseam Orientation", "Longseam Orient.", "Longseam (o'clock)", "LS Orientation", "LS Orient.", "LS Position", "Longseam Position"],
     "joint_number": ["Joint", "Joint Number", "Weld Number", "Joint No. or US GW No.", "Joint No", "US GW No", "PNG Joint Number", "Client Jno.", "GWD No.", "GWD No", "GWD #", "GWD#", "GWD", "US GWD", "U/S GWD", "PNG GWD", "PNG GWD No.", "Client GWD No.", "Weld No.", "Weld No", "Jt No.", "Jt No"],
     "source": ["ILI source", "Source", "ILI Vendor", "Vendor", "ILI Source"],
-}
-INSPECTION |= {
     "ds_distance": ["DS GWD ILI Chainage (m)", "DS GWD ILI Chainage", "DS GWD Chainage (m)", "DS ILI Chainage (m)", "DS Chainage (m)", "DS Chainage", "DS Odometer (m)", "DS Odometer", "DS Odo (m)", "DS Odo", "D/S GWD ILI Chainage (m)", "D/S GWD Chainage (m)", "D/S Chainage (m)", "D/S Odometer (m)", "D/S Odometer", "D/S Odo (m)", "D/S Odo", "Downstream Chainage (m)", "Downstream Odometer (m)", "Downstream Odo (m)"],
     "wall_thickness": ["Wall Thickness", "Wall Thickness (mm)", "Nom. WT", "Nom. WT (mm)", "Nominal WT", "Nominal WT (mm)", "Nominal Wall Thickness (mm)", "WT", "WT (mm)", "Thickness (mm)", "Wall Thk", "Wall Thk (mm)"],
     "pipe_grade": ["Grade", "Pipe Grade", "Material Grade", "Mat. Grade", "API Grade", "Specification", "Pipe Specification", "Material Specification", "Mat. Spec.", "Grade/Spec"],
