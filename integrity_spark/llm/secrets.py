@@ -39,13 +39,13 @@ class Rule:
 
 # Names and shapes of the base rules and of three widely published token formats.
 # A key block: its header lines and base64 up to its own END; without END the lines of base64, also where line breaks
-# are blanks, quoted or escaped, and a last shorter one alone on its line. Loops of groups are bounded, as Java's regex recurses.
+# are blanks, quoted or escaped, and a last shorter one alone on its line. Loops of groups are possessive, which Java runs without recursion.
 _BREAK = r"(?:[\s\x22',>|]|\\[nr])"
 PEM = (
     r"-----BEGIN ([A-Z ]{0,20})PRIVATE KEY-----"
     + rf"(?:{_BREAK}{{0,8}}+(?:[A-Za-z0-9-]{{1,40}}+:\x20[^\r\n\\]{{0,200}}+{_BREAK}{{1,8}}+){{0,8}}+"
     + r"(?:[A-Za-z0-9+/=\s\\\x22',>|]*+-----END \1PRIVATE KEY-----"
-    + rf"|(?:{_BREAK}{{0,8}}+[A-Za-z0-9+/]{{24,}}+={{0,2}}+){{1,500}}+(?:{_BREAK}{{1,8}}+[A-Za-z0-9+/]{{1,23}}+={{0,2}}+(?=[\r\n\\\x22']|\z))?+))?+"
+    + rf"|(?:{_BREAK}{{0,8}}+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)++(?:{_BREAK}{{1,8}}+[A-Za-z0-9+/]{{1,23}}+={{0,2}}+(?=[\r\n\\\x22']|\z))?+))?+"
 )
 BASE_RULES = (
     Rule("assign", 1, r"""(?i)(?=[psta])(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
@@ -53,7 +53,7 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f](?<![0-9a-f][0-9a-f])[0-9a-f]{23,}+"),
 )
 MORE_RULES = (
-    Rule("pem", 2, PEM),
+    Rule("pem", 3, PEM),
     Rule("jwt", 1, r"e(?<![A-Za-z0-9_-]e)yJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("github", 1, r"g(?<![A-Za-z0-9_]g)h[pousr]_[A-Za-z0-9]{36,}+"),
 )

@@ -27,9 +27,11 @@ def test_private_key_bodies_are_masked(spark):
         "\n".join([begin, *body, end, begin, *body, end]) + " é": "[SECRET]\n[SECRET] é",
         f"a key starts with {begin} as told.": "a key starts with [SECRET] as told.",
         "\n".join([begin, *long, end]) + "\nafter": "[SECRET]\nafter",
+        "\n".join([begin, *long]) + "\nThe text goes on.": "[SECRET]\nThe text goes on.",
+        "\\n".join([begin, *long]) + "\nThe text goes on.": "[SECRET]\nThe text goes on.",
     }
     pem = tuple(r for r in secrets.RULES if r.kind == "pem")
     found, _ = secrets.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), rules=pem)
     got = {r.doc_id: r.t for r in found.select("doc_id", secrets.redacted(F.col("text"), F.col("findings")).alias("t")).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
-    assert pem[0].key == "pem@2"
+    assert pem[0].key == "pem@3"
