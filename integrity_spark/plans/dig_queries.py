@@ -51,8 +51,10 @@ def locate_target_weld(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WELDS = "SELECT line_id, source, chainage AS x, row_number() OVER (PARTITION BY line_id, source ORDER BY chainage) AS idx, count(*) OVER (PARTITION BY line_id, source) AS n FROM ili_features WHERE feature_type IN ('Girth Weld', 'Seam Weld')"
-_NEAREST = "SELECT t.dig_id, t.line_id, t.source, t.target_chainage, w.idx, w.n FROM targets t JOIN welds w ON w.line_id = t.line_id AND w.source = t.source AND abs(w.x - t.target_chainage) <= 400 QUALIFY row_number() OVER (PARTITION BY t.dig_id, t.line_id, t.source ORDER BY abs(w.x - t.target_chainage), w.idx) = 1"
-_WINDOWS = f"""WITH ili_features AS ({VIEWS['ili_features']}), mdl AS ({VIEWS['mdl']}), targets AS ({_FOUND}), welds AS ({_WELDS}), near AS ({_NEAREST}),
+_PLACES = "SELECT line_id, source, x, min(idx) AS idx, any_value(n) AS n FROM welds GROUP BY line_id, source, x"
+_SIDES = " UNION ALL ".join(f"SELECT t.dig_id, t.line_id, t.source, t.target_chainage, w.idx, w.n, w.x FROM targets t ASOF JOIN places w ON w.line_id = t.line_id AND w.source = t.source AND t.target_chainage {side} w.x" for side in (">=", "<="))
+_NEAREST = f"SELECT * EXCLUDE (x) FROM ({_SIDES}) QUALIFY row_number() OVER (PARTITION BY dig_id, line_id, source ORDER BY abs(x - target_chainage), idx) = 1"
+_WINDOWS = f"""WITH ili_features AS ({VIEWS['ili_features']}), mdl AS ({VIEWS['mdl']}), targets AS ({_FOUND}), welds AS ({_WELDS}), places AS ({_PLACES}), near AS ({_NEAREST}),
  bounds AS (SELECT n.*, CASE WHEN n.idx > 1 THEN (SELECT x FROM welds w WHERE w.line_id = n.line_id AND w.source = n.source AND w.idx = greatest(n.idx - 3, 1)) ELSE target_chainage - 30 END - 0.5e0 AS lo, CASE WHEN n.idx < n.n THEN (SELECT x FROM welds w WHERE w.line_id = n.line_id AND w.source = n.source AND w.idx = least(n.idx + 3, n.n)) ELSE target_chainage + 30 END + 0.5e0 AS hi FROM near n)"""
 
 

@@ -25,7 +25,7 @@ VIEWS = {
  cast(o_custkey % 12 AS string) || ':' || lpad(cast(o_orderkey % 60 AS string), 2, '0') AS seam_raw FROM orders""",
     "mdl": f"""SELECT 1000 + l_orderkey AS dig_id, l_orderkey AS target_girth_weld, 'L' || cast(l_suppkey % 3 AS string) AS line_id,
  CASE WHEN l_tax = 0 THEN 'missing' ELSE {_ID} || chr(10) || '-' END AS feature_ids,
- l_extendedprice / 250 / 25.4e0 AS length_in, l_discount * 1000 / 25.4e0 AS width_in FROM lineitem WHERE l_linenumber = 3 AND l_orderkey % 25 = 0""",
+ l_extendedprice / 250 / 25.4e0 AS length_in, l_discount * 1000 / 25.4e0 AS width_in FROM lineitem WHERE l_linenumber = 3""",
     "tml_source": """SELECT lpad(cast(l_suppkey AS string), 6, '0') AS equipment_id, 'G' || cast(l_partkey AS string) AS cml_group_id,
  cast(l_orderkey AS string) || '.' || cast(l_linenumber AS string) AS sub_cml_id,
  CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'No' ELSE 'Yes - To be de-active' END AS aer_status,
