@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock_to_degrees, clock_to_hours, hours_to_clock, hover_text, is_defect, is_map_weld, number_of, to_number
+from ..sources.shared import kept
 from .ordered import key_greatest, key_least, lag, lead, row_number, scan
 
 DEFAULT_HOURS = 6.0
@@ -217,10 +218,15 @@ def intervals(lo: Column, hi: Column, bits: int) -> Column:
     return F.filter(F.array(*blocks), lambda x: x.isNotNull())
 
 
+#: Places of defects that a task spreads over cells.
+PLACES = 50_000
+
+
 def tiled_raster(defects: DataFrame, span: float, nominal_size: int = 10, n_x: int = 300, n_theta: int = 120) -> DataFrame:
     """The raster of the whole line in tiles of ``span`` metres: ``(line_id, tile, bin_x, bin_theta, depth_pct)``, each tile as ``depth_raster``
     from ``tile * span`` on. A defect isn't spread over its cells: its sides are cut into blocks of powers of two, of which there are
-    few however wide it is; the deepest of each block is kept before blocks meet cells, so a tile has no more than its own blocks."""
+    few however wide it is; the deepest of each block is kept before blocks meet cells, so a tile has no more than its own blocks.
+    Only the distinct places of defects are shuffled, to the task of their tile; blocks and cells stay there."""
     around = 3.14159 * OUTSIDE_DIAMETER[nominal_size] / 1000.0
     dx, turn = span / (n_x - 1), 2 * math.pi
     own = defects.where(F.col("depth_pct") > 0)
@@ -232,6 +238,8 @@ def tiled_raster(defects: DataFrame, span: float, nominal_size: int = 10, n_x: i
     x0, x1 = F.greatest(F.ceil((F.col("chainage") - half - F.col("lo")) / dx), F.lit(0)), F.least(F.floor((F.col("chainage") + half - F.col("lo")) / dx), F.lit(n_x - 1))
     first = F.ceil(at_bin - half_bins)
     own = own.select("line_id", "tile", "depth_pct", x0.alias("x0"), x1.alias("x1"), first.alias("t0"), F.least(F.floor(at_bin + half_bins), first + n_theta - 1).alias("t1")).where("x0 <= x1 AND t0 <= t1")
+    places = kept(own.groupBy("line_id", "tile", "x0", "x1", "t0", "t1").agg(F.max("depth_pct").alias("depth_pct")), "places")
+    own = places.repartition(places.count() // PLACES + 1, "line_id", "tile")
     from_t, wide = F.pmod("t0", F.lit(n_theta)), F.col("t1") - F.col("t0")
     over = from_t + wide - n_theta
     parts = F.filter(F.array(F.struct(from_t.alias("t0"), F.least(from_t + wide, F.lit(n_theta - 1)).alias("t1")), F.struct(F.lit(0).cast("bigint").alias("t0"), over.alias("t1"))), lambda p: p.t0 <= p.t1)
