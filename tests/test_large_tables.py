@@ -13,6 +13,24 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def same(spark, folder, name, table, df):
+    df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES[name](spark, str(folder)).collect())) == sorted(con.sql(ORACLES[name]).fetchall())
+
+
+def test_weld_numbers_beyond_the_range(spark, tmp_path):
+    rows = spark.range(98_990, 99_010).selectExpr("id AS p_partkey", "7 AS p_size", "'blue ring' AS p_name")
+    rows = rows.where("p_partkey % 5 < 3")
+    out = "gwd_from_text"
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got, want = {r.id: r.gwd for r in QUERIES[out](spark, str(tmp_path)).collect()}, dict(con.sql(ORACLES[out]).fetchall())
+    assert got == want and want[98_995] == 99_995 and want[99_000] is None
+
+
 def test_a_tile_is_one_shuffle(spark):
     d = spark.createDataFrame([("L", 10.0, 30.0, 100.0, 50.0, 3.0), ("L", 10.0, 40.0, 100.0, 50.0, 3.0)], "line_id string, chainage double, depth_pct double, length_mm double, width_mm double, orientation_hours double")
     r = M.tiled_raster(d, 36.0)
