@@ -20,6 +20,11 @@ def same(spark, folder, name, table, df):
     assert sorted(map(tuple, QUERIES[name](spark, str(folder)).collect())) == sorted(con.sql(ORACLES[name]).fetchall())
 
 
+def test_dig_ids_beyond_six_digits(spark, tmp_path):
+    rows = spark.range(998_990, 999_010).selectExpr("id AS l_orderkey", "1L AS l_partkey", "id AS l_suppkey", "3 AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax")
+    same(spark, tmp_path, "dig_ids", "lineitem", rows)
+
+
 def test_weld_numbers_beyond_the_range(spark, tmp_path):
     rows = spark.range(98_990, 99_010).selectExpr("id AS p_partkey", "7 AS p_size", "'blue ring' AS p_name")
     rows = rows.where("p_partkey % 5 < 3")
