@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pressure as P
 from ..functions.scalars import is_defect, number_of
+from ..sources.shared import kept, small_or_merged
 from .quality import percentiles
 
 YEARS = 11
@@ -53,12 +54,12 @@ def valid_defects(df: DataFrame, depth: str = "depth_pct", length: str = "length
 
 
 def fraction_autoscale(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Where no valid depth of a data set is above 1.5, all of them are fractions: times 100. One small aggregate; the
-    data set's row is joined by broadcast only when there is one data set, else by key."""
+    """Where no valid depth of a data set is above 1.5, all of them are fractions: times 100. One small aggregate: the
+    rows of data sets are broadcast behind a count, so a data set that holds most rows stays spread over all tasks."""
     top = F.max(F.when(F.col("is_valid"), F.col("depth_in")))
     if by:
-        most = df.groupBy(by).agg(top.alias("top"))
-        joined = df.join(most.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+        most = small_or_merged(kept(df.groupBy(F.col(by).alias("__by")).agg(top.alias("top")), "tops"))
+        joined = df.join(most, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
     else:
         joined = df.join(F.broadcast(df.agg(top.alias("top"))))
     scaled = F.coalesce(F.col("top") <= 1.5, F.lit(False))

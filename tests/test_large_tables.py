@@ -36,6 +36,17 @@ def test_weld_numbers_beyond_the_range(spark, tmp_path):
     assert got == want and want[98_995] == 99_995 and want[99_000] is None
 
 
+def test_a_data_set_stays_spread(spark):
+    d = A.valid_defects(spark.createDataFrame([("a", 0.2, 1.0), ("b", 20.0, 1.0), (None, 0.3, 1.0)], "source string, depth_pct double, length_mm double"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = A.fraction_autoscale(d, "source")
+        assert "SortMergeJoin" not in plan(out)
+        assert {r.source: (r.depth_in, r.depth_scaled) for r in out.collect()} == {"a": (20.0, True), "b": (20.0, False), None: (30.0, True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_tile_is_one_shuffle(spark):
     d = spark.createDataFrame([("L", 10.0, 30.0, 100.0, 50.0, 3.0), ("L", 10.0, 40.0, 100.0, 50.0, 3.0)], "line_id string, chainage double, depth_pct double, length_mm double, width_mm double, orientation_hours double")
     r = M.tiled_raster(d, 36.0)
