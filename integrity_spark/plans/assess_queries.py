@@ -119,8 +119,9 @@ def cutoff_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT month, count(*) AS n, round(avg(depth_low), 6) AS depth_low, round(avg(depth_high), 6) AS depth_high, round(min(sop_ave), 4) AS sop_ave, any_value(date) AS date FROM (SELECT m AS month, strftime(DATE '2025-01-01' + cast(30 * m AS integer), '%Y-%m-%d') AS date, d0 + m * ({RATES['low']}e0 / 12.0e0) AS depth_low, d0 + m * ({RATES['high']}e0 / 12.0e0) AS depth_high, {sql_pf(f'(d0 + m * ({RATES["ave"]}e0 / 12.0e0))', 'length_mm', f'{PIPE.wall}e0')} * {P.PSI_PER_KPA}e0 * 0.8e0 AS sop_ave FROM (SELECT (depth_pct + {PIPE.depth_tolerance}e0) * 0.01e0 * {PIPE.wall}e0 AS d0, length_mm FROM ili_features WHERE {IS_DEFECT} AND depth_pct > 0 AND length_mm > 0), (SELECT unnest(range(0, 20)) AS m)) GROUP BY month", ("ili_features",))
 def growth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month's text is made of its date, once: an aggregate that carries text sorts all its rows."""
     rows = A.growth_table(defects(spark, sf_dir).select("depth_pct", "length_mm"), 48, RATES, PIPE)
-    return rows.groupBy(F.col("month").cast("long").alias("month")).agg(F.count("*").alias("n"), F.round(F.avg("depth_mm_low"), 6).alias("depth_low"), F.round(F.avg("depth_mm_high"), 6).alias("depth_high"), F.round(F.min("sop_psi_ave"), 4).alias("sop_ave"), F.any_value(F.date_format("date", "yyyy-MM-dd")).alias("date"))
+    return rows.groupBy(F.col("month").cast("long").alias("month")).agg(F.count("*").alias("n"), F.round(F.avg("depth_mm_low"), 6).alias("depth_low"), F.round(F.avg("depth_mm_high"), 6).alias("depth_high"), F.round(F.min("sop_psi_ave"), 4).alias("sop_ave"), F.date_format(F.any_value("date"), "yyyy-MM-dd").alias("date"))
 
 
 GRID = [(d, w, y) for d in (219.1, 273.1, 323.9) for w in (6.35, 8.2, 10.2) for y in (290.0, 305.0, 359.0)]

@@ -36,6 +36,10 @@ def test_weld_numbers_beyond_the_range(spark, tmp_path):
     assert got == want and want[98_995] == 99_995 and want[99_000] is None
 
 
+def test_growth_table_sorts_no_rows(spark):
+    assert "SortAggregate" not in plan(QUERIES["growth_table"](spark, "/root/testdata/sf0.001"))
+
+
 def test_a_data_set_stays_spread(spark):
     d = A.valid_defects(spark.createDataFrame([("a", 0.2, 1.0), ("b", 20.0, 1.0), (None, 0.3, 1.0)], "source string, depth_pct double, length_mm double"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
