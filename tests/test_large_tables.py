@@ -51,6 +51,16 @@ def test_a_data_set_stays_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_few_buckets_hold_all_sizes(spark):
+    values = [k / 40 for k in range(1, 200)] + [7.0 * 1.0099**k for k in range(400)]
+    ili = spark.createDataFrame([("L", v, v) for v in values], "line_id string, length_mm double, width_mm double").withColumn("row", F.monotonically_increasing_id())
+    mdl = spark.createDataFrame([(k, "L", v, v) for k, v in enumerate(values[::7])], "dig_id long, line_id string, length_in double, width_in double")
+    same_size = D.dimensions_match(F.col("length_in"), F.col("length_mm")) & D.dimensions_match(F.col("width_in"), F.col("width_mm"))
+    want = mdl.join(ili, "line_id").where(same_size).select("dig_id", "row")
+    got = D.match_by_dimensions(mdl, ili).select("dig_id", "row")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_a_tile_is_one_shuffle(spark):
     d = spark.createDataFrame([("L", 10.0, 30.0, 100.0, 50.0, 3.0), ("L", 10.0, 40.0, 100.0, 50.0, 3.0)], "line_id string, chainage double, depth_pct double, length_mm double, width_mm double, orientation_hours double")
     r = M.tiled_raster(d, 36.0)
