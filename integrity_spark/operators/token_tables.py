@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import reports as R
+from ..sources.shared import kept
 
 # Header words; what a table must speak of; distances in token heights, and in the page's own units; least confidence.
 HEADER_WORD = r"(?i)^(CIRCUIT|CML|SECTION|ZONE|DIAM\.?|NORTH|SOUTH|EAST|WEST|TOP|BOTTOM|CENTER|HIGH|COMMENTS|A|B|C|D|E)$"
@@ -27,12 +28,12 @@ def _first(found: Column) -> Column:
 
 
 def table_pages(tokens: DataFrame, meta: DataFrame) -> DataFrame:
-    """Pages that hold a table, with its header's places: ``section_x``, ``cml_x``, ``reading_x``, ``below`` (where rows begin), ``h`` (mean height), and
+    """Pages that hold a table, with its header's places: ``section_x``, ``cml_x``, ``reading_x``, ``below`` (where rows begin), ``h`` (mean height), ``ys`` (its tokens' places in order), and
     the circuit and first CML that the page or its report names."""
     word = F.upper(F.regexp_replace("text", r"\.$", ""))
     head = F.when(F.col("text").rlike(HEADER_WORD), F.struct("top", "left", "cy", word.alias("word")))
     pages = tokens.groupBy(*PAGE).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda t: t.text), " ").alias("joined"), F.avg("height").alias("h"), F.array_sort(F.collect_list(head)).alias("heads")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda t: t.text), " ").alias("joined"), F.avg("height").alias("h"), F.array_sort(F.collect_list(head)).alias("heads"), F.array_sort(F.collect_list("cy")).alias("ys")
     )
     up, has = F.upper("joined"), lambda words: F.col("joined").rlike("(?i)" + "|".join(words))
     pages = pages.where(up.contains("CIRCUIT") & up.contains("CML") & has(SECTIONS + DIRECTIONS))
@@ -40,12 +41,12 @@ def table_pages(tokens: DataFrame, meta: DataFrame) -> DataFrame:
     def row_of(t: Column) -> Column:
         return F.filter("heads", lambda o: F.abs(o.cy - t.cy) <= F.col("h") * ROW_REACH)
 
-    def is_header(t: Column) -> Column:
-        words = F.transform(row_of(t), lambda o: o.word)
+    def is_header(row: Column) -> Column:
+        words = F.transform(row, lambda o: o.word)
         names = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws)))
         return names(["CIRCUIT"]) & names(["CML"]) & (names(SECTIONS) | names(DIRECTIONS))
 
-    pages = pages.withColumn("head", _first(F.filter("heads", is_header))).where("head IS NOT NULL").withColumn("head", row_of(F.col("head")))
+    pages = pages.withColumn("head", _first(F.filter(F.transform("heads", row_of), is_header)))
     at = lambda w: _first(F.filter("head", lambda o: o.word == w)).left
     first = F.array_min(F.filter(F.array(*(at(w) for w in FIRST_READINGS)), lambda x: x.isNotNull()))
     below = F.array_max(F.transform("head", lambda o: o.cy)) + F.col("h") * HEADER_GAP
@@ -54,21 +55,21 @@ def table_pages(tokens: DataFrame, meta: DataFrame) -> DataFrame:
     named = F.nullif(F.regexp_extract("joined", CIRCUIT, 0), F.lit(""))
     circuit = F.when(F.coalesce("circuit_id", F.lit("")).isin("", "Unknown"), F.coalesce(R.circuit_base(named), F.lit("Unknown"))).otherwise(F.col("circuit_id"))
     base = F.coalesce(_first(F.filter(ids, lambda i: (i != "") & F.col("joined").contains(i))), F.nullif(F.regexp_extract("joined", CML, 0), F.lit("")))
-    out = known.select(*PAGE, "h", F.coalesce(at("SECTION"), at("ZONE")).alias("section_x"), at("CML").alias("cml_x"), F.coalesce(first, F.coalesce(at("DIAM"), F.lit(0.0)) + BEHIND_DIAMETER).alias("reading_x"), below.alias("below"), circuit.alias("circuit"), "measurement_date", ids.alias("ids"), base.alias("base"))
-    return out.where("base IS NOT NULL")
+    out = known.select(*PAGE, "h", "ys", F.coalesce(at("SECTION"), at("ZONE")).alias("section_x"), at("CML").alias("cml_x"), F.coalesce(first, F.coalesce(at("DIAM"), F.lit(0.0)) + BEHIND_DIAMETER).alias("reading_x"), below.alias("below"), circuit.alias("circuit"), "measurement_date", ids.alias("ids"), base.alias("base"))
+    # filtered as written, or the filters would find each header once more
+    return kept(out, "table-pages").where("base IS NOT NULL AND below IS NOT NULL")
 
 
 def table_rows(tokens: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rows of each table in order: ``row_no``, ``y``, and its tokens ``t`` from the left. A token farther than half a height below the last
-    centre starts a row; each goes to the nearest centre within ``ROW_REACH`` heights."""
-    own = tokens.join(pages.hint("merge"), PAGE).where(F.col("cy") > F.col("below"))
-    ys = own.groupBy(*PAGE).agg(F.array_sort(F.collect_list("cy")).alias("ys"), F.first("h").alias("h"))
+    """Rows of each of the written ``pages``' tables in order: ``row_no``, ``y``, and its tokens ``t`` from the left. A token farther than half a height
+    below the last centre starts a row; each goes to the nearest centre within ``ROW_REACH`` heights. Tokens are shuffled once."""
     lay = lambda acc, y: F.when((F.size(acc) == 0) | (y - F.get(acc, F.size(acc) - 1) > F.col("h") * ROW_GAP), F.array_append(acc, y)).otherwise(acc)
-    centres = ys.select(*PAGE, F.aggregate("ys", F.array().cast("array<double>"), lay).alias("centres"))
+    below = F.filter("ys", lambda y: y > F.col("below"))
+    centres = pages.select(*PAGE, "h", "below", F.aggregate(below, F.array().cast("array<double>"), lay).alias("centres"))
     near = F.array_min(F.transform("centres", lambda c, i: F.struct(F.abs(c - F.col("cy")).alias("d"), i.alias("i"), c.alias("y"))))
-    met = own.join(centres.hint("merge"), PAGE).withColumn("n", near).where(F.col("n.d") <= F.col("h") * ROW_REACH)
+    met = tokens.join(centres.hint("merge"), PAGE).where(F.col("cy") > F.col("below")).withColumn("n", near).where(F.col("n.d") <= F.col("h") * ROW_REACH)
     rows = met.groupBy(*PAGE, F.col("n.i").alias("row_no"), F.col("n.y").alias("y")).agg(F.array_sort(F.collect_list(F.struct("left", "cy", "text", F.coalesce("conf", F.lit(1.0)).alias("conf")))).alias("t"))
-    return rows.join(pages.hint("merge"), PAGE)
+    return rows.join(pages.drop("ys").hint("merge"), PAGE)
 
 
 def nearest_text(t: Column, x: Column, matches) -> Column:
@@ -82,7 +83,8 @@ def table_readings(tokens: DataFrame, meta: DataFrame, sequence) -> DataFrame:
     above. A section is the number nearest to its column; rows without one, and directional tables, are numbered by ``sequence``, anew
     for each run of a CML. CMLs ``9.x`` have no sections."""
     pages = table_pages(tokens, meta)
-    rows = table_rows(tokens, pages).withColumn("line", F.array_join(F.transform("t", lambda o: o.text), " ")).where(~F.col("line").rlike(SKIPPED))
+    every = kept(table_rows(tokens, pages), "table-rows")
+    rows = every.withColumn("line", F.array_join(F.transform("t", lambda o: o.text), " ")).where(~F.col("line").rlike(SKIPPED))
     cml = nearest_text(F.col("t"), F.col("cml_x"), lambda o: o.text.rlike(r"^[1-9]\d*\.\d+$"))
     allowed = (F.size("ids") == 0) | F.array_contains("ids", cml)
     section = nearest_text(F.col("t"), F.col("section_x"), lambda o: o.text.rlike(r"^\d{1,2}$") & o.text.try_cast("int").between(1, MOST_SECTIONS))
@@ -92,7 +94,7 @@ def table_readings(tokens: DataFrame, meta: DataFrame, sequence) -> DataFrame:
 
     # Labels also stand in rows that are skipped; they are looked for in all.
     label = _first(F.transform(F.filter("t", lambda o: o.text.rlike(r"^\d+\.\d+$") & (F.abs(o.left - F.col("cml_x")) < LABEL_REACH) & F.array_contains("ids", o.text)), lambda o: o.text))
-    labels = table_rows(tokens, pages).where("cml_x IS NOT NULL AND size(ids) > 1").withColumn("label", label).where("label IS NOT NULL")
+    labels = every.where("cml_x IS NOT NULL AND size(ids) > 1").withColumn("label", label).where("label IS NOT NULL")
     labels = labels.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "label"))).alias("labels"))
     rows = rows.join(labels.hint("merge"), PAGE, "left")
     near = F.array_min(F.transform("labels", lambda o: F.struct(F.abs(o.y - F.col("y")).alias("d"), o.y.alias("y"), o.label.alias("label")))).label
@@ -103,6 +105,7 @@ def table_readings(tokens: DataFrame, meta: DataFrame, sequence) -> DataFrame:
     rows = rows.withColumn("changed", changed).withColumn("run", F.sum("changed").over(by)).where(F.size("readings") > 0)
     single = F.startswith("cml", F.lit("9."))
     rows = rows.withColumn("key", F.concat_ws("|", F.col("page").cast("string"), F.col("run").cast("string")))
-    done = sequence(rows.withColumn("zone", F.col("section")), key="key", order=("page", "row_no"))
+    rows = kept(rows.select(*PAGE, "row_no", "key", "circuit", "cml", "measurement_date", "readings", F.col("section").alias("zone")), "table-sections")
+    done = sequence(rows, key="key", order=("page", "row_no"))
     name = F.when(single, F.col("cml")).otherwise(F.concat_ws("-", "cml", F.col("zone").cast("string")))
     return done.select(*PAGE, "row_no", F.col("circuit").alias("circuit_id"), name.alias("cml_id"), "measurement_date", F.array_min("readings").alias("min_reading"), F.col("readings").alias("all_readings"))

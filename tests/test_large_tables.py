@@ -66,3 +66,7 @@ def test_a_tile_is_one_shuffle(spark):
     r = M.tiled_raster(d, 36.0)
     assert plan(r.groupBy("line_id", "tile").count()).count("Exchange") == 1
     assert {x.depth_pct for x in r.collect()} == {40.0}
+
+
+def test_tokens_are_read_for_pages_and_rows_only(spark):
+    assert "orders.parquet" not in plan(QUERIES["tokens_to_rows"](spark, "/root/testdata/sf0.001"))
