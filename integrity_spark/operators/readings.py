@@ -9,6 +9,8 @@ min_reading, all_readings, method, page)``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -250,16 +252,19 @@ def base_of(cml: Column) -> Column:
 
 def supplement_readings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Keys that the primary lacks are added. Where the secondary has whole CMLs that the primary lacks, and as many rows
-    or more, it becomes the base of that report, and the primary adds only CMLs that it doesn't have. Per report."""
-    p, s = primary.withColumn("base", base_of(F.col("cml_id"))), secondary.withColumn("base", base_of(F.col("cml_id")))
-    counts = s.groupBy("report").agg(F.count("*").alias("ns")).join(p.groupBy("report").agg(F.count("*").alias("np")), "report", "left").fillna(0, ["np"])
-    lacking = s.where("base IS NOT NULL").select("report", "base").distinct().join(p.select("report", "base").distinct(), ["report", "base"], "left_anti").select("report").distinct()
-    swapped = counts.where("ns >= np").join(lacking, "report", "left_semi").select("report")
-    key = ["report", "circuit_id", "cml_id"]
-    usual = p.join(swapped, "report", "left_anti").unionByName(s.join(swapped, "report", "left_anti").join(p.select(*key), key, "left_anti"))
-    own = s.join(swapped, "report", "left_semi")
-    rest = p.join(swapped, "report", "left_semi").withColumn("base", F.coalesce("base", "cml_id")).join(s.select("report", "base").distinct(), ["report", "base"], "left_anti")
-    return min_reading_per_cml(usual.unionByName(own).unionByName(rest).drop("base"), keys=("report", "circuit_id", "cml_id"))
+    or more, it becomes the base of that report, and the primary adds only CMLs that it doesn't have. Per report: one shuffle of both,
+    and a report's rows bound the windows."""
+    both = primary.withColumn("__second", F.lit(0)).unionByName(secondary.withColumn("__second", F.lit(1))).withColumn("base", base_of(F.col("cml_id")))
+    report, of_key = W.partitionBy("report"), W.partitionBy("report", "circuit_id", "cml_id")
+    second, named = F.col("__second") == 1, reduce(and_, (F.col(c).isNotNull() for c in ("report", "circuit_id", "cml_id")))
+    sets = {"__ns": F.sum("__second").over(report), "__n": F.count("*").over(report), "__p": F.collect_set(F.when(~second, F.col("base"))).over(report), "__s": F.collect_set(F.when(second, F.col("base"))).over(report)}
+    seen = both.withColumns(sets).withColumn("__lacks", F.size(F.array_except("__s", "__p")) > 0)
+    swapped = F.col("report").isNotNull() & F.col("__lacks") & (F.col("__ns") * 2 >= F.col("__n"))
+    lacked = seen.withColumns({"__swapped": swapped, "__has": F.min("__second").over(of_key) == 0})
+    usual = ~second | ~(named & F.col("__has"))
+    other = second | ~F.coalesce(F.array_contains("__s", F.coalesce("base", "cml_id")), F.lit(False))
+    rows = lacked.where(F.when(F.col("__swapped"), other).otherwise(usual)).select(*primary.columns)
+    return min_reading_per_cml(rows, keys=("report", "circuit_id", "cml_id"))
 
 
 def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from integrity_spark.operators import assess as A
 from integrity_spark.operators import digs as D
 from integrity_spark.operators import featuremap as M
+from integrity_spark.operators import readings as R
 from integrity_spark.plans.registry import ORACLES, QUERIES
 
 
@@ -70,3 +71,14 @@ def test_a_tile_is_one_shuffle(spark):
 
 def test_tokens_are_read_for_pages_and_rows_only(spark):
     assert "orders.parquet" not in plan(QUERIES["tokens_to_rows"](spark, "/root/testdata/sf0.001"))
+
+
+def test_supplement_joins_nothing(spark):
+    schema = "report string, circuit_id string, cml_id string, measurement_date date, min_reading double, all_readings array<double>, method string, page int"
+    frame = lambda rows: spark.createDataFrame([(r, c, m, None, v, [v], "x", 1) for r, c, m, v in rows], schema)
+    first = frame([("a", "c", "1.01-1", 0.3), ("b", "c", "1.01-1", 0.4), ("b", "c", "3.03-1", 0.5), ("d", "c", "1.01-1", 0.1), ("e", None, "1.01-1", 0.2), (None, "c", "1.01-1", 0.9)])
+    second = frame([("a", "c", "1.01-1", 0.2), ("a", "c", "1.01-2", 0.6), ("b", "c", "1.01-1", 0.9), ("b", "c", "2.02-1", 0.8), ("e", None, "1.01-1", 0.1), ("f", "c", "1", 0.7), (None, "c", "2.02-1", 0.9)])
+    out = R.supplement_readings(first, second)
+    want = [("None", "1.01-1", 0.9), ("None", "2.02-1", 0.9), ("a", "1.01-1", 0.3), ("a", "1.01-2", 0.6), ("b", "1.01-1", 0.9), ("b", "2.02-1", 0.8), ("b", "3.03-1", 0.5), ("d", "1.01-1", 0.1), ("e", "1.01-1", 0.1), ("f", "1", 0.7)]
+    assert sorted((str(r.report), r.cml_id, r.min_reading) for r in out.collect()) == want
+    assert "Join" not in plan(out)
