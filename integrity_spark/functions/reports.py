@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ FALLBACK_READING = r"(?<!\d)(\d+\.\d{3,4})(?!\d)"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _filled(values: Column) -> Column:
+    """The array, or null if it is empty."""
+    return once(values, lambda v: F.when(F.size(v) > 0, v))
+
+
 def looks_like_date(v: Column) -> Column:
     part = v - F.floor(v)
     return (v.between(1.0, 12.5) & part.between(0.2015, 0.2040)) | v.between(0.904, 0.908)
@@ -25,21 +37,19 @@ def plausible_reading(v: Column, fallback: bool = False) -> Column:
 
 def extract_readings(text: Column) -> Column:
     """Plain readings; if none, those of the text without blanks; if none, numbers with three or four decimals."""
-    clean = F.regexp_replace(text, FAX, " ")
 
     def found(t: Column, pattern: str, fallback: bool = False) -> Column:
         values = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: x.try_cast("double"))
         return F.filter(values, lambda v: plausible_reading(v, fallback))
 
-    first = found(clean, READING)
-    second = found(F.regexp_replace(clean, r"\s+", ""), COLLAPSED_READING)
-    third = found(clean, FALLBACK_READING, True)
-    return F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(third)
+    tight = lambda t: F.regexp_replace(t, r"\s+", "")
+    return once(F.regexp_replace(text, FAX, " "), lambda t: F.coalesce(_filled(found(t, READING)), _filled(found(tight(t), COLLAPSED_READING)), found(t, FALLBACK_READING, True)))
 
 
 def made_date(year: Column, month: Column, day: Column) -> Column:
-    y, m, d = (F.when(x != "", x).try_cast("int") for x in (year, month, day))
-    return F.try_to_date(F.when(m.between(1, 12) & d.between(1, 31), F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))), "yyyy-MM-dd")
+    text = lambda p: F.concat_ws("-", p.y.cast("string"), F.lpad(p.m.cast("string"), 2, "0"), F.lpad(p.d.cast("string"), 2, "0"))
+    parts = F.struct(year.try_cast("int").alias("y"), month.try_cast("int").alias("m"), day.try_cast("int").alias("d"))
+    return once(parts, lambda p: F.try_to_date(F.when(p.m.between(1, 12) & p.d.between(1, 31), text(p)), "yyyy-MM-dd"))
 
 
 def month_number(name: Column) -> Column:
@@ -51,9 +61,12 @@ def parse_date(text: Column) -> Column:
     words = r"(?i)(january|february|march|april|may|june|july|august|september|october|november|december)\s+(\d{1,2}),?\s+(\d{4})"
     short = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+(\d{1,2})\s+(\d{4})"
     part = F.regexp_extract
-    by_number = made_date(part(text, numeric, 3), part(text, numeric, 1), part(text, numeric, 2))
-    by_word = [made_date(part(text, p, 3), month_number(part(text, p, 1)), part(text, p, 2)) for p in (words, short)]
-    return F.coalesce(by_number, *by_word)
+
+    def read(t: Column) -> Column:
+        by_number = made_date(part(t, numeric, 3), part(t, numeric, 1), part(t, numeric, 2))
+        return F.coalesce(by_number, *(made_date(part(t, p, 3), month_number(part(t, p, 1)), part(t, p, 2)) for p in (words, short)))
+
+    return once(text, read)
 
 
 def report_date(text: Column, filename: Column | None = None) -> Column:
@@ -89,7 +102,4 @@ def cml_ids(text: Column, filename: Column | None = None) -> Column:
     if filename is not None:
         raw = [F.regexp_extract(filename, p, 1) for p in (r"(?i)CML\s*([\d.,\s&]+)", r"(?i)\d+-\w+\s+[\d,]*-[\d]+\s+([\d.]+)\s*UT", r"\d+-\w+\s+[\d,]*-[\d]+\s+([\d.,\s&]+)")]
         own.append(_numbers(F.when(raw[0] != "", raw[0]).when(raw[1] != "", raw[1]).otherwise(raw[2])))
-    out = none
-    for x in reversed(own):
-        out = F.when(F.size(x) > 0, x).otherwise(out)
-    return F.coalesce(out, none)
+    return F.coalesce(*map(_filled, own), none)

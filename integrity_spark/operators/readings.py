@@ -28,6 +28,8 @@ GRID_PAGE = r"""(?i)UT\s+Grid|GRID\s+Reading|GRID\s+STARTS|(?<![0-9A-Za-z])[12]\
 NO_READING = r"(?i)\bN/?A\b|\bFLANGE\b"
 HEADER = {"diameter": r"(?i)CIRCUIT|CML|SECTION|DIAM", "permissive": r"(?i)CIRCUIT|CML|SECTION|DIAM|ZONE|NORTH|SOUTH", "zone": r"(?i)CIRCUIT|CML\s+[A-Z]|ZONE|DIAM|SECTION|NORTH|SOUTH"}
 DIAMETERS = {"diameter": ("8", "6", "12", "10", "4", "16", "30"), "zone": ("16", "30", "8", "6", "12", "10", "4")}
+#: A zone number that is a whole cell, named or not, or stands before an inch mark.
+PERMISSIVE_ZONE = r"""(?i)^(?:(?:Zone|Loc|Location)?\s*(?=[1-9]\d*\s*\.?$)|(?=[1-9]\d*\s*['"]))([1-9]\d*)"""
 SHORT_TEXT = 100
 ZONES = ("1", "2", "3", "4", "5", "6", "7", "8", "9")
 NO_EQUIPMENT, NO_GROUP = "EQUIPMENT_NOT_FOUND", "GROUP_NOT_FOUND"
@@ -38,10 +40,9 @@ def report_metadata(pages: DataFrame) -> DataFrame:
     """Circuit, date and CML list of each report, from its text in page order, else its name; with readings but no CML,
     ``1``."""
     whole = pages.groupBy("report").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: F.coalesce(p.text, F.lit(""))), "\n").alias("text"))
-    ids = R.cml_ids(F.col("text"), F.col("report"))
-    found = R.extract_readings(F.col("text"))
-    cmls = F.when((F.size(ids) == 0) & (F.size(found) > 0), F.array(F.lit("1"))).otherwise(ids)
-    return whole.select("report", R.circuit_base(R.circuit_raw(F.col("text"))).alias("circuit_id"), R.report_date(F.col("text"), F.col("report")).alias("measurement_date"), cmls.alias("cml_ids"), found.alias("readings"), F.length(F.trim("text")).alias("text_length"))
+    read = whole.select("*", R.cml_ids(F.col("text"), F.col("report")).alias("ids"), R.extract_readings(F.col("text")).alias("readings"))
+    cmls = F.when((F.size("ids") == 0) & (F.size("readings") > 0), F.array(F.lit("1"))).otherwise(F.col("ids"))
+    return read.select("report", R.circuit_base(R.circuit_raw(F.col("text"))).alias("circuit_id"), R.report_date(F.col("text"), F.col("report")).alias("measurement_date"), cmls.alias("cml_ids"), "readings", F.length(F.trim("text")).alias("text_length"))
 
 
 def summary_pages(pages: DataFrame) -> DataFrame:
@@ -67,9 +68,15 @@ def numbers(text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", "").try_cast("double"))
 
 
-def first_reading() -> Column:
-    plain, broken = in_range(numbers(F.col("tight"), r"0\.\d{2,4}")), in_range(numbers(F.col("row_text"), r"0\s*\.\s*\d\s*\d\s*\d(?:\s*\d)?"))
-    return F.coalesce(F.get(plain, F.lit(0)), F.get(broken, F.lit(0)))
+def broken_readings() -> Column:
+    """Readings whose digits stand apart."""
+    return in_range(numbers(F.col("row_text"), r"0\s*\.\s*\d\s*\d\s*\d(?:\s*\d)?"))
+
+
+def featured(rows: DataFrame) -> DataFrame:
+    """Rows with what several layouts look at, each worked out once: ``plain`` readings and the ``first`` reading."""
+    p = prepared(rows).withColumn("plain", in_range(numbers(F.col("tight"), r"0\.\d{2,4}")))
+    return p.withColumn("first", F.coalesce(F.get("plain", F.lit(0)), F.get(broken_readings(), F.lit(0))))
 
 
 def digit_cells() -> Column:
@@ -92,66 +99,110 @@ def diameter(which: str) -> Column:
     return out
 
 
-def shaped(rows: DataFrame, cml: Column, reading: Column, method: str, every: Column | None = None) -> DataFrame:
-    kept = rows.withColumns({"cml_id": cml, "min_reading": reading, "all_readings": every if every is not None else F.array(reading), "method": F.lit(method)}).where("cml_id IS NOT NULL AND min_reading IS NOT NULL")
-    return kept.select(*OUT, "table_no", "row_no")
+def based(base: Column, zone: Column) -> Column:
+    return R.once(zone, lambda z: F.when(z.isNotNull(), F.concat_ws("-", base, z)))
 
 
-def parse_summary_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+def shaped(rows: DataFrame, *hits: Column) -> DataFrame:
+    """The readings among ``hits`` of each row. Hits are made in one array that is unfolded, so no filter makes them once more."""
+    made = F.filter(F.array(*hits), lambda h: h.cml_id.isNotNull() & h.min_reading.isNotNull())
+    return rows.select("report", "circuit_id", "measurement_date", "page", "table_no", "row_no", F.inline(made)).select(*OUT, "table_no", "row_no")
+
+
+def hit(cml: Column | str, reading: Column | str, method: str, every: Column | str | None = None) -> Column:
+    value = F.col(reading) if isinstance(reading, str) else reading
+    return F.struct((F.col(cml) if isinstance(cml, str) else cml).alias("cml_id"), value.alias("min_reading"), (F.array(value) if every is None else F.col(every)).alias("all_readings"), F.lit(method).alias("method"))
+
+
+def summary_cml() -> Column:
     """Summary layout: the zone is a digit up to three columns left of the diameter, else the first digit after column
     one."""
-    p = prepared(rows).join(meta, "report").where(~F.col("row_text").rlike(NO_READING))
     at = F.transform("cells", lambda c, i: F.when(c.rlike(r"""[468]\s*["']|1\s*0\s*["']"""), i))
     diam = F.array_min(F.filter(at, lambda i: i.isNotNull()))
-    near = F.filter(digit_cells(), lambda x: (x.i < diam) & (x.i > diam - 4))
-    zone = F.coalesce(F.get(near, F.size(near) - 1).c, F.get(F.filter(digit_cells(), lambda x: x.i > 0), F.lit(0)).c)
-    base = F.coalesce(F.get("cml_ids", F.lit(0)), F.lit("1.01"))
-    return shaped(p, F.when(zone.isNotNull(), F.concat_ws("-", base, zone)), first_reading(), "summary")
+    near = R.once(diam, lambda d: F.filter(digit_cells(), lambda x: (x.i < d) & (x.i > d - 4)))
+    zone = F.coalesce(R.once(near, lambda v: F.get(v, F.size(v) - 1).c), F.get(F.filter(digit_cells(), lambda x: x.i > 0), F.lit(0)).c)
+    return F.when(~F.col("row_text").rlike(NO_READING), based(F.coalesce(F.get("cml_ids", F.lit(0)), F.lit("1.01")), zone))
 
 
-def parse_diameter_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+def diameter_cml() -> Column:
     """Diameter layout: with one CML any zone cell; with more, a digit before the diameter, and 8 or 6 inches choose the
     first or second CML."""
-    p = prepared(rows).join(meta, "report").where(~F.col("row_text").rlike(HEADER["diameter"])).withColumn("diam", diameter("diameter"))
-    many = F.size("cml_ids") != 1
+    first, second = F.coalesce(F.get("cml_ids", F.lit(0)), F.lit("1.01")), F.coalesce(F.get("cml_ids", F.lit(1)), F.lit("1.05"))
     after = F.filter(digit_cells(), lambda x: F.get(F.filter(F.slice("cells", x.i + 2, F.size("cells")), lambda c: c != ""), F.lit(0)).rlike(r'^(8|6|4|10|12|16|30).*"'))
-    zone = F.when(many, F.get(after, F.lit(0)).c).otherwise(zone_cell())
-    base = F.when(~many, F.get("cml_ids", F.lit(0))).when(F.col("diam") == "8", F.coalesce(F.get("cml_ids", F.lit(0)), F.lit("1.01"))).when(F.col("diam") == "6", F.coalesce(F.get("cml_ids", F.lit(1)), F.lit("1.05")))
-    return shaped(p, F.when(zone.isNotNull() & base.isNotNull(), F.concat_ws("-", base, zone)), first_reading(), "diameter")
+    many = R.once(diameter("diameter"), lambda d: F.when(d == "8", first).when(d == "6", second))
+    one = F.get("cml_ids", F.lit(0))
+    named = F.when(F.size("cml_ids") != 1, F.concat(many, F.lit("-"), F.get(after, F.lit(0)).c)).otherwise(F.concat(one, F.lit("-"), zone_cell()))
+    return F.when(~F.col("row_text").rlike(HEADER["diameter"]), named)
 
 
-def parse_permissive_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+def permissive_cml() -> Column:
     """One CML: the first zone and the smallest reading of a row."""
-    p = prepared(rows).join(meta, "report").where((F.size("cml_ids") >= 1) & ~F.col("row_text").rlike(HEADER["permissive"]))
-    zones = F.filter(F.transform("cells", lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"(?i)^(?:Zone|Loc|Location)?\s*([1-9]\d*)\s*\.?$", 1), F.lit("")), F.nullif(F.regexp_extract(c, r"""^([1-9]\d*)\s*['"]""", 1), F.lit("")))), lambda z: z.isNotNull())
-    plain = in_range(numbers(F.col("tight"), r"0\.\d{2,4}"))
-    reading = F.coalesce(F.array_min(plain), first_reading())
-    return shaped(p, F.when(F.size(zones) > 0, F.concat_ws("-", F.get("cml_ids", F.lit(0)), F.get(zones, F.lit(0)))), reading, "permissive")
+    zones = F.filter(F.transform("cells", lambda c: F.regexp_extract(c, PERMISSIVE_ZONE, 1)), lambda z: z != "")
+    return F.when((F.size("cml_ids") >= 1) & ~F.col("row_text").rlike(HEADER["permissive"]), based(F.get("cml_ids", F.lit(0)), F.get(zones, F.lit(0))))
 
 
-def parse_zone_rows(rows: DataFrame, meta: DataFrame, hints: Mapping[str, str] | None = None) -> DataFrame:
+def permissive_reading() -> Column:
+    return F.coalesce(F.array_min("plain"), "first")
+
+
+def parse_summary_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    return shaped(featured(rows.join(meta, "report")), hit(summary_cml(), "first", "summary"))
+
+
+def parse_diameter_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    return shaped(featured(rows.join(meta, "report")), hit(diameter_cml(), "first", "diameter"))
+
+
+def parse_permissive_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    return shaped(featured(rows.join(meta, "report")).withColumn("least", permissive_reading()), hit(permissive_cml(), "least", "permissive"))
+
+
+def zoned(p: DataFrame, hints: Mapping[str, str] | None = None, where: Column | None = None) -> DataFrame:
     """Several CMLs: an explicit CML of the row, else the CML of its diameter (hints, else in order of first
-    sight), else the current CML carried down the rows; the smallest reading of a row."""
-    p = prepared(rows).join(meta, "report")
+    sight), else the current CML carried down the rows; the smallest reading of a row: columns ``zone_cml``, ``zone_least``,
+    ``zone_values``. Diameters are few, so their order of sight is a report's array of first places. ``where``: reports of which it holds; the others' columns are null."""
+    asked = F.lit(True) if where is None else where
     named = F.filter(F.transform("cells", lambda c: F.regexp_extract(c, r"(\d+\.\d+)", 1)), lambda x: F.array_contains("cml_ids", x))
-    label = F.get(named, F.lit(0))
-    order = W.partitionBy("report").orderBy("page", "table_no", "row_no")
-    p = p.withColumns({"explicit": label, "diam": diameter("zone")})
-    p = p.withColumn("current", F.last("explicit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
     header = F.col("row_text").rlike(HEADER["zone"]) & ~F.col("row_text").rlike(r"^\s*[1-9]\d*\s+")
     plain, loose = in_range(numbers(F.col("tight"), r"0\.\d{2,3}(?!\d)")), in_range(F.transform(numbers(F.col("tight"), r"0\.\d{2,4}"), lambda v: F.bround(v, 3)))
-    broken = in_range(numbers(F.col("row_text"), r"0\s*\.\s*\d\s*\d\s*\d(?:\s*\d)?"))
-    p = p.withColumns({"values": F.concat(F.when(F.size(plain) > 0, plain).otherwise(loose), broken), "zone": zone_cell()})
-    p = p.where(~header & F.col("zone").isNotNull() & (F.size("values") > 0) & ((F.size("cml_ids") <= 1) | F.col("diam").isNotNull() | F.col("explicit").isNotNull()))
-    first = p.where("explicit IS NULL AND diam IS NOT NULL").groupBy("report", "diam").agg(F.min(F.struct("page", "table_no", "row_no")).alias("at"))
-    seen = first.withColumn("nth", F.row_number().over(W.partitionBy("report").orderBy("at", "diam"))).select("report", "diam", "nth")
-    p = p.join(seen, ["report", "diam"], "left")
-    turn = F.get("cml_ids", F.pmod(F.col("nth") - 1, F.greatest(F.size("cml_ids"), F.lit(1))).cast("int"))
+    values = F.concat(R.once(plain, lambda v: F.when(F.size(v) > 0, v).otherwise(loose)), broken_readings())
+    made = {"explicit": F.get(named, F.lit(0)), "diam": diameter("zone"), "zone": F.when(~header, zone_cell()), "zone_values": values}
+    p = p.withColumns({k: F.when(asked, v) for k, v in made.items()})
+    ok = F.col("zone").isNotNull() & (F.size("zone_values") > 0) & ((F.size("cml_ids") <= 1) | F.col("diam").isNotNull() | F.col("explicit").isNotNull())
+    p = p.withColumn("ok", asked & F.coalesce(ok, F.lit(False)))
+    report, place = W.partitionBy("report"), F.struct("page", "table_no", "row_no")
+    above = report.orderBy("page", "table_no", "row_no").rowsBetween(W.unboundedPreceding, 0)
+    firsts = {f"at_{d}": F.min(F.when(F.col("ok") & F.col("explicit").isNull() & (F.col("diam") == d), place)).over(report) for d in DIAMETERS["zone"]}
+    p = p.withColumns({"current": F.last("explicit", ignorenulls=True).over(above), **firsts})
+    seen = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"at_{d}").alias("at"), F.lit(d).alias("d")) for d in DIAMETERS["zone"])), lambda x: x["at"].isNotNull()))
+    nth = R.once(F.array_position(F.transform(seen, lambda x: x.d), F.col("diam")), lambda k: F.when(k > 0, k))
+    turn = F.get("cml_ids", F.pmod(nth - 1, F.greatest(F.size("cml_ids"), F.lit(1))).cast("int"))
     hinted = F.lit(None).cast("string")
     for d, base in (hints or {}).items():
         hinted = F.when((F.col("diam") == d) & F.array_contains("cml_ids", base), base).otherwise(hinted)
     base = F.coalesce("explicit", hinted, F.when(F.col("diam").isNotNull(), turn), "current", F.get("cml_ids", F.lit(0)))
-    return shaped(p, F.when(base.isNotNull(), F.concat_ws("-", base, "zone")), F.array_min("values"), "zone", F.col("values"))
+    return p.withColumns({"zone_cml": F.when(F.col("ok"), F.concat(base, F.lit("-"), F.col("zone"))), "zone_least": F.when(F.col("ok"), F.array_min("zone_values"))})
+
+
+def parse_zone_rows(rows: DataFrame, meta: DataFrame, hints: Mapping[str, str] | None = None) -> DataFrame:
+    return shaped(zoned(prepared(rows.join(meta, "report")), hints), hit("zone_cml", "zone_least", "zone", "zone_values"))
+
+
+def row_strategies(rows: DataFrame, meta: DataFrame, hints: Mapping[str, str] | None = None, every: bool = False) -> DataFrame:
+    """Readings by the zone, summary, diameter and permissive layouts, the rows read and shuffled once for all of them. ``meta`` has a row a report, with
+    its ``pages`` and the ``titled`` ones among them. Only the first admissible layout of each report is returned, and the zone layout, the dearest, is worked out
+    just where the others leave the choice to it; ``every`` returns all layouts' readings."""
+    met = rows.join(meta.hint("merge"), "report").where(F.array_contains("pages", F.col("page")))
+    n, report = F.size("cml_ids"), W.partitionBy("report")
+    p = featured(met).withColumns({"summary_cml": F.when((n == 1) & F.array_contains("titled", F.col("page")), summary_cml()), "diameter_cml": diameter_cml(), "permissive_cml": F.when(n == 1, permissive_cml()), "least": permissive_reading()})
+    pairs = {"summary": ("summary_cml", "first"), "diameter": ("diameter_cml", "first"), "permissive": ("permissive_cml", "least")}
+    count = lambda cml, reading: F.count_if(F.col(cml).isNotNull() & F.col(reading).isNotNull()).over(report)
+    p = p.withColumns({f"n_{k}": count(*v) for k, v in pairs.items()})
+    left = (n >= 3) | ((F.col("n_diameter") == 0) & ((n != 1) | ((F.col("n_summary") == 0) & (F.col("n_permissive") == 0))))
+    p = zoned(p, hints, None if every else left).withColumn("n_zone", count("zone_cml", "zone_least"))
+    p = p.withColumn("pick", first_admissible(n, {k: F.col(f"n_{k}") for k in ("zone", *pairs)}))
+    hits = [hit("zone_cml", "zone_least", "zone", "zone_values"), *(hit(*v, k) for k, v in pairs.items())]
+    return shaped(p, *hits if every else [F.when(F.col("pick") == k, h) for k, h in zip(("zone", *pairs), hits)])
 
 
 def forward_fill(rows: DataFrame, value: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -267,6 +318,14 @@ def supplement_readings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return min_reading_per_cml(rows, keys=("report", "circuit_id", "cml_id"))
 
 
+def first_admissible(n: Column, has: Mapping[str, Column]) -> Column:
+    """The layout of a report's rows that is chosen, of its number of CMLs and of readings by each; null where none is."""
+    return (
+        F.when((n >= 3) & (has["zone"] > 0), "zone").when((n == 1) & (has["summary"] > 0), "summary").when((n == 1) & (has["permissive"] > has["diameter"]), "permissive").when(has["diameter"] > 0, "diameter")
+        .when((n == 1) & (has["zone"] < 5) & (has["permissive"] > 0), "permissive").when(has["zone"] > 0, "zone")
+    )
+
+
 def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFrame:
     """The readings of each report's first admissible strategy. ``found`` has the outputs of tokens, zone, summary,
     diameter, permissive, split and aggregate (those at hand), written once; each is counted once per report. Where ``meta`` has the
@@ -280,37 +339,38 @@ def select_strategy(found: Mapping[str, DataFrame], meta: DataFrame) -> DataFram
     counts = rows.groupBy("report").pivot("strategy", list(found)).count().fillna(0)
     extra = [c for c in ("readings", "text_length") if c in meta.columns]
     m = meta.select("report", F.size("cml_ids").alias("n"), *extra).join(counts, "report", "left").fillna(0)
-    has = {k: F.col(k) if k in found else F.lit(0) for k in ("tokens", "zone", "summary", "diameter", "permissive", "split", "aggregate")}
+    has = {k: F.col(k) if k in found else F.lit(0) for k in ("tokens", "zone", "summary", "diameter", "permissive", "split")}
     tried = F.lit(True)
     if {"readings", "text_length"} <= set(meta.columns):
         tried = (F.size("readings") == 0) | (F.col("text_length") < SHORT_TEXT) | F.forall("readings", lambda v: v == 0) | (F.col("n") >= 3)
     tokens_ok = (has["tokens"] > 0) & ((F.col("n") > 0) | (has["tokens"] >= 3)) & tried
-    pick = (
-        F.when(tokens_ok, "tokens").when((F.col("n") >= 3) & (has["zone"] > 0), "zone").when((F.col("n") == 1) & (has["summary"] > 0), "summary")
-        .when((F.col("n") == 1) & (has["permissive"] > has["diameter"]), "permissive").when(has["diameter"] > 0, "diameter")
-        .when((F.col("n") == 1) & (has["zone"] < 5) & (has["permissive"] > 0), "permissive").when(has["zone"] > 0, "zone").when(has["split"] > 0, "split").otherwise("aggregate")
-    )
+    pick = F.when(tokens_ok, "tokens").otherwise(F.coalesce(first_admissible(F.col("n"), has), F.when(has["split"] > 0, "split").otherwise("aggregate")))
     return rows.join(m.select("report", pick.alias("strategy")), ["report", "strategy"])
 
 
 def parse_many_reports(pages: DataFrame, rows: DataFrame, tokens: DataFrame | None = None, hints: Mapping[str, str] | None = None) -> DataFrame:
     """All reports in one job: every strategy on the pages to process, the first admissible one of each report, the
     lowest reading of each of its CMLs. Reports whose text has no readings take those of their table cells and pages, last page first."""
-    own_meta = kept(report_metadata(pages), "meta")
-    use = kept(summary_pages(pages), "pages")
-    own = rows.join(use.select("report", "page").distinct(), ["report", "page"], "left_semi")
-    bare = own_meta.where(F.size("readings") == 0).select("report")
-    spare = numeric_page_readings(use.join(bare, "report", "left_semi"), own.join(bare, "report", "left_semi")).withColumnRenamed("readings", "__spare")
-    none = F.array().cast("array<double>")
-    meta = own_meta.join(spare.hint("merge"), "report", "left").withColumn("readings", F.when(F.size("readings") > 0, F.col("readings")).otherwise(F.coalesce("__spare", none))).drop("__spare")
-    meta = kept(meta.withColumn("cml_ids", F.when((F.size("cml_ids") == 0) & (F.size("readings") > 0), F.array(F.lit("1"))).otherwise(F.col("cml_ids"))), "meta")
-    titled = rows.join(use.where("is_summary").select("report", "page").distinct(), ["report", "page"], "left_semi")
-    slim = meta.select("report", "circuit_id", "measurement_date", "cml_ids")
-    single = slim.where(F.size("cml_ids") == 1)
-    found = {"zone": parse_zone_rows(own, slim, hints), "summary": parse_summary_rows(titled, single), "diameter": parse_diameter_rows(own, slim), "permissive": parse_permissive_rows(own, single), "split": split_readings_to_zones(meta), "aggregate": aggregate_readings(meta)}
-    if tokens is not None:
-        found["tokens"] = supplement_readings(tokens_to_rows(tokens, slim), found["zone"].select(*OUT))
-    return min_reading_per_cml(select_strategy(found, meta), keys=("report", "circuit_id", "cml_id"))
+    use = summary_pages(pages)
+    chosen = use.groupBy("report").agg(F.collect_set("page").alias("pages"), F.collect_set(F.when(F.col("is_summary"), F.col("page"))).alias("titled"))
+    meta = kept(report_metadata(pages).join(chosen.hint("merge"), "report", "left"), "meta")
+    bare = kept(meta.where(F.size("readings") == 0).select("report", "pages"), "bare")
+    if not bare.isEmpty():
+        asked = small_or_merged(bare)
+        none = F.array().cast("array<double>")
+        own = rows.join(asked, (rows["report"] == asked["report"]) & F.array_contains(asked["pages"], rows["page"]), "left_semi")
+        spare = numeric_page_readings(use.join(asked, "report", "left_semi"), own).withColumnRenamed("readings", "__spare")
+        meta = meta.join(spare.hint("merge"), "report", "left").withColumn("readings", F.when(F.size("readings") > 0, F.col("readings")).otherwise(F.coalesce("__spare", none))).drop("__spare")
+        meta = kept(meta.withColumn("cml_ids", F.when((F.size("cml_ids") == 0) & (F.size("readings") > 0), F.array(F.lit("1"))).otherwise(F.col("cml_ids"))), "meta")
+    by_row = kept(row_strategies(rows, meta.select("report", "circuit_id", "measurement_date", "cml_ids", "pages", "titled"), hints, tokens is not None), "by-row")
+    keys = ("report", "circuit_id", "cml_id")
+    if tokens is None:
+        rest = kept(meta.join(by_row.select("report").distinct().hint("merge"), "report", "left_anti"), "rest")
+        others = select_strategy({"split": split_readings_to_zones(rest), "aggregate": aggregate_readings(rest)}, rest)
+        return min_reading_per_cml(by_row.select(*OUT).withColumn("strategy", F.col("method")).unionByName(others), keys=keys)
+    found = {k: by_row.where(F.col("method") == k) for k in ("zone", "summary", "diameter", "permissive")} | {"split": split_readings_to_zones(meta), "aggregate": aggregate_readings(meta)}
+    found["tokens"] = supplement_readings(tokens_to_rows(tokens, meta.select("report", "circuit_id", "measurement_date", "cml_ids")), found["zone"].select(*OUT))
+    return min_reading_per_cml(select_strategy(found, meta), keys=keys)
 
 
 #: Why a report has no readings, the first that holds.
