@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -320,30 +321,55 @@ def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     return out.join(ords.hint("merge"), SHEET, "left").select(*SHEET, F.coalesce("sheet_ord", "__o").alias("sheet_ord"), "row", "col", F.coalesce("shown", "value").alias("value"))
 
 
+def title_of(keywords: Sequence[str]) -> Column:
+    """Whether a ``text`` holds one of the titles or is held by one."""
+    text, names = F.col("text"), [F.lit(k.lower()) for k in keywords]
+    return (text != "") & reduce(lambda x, y: x | y, (F.contains(text, k) | F.contains(k, text) for k in names))
+
+
+def filled_rows(cells: DataFrame, marks: Mapping[str, Column]) -> DataFrame:
+    """Rows with a filled cell: their ``cells`` (col, value) in order, filled and distinct values in columns 1-20, and for each mark,
+    a condition on the shown ``text``, whether one of the first five columns meets it in rows 1-500."""
+    texts = cells.where("file IS NOT NULL AND sheet IS NOT NULL").withColumn("text", shown(F.col("value")))
+    own = F.when(F.col("col") < 20, F.nullif("text", F.lit("")))
+    early = (F.col("row") <= 500) & (F.col("col") < 5)
+    found = [F.coalesce(F.bool_or(early & mark), F.lit(False)).alias(name) for name, mark in marks.items()]
+    rows = texts.groupBy(*SHEET, "row").agg(F.min("sheet_ord").alias("sheet_ord"), F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"), F.count_if(F.col("text") != "").alias("filled"), F.count(own).alias("n"), F.size(F.collect_set(own)).alias("d"), *found)
+    return rows.where("filled > 0").drop("filled")
+
+
+def with_sections(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``filled_rows`` with ``<name>_title``, ``_header``, ``_first`` and ``_last``, the rows of their sheet's section for each of these marks
+    (see ``find_section``), all in one pass over the rows of a sheet."""
+    ordered = W.partitionBy(*SHEET).orderBy("row")
+    every, upto = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), ordered.rowsBetween(W.unboundedPreceding, 0)
+    row, at = F.col("row"), lambda name, part: F.col(f"{name}_{part}")
+    out = rows.withColumns({f"{m}_title": F.min(F.when(F.col(m), row)).over(every) for m in names})
+    out = out.withColumns({f"{m}_header": F.min(F.when((row > at(m, "title")) & (row <= at(m, "title") + 19) & (F.col("n") >= 3) & (F.col("d") >= 3), row)).over(every) for m in names})
+    below = {m: F.when(row > at(m, "header"), row) for m in names}
+    out = out.withColumns({f"{m}_first": F.min(below[m]).over(every) for m in names} | {f"{m}_nth": F.count(below[m]).over(upto) for m in names})
+    return out.withColumns({f"{m}_last": F.max(F.when(row - at(m, "nth") == at(m, "first") - 1, below[m])).over(every) for m in names}).drop(*(f"{m}_nth" for m in names))
+
+
 def find_section(cells: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """Header and last row of a titled section: the title is in rows 1-500 and the first five columns; the header is the
     first of the next 19 rows with three filled and three distinct values in columns 1-20; data ends at the first
     blank row once it began."""
-    text = shown(F.col("value"))
-    title = F.exists(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains(text, k) | F.contains(k, text))
-    at = cells.where((F.col("row") <= 500) & (F.col("col") < 5) & (text != "") & title).groupBy(*SHEET).agg(F.min("row").alias("title_row"))
-    filled = cells.where(text != "").groupBy(*SHEET, "row").agg(F.count_if(F.col("col") < 20).alias("n"), F.countDistinct(F.when(F.col("col") < 20, text)).alias("d"))
-    head = filled.join(at.hint("merge"), SHEET).where("row > title_row AND row <= title_row + 19 AND n >= 3 AND d >= 3").groupBy(*SHEET, "title_row").agg(F.min("row").alias("header_row"))
-    below = filled.join(head.hint("merge"), SHEET).where("row > header_row")
-    first = below.groupBy(*SHEET).agg(F.min("row").alias("first_row"))
-    run = below.join(first.hint("merge"), SHEET).withColumn("k", F.col("row") - F.row_number().over(W.partitionBy(*SHEET).orderBy("row")))
-    last = run.where(F.col("k") == F.col("first_row") - 1).groupBy(*SHEET).agg(F.min("first_row").alias("first_row"), F.max("row").alias("last_row"))
-    return head.join(last.hint("merge"), SHEET, "left")
+    rows = with_sections(filled_rows(cells.withColumn("sheet_ord", F.lit(1)), {"s": title_of(keywords)}), ["s"])
+    return rows.where("row = s_header").select(*SHEET, *(F.col(f"s_{part}").alias(f"{part}_row") for part in ("title", "header", "first", "last")))
 
 
 # Rows below the title, columns of a row, titles that end the block.
 NDE_ROWS, NDE_COLUMNS, NDE_ENDS = 49, 25, ("feature summary", "joint summary")
 
 
-def label_and_value(cells: Column) -> tuple[Column, Column]:
-    """A row's first number behind a text, and the texts before it in lower case. ``cells``: structs (col, value) in order."""
-    number = lambda x: to_number(F.replace(x.value, F.lit(",")))
-    own = F.transform(F.filter(cells, lambda x: collapsed(F.coalesce(x.value, F.lit(""))) != ""), lambda x: F.struct(collapsed(x.value).alias("text"), F.when(~F.regexp_replace(x.value, "[eE]", "").rlike(r"\p{L}"), number(x)).alias("number")))
+def nde_title() -> Column:
+    """Whether a ``text`` is the title of a block of limits."""
+    return F.col("text").contains("nde") & F.col("text").contains("limit")
+
+
+def label_and_value(own: Column) -> tuple[Column, Column]:
+    """A row's first number behind a text, and the texts before it in lower case. ``own``: structs (text, number) of its filled cells in order."""
     from_text = F.slice(own, F.greatest(F.array_position(F.transform(own, lambda x: x.number.isNull()), F.lit(True)), F.lit(1)).cast("int"), F.greatest(F.size(own), F.lit(1)))
     at = F.array_position(F.transform(from_text, lambda x: x.number.isNotNull()), F.lit(True))
     texts = F.slice(from_text, 1, F.when(at > 0, at - 1).otherwise(F.size(from_text)).cast("int"))
@@ -351,31 +377,37 @@ def label_and_value(cells: Column) -> tuple[Column, Column]:
     return label, F.when(label != "", F.get(from_text, (at - 1).cast("int")).number)
 
 
-def parse_nde_limits(cells: DataFrame) -> DataFrame:
-    """Assessment length, start and end from the target weld, and the target's number, from the 49 rows under a title with ``nde`` and
-    ``limit`` in rows 1-500 and the first five columns. Only labels of the NDE assessment count (exposure limits don't), start and
-    end only from the TGW; the last of equal labels wins; a summary's title ends the block. None unless start and end are there;
-    a length off by more than 0.06 m is marked."""
-    text = shown(F.col("value"))
-    at = cells.where((F.col("row") <= 500) & (F.col("col") < 5) & text.contains("nde") & text.contains("limit")).groupBy(*SHEET).agg(F.min("row").alias("t"))
-    near = cells.join(at.hint("merge"), SHEET).where((F.col("row") > F.col("t")) & (F.col("row") <= F.col("t") + NDE_ROWS) & (F.col("col") < NDE_COLUMNS))
-    rows = near.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c"))
-    label, value = label_and_value(F.col("c"))
-    r = rows.select(*SHEET, "row", label.alias("label"), value.alias("v"))
+def limits_below(near: DataFrame, keys: Sequence[str] = SHEET) -> DataFrame:
+    """The limits that the cells below a sheet's title name (see ``parse_nde_limits``). Texts and numbers are made once a cell, before rows are built."""
+    number = to_number(F.replace(F.col("value"), F.lit(",")))
+    made = near.select(*keys, "row", "col", "value", collapsed(F.coalesce("value", F.lit(""))).alias("text"), F.when(~F.regexp_replace("value", "[eE]", "").rlike(r"\p{L}"), number).alias("number"))
+    rows = made.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("col", "value", "text", "number")))).alias("own"))
+    label, value = label_and_value(F.col("own"))
+    r = rows.select(*keys, "row", label.alias("label"), value.alias("v"))
     lab, v = F.col("label"), F.col("v")
-    ends = r.where(F.exists(F.array(*map(F.lit, NDE_ENDS)), lambda k: lab.contains(k))).groupBy(*SHEET).agg(F.min("row").alias("stop"))
-    r = r.join(ends.hint("merge"), SHEET, "left").where("(stop IS NULL OR row < stop) AND v IS NOT NULL")
+    ends = reduce(lambda x, y: x | y, (lab.contains(k) for k in NDE_ENDS))
+    r = r.withColumn("stop", F.min(F.when(ends, F.col("row"))).over(W.partitionBy(*keys))).where("(stop IS NULL OR row < stop) AND v IS NOT NULL")
     target = lab.contains("target") & lab.contains("girth") & lab.contains("weld")
     down = lab.contains("from d/s") | lab.contains("from ds ") | lab.contains("d/s gw")
     tgw = ~target & ~down & lab.contains("tgw")
     number = F.bround(v, 0).cast("bigint")
     pick = lambda cond, x: F.max_by(F.when(cond, x), F.when(cond, F.col("row")))
     whole = ~target & ~down & lab.contains("nde assessment length")
-    out = r.groupBy(*SHEET).agg(pick(whole, v).alias("length_m"), pick(tgw & lab.contains("nde assessment start"), v).alias("start_m"), pick(tgw & lab.contains("nde assessment end"), v).alias("end_m"), pick(target & (number > 100) & (number < 99999), number).alias("target_gwd"))
+    out = r.groupBy(*keys).agg(pick(whole, v).alias("length_m"), pick(tgw & lab.contains("nde assessment start"), v).alias("start_m"), pick(tgw & lab.contains("nde assessment end"), v).alias("end_m"), pick(target & (number > 100) & (number < 99999), number).alias("target_gwd"))
     off = F.abs(F.abs(F.col("end_m") - F.col("start_m")) - F.col("length_m")) > 0.06
     return out.where("start_m IS NOT NULL AND end_m IS NOT NULL").withColumn("length_differs", F.coalesce(off, F.lit(False)))
 
 
+def parse_nde_limits(cells: DataFrame) -> DataFrame:
+    """Assessment length, start and end from the target weld, and the target's number, from the 49 rows under a title with ``nde`` and
+    ``limit`` in rows 1-500 and the first five columns. Only labels of the NDE assessment count (exposure limits don't), start and
+    end only from the TGW; the last of equal labels wins; a summary's title ends the block. None unless start and end are there;
+    a length off by more than 0.06 m is marked."""
+    early = cells.where("row <= 500 AND col < 5").withColumn("text", shown(F.col("value")))
+    at = early.where(nde_title()).groupBy(*SHEET).agg(F.min("row").alias("t"))
+    return limits_below(cells.join(at.hint("merge"), SHEET).where((F.col("row") > F.col("t")) & (F.col("row") <= F.col("t") + NDE_ROWS) & (F.col("col") < NDE_COLUMNS)))
+
+
 def table_profile(cells: DataFrame, max_cols: int = 60, samples: int = 6) -> DataFrame:
     """Per sheet: columns (row 1), data rows, sample rows as text; the primary sheet is the first ``Source_Data``, else
     the first sheet of the first file."""
