@@ -12,14 +12,16 @@ A byte goes if it is covered by a ``LENGTH``-byte string that also starts in a d
    with the smallest id. The shard sorts the suffixes of the rest, which gives their Burrows-Wheeler transform (BWT) and,
    where ranks of neighbours agree over LENGTH bytes, the repeated intervals inside the shard. Segments that a smaller
    id holds whole go no further; those whose anchor another shard has are sent as BWTs, one for each hash part.
-4. In each part the BWTs of the shards are merged by iterative interleave refinement: each round re-deals the interleave
+4. A part is dealt to fine parts by anchor, which are small enough for a processor's cache and cost no row of their own.
+   In each, the BWTs of the shards are merged by iterative interleave refinement: each round re-deals the interleave
    stably by the two preceding characters and follows the last-to-first map, after which it is sorted by two more
    characters. No suffix of the union is compared or sorted again. Rows that stand alone in their block have their common
    prefix with both neighbours and need no more rounds; blocks left after LENGTH characters are the repeated intervals,
    and all their windows but those of the smallest id are marked.
-5. A part is merged as a tree: FAN_IN shards at a time, then the transforms that are left of FAN_IN such groups, and
-   so on. A segment that is marked whole drops out (a transform without it is the same transform less its rows), so a
-   passage that all shards hold is passed on once a group, and no task holds more than FAN_IN shards' shares of a part.
+5. All shards' transforms of a part are merged by one task, unless they are more than NODE_BYTES. Then the part is merged as
+   a tree: as many groups of shards as keep to that, then the transforms that are left of FAN_IN such groups, and so on.
+   A fine part of more than MERGED_BYTES is merged so inside a task. A segment that is marked whole drops out (a transform
+   without it is the same transform less its rows), so a passage that all shards hold is passed on once a group.
 6. The marks go back to the shards, are united to spans, and cut out.
 
 Defined results: null text is empty; texts shorter than LENGTH keep all bytes; rows with one id, and repeats inside one
@@ -42,19 +44,24 @@ from pyspark.sql import functions as F
 from .common import bucketed, tasks, text_bytes, written
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a shard, about (a longer document is a shard of its own); bytes of text in a hash part, about.
-SHARD_BYTES, PART_BYTES = 3_000_000, 4_000_000
+#: Bytes of text in a shard, about (a longer document is a shard of its own); bytes of text in a hash part and in a fine
+#: part of it, about. A shard sends one row to each part, so their product is what grows with the square of the text.
+SHARD_BYTES, PART_BYTES, FINE_BYTES = 3_000_000, 32_000_000, 500_000
+#: Parts that there are at least, if there are as many tasks.
+LEAST_PARTS = 256
 #: Windows that are hashed at once; windows of a segment at most; bytes of segments that a shard sorts at once, about.
-CHUNK, WIDEST, SORTED = 400_000, 64, 1_500_000
-#: Shards that a task merges; shards with one anchor from which on its windows are dealt to sub-parts.
+CHUNK, WIDEST, SORTED = 100_000, 64, 150_000
+#: Bytes of transforms that a task has of a part, and that it merges at once, about.
+NODE_BYTES, MERGED_BYTES = 48_000_000, 6_000_000
+#: Groups of shards whose rest a task merges; shards with one anchor from which on its windows are dealt to sub-parts.
 FAN_IN, HOT = 48, 4096
 #: Characters by which copies find their shard; they decide nothing.
 PREFIX = 32
 #: Bytes of an anchor that are sent; a chance match merely sends a segment more.
 ANCHOR_BYTES = 5
 SHARD = "shard long, ids binary, known binary, sizes binary, text binary"
-SENT = "shard long, follow binary, lo binary, width binary, runs binary, parts array<struct<part:long,bwt:binary,first:binary,ids:binary>>"
-MERGED = "part long, shard long, bwt binary, first binary, ids binary, runs binary"
+SENT = "shard long, follow binary, lo binary, width binary, runs binary, parts array<struct<part:long,size:long,fine:binary,sizes:binary,bwt:binary,first:binary,ids:binary>>"
+MERGED = "part long, shard long, fine binary, sizes binary, bwt binary, first binary, ids binary, runs binary"
 _BASE = 0x9E3779B97F4A7C15
 _MOST = np.iinfo(np.int64).max
 
@@ -112,6 +119,10 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(8 * ANCHOR_BYTES)) % np.uint64(parts)).astype(np.int64)
 
 
+def fine_of(hashes: np.ndarray, fines: int) -> np.ndarray:
+    return ((hashes & np.uint64((1 << 8 * ANCHOR_BYTES) - 1)) % np.uint64(fines)).astype(np.int64)
+
+
 def runs_of(at: np.ndarray) -> bytes:
     """Sorted distinct numbers as runs (first, last + 1)."""
     if not len(at):
@@ -183,18 +194,23 @@ def own_transform(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple
     return before, segment[order], marked[window]
 
 
-def merged(bwts: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """The transforms of several sources, and for their segments in turn the number of the first window and the id:
-    numbers of the windows that also are in a segment with a smaller id, the segment of each, each source's rows of
-    segments that aren't marked whole, and these segments."""
-    counts = [int((b == 0).sum()) for b in bwts]
-    bwt, base = np.concatenate(bwts), np.cumsum([0, *map(len, bwts)])
-    to_first = np.empty(len(bwt), np.int32)
-    for b, lo in zip(bwts, base, strict=False):
-        to_first[lo + np.argsort(b, kind="stable")] = np.arange(lo, lo + len(b), dtype=np.int32)
+def interleaved(bwt: np.ndarray, sizes: np.ndarray, first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The transforms of several sources, one behind another, and for their segments in turn the number of the first window
+    and the id: numbers of the windows that also are in a segment with a smaller id, the segment of each, and the rows and
+    segments that aren't marked whole."""
+    n, base = len(bwt), np.cumsum(sizes) - sizes
+    source = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.uint32), sizes)
+    counts = np.bincount(source[bwt == 0], minlength=len(sizes))
+    by = np.argsort(bwt, kind="stable")
+    if len(sizes) > 1:
+        by = by[np.argsort(source[by], kind="stable")]
+    to_first = np.empty(n, np.int32)
+    to_first[by] = np.arange(n, dtype=np.int32)
+    del by, source
     # Where each row stands: its segment and how far from the end, by following the map from the end marks.
-    segment, far = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
-    row, own, size = np.concatenate([np.arange(lo, lo + c) for lo, c in zip(base, counts, strict=False)]), np.arange(sum(counts)), np.empty(sum(counts), np.int64)
+    segment, far = np.empty(n, np.int32), np.empty(n, np.int32)
+    own = np.arange(counts.sum(), dtype=np.int32)
+    row, size = own + np.repeat(base - (np.cumsum(counts) - counts), counts), np.empty(len(own), np.int64)
     step = 0
     while len(row):
         segment[row], far[row] = own, step
@@ -204,28 +220,64 @@ def merged(bwts: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> tuple[
         step += 1
     two = bwt[to_first].astype(np.uint16) << np.uint16(8) | bwt
     two[(bwt == 0) | (two < 256)] = 0
-    back = to_first[to_first]
-    live, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    back = to_first[to_first].astype(np.int64)
+    live, block = np.arange(n), np.zeros(n, np.int32)
     for _ in range(LENGTH // 2):
-        c = two[live]
-        fine = np.flatnonzero(c)
-        c = c[fine]
+        c = two.take(live)
         by = np.argsort(c, kind="stable")
-        c, fine = c[by], fine[by]
-        b = block[fine]
+        by = by[len(c) - np.count_nonzero(c) :]
+        c, b = c.take(by), block.take(by)
         new = np.ones(len(c) + 1, bool)
         new[1:-1] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        alone = new[:-1] & new[1:]
-        live, block = back[live[fine[~alone]]], np.cumsum(new[:-1], dtype=np.int32)[~alone]
+        more = np.flatnonzero(~(new[:-1] & new[1:]))
+        live, block = back.take(live.take(by.take(more))), np.cumsum(new[:-1], dtype=np.int32).take(more)
     marked = np.empty(0, np.int64)
     if len(live):
         start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         least = np.repeat(np.minimum.reduceat(ids[segment[live]], start), np.diff(np.r_[start, len(live)]))
         marked = live[ids[segment[live]] > least]
-    whole = np.bincount(segment[marked], minlength=len(size)) == size - LENGTH + 1
-    kept = ~whole[segment]
-    rows = [b[kept[lo : lo + len(b)]] for b, lo in zip(bwts, base, strict=False)]
-    return first[segment[marked]] + size[segment[marked]] - far[marked], segment[marked], rows, ~whole
+    of = segment[marked]
+    whole = np.bincount(of, minlength=len(size)) == size - LENGTH + 1
+    return first[of] + size[of] - far[marked], of, ~whole[segment], ~whole
+
+
+def merged(bwts: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """``interleaved`` for a list of sources; of the rows that aren't marked whole, each source's."""
+    cuts = np.cumsum([len(b) for b in bwts])
+    bwt = np.concatenate(bwts)
+    number, segment, rows, kept = interleaved(bwt, np.diff(cuts, prepend=0), first, ids)
+    return number, segment, [b[r] for b, r in zip(bwts, np.split(rows, cuts[:-1]), strict=True)], kept
+
+
+def in_turn(bwt: np.ndarray, sizes: np.ndarray, first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``interleaved``, but of more than MERGED_BYTES only so many at once, then what is left of these, for as long as that
+    gets a quarter less each time; at last all that is left."""
+    if len(bwt) <= MERGED_BYTES:
+        return interleaved(bwt, sizes, first, ids)
+    number, segment, rows, segs, before = [], [], np.arange(len(bwt)), np.arange(len(first)), np.inf
+    while True:
+        ends = np.cumsum(sizes)
+        batch = ends // MERGED_BYTES if 4 * len(rows) < 3 * before else np.zeros(len(sizes), np.int64)
+        before = len(rows)
+        edge = np.r_[0, np.flatnonzero(np.diff(batch)) + 1, len(sizes)]
+        marks = np.r_[0, np.cumsum(bwt[rows] == 0)]
+        kept_rows, kept_segs = [], []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            a, z = (ends[lo - 1] if lo else 0), ends[hi - 1]
+            own = segs[marks[a] : marks[z]]
+            got = interleaved(bwt[rows[a:z]], sizes[lo:hi], first[own], ids[own])
+            number.append(got[0])
+            segment.append(own[got[1]])
+            kept_rows.append(got[2])
+            kept_segs.append(got[3])
+        kept = np.concatenate(kept_rows)
+        sizes = np.diff(np.r_[0, np.cumsum(kept)][ends], prepend=0)
+        rows, segs = rows[kept], segs[np.concatenate(kept_segs)]
+        if len(edge) == 2:
+            break
+    kept_rows, kept_segs = np.zeros(len(bwt), bool), np.zeros(len(first), bool)
+    kept_rows[rows], kept_segs[segs] = True, True
+    return np.concatenate(number), np.concatenate(segment), kept_rows, kept_segs
 
 
 def _numbers(raw: bytes, kind: type = np.int64) -> np.ndarray:
@@ -307,7 +359,7 @@ def shared_anchors(shards: DataFrame, parts: int) -> DataFrame:
     return sent.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "shard long, part long, codes binary")
 
 
-def segments(shards: DataFrame, codes: DataFrame, parts: int) -> DataFrame:
+def segments(shards: DataFrame, codes: DataFrame, parts: int, fines: int) -> DataFrame:
     """For each shard: its stretches that matter, the class of equal segments that each belongs to (-1: a smaller id of the
     shard holds it), the runs of windows of the classes (numbered in order) that the shard itself marks, and by part the
     transforms of classes that other shards may hold."""
@@ -337,12 +389,13 @@ def segments(shards: DataFrame, codes: DataFrame, parts: int) -> DataFrame:
         where, first = part[of], np.cumsum(width) - width
         for k in np.flatnonzero(code[of] > 1):
             where[k] += parts * (1 + xxhash.xxh3_64_intdigest(raw[start[k] : start[k] + LENGTH]) % (1 << int(code[of[k]] - 1)))
+        where = where * fines + fine_of(found, fines)[of]
         sort = np.flatnonzero((code[of] > 0) | several[of])
         sort = sort[np.argsort(where[sort], kind="stable")]
         fill = np.cumsum(width[sort] + LENGTH)
         new = np.r_[True, where[sort][1:] != where[sort][:-1]] if len(sort) else np.empty(0, bool)
         batch = (np.maximum.accumulate(np.where(new, fill, 0)) // SORTED).astype(np.int64)
-        runs, rows = [], []
+        runs, goers = [], []
         for own_batch in np.split(sort, np.flatnonzero(np.diff(batch)) + 1) if len(sort) else []:
             size = width[own_batch] + LENGTH - 1
             before, segment, marked = own_transform(_spread(text, start[own_batch], size), size, smallest[own_batch])
@@ -351,14 +404,21 @@ def segments(shards: DataFrame, codes: DataFrame, parts: int) -> DataFrame:
             runs.append(number[marked])
             whole = np.add.reduceat(marked, ends - width[own_batch]) == width[own_batch]
             goes = (code[of[own_batch]] > 0) & ~whole
+            places, nth = np.unique(where[own_batch][goes], return_inverse=True)
+            place = np.zeros(len(own_batch), np.uint16 if len(places) < 1 << 16 else np.uint32)
+            place[goes] = nth
             by_part = np.flatnonzero(goes[segment])
-            by_part = by_part[np.argsort(where[own_batch][segment[by_part]], kind="stable")]
-            own_part = where[own_batch][segment[by_part]]
-            cuts = np.flatnonzero(np.diff(own_part)) + 1
-            kept = own_batch[goes]
-            kept_cuts = np.flatnonzero(np.diff(where[kept])) + 1
-            for p, b, c in zip(own_part[np.r_[0, cuts]] if len(own_part) else [], np.split(before[by_part], cuts), np.split(kept, kept_cuts), strict=len(own_part) > 0):
-                rows.append({"part": int(p), "bwt": b.tobytes(), "first": first[c].tobytes(), "ids": smallest[c].tobytes()})
+            own_place = place[segment[by_part]]
+            goers.append((places, np.bincount(own_place, minlength=len(places)), np.bincount(nth, minlength=len(places)), before[by_part[np.argsort(own_place, kind="stable")]], own_batch[goes]))
+        rows = []
+        if goers:
+            places, sizes, counts, bwt, kept = (np.concatenate(x) for x in zip(*goers, strict=True))
+            edge = np.r_[0, np.flatnonzero(np.diff(places // fines)) + 1, len(places)] if len(places) else np.zeros(1, np.int64)
+            to, segs = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(counts)]
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own_bwt, c = bwt[to[i] : to[j]], kept[segs[i] : segs[j]]
+                fine, each = (places[i:j] % fines).astype(np.int32), sizes[i:j].astype(np.int32)
+                rows.append({"part": int(places[i] // fines), "size": len(own_bwt), "fine": fine.tobytes(), "sizes": each.tobytes(), "bwt": own_bwt.tobytes(), "first": first[c].tobytes(), "ids": smallest[c].tobytes()})
         run = runs_of(np.sort(np.concatenate([*runs, np.empty(0, np.int64)])))
         return (row["shard"], np.where(own > smallest[follow], -1, follow).astype(np.int32).tobytes(), lo.tobytes(), (hi - lo).astype(np.uint8).tobytes(), run, rows)
 
@@ -371,35 +431,66 @@ def segments(shards: DataFrame, codes: DataFrame, parts: int) -> DataFrame:
     return bucketed(shards.join(back.hint("merge"), "shard", "left").mapInPandas(send, SENT), "segments", "shard")
 
 
-def marks(sent: DataFrame, shards: int) -> DataFrame:
+def _joined(parts: list[bytes], kind: type = np.int64) -> np.ndarray:
+    return _numbers(b"".join(parts), kind)
+
+
+def met(g: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """The transforms of shards for one part, a row for each shard: the runs of windows that it marks, and unless it is the ``last``
+    of its part what is left of them."""
+    per = np.array([len(x) // 4 for x in g.fine])
+    fine, size, source = _joined(g.fine, np.int32), _joined(g.sizes, np.int32).astype(np.int64), np.repeat(np.arange(len(g)), per)
+    bwt = _joined(g.bwt, np.uint8)
+    at = np.cumsum(size) - size
+    begin = np.r_[np.searchsorted(np.flatnonzero(bwt == 0), at), (bwt == 0).sum()]
+    count, begin = np.diff(begin), begin[:-1]
+    by = np.argsort(fine, kind="stable")
+    fine, size, source, count = fine[by], size[by], source[by], count[by]
+    bwt, first, ids = _spread(bwt, at[by], size), _spread(_joined(g["first"]), begin[by], count), _spread(_joined(g.ids), begin[by], count)
+    to, segs = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(count)]
+    owner = np.repeat(np.arange(len(size)), count)
+    edge = np.r_[0, np.flatnonzero(np.diff(fine)) + 1, len(fine)]
+    number, of, rows, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.ones(len(bwt), bool), np.ones(len(first), bool)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            r, c = slice(to[lo], to[hi]), slice(segs[lo], segs[hi])
+            n, segment, rows[r], kept[c] = in_turn(bwt[r], size[lo:hi], first[c], ids[c])
+            number.append(n)
+            of.append(source[owner[c][segment]])
+    number, of = np.concatenate(number), np.concatenate(of)
+    by = np.lexsort((number, of))
+    runs = [runs_of(x) for x in np.split(number[by], np.searchsorted(of[by], np.arange(1, len(g))))]
+    out = pd.DataFrame({"part": g.part.to_numpy(), "shard": g.shard.to_numpy(), "runs": runs})
+    if last:
+        return out[["shard", "runs"]][out.runs != b""]
+    size = np.diff(np.r_[0, np.cumsum(rows)][to])
+    owner, has = source[owner[kept]], size > 0
+    of_row, source = np.repeat(source, np.diff(to))[rows].astype(np.uint16 if len(g) < 1 << 16 else np.uint32), source[has]
+    split = lambda x, own: [y.tobytes() for y in np.split(x[np.argsort(own, kind="stable")], np.cumsum(np.bincount(own, minlength=len(g)))[:-1])]
+    out = out.assign(fine=split(fine[has], source), sizes=split(size[has].astype(np.int32), source), bwt=split(bwt[rows], of_row), first=split(first[kept], owner), ids=split(ids[kept], owner))
+    return out[(out.bwt != b"") | (out.runs != b"")][[c.split()[0] for c in MERGED.split(", ")]]
+
+
+def marks(sent: DataFrame) -> DataFrame:
     """For each shard, the runs of windows of its classes that a smaller id of another shard holds."""
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _grouped(batches, ["part", "node"]):
-            if len(g) == 1:
-                yield g[["part", "shard", "bwt", "first", "ids"]].assign(runs=None)
-                continue
-            per = np.array([len(x) // 8 for x in g.ids])
-            number, segment, rows, kept = merged([_numbers(b, np.uint8) for b in g.bwt], first := _numbers(b"".join(g["first"])), ids := _numbers(b"".join(g.ids)))
-            source = np.repeat(np.arange(len(per)), per)
-            by = np.lexsort((number, source[segment]))
-            cuts = np.searchsorted(source[segment][by], np.arange(1, len(per)))
-            runs = [runs_of(x) for x in np.split(number[by], cuts)]
-            lasting = np.bincount(source[kept], minlength=len(per))
-            cut = np.cumsum(lasting)[:-1]
-            out = pd.DataFrame({"part": g.part.to_numpy(), "shard": g.shard.to_numpy(), "bwt": [x.tobytes() for x in rows], "first": [x.tobytes() for x in np.split(first[kept], cut)], "ids": [x.tobytes() for x in np.split(ids[kept], cut)], "runs": runs})
-            yield out[(lasting > 0) | (out.runs != b"")]
-
-    rows = sent.select("shard", F.explode("parts").alias("p")).select("p.part", "shard", "p.bwt", "p.first", "p.ids")
-    nodes, found = max(1, -(-shards // FAN_IN)), []
+    rows = sent.select("shard", F.explode("parts").alias("p")).select("p.part", "shard", "p.size", "p.fine", "p.sizes", "p.bwt", "p.first", "p.ids")
+    most = rows.groupBy("part").agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0
+    nodes, found = max(1, -(-most // NODE_BYTES)), []
     node = F.pmod(F.xxhash64("shard"), F.lit(nodes))
     while True:
-        dealt = rows.withColumn("node", node).repartition("part", "node").sortWithinPartitions("part", "node")
-        done = written(dealt.mapInPandas(meet, MERGED), "merged")
+        last = nodes == 1
+
+        def meet(batches: Iterator[pd.DataFrame], last: bool = last) -> Iterator[pd.DataFrame]:
+            for g in _grouped(batches, ["part", "node"]):
+                if len(g) > 1 or not last:
+                    yield met(g, last)
+
+        dealt = rows.drop("size").withColumn("node", node).repartition(tasks(sent.sparkSession), "part", "node").sortWithinPartitions("part", "node")
+        done = written(dealt.mapInPandas(meet, "shard long, runs binary" if last else MERGED), "merged")
         found.append(done.where("length(runs) > 0").select("shard", "runs"))
-        if nodes == 1:
+        if last:
             break
-        rows, nodes, node = done.where("length(bwt) > 0").select("part", "shard", "bwt", "first", "ids"), -(-nodes // FAN_IN), F.floor(node / FAN_IN)
+        rows, nodes, node = done.where("length(bwt) > 0").drop("runs"), -(-nodes // FAN_IN), F.floor(node / FAN_IN)
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
@@ -447,6 +538,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each document: bytes, bytes removed, removed runs, hash of what is kept, and the kept bytes if
     wanted (a cut can fall inside a character, so they are binary)."""
     size = text_bytes(docs, text_col)
-    parts = max(tasks(docs.sparkSession), size // PART_BYTES)
-    with shards_of(docs, id_col, text_col, size) as shards, segments(shards, shared_anchors(shards, parts), parts) as sent:
-        return written(cut(shards, sent, marks(sent, shards.count()), id_col, with_text), "deduplicated")
+    parts = max(min(tasks(docs.sparkSession), LEAST_PARTS), size // PART_BYTES)
+    fines = max(1, size // (parts * FINE_BYTES))
+    with shards_of(docs, id_col, text_col, size) as shards, segments(shards, shared_anchors(shards, parts), parts, fines) as sent:
+        return written(cut(shards, sent, marks(sent), id_col, with_text), "deduplicated")
