@@ -76,3 +76,13 @@ def test_settings_of_lean_queries_only(spark):
     assert {k: spark.conf.get(k) for k in LEAN} == LEAN != before
     QUERIES["dig_ids"](spark, "/root/testdata/sf0.001")
     assert {k: spark.conf.get(k) for k in LEAN} == before
+
+
+def test_summary_of_a_dig_that_asks_for_several_sizes(lean):
+    """One size is compared without a lambda, several with one: the targets are the same."""
+    rows = [(6001, 3180, "L", "gone", "25.4", "12.7"), (6002, 3180, "L", "gone", "25.4", "12.7"), (6002, 3180, "L", None, "900", "900"), (6003, 3180, "L", "gone", None, "12.7"), (6004, 3180, "L", "F-001", None, None)]
+    mdl, ili = lean.createDataFrame(rows, MDL), runs(lean)
+    table = D.dig_feature_table(mdl, ili, fallback="skip")
+    got = {r.dig_id: (r.runs, r.n_rows, r.targets) for r in D.package_summary(mdl, table).collect()}
+    assert got == {6001: (1, 9, 2), 6002: (1, 9, 2), 6003: (1, 9, 0), 6004: (1, 9, 1)}
+    assert exchanges(table) == 2
